@@ -1,15 +1,17 @@
 """URL filter: rules, and gradient-boosted trees on lexical features for the rest.
 
 A rule `host/path` fits a host and all its subdomains if the URL's path starts with the rule's
-path; the longest rule wins.  URLs that a rule fits are the labelled ones: the trees learn from
-at most `max_rows` of them (distinct URLs, least by hash) and judge all others.  Every feature
-and every tree is a SQL expression; only that bounded sample of numbers reaches the driver,
-where the trees are grown in numpy.  Suffix statistics (pages and labelled verdicts for each
-last host label) count all rows.
+path; the longest rule wins.  URLs that a rule fits are the labelled ones; as rules pick whole
+suffixes and paths, what they leave out counts as weakly allowed, else a suffix with rules of
+one kind would condemn all its hosts.  The trees learn from at most `max_rows` distinct URLs of
+each sort (least by hash), the others' weights adding up to half the labelled ones', and judge
+every URL without a rule.  Every feature and every tree is a SQL expression; only that bounded
+sample of numbers reaches the driver, where the trees are grown in numpy.  Suffix statistics
+(pages and labelled verdicts for each last host label) count all rows.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits no rule and
 is judged by its features (zeros for null); repeated rows are judged alike; without labels of
-both kinds the verdict is the labels' majority, `allow` if there are none; an empty table gives
+both kinds the verdict is the weighted majority, `allow` if there are none; an empty table gives
 no rows.  Other columns are not read.
 """
 
@@ -96,11 +98,11 @@ class Trees:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def grow(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate: float = 0.3, bins: int = 32, ridge: float = 1.0, least: int = 5) -> Trees:
+def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 30, depth: int = 3, rate: float = 0.3, bins: int = 32, ridge: float = 1.0, least: int = 5) -> Trees:
     """Logistic gradient boosting with histograms of at most `bins` quantile bins a feature."""
     if not len(y):
         return Trees(-10.0, ())
-    p0 = (y.sum() + 1e-3) / (len(y) + 2e-3)
+    p0 = ((w * y).sum() + 1e-3) / (w.sum() + 2e-3)
     base = float(np.log(p0 / (1 - p0)))
     if y.min() == y.max():
         return Trees(base, ())
@@ -134,7 +136,7 @@ def grow(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate: f
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        trees.append(split(np.arange(len(y)), p - y, p * (1 - p), 0))
+        trees.append(split(np.arange(len(y)), w * (p - y), w * p * (1 - p), 0))
     return Trees(base, tuple(trees))
 
 
@@ -147,13 +149,21 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
         ((F.count(F.when(F.col("_rule.verdict") == "block", 1)) + 1.0) / (F.count("_rule.rule") + 2.0)).alias("suffix_block_rate"),
     )
     lex = lexical(F.col("_url"), F.col("host"), F.col("path"))
-    labelled = known.filter(F.col("_rule").isNotNull()).select("_url", "host", "path", "_suffix", (F.col("_rule.verdict") == "block").cast("double").alias("_y"))
-    sample = labelled.groupBy("_url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("_suffix").alias("_suffix"), F.first("_y").alias("_y"))
-    sample = sample.orderBy(F.xxhash64("_url"), "_url").limit(max_rows).join(suffixes, "_suffix", "left")
-    rows = sample.select("_y", *(lex[f].alias(f) if f in lex else F.col(f) for f in FEATURES)).collect()
-    data = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), 1 + len(FEATURES))
-    data = data[np.lexsort(data.T[::-1])]  # the order rows arrive in doesn't matter
-    trees = grow(data[:, 1:], data[:, 0])
+    names = ("_url", "host", "path", "_suffix")
+    labelled = F.col("_rule").isNotNull()
+
+    def sample(rows: DataFrame, y: Column) -> np.ndarray:
+        distinct = rows.filter(F.col("_url").isNotNull()).select(*names, y.alias("_y")).groupBy(*names, "_y").agg(F.lit(1))
+        chosen = distinct.orderBy(F.xxhash64("_url"), "_url").limit(max_rows).join(suffixes, "_suffix", "left")
+        found = chosen.select("_y", *(lex[f].alias(f) if f in lex else F.col(f) for f in FEATURES)).collect()
+        data = np.array([tuple(r) for r in found], dtype=float).reshape(len(found), 1 + len(FEATURES))
+        return data[np.lexsort(data.T[::-1])]  # the order rows arrive in doesn't matter
+
+    sure = sample(known.filter(labelled), (F.col("_rule.verdict") == "block").cast("double"))
+    weak = sample(known.filter(~labelled), F.lit(0.0))
+    data = np.concatenate([sure, weak])
+    share = 0.5 * len(sure) / max(1, len(weak))
+    trees = grow(data[:, 1:], data[:, 0], np.concatenate([np.ones(len(sure)), np.full(len(weak), min(1.0, share))]))
     scored = known.join(suffixes, "_suffix", "left")
     named = scored.select(key, "host", "path", "_rule", *(lex[f].alias(f"_{f}") if f in lex else F.col(f).alias(f"_{f}") for f in FEATURES))
     score = trees.column({f: F.col(f"_{f}") for f in FEATURES})
