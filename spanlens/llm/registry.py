@@ -5,7 +5,11 @@ from __future__ import annotations
 from spanlens.llm.decontam import op5_decontam
 from spanlens.llm.linededup import OP8_SQL, op8_line_dedup
 from spanlens.llm.minhash import op4_minhash
+from spanlens.llm.packing import op2_packing
 from spanlens.llm.sharding import op6_sharding
+from spanlens.llm.tokenfile import op7_token_file
+from spanlens.llm.toxicity import op9_toxicity
+from spanlens.llm.urlfilter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op4_minhash, op5_decontam, op6_sharding, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op4_minhash, op5_decontam, op6_sharding, op7_token_file, op8_line_dedup, op9_toxicity)}
 ORACLES = {"op8_line_dedup": OP8_SQL}
