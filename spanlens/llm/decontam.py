@@ -184,6 +184,22 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     return by_row.withColumn("spans", joined).drop("row")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows, with all their columns, that share no window with any item: one narrow pass for each block."""
+    sc = docs.sparkSession.sparkContext
+    for block in item_blocks(benchmark, span=span, block_chars=block_chars):
+        shared = sc.broadcast(block)
+
+        def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = Items(shared.value, span, gram)
+            for batch in text_blocks(batches, text):
+                bodies = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                yield batch.filter(pa.array([not items.hits(alnum_hashes(body))[0] for body in bodies], pa.bool_()))
+
+        docs = docs.mapInArrow(judge, docs.schema)
+    return docs
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.expr("aggregate(spans, 0L, (a, x) -> a + (x.e - x.s))")

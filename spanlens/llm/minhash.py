@@ -177,6 +177,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return out.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, per_cent: int = 80) -> DataFrame:
+    """The rows, with all their columns, that stand for their group: those of the least id, once each.
+
+    Rows with null ids link with nothing and stay.
+    """
+    found = materialise(near_duplicates(docs, key, text, k, per_cent), "groups")
+    others = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
+    kept = docs.join(others, key, "left_anti")
+    if not found.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        kept = kept.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
+    return kept.select(docs.columns)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), k=3, per_cent=85)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

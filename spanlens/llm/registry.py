@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanlens.llm.decontam import op5_decontam
+from spanlens.llm.embdedup import op3_embedding_dedup
 from spanlens.llm.linededup import OP8_SQL, op8_line_dedup
 from spanlens.llm.lm import op10_lm_score
 from spanlens.llm.minhash import op4_minhash
@@ -12,5 +13,5 @@ from spanlens.llm.tokenfile import op7_token_file
 from spanlens.llm.toxicity import op9_toxicity
 from spanlens.llm.urlfilter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op4_minhash, op5_decontam, op6_sharding, op7_token_file, op8_line_dedup, op9_toxicity, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_embedding_dedup, op4_minhash, op5_decontam, op6_sharding, op7_token_file, op8_line_dedup, op9_toxicity, op10_lm_score)}
 ORACLES = {"op8_line_dedup": OP8_SQL}
