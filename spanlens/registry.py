@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from spanlens.plans import retrieval_queries, text_queries  # noqa: F401  (they register their queries)
+from spanlens.plans.base import ORACLES, QUERIES
+
+FLAGSHIP = retrieval_queries.flagship
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
