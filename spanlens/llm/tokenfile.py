@@ -84,7 +84,8 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", columns: tu
     # One row for each file written.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = ends.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return stored.join(base, "shard").select(key, (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", *columns)
+    # As many rows as files were written: at most the number of ranges.
+    return stored.join(F.broadcast(base), "shard").select(key, (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", *columns)
 
 
 def checksums(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
