@@ -34,7 +34,8 @@ def sql(name: str, text: str, spark_words: dict[str, str] | None = None, duck_wo
     def fill(words: dict[str, str] | None) -> str:
         return re.sub(r"@(\w+)", lambda m: (words or {})[m[1]], text)
 
-    mine = fill(spark_words)
+    # A number with a point is a double, as in DuckDB's arithmetic.
+    mine = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", fill(spark_words))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         used = [t for t in TABLES if re.search(rf"\b{t}\b", mine)]
