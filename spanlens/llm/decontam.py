@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm.common import row_key, spread, table, text_blocks
+from spanlens.llm.common import spread, table, text_blocks
 from spanlens.llm.words import alnum_hashes, grams
 
 SPAN, GRAM = 10, 5
@@ -134,54 +134,44 @@ def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text",
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document: its key, n_words, spans of hit words and the items with windows in it."""
-    sc = docs.sparkSession.sparkContext
-    source = spread(docs.select(key, text), key)
-    key_type = source.schema[key].dataType.simpleString()
-    parts = []
-    for block in item_blocks(benchmark, span=span, block_chars=block_chars):
-        shared = sc.broadcast(block)
+    """One row per document: its key, n_words, spans of hit words and the items with windows in it.
 
-        def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            items, pid, n = Items(shared.value, span, gram), TaskContext.get().partitionId(), 0
-            for batch in text_blocks(batches, text):
-                rows, words, spans, found = [], [], [], []
-                for body in batch.column(1).to_pylist():
+    Blocks follow one another as narrow passes; each adds its hits to those before it.
+    """
+    sc = docs.sparkSession.sparkContext
+    found = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
+    key_type = found.schema["key"].dataType.simpleString()
+    blocks = list(item_blocks_broadcast(sc, benchmark, span, block_chars))
+    hit_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+    for nth, shared in enumerate(blocks):
+        last = nth == len(blocks) - 1
+
+        def judge(batches: Iterator[pa.RecordBatch], shared=shared, first=nth == 0, last=last) -> Iterator[pa.RecordBatch]:
+            items = Items(shared.value, span, gram)
+            for batch in text_blocks(batches, "text"):
+                before = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True) if not first else (([], []) for _ in range(batch.num_rows))
+                words, spans, names = [], [], []
+                for body, (old, seen) in zip(batch.column(1).to_pylist(), before, strict=True):
                     h = alnum_hashes(body)
-                    hit, names = items.hits(h)
-                    rows.append(row_key(pid, n))
+                    hit, new = items.hits(h)
                     words.append(len(h))
-                    spans.append([{"s": s, "e": e} for s, e in hit])
-                    found.append(sorted(names))
-                    n += 1
-                hit_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), batch.column(0), pa.array(words, pa.int64()), pa.array(spans, hit_type), pa.array(found, pa.list_(pa.string()))],
-                    names=["row", key, "n_words", "spans", "items"],
-                )
-
-        parts.append(source.mapInArrow(judge, f"row long, `{key}` {key_type}, n_words long, spans array<struct<s:int,e:int>>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0].drop("row")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    by_row = every.groupBy("row").agg(
-        F.first(key).alias(key),
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    # Sorted spans of several blocks become disjoint ones.
-    joined = F.expr(
-        "aggregate(spans, cast(array() as array<struct<s:int,e:int>>), (a, x) -> "
-        "if(size(a) > 0 and element_at(a, -1).e >= x.s, "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))), "
-        "concat(a, array(x))))"
-    )
-    return by_row.withColumn("spans", joined).drop("row")
+                    spans.append([{"s": s, "e": e} for s, e in (merged([*hit, *((x["s"], x["e"]) for x in old)]) if old else hit)])
+                    names.append(sorted({*seen, *new}))
+                columns = [batch.column(0), pa.array(words, pa.int64()), pa.array(spans, hit_type), pa.array(names, pa.list_(pa.string()))]
+                titles = ["key", "n_words", "spans", "items"]
+                if not last:
+                    columns.insert(1, batch.column(1))
+                    titles.insert(1, "text")
+                yield pa.RecordBatch.from_arrays(columns, names=titles)
+
+        body = "" if last else "text string, "
+        found = found.mapInArrow(judge, f"key {key_type}, {body}n_words long, spans array<struct<s:int,e:int>>, items array<string>")
+    return found.withColumnRenamed("key", key)
+
+
+def item_blocks_broadcast(sc, benchmark: DataFrame, span: int, block_chars: int):
+    for block in item_blocks(benchmark, span=span, block_chars=block_chars):
+        yield sc.broadcast(block)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM, block_chars: int = BLOCK_CHARS) -> DataFrame:
