@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanlens.operators import folds
 from spanlens.plans import duck as D
-from spanlens.plans.base import query, read, sql
+from spanlens.plans.base import ORACLES, query, read, sql
 
 ARMS = """arms AS (SELECT o_custkey AS task, o_orderstatus AS arm, avg(o_totalprice) AS cost, count(*) AS turns, max(o_totalprice) AS top FROM orders GROUP BY o_custkey, o_orderstatus),
 paired AS (SELECT a.task, a.cost AS x, b.cost AS y, a.turns AS tx, b.turns AS ty, c_nationkey AS repo FROM arms a JOIN arms b ON a.task = b.task JOIN customer ON c_custkey = a.task WHERE a.arm = 'F' AND b.arm = 'O')"""
@@ -391,3 +391,19 @@ def identifier_query(spark: SparkSession, sf: str) -> DataFrame:
 
     q = F.expr("CASE item_id % 5 WHEN 0 THEN 'parse_config' WHEN 1 THEN 'where is HashMap used' WHEN 2 THEN 'find the walker' WHEN 3 THEN 'load|store|HashMap' ELSE text END")
     return read(spark, sf, "benchmark").select("item_id", lookup.is_lookup(q).alias("lookup"))
+
+# DuckDB sums whole numbers into a wider type; these columns are plain 64-bit numbers, as in Spark.
+_WHOLE = {
+    "ratio_of_sums": ("wins",),
+    "auroc": ("positives",),
+    "ece": ("n",),
+    "precision_at": ("kept",),
+    "first_hit_turn": ("tail",),
+    "list_metrics": ("r1", "r2", "golds"),
+    "time_breakdown": ("answer", "lookups", "hook", "overhead", "wall"),
+    "replay_summary": ("gold",),
+    "lookup_complete": ("hits",),
+}
+for _name, _columns in _WHOLE.items():
+    ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'{c}::BIGINT AS {c}' for c in _columns)}) FROM ({ORACLES[_name]})"
+ORACLES["priced_usage"] = f"SELECT * REPLACE (fees::DOUBLE AS fees) FROM ({ORACLES['priced_usage']})"
