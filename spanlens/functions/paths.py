@@ -22,7 +22,7 @@ def _map(values: dict[str, tuple[str, ...]], x: Column) -> Column:
 def language(path: Column) -> Column:
     """The language of a file by its path; null for what is not indexed (generated, locked, secret, unknown)."""
     parts = _parts(path)
-    name = F.lower(F.element_at(parts, -1))
+    name = F.lower(F.try_element_at(parts, F.lit(-1)))
     dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     skipped = F.arrays_overlap(dirs, F.array(*(F.lit(d) for d in vocab.SKIP_DIRS)))
     locked = name.isin(*vocab.SKIP_FILES) | name.endswith(".lock")
