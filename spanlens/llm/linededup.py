@@ -7,8 +7,9 @@ layout and always stay.  Lines are told apart by two 64-bit hashes of their trim
 Scale: lines leave the scan as (host, hashes) and are counted with partial sums before any
 shuffle.  The shares of a host's lines add up to its mean number of lines a page, so a host
 has at most (lines a page) / ratio boilerplate lines: a short array, joined to the pages by
-host.  That join is broadcast only below Spark's measured threshold, else it is a sort-merge
-join whose hot hosts are split.
+host.  Hosts with more than a thousandth of all pages are at most a thousand: their arrays are
+broadcast.  The others' join shuffles, and pages of the large hosts take part under keys of
+their own, so no task gets a large host.
 
 Defined results: null text counts as a page without lines and stays null; a null host is a
 host of its own; repeated rows count as pages of their own; a page of boilerplate only becomes
@@ -35,8 +36,11 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+LARGE = 1_000  # a host is large if it has more than one in so many pages
+
+
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(_ld_host, _ld_drop: marks of the lines to drop) for hosts that have any."""
+    """(_ld_host, _ld_pages, _ld_drop: marks of the lines to drop) for hosts that have any."""
     host_key = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("-"))
     pages = docs.groupBy(host_key.alias("_ld_host")).agg(F.count("*").alias("_ld_pages"))
     marks = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x) != ""), _mark))
@@ -46,7 +50,7 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
         often.join(pages, "_ld_host")
         .filter(F.col("_ld_n") > F.col("_ld_pages") * ratio)
         .groupBy("_ld_host")
-        .agg(F.collect_list("_ld_mark").alias("_ld_drop"))
+        .agg(F.first("_ld_pages").alias("_ld_pages"), F.collect_list("_ld_mark").alias("_ld_drop"))
     )
 
 
@@ -54,7 +58,15 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """The rows with boilerplate lines gone from `text`, plus _ld_lines and _ld_dropped (line counts)."""
     drop = boilerplate(docs, host, text, ratio, min_pages)
     host_key = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("-"))
-    joined = docs.withColumn("_ld_host", host_key).join(drop, "_ld_host", "left")
+    n = docs.count()
+    large = F.col("_ld_pages") * LARGE > n
+    hosts = docs.groupBy(host_key.alias("_ld_host")).agg(F.count("*").alias("_ld_pages")).filter(large).select("_ld_host")
+    few = hosts.join(drop.select("_ld_host", F.col("_ld_drop").alias("_ld_large")), "_ld_host", "left").withColumn("_ld_is_large", F.lit(True))
+    many = drop.filter(~large).select(F.col("_ld_host").alias("_ld_key"), F.col("_ld_drop").alias("_ld_small"))
+    joined = docs.withColumn("_ld_host", host_key).join(F.broadcast(few), "_ld_host", "left")  # fewer than LARGE rows
+    own = F.concat(F.lit("own "), F.xxhash64(F.col(text), F.monotonically_increasing_id()).cast("string"))
+    joined = joined.withColumn("_ld_key", F.when(F.col("_ld_is_large").isNull(), F.col("_ld_host")).otherwise(own)).join(many, "_ld_key", "left")
+    joined = joined.withColumn("_ld_drop", F.coalesce("_ld_large", "_ld_small")).drop("_ld_key", "_ld_large", "_ld_small", "_ld_is_large")
     lines = _lines(F.col(text))
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_ld_drop"), _mark(x)), F.lit(False)) | (F.trim(x) == ""))
     new = joined.withColumn("_ld_kept", F.when(F.col("_ld_drop").isNull(), lines).otherwise(kept)).withColumn("_ld_lines", F.coalesce(F.size(lines), F.lit(0)))
