@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,10 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends and lost executors cost nothing."""
+ROWS_A_FILE = 200_000
+
+
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends and lost executors cost nothing.
+
+    rows: about how many there are at most, if that is known; narrow tables then go to few files.
+    """
     path = f"{shared_dir(df.sparkSession)}/spanlens-{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    if rows is not None:
+        df = df.coalesce(2 + rows // ROWS_A_FILE)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +77,22 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_chars
             yield batch.slice(at)
 
 
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The batch function, giving its memory back to the system when a task ends: idle workers live on beside the JVM."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return whole
+
+
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component_id): the smallest id reachable over links (a, b); ids without links are left out of the result.
 
@@ -75,7 +102,6 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     """
     id_type = nodes.schema["id"].dataType
     edges = links.select(F.greatest("a", "b").cast(id_type).alias("hi"), F.least("a", "b").cast(id_type).alias("lo")).filter("hi <> lo").distinct()
-    edges = materialise(edges, "links")
     last = None
     for _ in range(rounds):
         n, mark = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
@@ -85,10 +111,9 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = materialise(large, "large-star")
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = materialise(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), "small-star")
+        edges = materialise(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges", rows=2 * n)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component_id"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm.common import spread, table, text_blocks
+from spanlens.llm.common import freed, spread, table, text_blocks
 from spanlens.llm.words import alnum_hashes, grams
 
 SPAN, GRAM = 10, 5
@@ -165,7 +165,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays(columns, names=titles)
 
         body = "" if last else "text string, "
-        found = found.mapInArrow(judge, f"key {key_type}, {body}n_words long, spans array<struct<s:int,e:int>>, items array<string>")
+        found = found.mapInArrow(freed(judge), f"key {key_type}, {body}n_words long, spans array<struct<s:int,e:int>>, items array<string>")
     return found.withColumnRenamed("key", key)
 
 
@@ -186,7 +186,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                 bodies = batch.column(batch.schema.get_field_index(text)).to_pylist()
                 yield batch.filter(pa.array([not items.hits(alnum_hashes(body))[0] for body in bodies], pa.bool_()))
 
-        docs = docs.mapInArrow(judge, docs.schema)
+        docs = docs.mapInArrow(freed(judge), docs.schema)
     return docs
 
 

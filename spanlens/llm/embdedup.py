@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm.common import components, materialise, spread, table
+from spanlens.llm.common import components, freed, materialise, spread, table
 from spanlens.llm.words import mix
 
 TABLES, ROTATIONS, BLOCK, THRESHOLD, SEED = 12, 2, 1024, 0.9, 11
@@ -225,8 +225,8 @@ def near_vectors(
     """(key, n_links, component_id) of every row."""
     kind = df.schema[vector].dataType.simpleString()
     source = spread(df.select(F.col(key).cast("long").alias(key), vector), key)
-    sketch = materialise(source.mapInArrow(_sketch(key, kind, tables, rotations, seed), f"`{key}` long, h1 long, h2 long, vector binary, codes array<long>"), "vectors")
-    classes = materialise(sketch.filter(F.col("h1").isNotNull() & F.col(key).isNotNull()).groupBy("h1", "h2").agg(F.min(key).alias("id"), F.count("*").alias("w")), "classes")
+    sketch = materialise(source.mapInArrow(freed(_sketch(key, kind, tables, rotations, seed)), f"`{key}` long, h1 long, h2 long, vector binary, codes array<long>"), "vectors")
+    classes = materialise(sketch.filter(F.col("h1").isNotNull() & F.col(key).isNotNull()).groupBy("h1", "h2").agg(F.min(key).alias("id"), F.count("*").alias("w")), "classes", rows=sketch.count())
     members = sketch.withColumnRenamed(key, "id").join(classes, ["h1", "h2", "id"]).dropDuplicates(["id", "h1", "h2"]).select("id", "w", "vector", "codes")
     members = materialise(members, "members")
     visits = members.select("id", F.posexplode("codes").alias("at", "bucket")).select("id", "bucket", (F.col("at") % (1 + rotations) == 0).alias("home"))
@@ -240,7 +240,7 @@ def near_vectors(
     full = grouped.join(members.select("id", "w", "vector"), "id").select("bucket", "lo", "hi", "block", "id", "w", "home", "vector")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = full.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    found = materialise(dealt.mapInArrow(_compare(kind, threshold, tables, rotations, seed), "a long, b long, n long"), "vector-links")
+    found = materialise(dealt.mapInArrow(freed(_compare(kind, threshold, tables, rotations, seed)), "a long, b long, n long"), "vector-links")
     counts = found.filter("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     comps = components(members.select("id"), found.filter("b is not null").select("a", "b"))
     named = classes.join(counts, "id", "left").join(comps, "id", "left")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlens.llm.bpe import encoder
-from spanlens.llm.common import row_key, spread, table, text_blocks
+from spanlens.llm.common import freed, row_key, spread, table, text_blocks
 
 SIZE, END_ID = 2048, 1
 SENTENCE_PENALTY, HARD_PENALTY, STRIDE = 2.0, 8.0, 24
@@ -184,7 +184,7 @@ def pack(
             yield flush(True)
 
     schema = f"`{key}` {key_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return source.mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    return source.mapInArrow(freed(run), schema + ", ids array<int>" * with_ids)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

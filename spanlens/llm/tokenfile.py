@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanlens.llm.bpe import encoder
-from spanlens.llm.common import shared_dir, table, text_blocks
+from spanlens.llm.common import freed, shared_dir, table, text_blocks
 
 END_ID = 0
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 128 << 10, 512
@@ -73,7 +73,7 @@ def write_tokens(
 
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.writer.version": "v2", "parquet.dictionary.page.size": 1 << 20}
     options |= {f"parquet.enable.dictionary#{c}": "false" for c in (key, "local_start", "n_tokens")}
-    done = source.mapInArrow(run, f"`{key}` long, shard long, local_start long, n_tokens long, tokens array<int>")
+    done = source.mapInArrow(freed(run), f"`{key}` long, shard long, local_start long, n_tokens long, tokens array<int>")
     done.write.options(compression=codec, **{k: str(v) for k, v in options.items()}).parquet(path)
 
 
@@ -98,7 +98,7 @@ def checksums(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
             sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select(key, "start", "n_tokens", "tokens").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return tokens.select(key, "start", "n_tokens", "tokens").mapInArrow(freed(run), f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm.common import materialise, spread, table, text_blocks
+from spanlens.llm.common import freed, materialise, spread, table, text_blocks
 
 MAX_DOCS, MAX_FEATURES, MAX_TRIGRAMS = 20_000, 4_000, 50_000
 THRESHOLD = 0.7
@@ -83,7 +83,7 @@ class CharModel:
             p2 = self.bi.get(gram[1:], 0) / max(1, self.ctx2.get(gram[1], 0))
             p1 = self.uni.get(gram[2], 0) / self.all
             found = math.log(0.70 * p3 + 0.20 * p2 + 0.08 * p1 + 0.02 / (self.letters + 1))
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 100_000:
                 self.cache.clear()
             self.cache[gram] = found
         return found
@@ -161,7 +161,7 @@ class Restorer(dict):
     def __missing__(self, token: str):
         found = self.value(token)
         if len(token) <= 80:
-            if len(self) >= 300_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[token] = found
         return found
@@ -263,7 +263,7 @@ def fit(
                         seen[padded[i : i + 3]] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
 
-    counted = sample.mapInArrow(trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(freed(trigrams), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     chars = CharModel({r.gram: r.n for r in counted.orderBy(F.desc("n"), "gram").limit(max_trigrams).collect()})
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +283,7 @@ def fit(
         share = 0.1 if not no + yes else (yes + 0.1) / (no + yes + 1)
         return Model(chars, {}, np.zeros(0), math.log(share / (1 - share)))
     p = (yes) / (no + yes)
-    seen = sample.mapInArrow(evidence, "f string, no long, yes long").groupBy("f").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).filter("no + yes >= 3")
+    seen = sample.mapInArrow(freed(evidence), "f string, no long, yes long").groupBy("f").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).filter("no + yes >= 3")
     # Likelihood ratio of "the feature comes with toxic documents at a rate of its own" against the common rate.
     n = F.col("no") + F.col("yes")
     gain = F.when(F.col("yes") > 0, F.col("yes") * F.log(F.col("yes") / (n * p))).otherwise(0.0) + F.when(F.col("no") > 0, F.col("no") * F.log(F.col("no") / (n * (1 - p)))).otherwise(0.0)
@@ -296,7 +296,7 @@ def fit(
             found = [sorted(scorer.of(body)) for body in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], names=["_k", "x", "_y"])
 
-    rows = sorted(sample.mapInArrow(vectors, "_k long, x array<int>, _y long").collect())
+    rows = sorted(sample.mapInArrow(freed(vectors), "_k long, x array<int>, _y long").collect())
     weights, bias = logistic([r.x for r in rows], np.array([r._y for r in rows], float), len(numbers))
     return Model(chars, numbers, weights, bias)
 
@@ -316,7 +316,7 @@ def annotate(docs: DataFrame, model: Model, text: str = "text", out: str = "toxi
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{out}` double")
+    return docs.mapInArrow(freed(run), f"{fields}, `{out}` double")
 
 
 def held_out(key: str, parts: int = 3, part: int = 1) -> Column:

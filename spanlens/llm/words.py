@@ -26,7 +26,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 400_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = h
         return h
