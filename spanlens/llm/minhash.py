@@ -9,9 +9,12 @@ a Jaccard similarity of 0.85 share a bucket with a chance of 1 - 4e-7, at 0.8 1
 Equal sets become one class with one representative first, so copies never meet in a bucket.
 In each bucket one member, drawn anew for each band, is the centre of a star: candidates are
 (centre, member), at most one pair for each member and band.  The pairs are confirmed on the
-full sets.  Buckets that still hold several components then get other centres for as long as
-a round finds new links (at most `rounds` rounds), and pairs that are in one component already
-are not compared again.  Components come from large-star and small-star rounds.
+full sets, and components follow by large-star and small-star rounds.  A bucket that still
+holds several components gets more stars, `growth` times as many each round, whose centres lie
+outside its largest component and have not been centres there; members of a centre's own
+component are left out.  It is done when it is one component or all members outside the largest
+have been centres, so no pair of a bucket that could join two components is missed, while a
+group of copies, one component after the first stars, costs a pair for each member.
 
 Scale: texts leave the scan only for documents that share a bucket with another set; nothing
 is collected to the driver, and hot classes and centres are joined in ways that can be split.
@@ -29,12 +32,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from spanlens.llm.common import components, materialise, spread, table, text_blocks
+from spanlens.llm.common import components, freed, materialise, spread, table, text_blocks
 from spanlens.llm.words import blank_words, grams, hashes, mix
 
 BINS, BANDS, ROWS = 128, 25, 5
-ROUNDS = 4
+GROWTH = 32
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(57)).astype(np.uint64)
 # Which bin an empty bin asks on each attempt: the universal hash of optimal densification.
 _ASK = (mix((np.arange(1, 65, dtype=np.uint64)[:, None] << np.uint64(32)) + np.arange(BINS, dtype=np.uint64)[None, :]) >> np.uint64(57)).astype(np.int64)
@@ -126,34 +130,41 @@ def _confirm(per_cent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, per_cent: int = 80, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, per_cent: int = 80, growth: int = GROWTH) -> DataFrame:
     """(key, n_shingles, component_id): sets with 100 * |A and B| >= per_cent * |A or B| are linked."""
     source = spread(docs.select(F.col(key).cast("long").alias(key), text), key)
-    sketch = materialise(source.mapInArrow(_sketch(k, key, text), f"`{key}` long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
+    sketch = materialise(source.mapInArrow(freed(_sketch(k, key, text)), f"`{key}` long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
     # One class for each set; the least id stands for it.
     classes = sketch.filter(F.col("h1").isNotNull() & F.col(key).isNotNull()).groupBy("h1", "h2").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n"))
-    classes = materialise(classes, "classes")
+    size = sketch.count()
     stand = sketch.join(classes.select("h1", "h2", F.col("rep").alias(key)), ["h1", "h2", key], "left_semi")
     banded = stand.select(F.col(key).alias("id"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("bucket")).distinct()
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    members = materialise(banded.join(sizes, "bucket"), "members")
+    members = materialise(banded.join(sizes, "bucket"), "members", rows=BANDS * size)
     near = members.select("id").distinct()
     text_of = source.select(F.col(key).alias("id"), text).join(near, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialise(text_of.mapInArrow(_sets(k, text), "id long, hashes binary"), "sets")
+    sets = materialise(text_of.mapInArrow(freed(_sets(k, text)), "id long, hashes binary"), "sets")
 
     links = None
     comp = None
-    for turn in range(rounds):
+    spent = None  # centres that met all members of their bucket
+    centres = 1
+    while True:
         named = members.withColumn("comp", F.col("id"))
         if comp is not None:
             named = members.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
-        # The centre of a bucket: the least by a hash that differs from band to band and round to round.
-        centre = named.groupBy("bucket").agg(
-            F.min(F.struct(F.xxhash64("id", "bucket", F.lit(turn)).alias("h"), F.col("id").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc"))).alias("s"),
-            F.min("comp").alias("lo"),
-            F.max("comp").alias("hi"),
-        )
-        centre = centre.filter("lo <> hi").select("bucket", "s.c", "s.cn", "s.cc")
+        # A bucket's members outside its largest component; a bucket of one component is done.
+        parts = named.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+        main = parts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("m.comp").alias("main"))
+        outside = named.join(main, "bucket").filter("comp <> main")
+        if spent is not None:
+            outside = outside.join(spent, ["bucket", "id"], "left_anti")
+        # Centres are the least by a hash that differs from band to band.
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id")
+        chosen = outside.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= centres)
+        centre = materialise(chosen.select("bucket", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc")), "centres", rows=size)
+        if centre.isEmpty():
+            break
         pairs = (
             named.join(centre, "bucket")
             .filter("cc <> comp")
@@ -163,11 +174,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         )
         with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
         with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb")
-        new = materialise(with_b.mapInArrow(_confirm(per_cent), "a long, b long"), f"links{turn}")
-        if new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-        comp = components(sets.select("id"), links)
+        new = materialise(with_b.mapInArrow(freed(_confirm(per_cent)), "a long, b long"), "links")
+        now = centre.select("bucket", F.col("c").alias("id"))
+        spent = now if spent is None else spent.unionByName(now)
+        centres *= growth
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            comp = components(sets.select("id"), links)
     rep = classes.select("h1", "h2", "rep")
     if comp is not None:
         rep = rep.join(comp.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
