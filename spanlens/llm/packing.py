@@ -141,15 +141,21 @@ def pack(
     stride: int = STRIDE,
     run_ids: int = 1_000_000,
     with_ids: bool = True,
+    known_units: int = 500_000,
+    block_chars: int = 8_000_000,
 ) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
+
+    known_units and block_chars bound a worker's memory: parts of texts whose ids are kept, and characters
+    encoded at once.
+    """
     source = spread(docs.select(key, text), key)
     key_type = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, pid = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, pid = encoder(tokenizer, known_units), TaskContext.get().partitionId()
         packer = Packer(sentence_ends(enc.tokenizer), size, sentence_penalty, hard_penalty, stride)
         n = 0
         arrow_key = None
@@ -172,10 +178,10 @@ def pack(
             return pa.RecordBatch.from_arrays(out, names=names)
 
         end = np.array([end_id], "<u4")
-        for batch in text_blocks(batches, text):
+        for batch in text_blocks(batches, text, 2 * block_chars):
             arrow_key = batch.column(0).type
             keys = batch.column(0).to_pylist()
-            for first, ids, bounds in enc.blocks(batch.column(1).to_pylist()):
+            for first, ids, bounds in enc.blocks(batch.column(1).to_pylist(), block_chars):
                 for i in range(len(bounds) - 1):
                     packer.add(keys[first + i], np.concatenate([ids[bounds[i] : bounds[i + 1]], end]))
                     if packer.held >= run_ids:
