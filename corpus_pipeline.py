@@ -41,8 +41,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their ids, place and window."""
-    return packing.pack(docs)
+    """Pieces of documents with their ids, place and window.
+
+    Workers that the stages before have left their marks on get less to keep.
+    """
+    return packing.pack(docs, run_ids=500_000, known_units=150_000, block_chars=3_000_000)
 
 
 STAGES = [
