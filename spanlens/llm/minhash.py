@@ -10,9 +10,9 @@ Equal sets become one class with one representative first, so copies never meet
 In each bucket one member, drawn anew for each band, is the centre of a star: candidates are
 (centre, member), at most one pair for each member and band.  The pairs are confirmed on the
 full sets, and components follow by large-star and small-star rounds.  A bucket that still
-holds several components gets more stars, `growth` times as many each round, whose centres lie
-outside its largest component and have not been centres there; members of a centre's own
-component are left out.  It is done when it is one component or all members outside the largest
+holds several components gets more stars, one a round at first (`singles` rounds) and then
+`growth` times as many each round, whose centres lie outside its largest component and have not
+been centres there; members of a centre's own component are left out.  It is done when it is one component or all members outside the largest
 have been centres, so no pair of a bucket that could join two components is missed, while a
 group of copies, one component after the first stars, costs a pair for each member.
 
@@ -38,7 +38,7 @@ from spanlens.llm.common import components, freed, materialise, spread, table, t
 from spanlens.llm.words import blank_words, grams, hashes, mix
 
 BINS, BANDS, ROWS = 128, 25, 5
-GROWTH = 32
+SINGLES, GROWTH = 4, 4
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(57)).astype(np.uint64)
 # Which bin an empty bin asks on each attempt: the universal hash of optimal densification.
 _ASK = (mix((np.arange(1, 65, dtype=np.uint64)[:, None] << np.uint64(32)) + np.arange(BINS, dtype=np.uint64)[None, :]) >> np.uint64(57)).astype(np.int64)
@@ -130,7 +130,7 @@ def _confirm(per_cent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, per_cent: int = 80, growth: int = GROWTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, per_cent: int = 80, singles: int = SINGLES, growth: int = GROWTH) -> DataFrame:
     """(key, n_shingles, component_id): sets with 100 * |A and B| >= per_cent * |A or B| are linked."""
     source = spread(docs.select(F.col(key).cast("long").alias(key), text), key)
     sketch = materialise(source.mapInArrow(freed(_sketch(k, key, text)), f"`{key}` long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
@@ -148,8 +148,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     links = None
     comp = None
     spent = None  # centres that met all members of their bucket
-    centres = 1
+    turn = 0
     while True:
+        centres = growth ** max(0, turn - singles + 1)
         named = members.withColumn("comp", F.col("id"))
         if comp is not None:
             named = members.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
@@ -177,7 +178,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         new = materialise(with_b.mapInArrow(freed(_confirm(per_cent)), "a long, b long"), "links")
         now = centre.select("bucket", F.col("c").alias("id"))
         spent = now if spent is None else spent.unionByName(now)
-        centres *= growth
+        turn += 1
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             comp = components(sets.select("id"), links)
