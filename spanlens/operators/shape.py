@@ -32,14 +32,14 @@ def merge_spans(spans: DataFrame, query: str, path: str = "path", gap: int = GAP
 
 def line_budget(spans: DataFrame, query: str, path: str = "path", budget: int = LINE_BUDGET) -> DataFrame:
     """Spans by score until their lines fill the budget; the one that overflows is cut, the rest goes."""
-    order = Window.partitionBy(query).orderBy(F.desc("score"), path, "start").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(query).orderBy(F.desc("score"), path, "start", "end").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("end") - F.col("start") + 1).over(order), F.lit(0))
     kept = spans.withColumn("_before", before).filter(F.col("_before") < budget)
     return kept.withColumn("end", F.least("end", (F.col("start") + budget - F.col("_before") - 1).cast("int"))).drop("_before")
 
 
 def top_spans(spans: DataFrame, query: str, path: str = "path", n: int = TOP_N) -> DataFrame:
-    order = Window.partitionBy(query).orderBy(F.desc("score"), path, "start")
+    order = Window.partitionBy(query).orderBy(F.desc("score"), path, "start", "end")
     return spans.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < n)
 
 
@@ -66,11 +66,11 @@ def overlaps(a: DataFrame, b: DataFrame, on: list[str], how: str = "left_semi")
 
 def size_context(ranked: DataFrame, sent: DataFrame, query: str, path: str = "path", full: int = 2, listed: int = 10) -> DataFrame:
     """Adds `bucket`: already (sent before), full (the first files), map (listed), and leaves the rest out."""
-    already = overlaps(ranked, sent, [query, path]).select(query, path, "start").withColumn("_sent", F.lit(True))
-    marked = ranked.join(already.distinct(), [query, path, "start"], "left").withColumn("_sent", F.coalesce("_sent", F.lit(False)))
+    already = overlaps(ranked, sent, [query, path]).select(query, "rank").withColumn("_sent", F.lit(True))
+    marked = ranked.join(already.distinct(), [query, "rank"], "left").withColumn("_sent", F.coalesce("_sent", F.lit(False)))
     fresh = marked.filter("not _sent")
-    tops = distinct_files(fresh, query, path, full).select(query, path, "start", F.lit(True).alias("_full"))
-    rest = marked.join(tops, [query, path, "start"], "left")
+    tops = distinct_files(fresh, query, path, full).select(query, "rank", F.lit(True).alias("_full"))
+    rest = marked.join(tops, [query, "rank"], "left")
     bucket = F.when(F.col("_sent"), "already").when(F.col("_full"), "full").otherwise("map")
     placed = rest.withColumn("bucket", bucket)
     nth = F.row_number().over(Window.partitionBy(query, "bucket").orderBy("rank"))

@@ -125,8 +125,8 @@ _SPANS = """spans AS (SELECT l_orderkey % 500 AS query_id, concat('f', l_suppkey
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read(spark, sf, "lineitem").filter("l_orderkey % 500 < 60 and l_linenumber <= 2 and l_orderkey < 6000")
-    return rows.selectExpr("l_orderkey % 500 as query_id", "concat('f', l_suppkey % 5) as path", "cast(l_partkey % 60 as int) as start", "cast(l_partkey % 60 + l_quantity as int) as end", "round(l_discount + l_tax, 2) as score")
+    """Every line item: five suppliers are a query, each of them a file, so groups keep their size as the table grows."""
+    return read(spark, sf, "lineitem").selectExpr("l_suppkey div 5 as query_id", "concat('f', l_suppkey % 5) as path", "cast(l_partkey % 60 as int) as start", "cast(l_partkey % 60 + l_quantity as int) as end", "round(l_discount + l_tax, 2) as score")
 
 
 _MERGED = f"""{_SPANS}, seq AS (SELECT query_id, path, "start" AS s, "end" AS e, score, row_number() OVER (PARTITION BY query_id, path ORDER BY "start", "end", score) AS k FROM spans),
@@ -164,7 +164,7 @@ _SENT = """sent AS (SELECT query_id, path, CAST(min("start") AS INTEGER) AS "sta
 
 
 def _ranked_spans(spark: SparkSession, sf: str) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start", "end")
     return H.merge_spans(_spans(spark, sf), "query_id").withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
 
 
