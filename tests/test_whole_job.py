@@ -82,3 +82,12 @@ def test_spans_of_all_line_items(spark, lines):
                 listed += 1
                 sized.append((q, p, s, e, "map"))
     assert got(spark, "size_context", sf, *span, "bucket") == sorted(sized)
+
+
+def test_leaks_in_long_documents(spark, tmp_path):
+    item = "Where does the quick walker store what it parsed yesterday?"
+    filler = " ".join(f"filler{i % 97}" for i in range(3_000))
+    bodies = [filler, f"{filler} {item} {filler}", item, f"{filler} {item.upper()}", None]
+    pq.write_table(pa.table({"doc_id": list(range(len(bodies))), "text": bodies}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": [5, 6], "text": [item, "an item that no document holds"]}), tmp_path / "benchmark.parquet")
+    assert got(spark, "leakage_check", str(tmp_path), "doc_id", "item_id", "exact") == [(1, 5, False), (2, 5, True), (3, 5, False)]
