@@ -91,3 +91,9 @@ def test_leaks_in_long_documents(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": list(range(len(bodies))), "text": bodies}), tmp_path / "documents.parquet")
     pq.write_table(pa.table({"item_id": [5, 6], "text": [item, "an item that no document holds"]}), tmp_path / "benchmark.parquet")
     assert got(spark, "leakage_check", str(tmp_path), "doc_id", "item_id", "exact") == [(1, 5, False), (2, 5, True), (3, 5, False)]
+
+
+def test_frequency_changes_of_all_documents(spark, tmp_path):
+    bodies = {1: "alpha beta", 5: "alpha gamma", 10: "delta added", 51: "beta freshly", 70: "omega", 7: None}
+    pq.write_table(pa.table({"doc_id": list(bodies), "text": list(bodies.values())}), tmp_path / "documents.parquet")
+    assert got(spark, "df_delta", str(tmp_path), "term", "delta") == [("added", 2), ("freshly", 3)]
