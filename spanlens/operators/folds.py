@@ -59,17 +59,28 @@ def fill(sizes: Column, budget: int) -> Column:
 
 
 def best_subset(units: Column, budget: int) -> Column:
-    """struct<mask, size, gain> of the best subset of units struct<size, gain> (at most 16) within a budget.
+    """struct<mask, size, gain> of the best subset of units struct<size, gain> of whole numbers, none below 0, within a budget.
 
-    All masks are tried; gain first, then the smaller size, then the lower mask.
+    Gain first, then the smaller size, then the lower mask, which has room for 62 units: more are an error.
+    A fold over the units holds, for each size up to the budget, the best loss and mask of exactly that size.
     """
-    masks = F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2), F.size(units)).cast("bigint") - 1)
-    places = F.sequence(F.lit(0), F.size(units) - 1)
-
-    def total(mask: Column, field: str) -> Column:
-        bit = lambda i: F.floor(mask / F.pow(F.lit(2), i)).cast("bigint") % 2
-        return F.aggregate(places, F.lit(0).cast("bigint"), lambda a, i: a + bit(i) * F.get(units, i)[field])
-
-    rows = F.transform(masks, lambda m: F.struct((-total(m, "gain")).alias("loss"), total(m, "size").alias("size"), m.alias("mask")))
-    best = F.array_min(F.filter(rows, lambda r: r["size"] <= budget))
-    return F.struct(best["mask"].alias("mask"), best["size"].alias("size"), (-best["loss"]).alias("gain"))
+    cell = "struct<loss:bigint,mask:bigint>"
+    none = F.lit(None).cast(cell)
+    empty = F.struct(F.lit(0).cast("bigint").alias("loss"), F.lit(0).cast("bigint").alias("mask"))
+    start = F.concat(F.array(empty), F.array_repeat(none, budget)).cast(f"array<{cell}>")
+    placed = F.transform(units, lambda u, i: F.struct(u["size"].alias("size"), u["gain"].alias("gain"), F.pow(F.lit(2), i).cast("bigint").alias("bit")))
+
+    def step(acc: Column, u: Column) -> Column:
+        def better(x: Column, at: Column) -> Column:
+            before = F.get(acc, (at - u["size"]).cast("int"))
+            taken = F.struct((before["loss"] - u["gain"]).alias("loss"), (before["mask"] + u["bit"]).alias("mask"))
+            return F.least(x, F.when(before.isNotNull(), taken))
+
+        return F.when(u["size"] <= budget, F.transform(acc, better)).otherwise(acc)
+
+    def best(acc: Column) -> Column:
+        return F.array_min(F.transform(acc, lambda x, at: F.when(x.isNotNull(), F.struct(x["loss"].alias("loss"), at.cast("bigint").alias("size"), x["mask"].alias("mask")))))
+
+    few = F.when(F.size(units) <= 62, placed).otherwise(F.raise_error(F.lit("best_subset: more than 62 units")))
+    found = F.aggregate(few, start, step, best)
+    return F.struct(found["mask"].alias("mask"), found["size"].alias("size"), (-found["loss"]).alias("gain"))

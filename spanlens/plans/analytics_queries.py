@@ -308,7 +308,7 @@ m AS (SELECT task, us, unnest(range(1 << len(us))) AS mask FROM u), s AS (SELECT
 r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY gain DESC, size, mask) AS n FROM s WHERE size <= 700) SELECT task, mask, size, gain FROM r WHERE n = 1""")
 def subset_oracle(spark: SparkSession, sf: str) -> DataFrame:
     nth = F.expr("row_number() over (partition by o_custkey order by o_orderkey)")
-    rows = read(spark, sf, "orders").select(F.col("o_custkey").alias("task"), nth.alias("k"), F.expr("cast(floor(o_totalprice / 1000) as bigint)").alias("size"), F.expr("cast(floor(o_totalprice * 7 / 1000) as bigint) % 97").alias("gain")).filter("k <= 6")
+    rows = read(spark, sf, "orders").select(F.col("o_custkey").alias("task"), nth.alias("k"), F.expr("cast(floor(o_totalprice / 1000) as bigint)").alias("size"), F.expr("cast(floor(o_totalprice * 7 / 1000) as bigint) % 97").alias("gain"))
     units = rows.groupBy("task").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "size", "gain"))), lambda x: F.struct(x["size"].alias("size"), x["gain"].alias("gain"))).alias("us"))
     return units.select("task", folds.best_subset(F.col("us"), 700).alias("b")).select("task", "b.mask", "b.size", "b.gain")
 

@@ -97,3 +97,26 @@ def test_frequency_changes_of_all_documents(spark, tmp_path):
     bodies = {1: "alpha beta", 5: "alpha gamma", 10: "delta added", 51: "beta freshly", 70: "omega", 7: None}
     pq.write_table(pa.table({"doc_id": list(bodies), "text": list(bodies.values())}), tmp_path / "documents.parquet")
     assert got(spark, "df_delta", str(tmp_path), "term", "delta") == [("added", 2), ("freshly", 3)]
+
+
+def test_best_subset_of_all_orders(spark, tmp_path):
+    rng = random.Random(5)
+    tasks = {1: 1, 2: 6, 3: 11, 4: 14, 5: 30, 6: 1}
+    rows = [{"o_custkey": t, "o_orderkey": 100 * t + i, "o_totalprice": float(rng.randrange(500, 500_000))} for t, n in tasks.items() for i in range(n)]
+    rows[-1]["o_totalprice"] = 900_000.0  # fits nowhere
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "orders.parquet")
+    wanted = []
+    for t in tasks:
+        states = {(0, 0, 0)}  # loss, size, mask of every subset, without those that another beats whatever follows
+        for k, r in enumerate(x for x in rows if x["o_custkey"] == t):
+            n, g = int(r["o_totalprice"] // 1000), int(r["o_totalprice"] * 7 // 1000) % 97
+            states |= {(a - g, b + n, m + 2**k) for a, b, m in states if b + n <= 700}
+            if t == 5:
+                least = {}
+                for a, b, m in states:
+                    least[b] = min(least.get(b, (a, m)), (a, m))
+                states = {(a, b, m) for b, (a, m) in least.items()}
+        a, b, m = min(states)
+        wanted.append((t, m, b, -a))
+    assert got(spark, "subset_oracle", str(tmp_path), "task", "mask", "size", "gain") == wanted
+    assert any(m >= 2**16 for _, m, _, _ in wanted)
