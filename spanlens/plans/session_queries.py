@@ -96,7 +96,7 @@ sql(
 @query("SELECT conv_id, turn, substr(text, 1, 100) AS prompt, length(text) AS chars, turn > 0 AS later FROM conversations WHERE role = 'user'")
 def capture_record(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "conversations").filter("role = 'user'")
-    return rows.select("conv_id", "turn", F.substring("text", 1, 100).alias("prompt"), F.length("text").cast("long").alias("chars"), (F.col("turn") > 0).alias("later"))
+    return rows.select("conv_id", "turn", F.substring("text", 1, 4000).alias("prompt"), F.length("text").cast("long").alias("chars"), (F.col("turn") > 0).alias("later"))
 
 
 @query("SELECT event_type AS event, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY 1")

@@ -315,9 +315,10 @@ def short_symbol(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, concat('file: ', source, '/', lang, '/', doc_id, '.md (lines 1-', len(string_split(text, chr(10))), ')', chr(10), array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:16], ' ')) AS state FROM documents")
 def render_state(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.array_join(F.slice(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "), 1, 16), " ")
-    state = F.concat(F.lit("file: "), F.col("path"), F.lit(" (lines 1-"), F.size(F.split("text", "\n")).cast("string"), F.lit(")\n"), words)
-    return S.files(spark, sf).select("doc_id", state.alias("state"))
+    state = F.concat(F.lit("file: "), F.col("path"), F.lit(" (lines 1-"), F.size(F.split("text", "\n")).cast("string"), F.lit(")\n"), F.col("text"))
+    # The window is the scorer's, 256 tokens with the header; a token is a run of no blanks. A state within it stays as it is.
+    window = F.regexp_extract(state, r"^(?:\s*+\S++){0,256}+(?:\s*+\z)?", 0)
+    return S.files(spark, sf).select("doc_id", window.alias("state"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -120,3 +120,17 @@ def test_best_subset_of_all_orders(spark, tmp_path):
         wanted.append((t, m, b, -a))
     assert got(spark, "subset_oracle", str(tmp_path), "task", "mask", "size", "gain") == wanted
     assert any(m >= 2**16 for _, m, _, _ in wanted)
+
+
+def test_prompts_and_states_are_whole(spark, tmp_path):
+    said = ["x" * 50, "y" * 101, "z" * 5_000, None]
+    pq.write_table(pa.table({"conv_id": [1] * 4, "turn": list(range(4)), "role": ["user"] * 4, "text": said}), tmp_path / "conversations.parquet")
+    rows = QUERIES["capture_record"](spark, str(tmp_path)).collect()
+    assert {r.turn: (r.prompt, r.chars) for r in rows} == {i: (t and t[:4_000], t and len(t)) for i, t in enumerate(said)}
+    words = [f"w{i}" for i in range(900)]
+    bodies = ["one\n  two\n", " ".join(words[:252]), " ".join(words[:253]), "\n".join(words), ""]
+    pq.write_table(pa.table({"doc_id": list(range(5)), "text": bodies, "lang": ["en"] * 5, "source": ["s"] * 5}), tmp_path / "documents.parquet")
+    states = {r.doc_id: r.state for r in QUERIES["render_state"](spark, str(tmp_path)).collect()}
+    # The header has four tokens.
+    head = lambda i: f"file: s/en/{i}.md (lines 1-{len(bodies[i].split(chr(10)))})\n"
+    assert states == {0: head(0) + bodies[0], 1: head(1) + bodies[1], 2: head(2) + bodies[1], 3: head(3) + "\n".join(words[:252]), 4: head(4)}
