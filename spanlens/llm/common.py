@@ -20,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset and driver and
+    executors are one process (tests); on a cluster without the setting an error.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanlens-")
         sc.setCheckpointDir(found)
     return found
@@ -41,7 +45,19 @@ def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     if rows is not None:
         df = df.coalesce(2 + rows // ROWS_A_FILE)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes the files of tables from `materialise` that nothing reads any more."""
+    for df in stored:
+        path = getattr(df, "stored_at", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -50,6 +66,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartitionByRange(n, key)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores added to all of them until no column has one (in any case)."""
+    taken, more = {c.lower() for c in columns}, ""
+    while any(w.lower() + more in taken for w in wanted):
+        more += "_"
+    return [w + more for w in wanted]
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -98,11 +122,11 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
 
     Large-star and small-star rounds: each node hands its neighbours to the smallest of them, until
     nothing changes.  Every round is two hash joins with pre-aggregated minima, written to the shared
-    folder; hot stars are joins that can be split.  `nodes` only types the ids.
+    folder in place of the round before; hot stars are joins that can be split.  `nodes` only types the ids.
     """
     id_type = nodes.schema["id"].dataType
     edges = links.select(F.greatest("a", "b").cast(id_type).alias("hi"), F.least("a", "b").cast(id_type).alias("lo")).filter("hi <> lo").distinct()
-    last = None
+    last = before = None
     for _ in range(rounds):
         n, mark = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if not n or (n, mark) == last:
@@ -114,6 +138,9 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         edges = materialise(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges", rows=2 * n)
+        if before is not None:
+            discard(before)
+        before = edges
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component_id"))
