@@ -42,6 +42,17 @@ def is_test(path: Column) -> Column:
     return in_dir | base.rlike(rf"^tests\.[a-z]+\z|^test_.*\.py\z|({ends})\.[a-z]+\z")
 
 
+def is_test_task(path: Column) -> Column:
+    """Whether a path is a test file as tasks are made: a test folder, a name that begins with test_ or ends like one."""
+    base = F.element_at(F.split(path, "/"), -1)
+    return path.rlike("(^|/)(tests?|__tests__)/") | F.startswith(base, F.lit("test_")) | base.rlike(r"(_test|\.test|\.spec)\.[a-z]+\z")
+
+
+def is_test_lookup(path: Column) -> Column:
+    """Whether a lookup's path or glob is about tests; a folder counts too, and case doesn't matter."""
+    return F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec)(/|\z)|(^|/)test_[^/]*\z|_test\.\w+\z|\.(test|spec)\.\w+\z|(^|/)tests?\.rs\z")
+
+
 def is_prose(path: Column) -> Column:
     """Whether a path is a documentation file."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))

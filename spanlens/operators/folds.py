@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,54 @@ def best_subset(units: Column, budget: int) -> Column:
     few = F.when(F.size(units) <= 62, placed).otherwise(F.raise_error(F.lit("best_subset: more than 62 units")))
     found = F.aggregate(few, start, step, best)
     return F.struct(found["mask"].alias("mask"), found["size"].alias("size"), (-found["loss"]).alias("gain"))
+
+
+def speed(values: Column, keep: float = 0.75) -> Column:
+    """Mean speed of struct<v, skipped>: the first run is a warm-up, the next is taken as it is, then `keep` old to the rest new; a skipped run lowers it by 1 - keep."""
+    start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(False).alias("warm"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.when(acc["mean"].isNull(), x["v"]).otherwise(acc["mean"] * keep + x["v"] * (1 - keep))
+        mean = F.when(x["skipped"], acc["mean"] * keep).when(acc["warm"], new).otherwise(acc["mean"])
+        return F.struct(mean.alias("mean"), (acc["warm"] | ~x["skipped"]).alias("warm"))
+
+    return F.aggregate(values, start, step, lambda acc: acc["mean"])
+
+
+# How units struct<size, gain, uses, at> of a task may be ordered before a budget is filled.
+HEURISTICS = {
+    "shortest": ("size", "at"),
+    "longest": ("-size", "at"),
+    "best": ("-gain", "size", "at"),
+    "densest": ("-gain / greatest(size, 1)", "at"),
+    "most_used": ("-uses", "size", "at"),
+    "in_order": ("at",),
+}
+
+
+def heuristic_fill(units: DataFrame, group: str, budget: int, heuristic: str = "shortest", stop: bool = False) -> DataFrame:
+    """(group, taken, used, gain): a budget filled with the units of a group in a heuristic's order.
+
+    stop: the first unit that doesn't fit ends the list; else it is skipped and later ones may fit.
+    """
+    keys = F.struct(*(F.expr(e).alias(f"k{i}") for i, e in enumerate(HEURISTICS[heuristic])), F.col("size"), F.col("gain"))
+    listed = units.groupBy(group).agg(F.array_sort(F.collect_list(keys)).alias("_u"))
+    start = F.struct(F.lit(0).alias("taken"), F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("gain"), F.lit(False).alias("over"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = ~acc["over"] & (acc["used"] + x["size"] <= budget)
+        over = F.lit(stop) & (acc["over"] | ~fits)
+        return F.struct(
+            F.when(fits, acc["taken"] + 1).otherwise(acc["taken"]).alias("taken"),
+            F.when(fits, acc["used"] + x["size"]).otherwise(acc["used"]).cast("bigint").alias("used"),
+            F.when(fits, acc["gain"] + x["gain"]).otherwise(acc["gain"]).cast("bigint").alias("gain"),
+            over.alias("over"),
+        )
+
+    return listed.select(group, F.aggregate("_u", start, step).alias("_f")).select(group, "_f.taken", "_f.used", "_f.gain")
+
+
+def misses(needed: Column, offered: Column, known: Column, sizes: Column, budget: int) -> Column:
+    """Why needed names were not covered: array<struct<name, why>> with why unknown, too_big, not_picked; covered names are left out."""
+    why = lambda n: F.when(~F.array_contains(known, n), "unknown").when(F.coalesce(F.try_element_at(sizes, n), F.lit(0)) > budget, "too_big").otherwise("not_picked")
+    return F.transform(F.filter(needed, lambda n: ~F.array_contains(offered, n)), lambda n: F.struct(n.alias("name"), why(n).alias("why")))

@@ -62,3 +62,24 @@ def replace_files(chunks: DataFrame, put: DataFrame, gone: DataFrame, path: str
     """The chunk table after files were put (all their chunks replaced) or deleted."""
     touched = put.select(path).unionByName(gone.select(path)).distinct()
     return chunks.join(touched, path, "left_anti").unionByName(put)
+
+
+def freshness(indexed: DataFrame, live: DataFrame, path: str = "path", digest: str = "hash") -> DataFrame:
+    """(path, state) of what is indexed: current, stale (its file changed) or missing."""
+    now = live.select(F.col(path), F.col(digest).alias("_new"))
+    state = F.when(F.col("_new").isNull(), "missing").when(F.col("_new") == F.col(digest), "current").otherwise("stale")
+    return indexed.select(path, digest).join(now, path, "left").select(path, state.alias("state"))
+
+
+def removed(indexed: DataFrame, live: DataFrame, path: str = "path") -> DataFrame:
+    """Paths that are indexed and no longer there."""
+    return indexed.select(path).distinct().join(live.select(path), path, "left_anti")
+
+
+def list_files(chunks: DataFrame, path: str = "path") -> DataFrame:
+    return chunks.select(path).distinct()
+
+
+def get_chunks(asked: DataFrame, chunks: DataFrame, id: str = "chunk_id") -> DataFrame:
+    """The asked chunks that exist, with what was asked of them (its place, its query)."""
+    return asked.join(chunks, id)

@@ -53,3 +53,15 @@ def budget_prefix(items: DataFrame, group: str, order: list[str], cost: str, bud
     running = F.sum("_c").over(Window.partitionBy(group).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
     kept = sums.withColumn("_r", F.round(running, 6)).filter(F.col("_r") <= budget).select(group, "batch")
     return numbered.join(kept, [group, "batch"])
+
+
+def read_counts(reads: DataFrame, session: str, order: list[str], *key: str) -> DataFrame:
+    """Adds `reads`: how often the session has read (the key) so far, this time included."""
+    w = Window.partitionBy(session, *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return reads.withColumn("reads", F.count("*").over(w))
+
+
+def last_entries(log: DataFrame, session: str, order: list[str], n: int, prefix: str = "") -> DataFrame:
+    """The last n entries of each session whose id begins with the prefix, numbered from the newest."""
+    kept = log.filter(F.startswith(F.col(session).cast("string"), F.lit(prefix))) if prefix else log
+    return kept.withColumn("k", F.row_number().over(Window.partitionBy(session).orderBy(*map(F.desc, order)))).filter(F.col("k") <= n)

@@ -112,3 +112,29 @@ def parse_rendered(text: Column) -> Column:
             F.regexp_extract(h, "^(.*):([0-9]+)-([0-9]+)$", 3).cast("int").alias("end"),
         ),
     )
+
+
+def point_in_spans(points: DataFrame, spans: DataFrame, path: str = "path", line: str = "line") -> DataFrame:
+    """(path, line, blocks): how many spans (lo, hi) of its file each point lies in; points in none are left out."""
+    inside = points.join(spans.select(path, "lo", "hi"), path).filter(F.col(line).between(F.col("lo"), F.col("hi")))
+    return inside.groupBy(path, line).agg(F.count("*").alias("blocks"))
+
+
+def dominant_child(parents: DataFrame, children: DataFrame, parent: str = "id", child: str = "child", least: float = 0.5) -> DataFrame:
+    """(parent, child, share): the child that covers the most of its parent's lines (lo, hi), if that is more than `least`."""
+    inner = children.select(parent, child, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    met = parents.join(inner, parent).filter("_lo <= hi AND lo <= _hi")
+    share = (F.least("hi", "_hi") - F.greatest("lo", "_lo") + 1) / (F.col("hi") - F.col("lo") + 1)
+    best = met.select(parent, child, share.alias("share")).filter(F.col("share") > least)
+    nth = F.row_number().over(Window.partitionBy(parent).orderBy(F.desc("share"), child))
+    return best.withColumn("_n", nth).filter("_n = 1").drop("_n")
+
+
+def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row for each key, the first in order; what comes later is a repeat."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+
+
+def top_of(rows: DataFrame, group: str, order: list[Column | str], k: int) -> DataFrame:
+    """The first k rows of each group with their place from 1."""
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("k") <= k)

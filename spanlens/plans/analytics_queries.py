@@ -1,4 +1,4 @@
-"""Paired statistics, calibration, ledgers and forensics: relational SQL over the driver's tables.
+"""Paired statistics, calibration, ledgers and forensics over the driver's tables, with the SQL that DuckDB runs for each.
 
 `orders` stand for runs (arm: order status, task: customer, repository: the customer's nation),
 `events` for calls of a session's tools, `labels` for graded answers.
@@ -8,257 +8,568 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from spanlens.operators import folds
+from spanlens.operators import calibrate, evalx, folds, grade, runs, shape, stats, training
+from spanlens.operators import index as I
+from spanlens.operators import transcript as Tr
 from spanlens.plans import duck as D
-from spanlens.plans.base import ORACLES, query, read, sql
+from spanlens.plans.base import ORACLES, query, read
+from spanlens.sources import tables as S
 
-ARMS = """arms AS (SELECT o_custkey AS task, o_orderstatus AS arm, avg(o_totalprice) AS cost, count(*) AS turns, max(o_totalprice) AS top FROM orders GROUP BY o_custkey, o_orderstatus),
+ARMS = """arms AS (SELECT o_custkey AS task, o_orderstatus AS arm, avg(o_totalprice) AS cost, count(*) AS turns FROM orders GROUP BY o_custkey, o_orderstatus),
 paired AS (SELECT a.task, a.cost AS x, b.cost AS y, a.turns AS tx, b.turns AS ty, c_nationkey AS repo FROM arms a JOIN arms b ON a.task = b.task JOIN customer ON c_custkey = a.task WHERE a.arm = 'F' AND b.arm = 'O')"""
 
-sql("paired_tasks", f"WITH {ARMS} SELECT task, repo, round(x, 6) AS x, round(y, 6) AS y, round(x - y, 6) AS diff FROM paired")
-sql(
-    "ratio_of_sums",
-    f"WITH {ARMS} SELECT round(sum(x) / sum(y) - 1, 6) AS cost_change, round(sum(tx) * 1.0 / sum(ty) - 1, 6) AS turn_change, sum(CASE WHEN x < y THEN 1 ELSE 0 END) AS wins, count(*) AS n, round(avg(x - y), 2) AS mean_diff FROM paired",
-)
-sql("balanced_ratio", f"WITH {ARMS}, r AS (SELECT repo, sum(x) / sum(y) - 1 AS change FROM paired GROUP BY repo) SELECT count(*) AS repos, round(avg(change), 6) AS change FROM r")
-sql("ratio_by_repo", f"WITH {ARMS} SELECT repo, round(sum(x) / sum(y) - 1, 6) AS change, count(*) AS n FROM paired GROUP BY GROUPING SETS ((repo), ())")
-sql("common_tasks", "SELECT o_custkey AS task FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = 3")
-sql(
-    "bootstrap_ci",
-    f"""WITH {ARMS}, numbered AS (SELECT x, y, row_number() OVER (ORDER BY task) - 1 AS i, count(*) OVER () AS n FROM paired),
-draws AS (SELECT i, n, @gen AS b FROM numbered), picks AS (SELECT b, @pick % n AS j FROM draws),
-boots AS (SELECT b, round(sum(x) / sum(y) - 1, 9) AS v FROM picks JOIN numbered ON i = j GROUP BY b),
-placed AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM boots)
-SELECT round(max(CASE WHEN k = 5 THEN v END), 6) AS lo, round(max(CASE WHEN k = 195 THEN v END), 6) AS hi, count(*) AS resamples FROM placed""",
-    {"gen": "explode(sequence(0, 199))", "pick": "cast(conv(substr(md5(cast(concat(b, '-', i) as binary)), 1, 8), 16, 10) as bigint)"},
-    {"gen": "unnest(range(200))", "pick": "('0x' || substr(md5(concat(b, '-', i)), 1, 8))::BIGINT"},
-)
-sql(
-    "nearest_rank_pct",
-    """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "orders").withColumnsRenamed({"o_custkey": "task", "o_orderstatus": "arm", "o_totalprice": "cost"})
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    per_task = _runs(spark, sf).groupBy("task", "arm").agg(F.avg("cost").alias("cost"), F.count("*").alias("turns"))
+    repos = read(spark, sf, "customer").select(F.col("c_custkey").alias("task"), F.col("c_nationkey").alias("repo"))
+    return stats.pair(per_task, "F", "O", ["cost", "turns"]).join(repos, "task")
+
+
+@query(f"WITH {ARMS} SELECT task, repo, round(x, 6) AS x, round(y, 6) AS y, round(x - y, 6) AS diff FROM paired")
+def paired_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = F.col("x_cost"), F.col("y_cost")
+    return _pairs(spark, sf).select("task", "repo", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(x - y, 6).alias("diff"))
+
+
+@query(f"WITH {ARMS} SELECT round(sum(x) / sum(y) - 1, 6) AS cost_change, round(sum(tx) * 1.0 / sum(ty) - 1, 6) AS turn_change, sum(CASE WHEN x < y THEN 1 ELSE 0 END)::BIGINT AS wins, count(*) AS n, round(avg(x - y), 2) AS mean_diff FROM paired")
+def ratio_of_sums(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf).agg(
+        F.round(stats.change("x_cost", "y_cost"), 6).alias("cost_change"),
+        F.round(stats.change("x_turns", "y_turns"), 6).alias("turn_change"),
+        stats.wins("x_cost", "y_cost").alias("wins"),
+        F.count("*").alias("n"),
+        F.round(F.avg(F.col("x_cost") - F.col("y_cost")), 2).alias("mean_diff"),
+    )
+
+
+@query(f"WITH {ARMS}, r AS (SELECT repo, sum(x) / sum(y) - 1 AS change FROM paired GROUP BY repo) SELECT count(*) AS repos, round(avg(change), 6) AS change FROM r")
+def balanced_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.balanced_change(_pairs(spark, sf), "repo", "x_cost", "y_cost").select(F.col("groups").alias("repos"), F.round("change", 6).alias("change"))
+
+
+@query(f"WITH {ARMS} SELECT repo, round(sum(x) / sum(y) - 1, 6) AS change, count(*) AS n FROM paired GROUP BY GROUPING SETS ((repo), ())")
+def ratio_by_repo(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.changes_by(_pairs(spark, sf), "repo", "x_cost", "y_cost").select("repo", F.round("change", 6).alias("change"), "n")
+
+
+@query("SELECT o_custkey AS task FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = 3")
+def common_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.complete_tasks(_runs(spark, sf), 3)
+
+
+_M = 2_147_483_647
+_DRAW = f"((b * 1000003 + i * 7919 + 17) % {_M})"
+_MIX = f"(({_DRAW} * {_DRAW}) % {_M} * 48271 + 11) % {_M}"
+
+
+@query(f"""WITH {ARMS}, numbered AS (SELECT repo, x, y, tx, ty, (row_number() OVER (PARTITION BY repo ORDER BY task) - 1)::BIGINT AS i, count(*) OVER (PARTITION BY repo) AS n FROM paired),
+draws AS (SELECT repo, i, n, unnest(range({stats.DRAWS})) AS b FROM numbered), mixed AS (SELECT repo, b, n, {_MIX} AS u FROM draws), picks AS (SELECT repo, b, ((u * u) % {_M}) % n AS j FROM mixed),
+sums AS (SELECT b, repo, sum(x) AS x, sum(y) AS y, sum(tx) AS tx, sum(ty) AS ty FROM picks JOIN numbered USING (repo) WHERE j = i GROUP BY 1, 2),
+boots AS (SELECT b, sum(x) / sum(y) - 1 AS p, avg(x / y - 1) AS q, sum(tx) / sum(ty) - 1 AS tp, avg(tx / ty - 1) AS tq FROM sums GROUP BY 1),
+lists AS (SELECT list_sort(list(p)) AS p, list_sort(list(q)) AS q, list_sort(list(tp)) AS tp, list_sort(list(tq)) AS tq FROM boots),
+points AS (SELECT sum(x) / sum(y) - 1 AS p, sum(tx) / sum(ty) - 1 AS tp FROM paired), balanced AS (SELECT avg(q) AS q, avg(tq) AS tq FROM (SELECT sum(x) / sum(y) - 1 AS q, sum(tx) / sum(ty) - 1 AS tq FROM paired GROUP BY repo))
+SELECT 'cost' AS metric, round(points.p, 6) AS pooled, round(l.p[{int(stats.DRAWS * stats.LOW) + 1}], 6) AS lo, round(l.p[{int(stats.DRAWS * stats.HIGH)}], 6) AS hi, round(balanced.q, 6) AS balanced, round(l.q[{int(stats.DRAWS * stats.LOW) + 1}], 6) AS balanced_lo, round(l.q[{int(stats.DRAWS * stats.HIGH)}], 6) AS balanced_hi FROM lists l, points, balanced
+UNION ALL SELECT 'turns', round(points.tp, 6), round(l.tp[{int(stats.DRAWS * stats.LOW) + 1}], 6), round(l.tp[{int(stats.DRAWS * stats.HIGH)}], 6), round(balanced.tq, 6), round(l.tq[{int(stats.DRAWS * stats.LOW) + 1}], 6), round(l.tq[{int(stats.DRAWS * stats.HIGH)}], 6) FROM lists l, points, balanced""")
+def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+    found = stats.bootstrap(_pairs(spark, sf), "repo", {"cost": ("x_cost", "y_cost"), "turns": ("x_turns", "y_turns")})
+    return found.select("metric", *(F.round(c, 6).alias(c) for c in found.columns[1:]))
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(CASE WHEN k = CAST(floor(n * 0.5) AS BIGINT) THEN value END) AS p50, max(CASE WHEN k = CAST(floor(n * 0.95) AS BIGINT) THEN value END) AS p95,
- max(CASE WHEN k = CAST(floor((n - 1) * 0.95) AS BIGINT) THEN value END) AS p95_low, max(value) AS top, count(*) AS n FROM r GROUP BY event_type""",
-)
-sql(
-    "latency_report",
-    "SELECT event_type, count(*) AS n, round(@median, 4) AS p50, round(@p95, 4) AS p95, max(value) AS top FROM events GROUP BY event_type",
-    {"median": "percentile(value, 0.5)", "p95": "percentile(value, 0.95)"},
-    {"median": "quantile_cont(value, 0.5)", "p95": "quantile_cont(value, 0.95)"},
-)
-sql(
-    "median_with_never",
-    """WITH f AS (SELECT user_id, min(CASE WHEN event_type = 'purchase' AND value > 20 THEN event_id END) AS first FROM events GROUP BY user_id), m AS (SELECT @median AS m, count(first) AS ever, count(*) AS n FROM f)
-SELECT CASE WHEN m < 1e300 THEN round(m, 4) END AS median_first, ever, n FROM m""",
-    {"median": "percentile(coalesce(cast(first as double), 1e308), 0.5)"},
-    {"median": "quantile_cont(coalesce(first::DOUBLE, 1e308), 0.5)"},
-)
-sql(
-    "tool_ledger",
-    """WITH s AS (SELECT user_id, user_id % 2 AS arm, count(*) AS calls, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY user_id)
-SELECT arm, count(*) AS sessions, round(sum(click) * 1.0 / count(*), 6) AS click, round(sum(view) * 1.0 / count(*), 6) AS view, round(sum(calls - click - view) * 1.0 / count(*), 6) AS other, round(sum(calls) * 1.0 / count(*), 6) AS total FROM s GROUP BY arm""",
-)
-sql("action_counts", "SELECT event_type AS action, user_id % 3 AS mode, count(*) AS n FROM events GROUP BY event_type, user_id % 3")
-sql(
-    "load_runs",
-    """WITH r AS (SELECT o_custkey AS task, o_orderstatus AS arm, o_totalprice AS cost, o_orderpriority <> '5-LOW' AS ok, substr(o_orderpriority, 1, 1) AS rc FROM orders),
+ max(CASE WHEN k = CAST(floor((n - 1) * 0.95) AS BIGINT) THEN value END) AS p95_low, max(value) AS top, count(*) AS n FROM r GROUP BY event_type""")
+def nearest_rank_pct(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.nearest_rank(read(spark, sf, "events"), "event_type", "value", "event_id")
+
+
+@query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, max(value) AS top FROM events GROUP BY event_type")
+def latency_report(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.latency_report(read(spark, sf, "events"), "event_type", "value").select("event_type", "n", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "top")
+
+
+@query("""WITH f AS (SELECT user_id, min(CASE WHEN event_type = 'purchase' AND value > 20 THEN event_id END) AS first FROM events GROUP BY user_id), m AS (SELECT quantile_cont(coalesce(first::DOUBLE, 1e308), 0.5) AS m, count(first) AS ever, count(*) AS n FROM f)
+SELECT CASE WHEN m < 1e300 THEN round(m, 4) END AS median_first, ever, n FROM m""")
+def median_with_never(spark: SparkSession, sf: str) -> DataFrame:
+    first = read(spark, sf, "events").groupBy("user_id").agg(F.min(F.when((F.col("event_type") == "purchase") & (F.col("value") > 20), F.col("event_id"))).alias("first"))
+    return stats.median_with_never(first, "first").select(F.round("median", 4).alias("median_first"), "ever", "n")
+
+
+@query("""WITH s AS (SELECT user_id, user_id % 2 AS arm, count(*) AS calls, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY user_id)
+SELECT arm, count(*) AS sessions, round(sum(click) * 1.0 / count(*), 6) AS click, round(sum(view) * 1.0 / count(*), 6) AS view, round(sum(calls - click - view) * 1.0 / count(*), 6) AS other, round(sum(calls) * 1.0 / count(*), 6) AS total FROM s GROUP BY arm""")
+def tool_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    sessions = Tr.tool_calls(read(spark, sf, "events"), "user_id", name="event_type").withColumn("arm", F.col("user_id") % 2)
+    found = runs.tool_ledger(sessions, ["click", "view"])
+    return found.select("arm", "sessions", *(F.round(c, 6).alias(c) for c in ("click", "view", "other", "total")))
+
+
+@query("SELECT event_type AS action, user_id % 3 AS mode, count(*) AS n FROM events GROUP BY event_type, user_id % 3")
+def action_counts(spark: SparkSession, sf: str) -> DataFrame:
+    log = read(spark, sf, "events").select(F.col("event_type").alias("action"), (F.col("user_id") % 3).alias("mode"))
+    return runs.action_counts(log, "action", "mode")
+
+
+@query("""WITH r AS (SELECT o_custkey AS task, o_orderstatus AS arm, o_totalprice AS cost, o_orderpriority <> '5-LOW' AS ok, substr(o_orderpriority, 1, 1) AS rc FROM orders),
 h AS (SELECT *, max(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY task, arm) AS any_ok FROM r), k AS (SELECT * FROM h WHERE any_ok = 0 OR ok)
-SELECT task, arm, round(avg(cost), 6) AS cost, count(*) AS reps, min(rc) AS low, max(rc) AS high, count(DISTINCT rc) AS codes FROM k GROUP BY task, arm""",
-)
-sql(
-    "drop_stalls",
-    "WITH bad AS (SELECT DISTINCT o_custkey AS task FROM orders WHERE o_totalprice > 490000) SELECT o_custkey AS task, o_orderstatus AS arm, count(*) AS n FROM orders LEFT JOIN bad ON o_custkey = task WHERE task IS NULL GROUP BY o_custkey, o_orderstatus",
-)
-sql(
-    "interim_means",
-    "WITH t AS (SELECT o_custkey AS task FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = 3) SELECT o_orderstatus AS arm, round(avg(o_totalprice), 2) AS cost, count(*) AS n FROM orders JOIN t ON task = o_custkey GROUP BY o_orderstatus",
-)
-sql(
-    "rr_diff",
-    f"WITH {ARMS}, r AS (SELECT task, repo, rank() OVER (PARTITION BY repo ORDER BY x DESC, task) AS a, rank() OVER (PARTITION BY repo ORDER BY y DESC, task) AS b FROM paired) SELECT task, round(1.0 / a, 6) AS old_rr, round(1.0 / b, 6) AS new_rr FROM r WHERE abs(1.0 / a - 1.0 / b) > 1e-9",
-)
-sql(
-    "param_grid",
-    "WITH w AS (SELECT CAST(r_regionkey AS BIGINT) AS i FROM region) SELECT a.i AS weight, b.i AS depth, a.i * 5 + b.i AS config FROM w a JOIN w b ON a.i <> b.i OR a.i = b.i",
-)
+SELECT task, arm, round(avg(cost), 6) AS cost, count(*) AS reps, string_agg(rc, '' ORDER BY rc) AS codes, max(any_ok) = 0 AS unhealthy FROM k GROUP BY task, arm""")
+def load_runs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _runs(spark, sf).withColumn("rc", F.substring("o_orderpriority", 1, 1))
+    found = runs.average_repeats(rows, ["cost"], F.col("o_orderpriority") != "5-LOW", "rc")
+    return found.select("task", "arm", F.round("cost", 6).alias("cost"), "reps", F.array_join("codes", "").alias("codes"), "unhealthy")
+
+
+@query("WITH bad AS (SELECT DISTINCT o_custkey AS task FROM orders WHERE o_totalprice > 490000) SELECT o_custkey AS task, o_orderstatus AS arm, count(*) AS n FROM orders LEFT JOIN bad ON o_custkey = task WHERE task IS NULL GROUP BY o_custkey, o_orderstatus")
+def drop_stalls(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.without(_runs(spark, sf), F.col("cost") > 490_000).groupBy("task", "arm").agg(F.count("*").alias("n"))
+
+
+@query("WITH t AS (SELECT o_custkey AS task FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = 3) SELECT o_orderstatus AS arm, round(avg(o_totalprice), 2) AS cost, count(*) AS n FROM orders JOIN t ON task = o_custkey GROUP BY o_orderstatus")
+def interim_means(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _runs(spark, sf)
+    return runs.interim(rows, stats.complete_tasks(rows, 3), "cost").select("arm", F.round("cost", 2).alias("cost"), "n")
+
+
+@query(f"WITH {ARMS}, r AS (SELECT task, repo, rank() OVER (PARTITION BY repo ORDER BY x DESC, task) AS a, rank() OVER (PARTITION BY repo ORDER BY y DESC, task) AS b FROM paired) SELECT task, round(1.0 / a, 6) AS old_rr, round(1.0 / b, 6) AS new_rr FROM r WHERE abs(1.0 / a - 1.0 / b) > 1e-9")
+def rr_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.rank_changes(_pairs(spark, sf), "repo", "x_cost", "y_cost").select("task", F.round("old_rr", 6).alias("old_rr"), F.round("new_rr", 6).alias("new_rr"))
+
+
+@query("SELECT a.i AS weight, b.i AS depth, a.i * 5 + b.i AS config FROM (SELECT unnest(range(5)) AS i) a, (SELECT unnest(range(5)) AS i) b")
+def param_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.grid(spark, weight=list(range(5)), depth=list(range(5)))
+
+
 # Graded answers: the chance comes from the length of a document, the truth from its label.
 P = "pred AS (SELECT l.doc_id, source, quality AS y, 1 / (1 + exp(-(ln(n_chars + 1) - 7) / 2)) AS p, n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
-sql("nll", f"WITH {P} SELECT round(avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS nll, count(*) AS n FROM pred")
-sql(
-    "auroc",
-    f"""WITH {P}, r AS (SELECT y, round(p, 9) AS p FROM pred), k AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM r)
-SELECT round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auroc, sum(y) AS positives, count(*) AS n FROM k""",
-)
-sql(
-    "auroc_by_task",
-    f"""WITH {P}, r AS (SELECT source, y, round(p, 9) AS p FROM pred), k AS (SELECT source, y, rank() OVER (PARTITION BY source ORDER BY p) + (count(*) OVER (PARTITION BY source, p) - 1) / 2.0 AS r FROM r),
+
+
+def _graded(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    p = 1 / (1 + F.exp(-(F.ln(F.col("n_chars") + 1) - 7) / 2))
+    return read(spark, sf, "labels").select("doc_id", F.col("quality").alias("y")).join(docs, "doc_id").withColumn("p", p)
+
+
+@query(f"WITH {P} SELECT round(avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS nll, count(*) AS n FROM pred")
+def nll(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.nll(_graded(spark, sf)).select(F.round("nll", 6).alias("nll"), "n")
+
+
+@query(f"""WITH {P}, r AS (SELECT y, round(p, 9) AS p FROM pred), k AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM r)
+SELECT round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auroc, sum(y)::BIGINT AS positives, count(*) AS n FROM k""")
+def auroc(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _graded(spark, sf).withColumn("p", F.round("p", 9))
+    return calibrate.auroc(rows).select(F.round("auroc", 6).alias("auroc"), "positives", "n")
+
+
+@query(f"""WITH {P}, r AS (SELECT source, y, round(p, 9) AS p FROM pred), k AS (SELECT source, y, rank() OVER (PARTITION BY source ORDER BY p) + (count(*) OVER (PARTITION BY source, p) - 1) / 2.0 AS r FROM r),
 a AS (SELECT source, sum(y) AS pos, count(*) - sum(y) AS neg, sum(CASE WHEN y = 1 THEN r ELSE 0 END) AS rs FROM k GROUP BY source)
-SELECT source, CASE WHEN pos > 0 AND neg > 0 THEN round((rs - pos * (pos + 1) / 2.0) / (pos * neg), 6) END AS auroc FROM a""",
-)
-sql(
-    "ece",
-    f"WITH {P}, b AS (SELECT CAST(least(floor(p * 15), 14) AS BIGINT) AS bin, count(*) AS n, avg(p) AS conf, avg(y) AS acc FROM pred GROUP BY CAST(least(floor(p * 15), 14) AS BIGINT)) SELECT round(sum(n * abs(conf - acc)) / sum(n), 6) AS ece, sum(n) AS n FROM b",
-)
-sql("reliability_bins", f"WITH {P} SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS conf, round(avg(y), 6) AS acc FROM pred GROUP BY CAST(least(floor(p * 10), 9) AS BIGINT)")
-sql(
-    "precision_at",
-    f"""WITH {P}, t AS (SELECT CAST(r_regionkey AS DOUBLE) / 10 + 0.4 AS t FROM region)
-SELECT round(t, 1) AS threshold, sum(CASE WHEN p >= t THEN 1 ELSE 0 END) AS kept, round(sum(CASE WHEN p >= t THEN y ELSE 0 END) * 1.0 / nullif(sum(CASE WHEN p >= t THEN 1 ELSE 0 END), 0), 6) AS prec,
- round(sum(CASE WHEN p >= t THEN y ELSE 0 END) * 1.0 / sum(y), 6) AS rec FROM pred JOIN t ON t > 0 GROUP BY round(t, 1)""",
-)
-sql(
-    "temperature_grid",
-    f"""WITH {P}, g AS (SELECT p, y, ln(p / (1 - p)) AS z, @gen AS i FROM pred), s AS (SELECT i, avg(-CASE WHEN y = 1 THEN ln(1 / (1 + exp(-z / exp((i - 60) / 30.0)))) ELSE ln(1 - 1 / (1 + exp(-z / exp((i - 60) / 30.0)))) END) AS nll FROM g GROUP BY i),
-b AS (SELECT i, nll, row_number() OVER (ORDER BY round(nll, 9), i) AS k FROM s) SELECT i, round(exp((i - 60) / 30.0), 6) AS temperature, round(nll, 6) AS nll FROM b WHERE k = 1""",
-    {"gen": "explode(sequence(0, 120))"},
-    {"gen": "unnest(range(121))"},
-)
-sql(
-    "spearman",
-    f"""WITH {P}, r AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY n_chars) + (count(*) OVER (PARTITION BY source, n_chars) - 1) / 2.0 AS a, rank() OVER (PARTITION BY source ORDER BY doc_id) * 1.0 AS b FROM pred)
-SELECT source, round(corr(a, b), 6) AS rho, count(*) AS n FROM r GROUP BY source""",
-)
-sql("regr_fit", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
-sql(
-    "priced_usage",
-    """WITH price AS (SELECT 'A' AS flag, 0.3 AS fee, 3.0 AS rate UNION ALL SELECT 'N', 0.1, 15.0 UNION ALL SELECT 'R', 0.2, 1.0)
-SELECT l_orderkey % 100 AS session, l_returnflag AS component, round(sum(l_quantity * rate), 4) AS cost, round(sum(fee), 4) AS fees FROM lineitem JOIN price ON flag = l_returnflag GROUP BY l_orderkey % 100, l_returnflag""",
-)
-sql(
-    "cold_cost",
-    """WITH f AS (SELECT o_custkey AS task, o_orderstatus AS arm, o_totalprice AS cost, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders)
-SELECT arm, round(@median, 4) AS cold, count(*) AS n FROM f WHERE k = 1 GROUP BY arm""",
-    {"median": "percentile(cost, 0.5)"},
-    {"median": "quantile_cont(cost, 0.5)"},
-)
-sql(
-    "running_total_steps",
-    """WITH t AS (SELECT user_id, event_id, ts, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS total FROM events)
-SELECT user_id, event_id, round(total, 4) AS total, round(total - coalesce(lag(total) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 4) AS step FROM t""",
-)
-sql(
-    "session_cost",
-    """WITH t AS (SELECT user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS total, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
-SELECT user_id, round(total, 4) AS cost FROM t WHERE k = 1""",
-)
-sql(
-    "turn_index",
-    """WITH f AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY user_id, event_type)
-SELECT user_id, event_type, first, dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1 AS turn FROM f""",
-)
-sql(
-    "first_hit_turn",
-    """WITH h AS (SELECT conv_id, turn, CASE WHEN length(text) > 600 THEN 1 ELSE 0 END AS hit, length(text) AS n FROM conversations), a AS (SELECT conv_id, min(CASE WHEN hit = 1 THEN turn END) AS first, max(CASE WHEN hit = 1 THEN turn END) AS last FROM h GROUP BY conv_id)
-SELECT h.conv_id, first, last, sum(CASE WHEN turn > last THEN n ELSE 0 END) AS tail, count(*) AS turns FROM h JOIN a ON a.conv_id = h.conv_id GROUP BY h.conv_id, first, last""",
-)
-sql("file_order", "WITH f AS (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY first, role) - 1 AS place FROM f")
-sql(
-    "list_metrics",
-    """WITH r AS (SELECT d.source AS list_id, l.quality AS gold, row_number() OVER (PARTITION BY d.source ORDER BY d.n_chars DESC, d.doc_id) AS k, d.lang AS file FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
-f AS (SELECT list_id, file, min(k) AS k, max(1 - gold) AS g FROM r GROUP BY list_id, file), o AS (SELECT list_id, g, row_number() OVER (PARTITION BY list_id ORDER BY k) AS k FROM f),
-m AS (SELECT list_id, min(CASE WHEN gold = 0 THEN k END) AS first FROM r GROUP BY list_id)
-SELECT o.list_id, sum(CASE WHEN o.k <= 1 THEN g ELSE 0 END) AS r1, sum(CASE WHEN o.k <= 2 THEN g ELSE 0 END) AS r2, sum(g) AS golds, round(coalesce(1.0 / max(first), 0.0), 6) AS mrr_pos FROM o JOIN m ON m.list_id = o.list_id GROUP BY o.list_id""",
-)
-sql(
-    "line_class_shares",
-    """WITH c AS (SELECT l_orderkey % 50 AS session, CASE WHEN l_returnflag = 'R' THEN 'inlined' WHEN l_linestatus = 'F' THEN 'mapped' WHEN l_discount > 0.05 THEN 'related' ELSE 'absent' END AS class, l_quantity AS lines FROM lineitem),
-t AS (SELECT session, class, sum(lines) AS n FROM c GROUP BY session, class) SELECT session, class, round(n / sum(n) OVER (PARTITION BY session), 6) AS share FROM t""",
-)
-sql("coverage", "WITH s AS (SELECT l_orderkey AS k, avg(CASE WHEN l_returnflag <> 'N' THEN 1.0 ELSE 0.0 END) AS cov, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT n AS size, round(avg(cov), 6) AS cov, count(*) AS sessions FROM s GROUP BY n")
-sql("removable_turns", "SELECT l_orderkey AS turn, round(min(l_discount * 10), 6) AS least, min(l_discount * 10) >= 0.2 AS removable, count(*) AS calls FROM lineitem GROUP BY l_orderkey")
-sql(
-    "time_breakdown",
-    """WITH e AS (SELECT user_id, event_type, epoch_s - lag(epoch_s) OVER (PARTITION BY user_id ORDER BY epoch_s, event_id) AS d FROM (SELECT user_id, event_type, event_id, @epoch AS epoch_s FROM events) x)
-SELECT user_id, sum(CASE WHEN event_type = 'click' THEN d ELSE 0 END) AS answer, sum(CASE WHEN event_type = 'view' THEN d ELSE 0 END) AS lookups, sum(CASE WHEN event_type = 'error' THEN d ELSE 0 END) AS hook,
- sum(CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN d ELSE 0 END) AS overhead, sum(d) AS wall FROM e GROUP BY user_id""",
-    {"epoch": "unix_seconds(cast(ts as timestamp))"},
-    {"epoch": "(epoch_us(ts) // 1000000)"},
-)
-sql(
-    "positional_join",
-    """WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click'), b AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'view')
-SELECT a.user_id, a.k, a.event_id AS prompt, b.event_id AS hook FROM a JOIN b ON a.user_id = b.user_id AND a.k = b.k""",
-)
-sql("call_result_join", "SELECT a.l_orderkey AS call_id, a.l_linenumber AS seq, a.l_quantity AS size, b.l_extendedprice AS result FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber AND a.l_partkey < b.l_partkey")
-sql("replay_summary", "SELECT o_orderstatus AS label, c_nationkey AS repo, count(*) AS prompts, round(avg(o_totalprice), 2) AS chars, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS gold FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_orderstatus, c_nationkey")
-sql("ext_mix", "SELECT source, lang AS ext, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM documents GROUP BY source, lang")
-sql(
-    "label_candidates",
-    """WITH h AS (SELECT o_custkey AS path, o_orderkey % 97 AS lo, o_orderkey % 97 + 3 AS hi FROM orders WHERE o_orderstatus = 'F'), c AS (SELECT o_orderkey AS id, o_custkey AS path, o_orderkey % 89 AS lo, o_orderkey % 89 + 8 AS hi FROM orders WHERE o_orderstatus = 'O'),
+SELECT source, CASE WHEN pos > 0 AND neg > 0 THEN round((rs - pos * (pos + 1) / 2.0) / (pos * neg), 6) END AS auroc FROM a""")
+def auroc_by_task(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _graded(spark, sf).withColumn("p", F.round("p", 9))
+    return calibrate.auroc(rows, group="source").select("source", F.round("auroc", 6).alias("auroc"))
+
+
+@query(f"WITH {P}, b AS (SELECT CAST(least(floor(p * 15), 14) AS BIGINT) AS bin, count(*) AS n, avg(p) AS conf, avg(y) AS acc FROM pred GROUP BY 1) SELECT round(sum(n * abs(conf - acc)) / sum(n), 6) AS ece, sum(n)::BIGINT AS n FROM b")
+def ece(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.ece(_graded(spark, sf)).select(F.round("ece", 6).alias("ece"), "n")
+
+
+@query(f"WITH {P} SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS conf, round(avg(y), 6) AS acc FROM pred GROUP BY 1")
+def reliability_bins(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.reliability(_graded(spark, sf)).select("bin", "n", F.round("conf", 6).alias("conf"), F.round("acc", 6).alias("acc"))
+
+
+@query(f"""WITH {P}, t AS (SELECT unnest([0.4, 0.5, 0.6, 0.7, 0.8]::DOUBLE[]) AS t)
+SELECT t AS threshold, count(*) FILTER (WHERE p >= t) AS kept, round(sum(y) FILTER (WHERE p >= t) * 1.0 / nullif(count(*) FILTER (WHERE p >= t), 0), 6) AS prec, round(coalesce(sum(y) FILTER (WHERE p >= t), 0) * 1.0 / sum(y), 6) AS rec FROM pred, t GROUP BY t""")
+def precision_at(spark: SparkSession, sf: str) -> DataFrame:
+    found = calibrate.precision_recall(_graded(spark, sf), [0.4, 0.5, 0.6, 0.7, 0.8])
+    return found.select("threshold", "kept", F.round("precision", 6).alias("prec"), F.round("recall", 6).alias("rec"))
+
+
+@query(f"""WITH {P}, g AS (SELECT p, y, ln(p / (1 - p)) AS z, unnest(range(121)) AS i FROM pred), s AS (SELECT i, avg(-CASE WHEN y = 1 THEN ln(1 / (1 + exp(-z / exp((i - 60) / 30.0)))) ELSE ln(1 - 1 / (1 + exp(-z / exp((i - 60) / 30.0)))) END) AS nll FROM g GROUP BY i),
+b AS (SELECT i, nll, row_number() OVER (ORDER BY round(nll, 9), i) AS k FROM s) SELECT i::INTEGER AS i, round(exp((i - 60) / 30.0), 6) AS temperature, round(nll, 6) AS nll FROM b WHERE k = 1""")
+def temperature_grid(spark: SparkSession, sf: str) -> DataFrame:
+    losses = calibrate.temperature_grid(_graded(spark, sf))
+    best = losses.agg(F.min(F.struct(F.round("nll", 9).alias("r"), "i", "log_t", "nll")).alias("b"))
+    return best.select("b.i", F.round(F.exp("b.log_t"), 6).alias("temperature"), F.round("b.nll", 6).alias("nll"))
+
+
+@query(f"""WITH RECURSIVE {P}, z AS (SELECT y, ln(p / (1 - p)) AS z FROM pred), loss AS MATERIALIZED (SELECT i, (SELECT avg(-CASE WHEN y = 1 THEN ln(1 / (1 + exp(-z / exp(-2 + i / 30.0)))) ELSE ln(1 - 1 / (1 + exp(-z / exp(-2 + i / 30.0)))) END) FROM z) AS v FROM (SELECT unnest(range(121)) AS i)),
+best AS (SELECT arg_min(i, v) AS i FROM loss), w(k, lo, hi) AS (SELECT 0, -2 + greatest(i - 1, 0) / 30.0, -2 + least(i + 1, 120) / 30.0 FROM best UNION ALL
+ SELECT k + 1, CASE WHEN fa < fb THEN lo ELSE a END, CASE WHEN fa < fb THEN b ELSE hi END FROM (SELECT k, lo, hi, a, b, (SELECT avg(-CASE WHEN y = 1 THEN ln(1 / (1 + exp(-z / exp(a)))) ELSE ln(1 - 1 / (1 + exp(-z / exp(a)))) END) FROM z) AS fa,
+  (SELECT avg(-CASE WHEN y = 1 THEN ln(1 / (1 + exp(-z / exp(b)))) ELSE ln(1 - 1 / (1 + exp(-z / exp(b)))) END) FROM z) AS fb FROM (SELECT *, hi - (sqrt(5) - 1) / 2 * (hi - lo) AS a, lo + (sqrt(5) - 1) / 2 * (hi - lo) AS b FROM w WHERE k < 40)))
+SELECT round(exp((lo + hi) / 2), 3) AS temperature FROM w WHERE k = 40""")
+def temperature_fit(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _graded(spark, sf)
+    return spark.createDataFrame([(round(calibrate.fit_temperature(rows), 3),)], "temperature double")
+
+
+@query(f"""WITH {P}, r AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY n_chars) + (count(*) OVER (PARTITION BY source, n_chars) - 1) / 2.0 AS a, rank() OVER (PARTITION BY source ORDER BY doc_id) * 1.0 AS b FROM pred)
+SELECT source, round(corr(a, b), 6) AS rho, count(*) AS n FROM r GROUP BY source""")
+def spearman(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.spearman(_graded(spark, sf), "source", "n_chars", "doc_id").select("source", F.round("rho", 6).alias("rho"), "n")
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
+def regr_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.regression(read(spark, sf, "lineitem"), "l_extendedprice", "l_quantity").select(F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"))
+
+
+@query("""WITH price AS (SELECT * FROM (VALUES ('A', 0.3::DOUBLE, 3.0::DOUBLE), ('N', 0.1, 15.0), ('R', 0.2, 1.0)) v(flag, fee, rate))
+SELECT l_orderkey % 100 AS session, l_returnflag AS component, round(sum(l_quantity * rate), 4) AS cost, round(sum(fee), 4) AS fees FROM lineitem JOIN price ON flag = l_returnflag GROUP BY 1, 2""")
+def priced_usage(spark: SparkSession, sf: str) -> DataFrame:
+    used = read(spark, sf, "lineitem").select((F.col("l_orderkey") % 100).alias("session"), F.col("l_returnflag").alias("component"), "l_quantity")
+    found = runs.price(used, {"A": (3.0, 0.3), "N": (15.0, 0.1), "R": (1.0, 0.2)}, "session", "component", "l_quantity")
+    return found.select("session", "component", F.round("cost", 4).alias("cost"), F.round("fees", 4).alias("fees"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS task, o_orderstatus AS arm, o_totalprice AS cost, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders)
+SELECT arm, round(quantile_cont(cost, 0.5), 4) AS cold, count(*) AS n FROM f WHERE k = 1 GROUP BY arm""")
+def cold_cost(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.cold_cost(_runs(spark, sf), ["o_orderdate", "o_orderkey"]).select("arm", F.round("cold", 4).alias("cold"), "n")
+
+
+_TOTALS = "t AS (SELECT user_id, event_id, ts, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS total FROM events)"
+
+
+@query(f"WITH {_TOTALS} SELECT user_id, event_id, round(total, 4) AS total, round(total - coalesce(lag(total) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 4) AS step FROM t")
+def running_total_steps(spark: SparkSession, sf: str) -> DataFrame:
+    order = ["ts", "event_id"]
+    found = Tr.steps(Tr.totals(read(spark, sf, "events"), "user_id", order, "value"), "user_id", order)
+    return found.select("user_id", "event_id", F.round("total", 4).alias("total"), F.round("step", 4).alias("step"))
+
+
+@query(f"WITH {_TOTALS}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM t) SELECT user_id, round(total, 4) AS cost FROM k WHERE k = 1")
+def session_cost(spark: SparkSession, sf: str) -> DataFrame:
+    order = ["ts", "event_id"]
+    return Tr.last_total(Tr.totals(read(spark, sf, "events"), "user_id", order, "value"), "user_id", order).select("user_id", F.round("cost", 4).alias("cost"))
+
+
+@query("""WITH f AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY user_id, event_type)
+SELECT user_id, event_type, first, dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1 AS turn FROM f""")
+def turn_index(spark: SparkSession, sf: str) -> DataFrame:
+    found = Tr.first_seen(read(spark, sf, "events"), "user_id", "event_type", "event_id")
+    return found.withColumn("turn", F.col("turn").cast("long"))
+
+
+@query("""WITH h AS (SELECT conv_id, turn, CASE WHEN length(text) > 600 THEN 1 ELSE 0 END AS hit, length(text) AS n FROM conversations), a AS (SELECT conv_id, min(CASE WHEN hit = 1 THEN turn END) AS first, max(CASE WHEN hit = 1 THEN turn END) AS last FROM h GROUP BY conv_id)
+SELECT h.conv_id, first, last, sum(CASE WHEN turn > last THEN n ELSE 0 END)::BIGINT AS tail, count(*) AS turns FROM h JOIN a ON a.conv_id = h.conv_id GROUP BY h.conv_id, first, last""")
+def first_hit_turn(spark: SparkSession, sf: str) -> DataFrame:
+    return Tr.hit_turns(read(spark, sf, "conversations"), "conv_id", "turn", F.length("text") > 600, F.length("text"))
+
+
+@query("WITH f AS (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY first, role) - 1 AS place FROM f")
+def file_order(spark: SparkSession, sf: str) -> DataFrame:
+    return evalx.file_order(read(spark, sf, "conversations"), "conv_id", "role", "turn").select("conv_id", "role", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH r AS (SELECT d.source AS list_id, quality, row_number() OVER (PARTITION BY d.source ORDER BY d.n_chars DESC, d.doc_id) - 1 AS k, concat(d.lang, d.doc_id % 3) AS file, d.lang IN ('fr', 'de') AS gold FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+f AS (SELECT list_id, file, min(k) AS first, bool_or(gold) AS g FROM r GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY first, file) - 1 AS place FROM f),
+m AS (SELECT list_id, min(CASE WHEN quality = 0 THEN k END) AS pos FROM r GROUP BY 1)
+SELECT o.list_id, count(*) FILTER (WHERE g) AS golds, round(coalesce(count(*) FILTER (WHERE g AND place < 1) / nullif(count(*) FILTER (WHERE g), 0)::DOUBLE, 0), 6) AS file_r_at_1, round(coalesce(count(*) FILTER (WHERE g AND place < 5) / nullif(count(*) FILTER (WHERE g), 0)::DOUBLE, 0), 6) AS file_r_at_5,
+ round(coalesce(count(*) FILTER (WHERE g AND first < 2) / nullif(count(*) FILTER (WHERE g), 0)::DOUBLE, 0), 6) AS top_2_gold, round(coalesce(1.0 / (max(pos) + 1), 0)::DOUBLE, 6) AS mrr_pos FROM o JOIN m ON m.list_id = o.list_id GROUP BY 1""")
+def list_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    order = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    lists = read(spark, sf, "labels").join(docs, "doc_id").withColumn("rank", F.row_number().over(order) - 1).withColumn("file", F.concat("lang", (F.col("doc_id") % 3).cast("string")))
+    found = evalx.list_metrics(lists.withColumnRenamed("source", "list_id"), "list_id", "file", F.col("lang").isin("fr", "de"), F.col("quality") == 0)
+    return found.select("list_id", "golds", *(F.round(c, 6).alias(c) for c in ("file_r_at_1", "file_r_at_5", "top_2_gold", "mrr_pos")))
+
+
+@query("""WITH c AS (SELECT l_orderkey % 50 AS session, CASE WHEN l_returnflag = 'R' THEN 'inlined' WHEN l_linestatus = 'F' THEN 'mapped' WHEN l_discount > 0.05 THEN 'related' ELSE 'absent' END AS class, l_quantity AS lines FROM lineitem),
+t AS (SELECT session, class, sum(lines) AS n FROM c GROUP BY session, class) SELECT session, class, round(n / sum(n) OVER (PARTITION BY session), 6) AS share FROM t""")
+def line_class_shares(spark: SparkSession, sf: str) -> DataFrame:
+    classes = [("inlined", F.col("l_returnflag") == "R"), ("mapped", F.col("l_linestatus") == "F"), ("related", F.col("l_discount") > 0.05)]
+    rows = Tr.classify_lines(read(spark, sf, "lineitem").withColumn("session", F.col("l_orderkey") % 50), classes)
+    return runs.shares(rows, "session", "class", "l_quantity").select("session", "class", F.round("share", 6).alias("share"))
+
+
+@query("WITH s AS (SELECT l_orderkey AS k, avg(CASE WHEN l_returnflag <> 'N' THEN 1.0 ELSE 0.0 END) AS cov, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT n AS size, round(avg(cov), 6) AS cov, count(*) AS sessions FROM s GROUP BY n")
+def coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return Tr.coverage(read(spark, sf, "lineitem"), "l_orderkey", F.col("l_returnflag") != "N").select("size", F.round("cov", 6).alias("cov"), "sessions")
+
+
+@query("SELECT l_orderkey AS turn, round(min(l_discount * 10), 6) AS least, min(l_discount * 10) >= 0.2 AS removable, count(*) AS calls FROM lineitem GROUP BY l_orderkey")
+def removable_turns(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "turn")
+    return Tr.removable(rows, "turn", F.col("l_discount") * 10, 0.2).withColumn("least", F.round("least", 6))
+
+
+@query("""WITH e AS (SELECT user_id, event_type, epoch_s - lag(epoch_s) OVER (PARTITION BY user_id ORDER BY epoch_s, event_id) AS d FROM (SELECT user_id, event_type, event_id, epoch_us(ts) // 1000000 AS epoch_s FROM events) x)
+SELECT user_id, sum(CASE WHEN event_type = 'click' THEN d ELSE 0 END)::BIGINT AS answer, sum(CASE WHEN event_type = 'view' THEN d ELSE 0 END)::BIGINT AS lookups, sum(CASE WHEN event_type = 'error' THEN d ELSE 0 END)::BIGINT AS hook,
+ sum(CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN d ELSE 0 END)::BIGINT AS overhead, sum(d)::BIGINT AS wall FROM e GROUP BY user_id""")
+def time_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    timed = read(spark, sf, "events").withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
+    return Tr.time_split(Tr.gaps(timed, "user_id", ["at", "event_id"], "at"), "user_id", "event_type", {"answer": ["click"], "lookups": ["view"], "hook": ["error"]})
+
+
+@query("""WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click'), b AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'view')
+SELECT a.user_id, a.k::INTEGER AS k, a.event_id AS prompt, b.event_id AS hook FROM a JOIN b ON a.user_id = b.user_id AND a.k = b.k""")
+def positional_join(spark: SparkSession, sf: str) -> DataFrame:
+    events = read(spark, sf, "events").withColumns({"prompt": F.col("event_id"), "hook": F.col("event_id")})
+    return Tr.by_position(events.filter("event_type = 'click'"), events.filter("event_type = 'view'"), "user_id", ["ts", "event_id"], "prompt", "hook")
+
+
+def _session_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as transcripts: each a tool call, answered two seconds later unless it is an error; every seventh line is cut short."""
+    events = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stamp = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    session, call = F.col("user_id").cast("string"), F.concat(F.lit("c"), F.col("event_id").cast("string"))
+    use = F.struct(F.lit("tool_use").alias("type"), call.alias("id"), F.col("event_type").alias("name"), F.struct(F.col("event_id").alias("n")).alias("input"))
+    give = F.struct(F.lit("tool_result").alias("type"), call.alias("tool_use_id"), F.col("props").alias("content"), (F.col("event_type") == "signup").alias("is_error"))
+    usage = F.create_map(F.lit("input_tokens"), F.col("event_id") % 100, F.lit("output_tokens"), F.col("event_id") % 7)
+    said = F.to_json(F.struct(F.lit("assistant").alias("type"), session.alias("session_id"), stamp(F.col("ts")).alias("timestamp"), call.alias("request_id"), F.struct(F.lit("assistant").alias("role"), F.array(use).alias("content"), usage.alias("usage")).alias("message")))
+    told = F.to_json(F.struct(F.lit("user").alias("type"), session.alias("session_id"), stamp(F.col("ts") + F.expr("interval 2 seconds")).alias("timestamp"), F.struct(F.lit("user").alias("role"), F.array(give).alias("content")).alias("message")))
+    said = F.when(F.col("event_id") % 7 == 3, F.substring(said, 1, 40)).otherwise(said)
+    return events.select(F.explode(F.when(F.col("event_type") == "error", F.array(said)).otherwise(F.array(said, told))).alias("line"))
+
+
+@query("""SELECT user_id, event_id, event_type AS name, CASE WHEN event_type <> 'error' THEN props END AS result, CASE WHEN event_type <> 'error' THEN event_type = 'signup' END AS is_error, CASE WHEN event_type <> 'error' THEN 2.0::DOUBLE END AS seconds FROM events WHERE event_id % 7 <> 3""")
+def call_result_join(spark: SparkSession, sf: str) -> DataFrame:
+    found = Tr.calls(Tr.parse(_session_lines(spark, sf)))
+    number = F.substring("call_id", 2, 20).cast("long")
+    return found.select(F.col("session_id").cast("long").alias("user_id"), number.alias("event_id"), "name", "result", "is_error", F.round(F.col("ended") - F.col("started"), 3).alias("seconds"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id FROM events WHERE event_id % 7 <> 3) SELECT user_id, 'input_tokens' AS component, sum(event_id % 100)::BIGINT AS tokens FROM e GROUP BY 1 UNION ALL SELECT user_id, 'output_tokens', sum(event_id % 7)::BIGINT FROM e GROUP BY 1""")
+def transcript_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return Tr.usage(Tr.parse(_session_lines(spark, sf))).select(F.col("session_id").cast("long").alias("user_id"), "component", "tokens")
+
+
+@query("SELECT user_id % 10 AS host, count(*) FILTER (WHERE event_id % 7 = 3) AS bad, count(*) AS n FROM (SELECT user_id, event_id FROM events) GROUP BY 1")
+def transcript_bad_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = read(spark, sf, "events").select((F.col("user_id") % 10).alias("host"), F.when(F.col("event_id") % 7 == 3, F.lit('{"type": "assi')).otherwise(F.lit('{"type": "user"}')).alias("line"))
+    return lines.groupBy("host").agg(Tr.bad_lines(lines).alias("bad"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus AS label, c_nationkey AS repo, count(*) AS prompts, round(avg(o_totalprice), 2) AS chars, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS gold FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2")
+def replay_summary(spark: SparkSession, sf: str) -> DataFrame:
+    repos = read(spark, sf, "customer").select(F.col("c_custkey").alias("task"), F.col("c_nationkey").alias("repo"))
+    rows = _runs(spark, sf).join(repos, "task").withColumnRenamed("arm", "label")
+    return runs.summary(rows, ["label", "repo"], "cost", F.col("o_orderpriority") == "1-URGENT").select("label", "repo", "prompts", F.round("chars", 2).alias("chars"), "gold")
+
+
+@query("SELECT source, lang AS ext, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM documents GROUP BY source, lang")
+def ext_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.shares(read(spark, sf, "documents").withColumnRenamed("lang", "ext"), "source", "ext").select("source", "ext", "n", F.round("share", 6).alias("share"))
+
+
+@query("""WITH h AS (SELECT o_custkey AS path, o_orderkey % 97 AS lo, o_orderkey % 97 + 3 AS hi FROM orders WHERE o_orderstatus = 'F'), c AS (SELECT o_orderkey AS id, o_custkey AS path, o_orderkey % 89 AS lo, o_orderkey % 89 + 8 AS hi FROM orders WHERE o_orderstatus = 'O'),
 m AS (SELECT c.id, count(h.path) AS same_file, sum(CASE WHEN c.lo <= h.hi AND h.lo <= c.hi THEN 1 ELSE 0 END) AS hunks FROM c LEFT JOIN h ON c.path = h.path GROUP BY c.id)
-SELECT id, CASE WHEN hunks > 0 THEN 1.0 WHEN same_file > 0 THEN 0.6 ELSE 0.0 END AS label FROM m""".replace("1.0", "1.0E0").replace("0.6", "6E-1").replace("0.0", "0E0"),
-)
-sql(
-    "point_in_interval",
-    """WITH b AS (SELECT l_orderkey AS path, l_linenumber AS block, l_partkey % 40 AS lo, l_partkey % 40 + 6 AS hi FROM lineitem WHERE l_linenumber <= 3), p AS (SELECT l_orderkey AS path, l_suppkey % 40 AS line FROM lineitem WHERE l_linenumber > 3)
-SELECT p.path, line, count(*) AS blocks FROM p JOIN b ON p.path = b.path AND line BETWEEN lo AND hi GROUP BY p.path, line""",
-)
-sql(
-    "dominant_child",
-    """WITH parent AS (SELECT l_orderkey AS f, min(l_partkey % 30) AS lo, max(l_partkey % 30) + 9 AS hi FROM lineitem GROUP BY l_orderkey), child AS (SELECT l_orderkey AS f, l_linenumber AS c, l_partkey % 30 AS lo, l_partkey % 30 + 9 AS hi FROM lineitem),
+SELECT id, CASE WHEN hunks > 0 THEN 1.0E0 WHEN same_file > 0 THEN 6E-1 ELSE 0E0 END AS label FROM m""")
+def label_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    orders = read(spark, sf, "orders")
+    hunks = orders.filter("o_orderstatus = 'F'").selectExpr("o_custkey as path", "o_orderkey % 97 as lo", "o_orderkey % 97 + 3 as hi")
+    candidates = orders.filter("o_orderstatus = 'O'").selectExpr("o_orderkey as id", "o_custkey as path", "o_orderkey % 89 as lo", "o_orderkey % 89 + 8 as hi")
+    return training.label_candidates(candidates, hunks)
+
+
+@query("""WITH b AS (SELECT l_orderkey AS path, l_partkey % 40 AS lo, l_partkey % 40 + 6 AS hi FROM lineitem WHERE l_linenumber <= 3), p AS (SELECT l_orderkey AS path, l_suppkey % 40 AS line FROM lineitem WHERE l_linenumber > 3)
+SELECT p.path, line, count(*) AS blocks FROM p JOIN b ON p.path = b.path AND line BETWEEN lo AND hi GROUP BY p.path, line""")
+def point_in_interval(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "path")
+    spans = rows.filter("l_linenumber <= 3").selectExpr("path", "l_partkey % 40 as lo", "l_partkey % 40 + 6 as hi")
+    return shape.point_in_spans(rows.filter("l_linenumber > 3").selectExpr("path", "l_suppkey % 40 as line"), spans)
+
+
+@query("""WITH parent AS (SELECT l_orderkey AS f, min(l_partkey % 30) AS lo, max(l_partkey % 30) + 9 AS hi FROM lineitem GROUP BY l_orderkey), child AS (SELECT l_orderkey AS f, l_linenumber AS c, l_partkey % 30 AS lo, l_partkey % 30 + 9 AS hi FROM lineitem),
 s AS (SELECT p.f, c, (least(p.hi, k.hi) - greatest(p.lo, k.lo) + 1) * 1.0 / (p.hi - p.lo + 1) AS share FROM parent p JOIN child k ON p.f = k.f AND k.lo <= p.hi AND p.lo <= k.hi),
-r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY share DESC, c) AS n FROM s WHERE share > 0.5) SELECT f, c, round(share, 6) AS share FROM r WHERE n = 1""",
-)
-sql(
-    "verified_current",
-    """WITH idx AS (SELECT doc_id, md5(text) AS h FROM documents), live AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN concat(text, 'x') ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)
-SELECT idx.doc_id, CASE WHEN live.h IS NULL THEN 'missing' WHEN live.h = idx.h THEN 'current' ELSE 'stale' END AS state FROM idx LEFT JOIN live ON idx.doc_id = live.doc_id""",
-)
-sql(
-    "incremental_index",
-    """WITH idx AS (SELECT doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 9 <> 0), live AS (SELECT doc_id AS path, md5(CASE WHEN doc_id % 5 = 0 THEN concat(text, 'x') ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)
-SELECT CASE WHEN idx.path IS NULL THEN 'new' WHEN live.path IS NULL THEN 'deleted' WHEN idx.h = live.h THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n FROM idx FULL JOIN live ON idx.path = live.path GROUP BY 1""".replace("GROUP BY 1", "GROUP BY CASE WHEN idx.path IS NULL THEN 'new' WHEN live.path IS NULL THEN 'deleted' WHEN idx.h = live.h THEN 'unchanged' ELSE 'changed' END"),
-)
-sql("index_removed", "SELECT doc_id FROM documents WHERE doc_id % 9 <> 0 EXCEPT SELECT doc_id FROM documents WHERE doc_id % 7 <> 0")
-sql("list_files", "SELECT DISTINCT concat(source, '/', lang, '/', doc_id, '.md') AS path FROM documents")
-sql("stale_gold", "WITH d AS (SELECT d.doc_id, CASE WHEN strpos_text > 0 THEN 1 ELSE 0 END AS there FROM (SELECT doc_id, @pos AS strpos_text FROM documents) d) SELECT there, count(*) AS n FROM d GROUP BY there", {"pos": "instr(text, 'License')"}, {"pos": "instr(text, 'License')"})
-sql("dedup_first", "WITH r AS (SELECT l_orderkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS k FROM lineitem) SELECT l_orderkey AS path, l_suppkey AS start, l_linenumber AS relation FROM r WHERE k = 1")
-sql("ranked_first", "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN quality = 0 THEN 0 ELSE 1 END, doc_id) - 1 AS place FROM labels")
-sql("sort_hits", "WITH h AS (SELECT source, count(*) AS hits FROM documents WHERE text LIKE '%idiot%' GROUP BY source) SELECT source, hits, row_number() OVER (ORDER BY hits DESC, source) - 1 AS place FROM h")
-sql("topk_spans", "WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k, l_suppkey FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber, k FROM r WHERE k <= 5")
-sql("balanced_plan", "WITH t AS (SELECT c_custkey AS task, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer), a AS (SELECT DISTINCT o_orderstatus AS arm FROM orders), n AS (SELECT arm, row_number() OVER (ORDER BY arm) - 1 AS k FROM a) SELECT task, arm, (k + i) % 3 AS place FROM t JOIN n ON k < 3")
-sql(
-    "even_sample",
-    "WITH t AS (SELECT c_custkey AS task, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer), p AS (SELECT task, i, n, @gen AS k FROM t) SELECT DISTINCT task, k FROM p WHERE i = CAST(@half AS BIGINT)",
-    {"gen": "explode(sequence(0, 9))", "half": "bround(k * (n - 1) / 9.0, 0)"},
-    {"gen": "unnest(range(10))", "half": "round_even(k * (n - 1) / 9.0, 0)"},
-)
-sql(
-    "question_render",
-    "SELECT item_id, concat(CASE item_id % 3 WHEN 0 THEN 'choice' WHEN 1 THEN 'score' ELSE 'noul' END, ': ', substr(text, 1, 40), CASE WHEN item_id % 3 = 0 THEN ' [a] [b] [c]' ELSE ' [yes] [no]' END) AS question FROM benchmark",
-)
-sql(
-    "temperature_bucket",
-    "SELECT doc_id, concat(lang, ':', CASE WHEN n <= 2 THEN '2' WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' ELSE '11+' END) AS bucket FROM (SELECT doc_id, lang, n_chars % 14 AS n FROM documents) x",
-)
-sql(
-    "softmax_temperature",
-    "WITH z AS (SELECT l_orderkey, l_linenumber, exp(l_discount * 10 / 1.5) AS e FROM lineitem) SELECT l_orderkey, l_linenumber, round(e / sum(e) OVER (PARTITION BY l_orderkey), 6) AS p FROM z",
-)
-sql(
-    "listwise_loss",
-    "WITH z AS (SELECT l_orderkey, l_discount * 10 AS z, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), s AS (SELECT l_orderkey, sum(exp(z)) AS total, sum(y) AS ys, sum(y * z) AS yz FROM z GROUP BY l_orderkey) SELECT count(*) AS lists, round(avg(ln(total) - yz / ys), 6) AS loss FROM s WHERE ys > 0",
-)
-sql(
-    "kd_loss",
-    "WITH z AS (SELECT l_orderkey, l_discount * 10 AS t, l_tax * 10 AS s FROM lineitem), n AS (SELECT l_orderkey, t, s, exp(t) / sum(exp(t)) OVER (PARTITION BY l_orderkey) AS p, exp(s) / sum(exp(s)) OVER (PARTITION BY l_orderkey) AS q FROM z), k AS (SELECT l_orderkey, sum(p * (ln(p) - ln(q))) AS kl FROM n GROUP BY l_orderkey) SELECT count(*) AS lists, round(avg(kl), 6) AS loss FROM k",
-)
-sql(
-    "sequence_budget",
-    "WITH t AS (SELECT doc_id, n_chars % 300 AS head, n_chars % 80 AS opt FROM documents) SELECT doc_id, least(head, 192) AS head, least(opt, 48) AS opt, greatest(512 - least(head, 192) - least(opt, 48) * 4, 16) AS state FROM t",
-)
-sql("grade_answer", """WITH n AS (SELECT o_custkey AS task, count(*) AS named, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS hit FROM orders GROUP BY o_custkey), g AS (SELECT c_custkey AS task, c_custkey % 4 + 1 AS gold FROM customer)
-SELECT g.task, round(least(coalesce(hit, 0), gold) * 1.0 / gold, 6) AS recall, round(coalesce(hit * 1.0 / nullif(named, 0), 0.0), 6) AS prec, coalesce(hit, 0) > 0 AS hit_any FROM g LEFT JOIN n ON n.task = g.task""")
-sql(
-    "lookup_intent",
-    "SELECT conv_id, turn, CASE WHEN text LIKE '%test%' THEN 'tests' WHEN text LIKE '%the %' AND length(text) < 200 THEN 'definition' WHEN text LIKE '%: %' THEN 'literal' WHEN length(text) > 800 THEN 'reading' WHEN turn = 0 THEN 'opening' WHEN role = 'user' THEN 'usage' ELSE 'other' END AS intent FROM conversations",
-)
-sql("rank_label", "SELECT event_id, CASE WHEN value >= 12 THEN 'model' WHEN value >= 8 THEN 'model-partial' ELSE 'lexical' END AS mode FROM events")
-sql("reindex_merge", """WITH old AS (SELECT doc_id AS path, md5(text) AS chunk FROM documents WHERE doc_id % 3 <> 0), put AS (SELECT doc_id AS path, md5(concat(text, '!')) AS chunk FROM documents WHERE doc_id % 4 = 0), gone AS (SELECT doc_id AS path FROM documents WHERE doc_id % 11 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY share DESC, c) AS n FROM s WHERE share > 0.5) SELECT f, c, round(share, 6) AS share FROM r WHERE n = 1""")
+def dominant_child(spark: SparkSession, sf: str) -> DataFrame:
+    children = read(spark, sf, "lineitem").selectExpr("l_orderkey as f", "l_linenumber as c", "l_partkey % 30 as lo", "l_partkey % 30 + 9 as hi")
+    parents = children.groupBy("f").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return shape.dominant_child(parents, children, "f", "c").select("f", "c", F.round("share", 6).alias("share"))
+
+
+def _states(spark: SparkSession, sf: str, kept: str) -> tuple[DataFrame, DataFrame]:
+    """What is indexed and what is there now: some files changed, some gone, some new."""
+    docs = read(spark, sf, "documents")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    return docs.filter(kept).select(F.col("doc_id").alias("path"), F.md5("text").alias("hash")), docs.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), F.md5(text).alias("hash"))
+
+
+_LIVE = "live AS (SELECT doc_id AS path, md5(CASE WHEN doc_id % 5 = 0 THEN concat(text, 'x') ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)"
+
+
+@query(f"WITH idx AS (SELECT doc_id AS path, md5(text) AS h FROM documents), {_LIVE} SELECT idx.path AS doc_id, CASE WHEN live.h IS NULL THEN 'missing' WHEN live.h = idx.h THEN 'current' ELSE 'stale' END AS state FROM idx LEFT JOIN live ON idx.path = live.path")
+def verified_current(spark: SparkSession, sf: str) -> DataFrame:
+    return I.freshness(*_states(spark, sf, "true")).withColumnRenamed("path", "doc_id")
+
+
+@query(f"""WITH idx AS (SELECT doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 9 <> 0), {_LIVE}
+SELECT CASE WHEN idx.path IS NULL THEN 'new' WHEN live.path IS NULL THEN 'deleted' WHEN idx.h = live.h THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n FROM idx FULL JOIN live ON idx.path = live.path GROUP BY 1""")
+def incremental_index(spark: SparkSession, sf: str) -> DataFrame:
+    return I.compare_snapshots(*_states(spark, sf, "doc_id % 9 <> 0")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 9 <> 0 EXCEPT SELECT doc_id FROM documents WHERE doc_id % 7 <> 0")
+def index_removed(spark: SparkSession, sf: str) -> DataFrame:
+    return I.removed(*_states(spark, sf, "doc_id % 9 <> 0")).withColumnRenamed("path", "doc_id")
+
+
+@query("SELECT DISTINCT concat(source, '/', lang, '/', doc_id, '.md') AS path FROM documents")
+def list_files(spark: SparkSession, sf: str) -> DataFrame:
+    return I.list_files(S.files(spark, sf))
+
+
+@query("""WITH a AS (SELECT doc_id AS path, CASE WHEN doc_id % 4 = 1 AND n % 3 > 0 THEN concat(l, ' changed') ELSE l END AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)),
+m AS (SELECT DISTINCT path, trim(l, ' ') AS l FROM a WHERE length(trim(l, ' ')) >= 12), live AS (SELECT doc_id AS path, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')) AS ls FROM documents WHERE doc_id % 11 <> 0),
+c AS (SELECT path, count(*) AS lines, count(*) FILTER (WHERE list_contains(coalesce(ls, []), l)) AS still FROM m LEFT JOIN live USING (path) GROUP BY 1)
+SELECT d.doc_id, coalesce(lines, 0) AS lines, round(CASE WHEN lines IS NOT NULL THEN coalesce(still, 0) / lines::DOUBLE END, 6) AS share, CASE WHEN d.doc_id % 11 = 0 THEN 'gone' WHEN lines IS NULL THEN 'removal-only' WHEN still / lines::DOUBLE >= 0.5 THEN 'present' ELSE 'drifted' END AS state FROM documents d LEFT JOIN c ON c.path = d.doc_id""")
+def stale_gold(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text")
+    lines = docs.select("path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    added = lines.withColumn("line", F.when((F.col("path") % 4 == 1) & ((F.col("n") + 1) % 3 > 0), F.concat("line", F.lit(" changed"))).otherwise(F.col("line")))
+    found = grade.stale_gold(added, docs.filter("path % 11 <> 0"))
+    return found.select(F.col("path").alias("doc_id"), "lines", F.round("share", 6).alias("share"), "state")
+
+
+@query("WITH r AS (SELECT l_orderkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS k FROM lineitem) SELECT l_orderkey AS path, l_suppkey AS start, l_linenumber AS relation FROM r WHERE k = 1")
+def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "lineitem").selectExpr("l_orderkey as path", "l_suppkey as start", "l_linenumber as relation")
+    return shape.first_of(rows, ["path", "start"], "relation")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN quality = 0 THEN 0 ELSE 1 END, doc_id) - 1 AS place FROM labels")
+def ranked_first(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "labels").select("doc_id", "quality")
+    return stats.numbered(rows, "doc_id", F.col("quality") == 0).select("doc_id", F.col("place").cast("long").alias("place"))
+
+
+@query("WITH h AS (SELECT source, lang, count(*) AS hits FROM documents WHERE text LIKE '%the%' GROUP BY 1, 2) SELECT source, lang, hits, row_number() OVER (PARTITION BY source ORDER BY hits DESC, lang) - 1 AS place FROM h")
+def sort_hits(spark: SparkSession, sf: str) -> DataFrame:
+    hits = read(spark, sf, "documents").filter(F.contains("text", F.lit("the"))).groupBy("source", "lang").agg(F.count("*").alias("hits"))
+    return grade.replay_sort(hits, tie="lang", group=["source"]).withColumn("place", F.col("place").cast("long"))
+
+
+@query("WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k, l_suppkey FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber, k::INTEGER AS k FROM r WHERE k <= 5")
+def topk_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return shape.top_of(read(spark, sf, "lineitem"), "l_suppkey", [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 5).select("l_suppkey", "l_orderkey", "l_linenumber", "k")
+
+
+@query("""WITH t AS (SELECT c_custkey AS task, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer), r AS (SELECT task, rep, rep * n + i AS k FROM t, (SELECT unnest(range(2)) AS rep)),
+a AS (SELECT * FROM (VALUES ('F', 0), ('O', 1), ('P', 2)) v(arm, j)), f AS (SELECT task, arm, rep, k, ((j - k) % 3 + 3) % 3 AS f FROM r, a)
+SELECT task, arm, rep::INTEGER AS rep, CASE WHEN (k // 3) % 2 = 1 THEN 2 - f ELSE f END::BIGINT AS place FROM f""")
+def balanced_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.balanced_plan(read(spark, sf, "customer").select(F.col("c_custkey").alias("task")), ["F", "O", "P"], repeats=2)
+
+
+@query("""WITH t AS (SELECT c_custkey AS task, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer), p AS (SELECT task, i, n, unnest(range(10)) AS k FROM t)
+SELECT DISTINCT task, k::INTEGER AS k FROM p WHERE i = CAST(round_even(k * (n - 1) / 9.0, 0) AS BIGINT)""")
+def even_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.even_sample(read(spark, sf, "customer").select(F.col("c_custkey").alias("task")), "task", 10)
+
+
+@query("SELECT item_id, concat(CASE item_id % 3 WHEN 0 THEN 'choice' WHEN 1 THEN 'score' ELSE 'relevance' END, ': ', text, CASE WHEN item_id % 3 = 0 THEN ' [a] [b] [c]' ELSE ' [yes] [no]' END) AS question FROM benchmark")
+def question_render(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.expr("CASE item_id % 3 WHEN 0 THEN 'choice' WHEN 1 THEN 'score' ELSE 'relevance' END")
+    options = F.when(F.col("item_id") % 3 == 0, F.array(*map(F.lit, "abc"))).otherwise(F.array(F.lit("yes"), F.lit("no")))
+    return read(spark, sf, "benchmark").select("item_id", training.render_question(kind, F.col("text"), options).alias("question"))
+
+
+@query("SELECT doc_id, concat(lang, ':', CASE WHEN n <= 2 THEN '2' WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' ELSE '11+' END) AS bucket FROM (SELECT doc_id, lang, n_chars % 14 AS n FROM documents) x")
+def temperature_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", training.option_bucket(F.col("lang"), F.col("n_chars") % 14).alias("bucket"))
+
+
+@query("WITH z AS (SELECT l_orderkey, l_linenumber, exp(l_discount * 10 / 1.5) AS e FROM lineitem) SELECT l_orderkey, l_linenumber, round(e / sum(e) OVER (PARTITION BY l_orderkey), 6) AS p FROM z")
+def softmax_temperature(spark: SparkSession, sf: str) -> DataFrame:
+    found = training.softmax(read(spark, sf, "lineitem"), "l_orderkey", F.col("l_discount") * 10, 1.5)
+    return found.select("l_orderkey", "l_linenumber", F.round("p", 6).alias("p"))
+
+
+@query("WITH z AS (SELECT l_orderkey, l_discount * 10 AS z, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), s AS (SELECT l_orderkey, sum(exp(z)) AS total, sum(y) AS ys, sum(y * z) AS yz FROM z GROUP BY l_orderkey) SELECT count(*) AS lists, round(avg(ln(total) - yz / ys), 6) AS loss FROM s WHERE ys > 0")
+def listwise_loss(spark: SparkSession, sf: str) -> DataFrame:
+    found = training.listwise_loss(read(spark, sf, "lineitem"), "l_orderkey", F.col("l_discount") * 10, F.col("l_returnflag") == "R")
+    return found.select("lists", F.round("loss", 6).alias("loss"))
+
+
+@query("WITH z AS (SELECT l_orderkey, l_discount * 10 AS t, l_tax * 10 AS s FROM lineitem), n AS (SELECT l_orderkey, t, s, exp(t) / sum(exp(t)) OVER (PARTITION BY l_orderkey) AS p, exp(s) / sum(exp(s)) OVER (PARTITION BY l_orderkey) AS q FROM z), k AS (SELECT l_orderkey, sum(p * (ln(p) - ln(q))) AS kl FROM n GROUP BY l_orderkey) SELECT count(*) AS lists, round(avg(kl), 6) AS loss FROM k")
+def kd_loss(spark: SparkSession, sf: str) -> DataFrame:
+    found = training.distillation_loss(read(spark, sf, "lineitem"), "l_orderkey", F.col("l_discount") * 10, F.col("l_tax") * 10)
+    return found.select("lists", F.round("loss", 6).alias("loss"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_discount * 10, 6) AS teacher FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem)")
+def teacher_cache(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "lineitem").withColumn("z", F.col("l_discount") * 10)
+    placed = rows.withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1)
+    cache = training.teacher_cache(rows, "l_orderkey", "l_linenumber", "z")
+    return training.with_teacher(placed, cache, "l_orderkey", "k").select("l_orderkey", "l_linenumber", F.round("teacher", 6).alias("teacher"))
+
+
+@query("SELECT doc_id, least(head, 192) AS head, least(opt, 48) AS opt, greatest(512 - least(head, 192) - least(opt, 48) * 4, 16) AS state FROM (SELECT doc_id, n_chars % 300 AS head, n_chars % 80 AS opt FROM documents)")
+def sequence_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", training.sequence_budget(F.col("n_chars") % 300, F.col("n_chars") % 80).alias("b")).select("doc_id", "b.*")
+
+
+@query("""WITH o AS (SELECT o_custkey AS task, list(concat('src/f', o_orderkey % 40, '.rs') ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS named, list_sort(list(DISTINCT concat('src/f', o_orderkey % 40, '.rs')) FILTER (WHERE o_orderstatus <> 'F')) AS gold FROM orders GROUP BY 1),
+n AS (SELECT task, coalesce(named, []) AS named, gold FROM o WHERE gold IS NOT NULL),
+h AS (SELECT *, len(list_filter(gold, lambda g: list_contains(named, g))) AS hit, len(list_filter(list_distinct(named), lambda x: list_contains(gold, x))) AS good FROM n)
+SELECT task, round(hit / len(gold)::DOUBLE, 6) AS recall, round(CASE WHEN len(named) > 0 THEN good / len(named)::DOUBLE ELSE 0 END, 6) AS prec, hit > 0 AS hit_any FROM h""")
+def grade_answer(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that name files on their last FILES: line, some in backticks or below ./, with an earlier line that doesn't count."""
+    file = F.concat(F.lit("src/f"), (F.col("o_orderkey") % 40).cast("string"), F.lit(".rs"))
+    shown = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("`./"), file, F.lit("`"))).otherwise(file)
+    named = F.transform(F.array_sort(F.collect_list(F.when(F.col("o_orderstatus") == "F", F.struct("o_orderkey", shown.alias("f"))))), lambda x: x["f"])
+    gold = F.array_sort(F.collect_set(F.when(F.col("o_orderstatus") != "F", file)))
+    rows = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("task")).agg(named.alias("n"), gold.alias("gold")).filter(F.size("gold") > 0)
+    answer = F.concat(F.lit("FILES: src/none.rs\nso it is these\nFILES: "), F.array_join("n", ", "))
+    found = grade.grade(rows.withColumn("answer", answer), "answer", "gold")
+    return found.select("task", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("prec"), "hit_any")
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 8 AS k, role = 'user' AS whole, text FROM conversations)
+SELECT conv_id, turn, CASE WHEN k = 0 THEN 'non-code' WHEN k = 1 OR regexp_matches(text, '{grade.TEST_STRUCTURE}') THEN 'tests' WHEN k = 2 THEN 'definition' WHEN NOT whole AND k IN (3, 4) THEN 'in-file' WHEN k IN (2, 4, 5) THEN 'callers-uses' WHEN whole THEN 'exact-text' ELSE 'other' END AS intent FROM c""")
+def lookup_intent(spark: SparkSession, sf: str) -> DataFrame:
+    k = (F.col("conv_id") + F.col("turn")) % 8
+    none = F.array().cast("array<string>")
+    targets = F.when(k == 0, F.array(F.lit("docs/{*.MD}"), F.lit(None).cast("string"))).when(k == 1, F.array(F.lit("!tests/a.rs"), F.lit("src/Tests/walk.rs"))).otherwise(none)
+    files = F.when(k == 6, F.array(F.lit("Cargo.lock"), F.lit("src/a.rs"))).otherwise(none)
+    idents = F.when(k.isin(3, 4), F.array(F.lit("walk"))).otherwise(none)
+    intent = grade.lookup_intent(F.col("text"), targets, files, F.col("role") == "user", idents, k == 2, k.isin(2, 4, 5))
+    return read(spark, sf, "conversations").select("conv_id", "turn", intent.alias("intent"))
+
+
+@query("SELECT event_id, CASE WHEN value >= 12 THEN 'model' WHEN value >= 8 THEN 'model-partial' ELSE 'lexical' END AS mode FROM events")
+def rank_label(spark: SparkSession, sf: str) -> DataFrame:
+    scored = F.when(F.col("value") >= 12, 24).when(F.col("value") >= 8, 8).otherwise(0)
+    return read(spark, sf, "events").select("event_id", grade.rank_label(scored, F.lit(24)).alias("mode"))
+
+
+@query("""WITH old AS (SELECT doc_id AS path, md5(text) AS chunk FROM documents WHERE doc_id % 3 <> 0), put AS (SELECT doc_id AS path, md5(concat(text, '!')) AS chunk FROM documents WHERE doc_id % 4 = 0), gone AS (SELECT doc_id AS path FROM documents WHERE doc_id % 11 = 0),
 kept AS (SELECT old.path, old.chunk FROM old LEFT JOIN put ON put.path = old.path LEFT JOIN gone ON gone.path = old.path WHERE put.path IS NULL AND gone.path IS NULL) SELECT path, chunk FROM kept UNION ALL SELECT path, chunk FROM put""")
-sql("get_chunks", "WITH a AS (SELECT item_id, (item_id * 37 + k) % 1500 AS doc_id, k FROM (SELECT item_id, @gen AS k FROM benchmark) x) SELECT item_id, k, d.doc_id, d.lang FROM a JOIN documents d ON d.doc_id = a.doc_id", {"gen": "explode(sequence(0, 4))"}, {"gen": "unnest(range(5))"})
-sql("test_pointers", "WITH t AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE lang <> 'en') SELECT source, doc_id, k FROM t WHERE k <= 2")
-sql("lookup_complete", "SELECT source, count(*) AS files, sum(CASE WHEN text LIKE '%clown%' THEN 1 ELSE 0 END) AS hits, sum(CASE WHEN text LIKE '%clown%' AND n_chars <= 1048576 THEN 1 ELSE 0 END) = sum(CASE WHEN text LIKE '%clown%' THEN 1 ELSE 0 END) AS complete FROM documents GROUP BY source")
+def reindex_merge(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").withColumnRenamed("doc_id", "path")
+    old = docs.filter("path % 3 <> 0").select("path", F.md5("text").alias("chunk"))
+    put = docs.filter("path % 4 = 0").select("path", F.md5(F.concat("text", F.lit("!"))).alias("chunk"))
+    return I.replace_files(old, put, docs.filter("path % 11 = 0").select("path"))
+
+
+@query("WITH a AS (SELECT item_id, (item_id * 37 + k) % 1500 AS doc_id, k FROM (SELECT item_id, unnest(range(5)) AS k FROM benchmark) x) SELECT item_id, k::INTEGER AS k, d.doc_id, d.lang FROM a JOIN documents d ON d.doc_id = a.doc_id")
+def get_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    asked = read(spark, sf, "benchmark").select("item_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).withColumn("doc_id", (F.col("item_id") * 37 + F.col("k")) % 1500)
+    return I.get_chunks(asked, read(spark, sf, "documents").select("doc_id", "lang"), "doc_id").select("item_id", "k", "doc_id", "lang")
+
+
+@query("""WITH t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id % 3 > 0) SELECT source, doc_id, k::INTEGER AS k FROM t WHERE k <= 2""")
+def test_pointers(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.expr("CASE doc_id % 3 WHEN 0 THEN concat(source, '/src/', doc_id, '.py') WHEN 1 THEN concat(source, '/Tests/', doc_id, '.py') ELSE concat(source, '/test_', doc_id, '.py') END")
+    refs = read(spark, sf, "documents").select("doc_id", "source", name.alias("path"))
+    return grade.test_pointers(refs, "path", "source", order="doc_id").select("source", "doc_id", "k")
+
+
+@query("""WITH f AS (SELECT source, n_chars, list_has_any(list_transform(string_split_regex(text, '[^A-Za-z0-9_]+'), lambda w: lower(w)), ['clown', 'license']) AS holds FROM documents)
+SELECT source, count(*) AS files, count(*) FILTER (WHERE holds) AS hits, count(*) FILTER (WHERE holds AND n_chars <= 2000) = count(*) FILTER (WHERE holds) AS complete FROM f GROUP BY source""")
+def lookup_complete(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.transform(F.split("text", "[^A-Za-z0-9_]+"), F.lower)
+    holds = F.arrays_overlap(words, F.array(F.lit("clown"), F.lit("license")))
+    return grade.lookup_complete(read(spark, sf, "documents"), "source", holds, F.col("n_chars") <= 2000)
 
 
 def _ordered(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,11 +612,12 @@ def plan_batches(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(spark, sf).select("user_id", folds.batches(F.transform("xs", lambda x: x["v"]), 8, 60.0).alias("batches"))
 
 
-@query("""WITH u AS (SELECT o_custkey AS task, list({'size': n, 'gain': g} ORDER BY k) AS us FROM (SELECT o_custkey, floor(o_totalprice / 1000)::BIGINT AS n, floor(o_totalprice * 7 / 1000)::BIGINT % 97 AS g,
- row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 6 GROUP BY 1),
-m AS (SELECT task, us, unnest(range(1 << len(us))) AS mask FROM u), s AS (SELECT task, mask, list_sum(list_transform(us, lambda x, i: CASE WHEN (mask >> (i - 1)::INTEGER) & 1 = 1 THEN x.size ELSE 0 END))::BIGINT AS size,
- list_sum(list_transform(us, lambda x, i: CASE WHEN (mask >> (i - 1)::INTEGER) & 1 = 1 THEN x.gain ELSE 0 END))::BIGINT AS gain FROM m),
-r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY gain DESC, size, mask) AS n FROM s WHERE size <= 700) SELECT task, mask, size, gain FROM r WHERE n = 1""")
+@query("""WITH RECURSIVE u AS (SELECT o_custkey AS task, floor(o_totalprice / 1000)::BIGINT AS n, floor(o_totalprice * 7 / 1000)::BIGINT % 97 AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+w(task, k, size, gain, mask) AS (SELECT DISTINCT task, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM u UNION ALL
+ SELECT task, k, size, (max(struct_pack(g := gain, m := -mask))).g, -(max(struct_pack(g := gain, m := -mask))).m FROM (
+  SELECT w.task, u.k, w.size + t * u.n AS size, w.gain + t * u.g AS gain, w.mask + t * (1::BIGINT << (u.k - 1)::INTEGER) AS mask FROM w JOIN u ON u.task = w.task AND u.k = w.k + 1, (VALUES (0), (1)) x(t)) y WHERE size <= 700 GROUP BY task, k, size),
+l AS (SELECT task, max(k) AS k FROM u GROUP BY 1), r AS (SELECT w.*, row_number() OVER (PARTITION BY task ORDER BY gain DESC, size, mask) AS n FROM w JOIN l USING (task, k))
+SELECT task, mask, size, gain FROM r WHERE n = 1""")
 def subset_oracle(spark: SparkSession, sf: str) -> DataFrame:
     nth = F.expr("row_number() over (partition by o_custkey order by o_orderkey)")
     rows = read(spark, sf, "orders").select(F.col("o_custkey").alias("task"), nth.alias("k"), F.expr("cast(floor(o_totalprice / 1000) as bigint)").alias("size"), F.expr("cast(floor(o_totalprice * 7 / 1000) as bigint) % 97").alias("gain"))
@@ -340,11 +652,9 @@ def ordered_union(spark: SparkSession, sf: str) -> DataFrame:
     return b.join(a, "source", "left").select("source", F.array_distinct(F.concat(F.coalesce("a", F.array().cast("array<bigint>")), "b")).alias("ids"))
 
 
-@query(f"""WITH {D.POSTINGS}, old AS (SELECT term FROM postings WHERE doc_id % 50 = 1), new AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({D.terms("concat(text, ' freshly added')")}) AS term FROM documents WHERE doc_id % 50 = 1)),
+@query(f"""WITH {D.POSTINGS}, old AS (SELECT term FROM postings), new AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({D.terms("CASE WHEN doc_id % 5 = 0 THEN concat(text, ' freshly added') ELSE text END")}) AS term FROM documents)),
 s AS (SELECT term, -1 AS d FROM old UNION ALL SELECT term, 1 FROM new) SELECT term, sum(d)::BIGINT AS delta FROM s GROUP BY 1 HAVING sum(d) <> 0""")
 def df_delta(spark: SparkSession, sf: str) -> DataFrame:
-    from spanlens.operators import index as I
-
     docs = read(spark, sf, "documents")
     live = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" freshly added"))).otherwise(F.col("text"))
     return I.df_delta(I.postings(docs, "doc_id"), I.postings(docs, "doc_id", live))
@@ -392,19 +702,3 @@ def identifier_query(spark: SparkSession, sf: str) -> DataFrame:
 
     q = F.expr("CASE item_id % 5 WHEN 0 THEN 'parse_config' WHEN 1 THEN 'where is HashMap used' WHEN 2 THEN 'find the walker' WHEN 3 THEN 'load|store|HashMap' ELSE text END")
     return read(spark, sf, "benchmark").select("item_id", lookup.is_lookup(q).alias("lookup"))
-
-# DuckDB sums whole numbers into a wider type; these columns are plain 64-bit numbers, as in Spark.
-_WHOLE = {
-    "ratio_of_sums": ("wins",),
-    "auroc": ("positives",),
-    "ece": ("n",),
-    "precision_at": ("kept",),
-    "first_hit_turn": ("tail",),
-    "list_metrics": ("r1", "r2", "golds"),
-    "time_breakdown": ("answer", "lookups", "hook", "overhead", "wall"),
-    "replay_summary": ("gold",),
-    "lookup_complete": ("hits",),
-}
-for _name, _columns in _WHOLE.items():
-    ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'{c}::BIGINT AS {c}' for c in _columns)}) FROM ({ORACLES[_name]})"
-ORACLES["priced_usage"] = f"SELECT * REPLACE (fees::DOUBLE AS fees) FROM ({ORACLES['priced_usage']})"

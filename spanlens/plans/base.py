@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 # Tables whose rows take long to work on: a table in fewer parts than there are cores is dealt out by its key first.
@@ -34,22 +32,3 @@ def query(oracle: str | None = None):
         return f
 
     return register
-
-
-def sql(name: str, text: str, spark_words: dict[str, str] | None = None, duck_words: dict[str, str] | None = None) -> None:
-    """Registers a query of relational SQL; `@word` stands for what the two dialects write differently."""
-
-    def fill(words: dict[str, str] | None) -> str:
-        return re.sub(r"@(\w+)", lambda m: (words or {})[m[1]], text)
-
-    # A number with a point is a double, as in DuckDB's arithmetic.
-    mine = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", fill(spark_words))
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        used = [t for t in TABLES if re.search(rf"\b{t}\b", mine)]
-        body = re.sub(r"\b(" + "|".join(used) + r")\b(?!\.|\()", r"{\1}", mine) if used else mine
-        return spark.sql(body, **{t: read(spark, sf_dir, t) for t in used})
-
-    run.__name__ = name
-    QUERIES[name] = run
-    ORACLES[name] = fill(duck_words)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanlens.functions import patterns
 from spanlens.functions import text as T
-from spanlens.operators import ast_chunk, chunk
+from spanlens.operators import ast_chunk, chunk, folds, transcript
 from spanlens.operators.score import LexicalScorer
-from spanlens.plans.base import query, read, sql
+from spanlens.plans.base import query, read
 from spanlens.plans.retrieval_queries import _GOLD, _RETRIEVAL, _bm25, _gold
 from spanlens.plans.text_queries import CHUNKS_SQL, SMALL
 from spanlens.sources import tables as S
@@ -68,17 +70,45 @@ def diff_lines(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("path", F.explode(F.when(n == 0, F.array(at, at + 1)).otherwise(F.sequence(at, at + n - 1))).alias("line")).distinct()
 
 
-sql(
-    "heuristic_fill",
-    """WITH u AS (SELECT o_custkey AS task, CAST(floor(o_totalprice / 1000) AS BIGINT) AS n, o_orderkey FROM orders), r AS (SELECT task, n, sum(n) OVER (PARTITION BY task ORDER BY n, o_orderkey ROWS UNBOUNDED PRECEDING) AS used FROM u)
-SELECT task, count(*) AS taken, max(used) AS used FROM r WHERE used <= 900 GROUP BY task""",
-)
-sql(
-    "read_coverage",
-    "SELECT l_orderkey AS session, count(DISTINCT l_suppkey) AS files, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS inlined FROM lineitem GROUP BY l_orderkey",
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.expr("cast(floor(o_totalprice / 1000) as bigint)")
+    return read(spark, sf, "orders").select(F.col("o_custkey").alias("task"), n.alias("size"), F.expr("cast(floor(o_totalprice * 7 / 1000) as bigint) % 97").alias("gain"), (F.col("o_orderkey") % 5).alias("uses"), F.col("o_orderkey").alias("at"))
+
+
+_HEURISTIC_ORDER = {"shortest": "size, place", "longest": "-size, place", "best": "-gain, size, place", "densest": "-gain / greatest(size, 1)::DOUBLE, place", "most_used": "-uses, size, place", "in_order": "place"}
+_FILLED = ", ".join(
+    f"w_{h}(task, k, taken, used, gain, us) AS (SELECT task, 0, 0, 0::BIGINT, 0::BIGINT, list({{'s': size, 'g': gain}} ORDER BY {order}) FROM units GROUP BY 1 UNION ALL SELECT task, k + 1, taken + CASE WHEN used + us[k + 1].s <= 900 THEN 1 ELSE 0 END,"
+    f" used + CASE WHEN used + us[k + 1].s <= 900 THEN us[k + 1].s ELSE 0 END, gain + CASE WHEN used + us[k + 1].s <= 900 THEN us[k + 1].g ELSE 0 END, us FROM w_{h} WHERE k < len(us))"
+    for h, order in _HEURISTIC_ORDER.items()
 )
 
 
+@query(f"""WITH RECURSIVE units AS (SELECT o_custkey AS task, floor(o_totalprice / 1000)::BIGINT AS size, floor(o_totalprice * 7 / 1000)::BIGINT % 97 AS gain, o_orderkey % 5 AS uses, o_orderkey AS place FROM orders), {_FILLED}
+{" UNION ALL ".join(f"SELECT '{h}' AS heuristic, task, taken, used, gain FROM w_{h} WHERE k = len(us)" for h in _HEURISTIC_ORDER)}""")
+def heuristic_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Six ways to fill a budget with a task's units."""
+    units = _units(spark, sf)
+    found = [folds.heuristic_fill(units, "task", 900, h).select(F.lit(h).alias("heuristic"), "task", "taken", "used", "gain") for h in folds.HEURISTICS]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@query("""WITH r AS (SELECT l_orderkey AS task, list_sort(list(DISTINCT concat('n', l_suppkey % 20))) AS needed FROM lineitem GROUP BY 1), n AS (SELECT task, unnest(needed) AS name FROM r)
+SELECT CASE WHEN substr(name, 2)::INTEGER >= 15 THEN 'unknown' WHEN substr(name, 2)::INTEGER * 100 > 1000 THEN 'too_big' ELSE 'not_picked' END AS why, count(*) AS n FROM n WHERE substr(name, 2)::INTEGER >= 3 GROUP BY 1""")
+def miss_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat(F.lit("n"), (F.col("l_suppkey") % 20).cast("string"))
+    needed = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(name).alias("needed"))
+    names = lambda n: F.array(*(F.lit(f"n{i}") for i in range(n)))
+    sizes = F.map_from_arrays(names(20), F.array(*(F.lit(100 * i) for i in range(20))))
+    missed = needed.select(F.explode(folds.misses(F.col("needed"), names(3), names(15), sizes, 1000)).alias("m"))
+    return missed.groupBy("m.why").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey AS session, count(DISTINCT l_suppkey) AS files, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS inlined FROM lineitem GROUP BY l_orderkey")
+def read_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "session")
+    return transcript.read_coverage(rows, "session", "l_suppkey", "l_quantity", F.col("l_returnflag") == "R").select("session", "files", F.round("inlined", 6).alias("inlined"))
+
+
 @query("""WITH a AS (SELECT o_orderstatus AS arm, count(*) AS n FROM orders GROUP BY 1) SELECT concat('| arm | n |', chr(10), '|-|-|', chr(10), string_agg(concat('| ', arm, ' | ', n, ' |'), chr(10) ORDER BY arm)) AS report FROM a""")
 def report_md(spark: SparkSession, sf: str) -> DataFrame:
     arms = read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("arm")).agg(F.count("*").alias("n"))

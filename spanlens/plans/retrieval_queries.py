@@ -119,9 +119,9 @@ def distinct_files(spark: SparkSession, sf: str) -> DataFrame:
     return H.distinct_files(found, "item_id", "source", 5).select("item_id", "doc_id", "source", F.col("nth").cast("long").alias("nth"))
 
 
-# Spans for shaping: a line item is a span of its order's "file".
-_SPANS = """spans AS (SELECT l_orderkey % 500 AS query_id, concat('f', l_suppkey % 5) AS path, CAST(l_partkey % 60 AS INTEGER) AS "start",
- CAST(l_partkey % 60 + l_quantity AS INTEGER) AS "end", round(l_discount + l_tax, 2) AS score FROM lineitem WHERE l_orderkey % 500 < 60 AND l_linenumber <= 2 AND l_orderkey < 6000)"""
+# Spans for shaping: a line item is a span of its supplier's "file".
+_SPANS = """spans AS (SELECT l_suppkey // 5 AS query_id, concat('f', l_suppkey % 5) AS path, CAST(l_partkey % 60 AS INTEGER) AS "start",
+ CAST(l_partkey % 60 + l_quantity AS INTEGER) AS "end", round(l_discount + l_tax, 2) AS score FROM lineitem)"""
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +144,7 @@ def merge_spans(spark: SparkSession, sf: str) -> DataFrame:
     return H.merge_spans(_spans(spark, sf), "query_id")
 
 
-_BUDGETED = """cut AS (SELECT *, coalesce(sum("end" - "start" + 1) OVER (PARTITION BY query_id ORDER BY score DESC, path, "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {}),
+_BUDGETED = """cut AS (SELECT *, coalesce(sum("end" - "start" + 1) OVER (PARTITION BY query_id ORDER BY score DESC, path, "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {}),
 kept AS (SELECT query_id, path, "start", CAST(least("end", "start" + 100 - before - 1) AS INTEGER) AS "end", score FROM cut WHERE before < 100)"""
 
 
@@ -153,13 +153,13 @@ def line_budget(spark: SparkSession, sf: str) -> DataFrame:
     return H.line_budget(H.merge_spans(_spans(spark, sf), "query_id"), "query_id", budget=100)
 
 
-@query(f"""WITH RECURSIVE {_MERGED}, top AS (SELECT query_id, path, "start", "end", score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, "start") AS r FROM merged) WHERE r <= 10),
+@query(f"""WITH RECURSIVE {_MERGED}, top AS (SELECT query_id, path, "start", "end", score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, "start", "end") AS r FROM merged) WHERE r <= 10),
 {_BUDGETED.format("top")} SELECT * FROM kept""")
 def shape_spans(spark: SparkSession, sf: str) -> DataFrame:
     return H.shape_spans(_spans(spark, sf), "query_id", budget=100)
 
 
-_RANKED_SPANS = """ranked AS (SELECT query_id, path, "start", "end", score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, "start") - 1 AS rank FROM merged)"""
+_RANKED_SPANS = """ranked AS (SELECT query_id, path, "start", "end", score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, "start", "end") - 1 AS rank FROM merged)"""
 _SENT = """sent AS (SELECT query_id, path, CAST(min("start") AS INTEGER) AS "start", CAST(min("start") + 10 AS INTEGER) AS "end" FROM spans WHERE path IN ('f1', 'f3') GROUP BY 1, 2)"""
 
 
@@ -378,7 +378,11 @@ def mrr_hit_recall(spark: SparkSession, sf: str) -> DataFrame:
     return ranking_metrics(_bm25(spark, sf, 10), _gold(spark, sf), "item_id", "doc_id")
 
 
-@query("SELECT d.doc_id, b.item_id, d.text = b.text AS exact FROM documents d JOIN benchmark b ON contains(trim(regexp_replace(regexp_replace(lower(d.text), '[^a-z0-9_''`@\\s]', '', 'g'), '\\s+', ' ', 'g'), ' '), trim(regexp_replace(regexp_replace(lower(b.text), '[^a-z0-9_''`@\\s]', '', 'g'), '\\s+', ' ', 'g'), ' ')) WHERE length(d.text) < 4000")
+_NORMAL = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9_''`@\\s]', '', 'g'), '\\s+', ' ', 'g'), ' ')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text AS body, {_NORMAL.format("text")} AS nb FROM documents), b AS (SELECT item_id, text, {_NORMAL.format("text")} AS nt FROM benchmark)
+SELECT doc_id, item_id, body = text AS exact FROM d JOIN b ON contains(nb, nt)""")
 def leakage_check(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", F.col("text").alias("body"), T.normalise_task(F.col("text")).alias("nb"))
     items = read(spark, sf, "benchmark").select("item_id", "text", T.normalise_task(F.col("text")).alias("nt"))

@@ -9,7 +9,7 @@ from spanlens.functions import text as T
 from spanlens.functions import vocab
 from spanlens.operators import session as S
 from spanlens.plans import duck as D
-from spanlens.plans.base import query, read, sql
+from spanlens.plans.base import query, read
 
 
 @query(f"""WITH f AS (SELECT conv_id, turn, text, len(list_distinct({D.content_terms('text')})) < 4 OR list_has_any(list_transform({D.words('text')}, lambda w: lower(w)), {D.in_list(vocab.BACK_REFERENCES)}) AS fu,
@@ -38,7 +38,10 @@ def handoff_top5(spark: SparkSession, sf: str) -> DataFrame:
     return top.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "span"))), lambda x: x["span"]).alias("spans"))
 
 
-sql("read_counts", "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS reads FROM events WHERE event_type = 'view'")
+@query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS reads FROM events WHERE event_type = 'view'")
+def read_counts(spark: SparkSession, sf: str) -> DataFrame:
+    views = read(spark, sf, "events").filter("event_type = 'view'")
+    return S.read_counts(views, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "reads")
 
 
 @query("""WITH e AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS epoch FROM events)
@@ -85,15 +88,12 @@ def budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return S.budget_prefix(read(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", 250.0).select("user_id", "event_id", "batch")
 
 
-sql(
-    "trace_last_n",
-    "WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE CAST(user_id AS @s) LIKE '1%') SELECT user_id, event_id, event_type, k FROM r WHERE k <= 5",
-    {"s": "STRING"},
-    {"s": "VARCHAR"},
-)
+@query("WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE CAST(user_id AS VARCHAR) LIKE '1%') SELECT user_id, event_id, event_type, k::INTEGER AS k FROM r WHERE k <= 5")
+def trace_last_n(spark: SparkSession, sf: str) -> DataFrame:
+    return S.last_entries(read(spark, sf, "events"), "user_id", ["ts", "event_id"], 5, prefix="1").select("user_id", "event_id", "event_type", "k")
 
 
-@query("SELECT conv_id, turn, substr(text, 1, 100) AS prompt, length(text) AS chars, turn > 0 AS later FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, substr(text, 1, 4000) AS prompt, length(text) AS chars, turn > 0 AS later FROM conversations WHERE role = 'user'")
 def capture_record(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "conversations").filter("role = 'user'")
     return rows.select("conv_id", "turn", F.substring("text", 1, 4000).alias("prompt"), F.length("text").cast("long").alias("chars"), (F.col("turn") > 0).alias("later"))

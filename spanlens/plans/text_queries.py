@@ -206,6 +206,17 @@ def test_path(spark: SparkSession, sf: str) -> DataFrame:
     return _page_paths(spark, sf).select("page_id", P.is_test(F.col("path")).alias("is_test"))
 
 
+@query(f"""
+WITH p AS (SELECT page_id, concat({_PATH}, CASE page_id % 5 WHEN 0 THEN '/tests/a.rs' WHEN 1 THEN '/test_b.py' WHEN 2 THEN '/c.spec.ts' WHEN 3 THEN '/Spec' ELSE '' END) AS path FROM pages)
+SELECT page_id, regexp_matches(path, '(^|/)(tests?|__tests__)/') OR starts_with(string_split(path, '/')[-1], 'test_') OR regexp_matches(string_split(path, '/')[-1], '(_test|\\.test|\\.spec)\\.[a-z]+$') AS by_task,
+  regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec)(/|$)|(^|/)test_[^/]*$|_test\\.\\w+$|\\.(test|spec)\\.\\w+$|(^|/)tests?\\.rs$') AS by_lookup FROM p""")
+def test_path_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """The two other definitions of a test path, for tasks and for lookups."""
+    more = F.expr("CASE page_id % 5 WHEN 0 THEN '/tests/a.rs' WHEN 1 THEN '/test_b.py' WHEN 2 THEN '/c.spec.ts' WHEN 3 THEN '/Spec' ELSE '' END")
+    path = F.concat(F.col("path"), more)
+    return _page_paths(spark, sf).select("page_id", P.is_test_task(path).alias("by_task"), P.is_test_lookup(path).alias("by_lookup"))
+
+
 @query(f"""
 WITH p AS (SELECT page_id, {_PATH} AS path FROM pages)
 SELECT page_id, CASE WHEN contains({_NAME}, '.') THEN {_EXT} IN ({', '.join(repr(e) for e in vocab.PROSE_EXTENSIONS)}) ELSE {_NAME} IN ({', '.join(repr(e) for e in vocab.PROSE_NAMES)}) END AS is_prose FROM p""")
@@ -313,7 +324,9 @@ def short_symbol(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", T.short_symbol(F.expr(_SYMBOL.replace("chr(10)", "'\\n'"))).alias("symbol"))
 
 
-@query("SELECT doc_id, concat('file: ', source, '/', lang, '/', doc_id, '.md (lines 1-', len(string_split(text, chr(10))), ')', chr(10), array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:16], ' ')) AS state FROM documents")
+@query("""WITH s AS (SELECT doc_id, concat('file: ', source, '/', lang, '/', doc_id, '.md (lines 1-', len(string_split(text, chr(10))), ')', chr(10), text) AS state FROM documents),
+t AS (SELECT doc_id, state, list_filter(string_split_regex(state, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS ws FROM s)
+SELECT doc_id, CASE WHEN len(ws) <= 256 THEN state ELSE regexp_extract(state, '^(?:[ \\t\\n\\x0B\\f\\r]*[^ \\t\\n\\x0B\\f\\r]+){256}') END AS state FROM t""")
 def render_state(spark: SparkSession, sf: str) -> DataFrame:
     state = F.concat(F.lit("file: "), F.col("path"), F.lit(" (lines 1-"), F.size(F.split("text", "\n")).cast("string"), F.lit(")\n"), F.col("text"))
     # The window is the scorer's, 256 tokens with the header; a token is a run of no blanks. A state within it stays as it is.
