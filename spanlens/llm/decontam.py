@@ -3,9 +3,11 @@
 Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased.  The
 least k-gram hash of each window of w k-grams is a fingerprint of a document; benchmark items
 get fingerprints in the same way.  Any shared span of w + k - 1 words holds a shared
-fingerprint, so joining the two finds every span of that length; a hit is then extended word by
-word along its alignment and counts if the whole run has `span` words or more.  Items shorter
-than `span` are one window of their own length, found by their full-length gram.
+fingerprint, so joining the two finds every span of that length; a hit is then extended: each
+window of `span` words around a shared fingerprint is looked up among the items' windows and
+compared word by word, and windows that touch become one span.  Items shorter than `span` are
+one window of their own length, looked up everywhere.  The work is linear in the text, whatever
+repeats in it or in the items.
 
 Scale: documents are read once per block of benchmark items and never shuffled; a block holds
 at most `block_chars` characters of items, so what is sent to the workers has a fixed bound and
@@ -26,69 +28,102 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlens.llm.common import freed, spread, table, text_blocks
-from spanlens.llm.words import alnum_hashes, grams
+from spanlens.llm.words import alnum_hashes, grams, mix
 
 SPAN, GRAM = 10, 5
 BLOCK_CHARS = 16_000_000
 
 
+class Windows:
+    """The windows of n words of a set of items: sorted hashes, where each can be read, and which items hold it.
+
+    Windows that the same items hold share a group, so a passage of many items names them once.
+    """
+
+    def __init__(self, words: np.ndarray, parts: list[tuple[int, int, int]], n: int):
+        """parts: (item, begin, end) of each text in `words`."""
+        self.n = n
+        marks, offsets, owners = [], [], []
+        for item, begin, end in parts:
+            mark, at = np.unique(grams(words[begin:end], n), return_index=True)
+            marks.append(mark)
+            offsets.append(at + begin)
+            owners.append(np.full(len(mark), item))
+        mark, at, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (marks, offsets, owners))
+        order = np.lexsort((owner, mark))
+        mark, at, owner = mark[order], at[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]])) if len(mark) else np.zeros(0, np.int64)
+        self.mark, self.at = mark[first], at[first]
+        ends = np.concatenate([first[1:], [len(mark)]]).astype(np.int64)
+        if len(first):
+            key = mix(np.add.reduceat(mix(owner.astype(np.uint64) + np.uint64(1)), first) + (ends - first).astype(np.uint64))
+            _, some, self.group = np.unique(key, return_index=True, return_inverse=True)
+        else:
+            some, self.group = first, first
+        self.owners = [owner[first[k] : ends[k]] for k in some]
+
+    def find(self, words: np.ndarray, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts in h where a window lies, word for word, and the groups met."""
+        if not len(starts) or not len(self.mark):
+            return starts[:0], starts[:0]
+        w = np.full(len(starts), np.uint64(self.n), np.uint64)
+        for i in range(self.n):
+            w = mix(w + h[starts + i])
+        k = np.minimum(np.searchsorted(self.mark, w), len(self.mark) - 1)
+        hit = np.flatnonzero(self.mark[k] == w)
+        for i in range(self.n):
+            hit = hit[words[self.at[k[hit]] + i] == h[starts[hit] + i]]
+        return starts[hit], np.unique(self.group[k[hit]])
+
+
 class Items:
     """A block of benchmark items, ready to be looked for."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]], span: int = SPAN, gram: int = GRAM):
         self.span, self.gram, self.window = span, gram, span - gram + 1
         self.ids = [i for i, _ in items]
-        self.words = [h for _, h in items]
-        marks, where = [], []
-        shorts: dict[int, list[tuple[int, int]]] = {}
-        for n, h in enumerate(self.words):
-            if 0 < len(h) < span:
-                shorts.setdefault(len(h), []).append((int(grams(h, len(h))[0]), n))
-            elif len(h):
+        self.words = np.concatenate([h for _, h in items]) if items else np.zeros(0, np.uint64)
+        marks, parts, at = [np.zeros(0, np.uint64)], {}, 0
+        for n, (_, h) in enumerate(items):
+            if len(h):
+                parts.setdefault(min(span, len(h)), []).append((n, at, at + len(h)))
+            if len(h) >= span:
                 g = grams(h, gram)
-                at = winnow(g, self.window)
-                marks.append(g[at])
-                where.append(np.stack([np.full(len(at), n), at], axis=1))
-        mark = np.concatenate(marks) if marks else np.zeros(0, np.uint64)
-        order = np.argsort(mark, kind="stable")
-        self.mark = mark[order]
-        self.where = (np.concatenate(where) if where else np.zeros((0, 2), int))[order]
-        self.shorts = {}
-        for n, rows in shorts.items():
-            rows.sort()
-            self.shorts[n] = (np.array([m for m, _ in rows], np.uint64), np.array([i for _, i in rows]))
+                marks.append(g[winnow(g, self.window)])
+            at += len(h)
+        self.mark = np.unique(np.concatenate(marks))
+        self.tables = [Windows(self.words, rows, n) for n, rows in sorted(parts.items())]
+
+    def places(self, h: np.ndarray, n: int) -> np.ndarray:
+        """Where a window of n words may begin: around shared fingerprints, or anywhere for items too short to have any."""
+        if len(h) < n:
+            return np.zeros(0, np.int64)
+        if n < self.span:
+            return np.arange(len(h) - n + 1)
+        g = grams(h, self.gram)
+        at = winnow(g, self.window)
+        k = np.minimum(np.searchsorted(self.mark, g[at]), len(self.mark) - 1)
+        hit = at[self.mark[k] == g[at]]
+        starts = np.unique(hit[:, None] - np.arange(self.window)[None, :])
+        return starts[(starts >= 0) & (starts <= len(h) - n)]
 
     def hits(self, h: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans (start, end) of words that are hit, and the ids of the items with a window in the text."""
-        spans: list[tuple[int, int]] = []
         found: set[str] = set()
-        if len(h) >= self.span and len(self.mark):
-            g = grams(h, self.gram)
-            at = winnow(g, self.window)
-            lo = np.searchsorted(self.mark, g[at])
-            hi = np.searchsorted(self.mark, g[at], side="right")
-            alignments: set[tuple[int, int]] = set()
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                alignments.update((int(item), p - int(q)) for item, q in self.where[a:b])
-            for item, shift in alignments:
-                w = self.words[item]
-                first, last = max(0, shift), min(len(h), shift + len(w))
-                same = np.concatenate([[0], (h[first:last] == w[first - shift : last - shift]).astype(np.int8), [0]])
-                edges = np.flatnonzero(np.diff(same))
-                for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    if e - s >= self.span:
-                        spans.append((first + s, first + e))
-                        found.add(self.ids[item])
-        for n, (marks, items) in self.shorts.items():
-            if len(h) >= n:
-                g = grams(h, n)
-                lo, hi = np.searchsorted(marks, g), np.searchsorted(marks, g, side="right")
-                for p in np.flatnonzero(hi > lo).tolist():
-                    whole = [i for i in items[lo[p] : hi[p]].tolist() if np.array_equal(self.words[i], h[p : p + n])]
-                    if whole:
-                        spans.append((p, p + n))
-                        found.update(self.ids[i] for i in whole)
-        return merged(spans), found
+        edge = None
+        for table in self.tables:
+            starts, groups = table.find(self.words, h, self.places(h, table.n))
+            if len(starts):
+                edge = np.zeros(len(h) + 1, np.int64) if edge is None else edge
+                edge[starts] += 1
+                edge[starts + table.n] -= 1
+                for g in groups.tolist():
+                    found.update(self.ids[i] for i in table.owners[g].tolist())
+        if edge is None:
+            return [], found
+        inside = np.concatenate([[False], np.cumsum(edge) > 0]).astype(np.int8)
+        turns = np.flatnonzero(np.diff(inside))
+        return list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)), found
 
 
 def winnow(g: np.ndarray, window: int) -> np.ndarray:
@@ -131,8 +166,6 @@ def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text",
     yield block
 
 
-
-
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: its key, n_words, spans of hit words and the items with windows in it.
 
