@@ -8,13 +8,13 @@ Scale: lines leave the scan as (host, hashes) and are counted with partial sums
 shuffle.  The shares of a host's lines add up to its mean number of lines a page, so a host
 has at most (lines a page) / ratio boilerplate lines: a short array, joined to the pages by
 host.  Hosts with more than a thousandth of all pages are at most a thousand: their arrays are
-broadcast.  The others' join shuffles, and pages of the large hosts take part under keys of
-their own, so no task gets a large host.
+broadcast, and their pages are never shuffled.  Only the pages of other hosts are, and no task
+gets a large host.
 
 Defined results: null text counts as a page without lines and stays null; a null host is a
 host of its own; repeated rows count as pages of their own; a page of boilerplate only becomes
-the empty text; an empty table gives an empty result.  Other columns pass through; working
-columns start with `_ld_`.
+the empty text; an empty table gives an empty result.  Other columns pass through, whatever
+their names; a name asked for the counts that is taken is an error.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm.common import table
+from spanlens.llm.common import free_names, table
 
 RATIO = 0.05
 MIN_PAGES = 5
@@ -39,49 +39,56 @@ def _lines(text: Column) -> Column:
 LARGE = 1_000  # a host is large if it has more than one in so many pages
 
 
+def _host(host: str) -> Column:
+    return F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("-"))
+
+
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(_ld_host, _ld_pages, _ld_drop: marks of the lines to drop) for hosts that have any."""
-    host_key = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("-"))
-    pages = docs.groupBy(host_key.alias("_ld_host")).agg(F.count("*").alias("_ld_pages"))
+    """(host_key, pages, drop: marks of the lines to drop) for hosts that have any."""
+    pages = docs.groupBy(_host(host).alias("host_key")).agg(F.count("*").alias("pages"))
     marks = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x) != ""), _mark))
-    lines = docs.select(host_key.alias("_ld_host"), F.explode(marks).alias("_ld_mark"))
-    often = lines.groupBy("_ld_host", "_ld_mark").agg(F.count("*").alias("_ld_n")).filter(F.col("_ld_n") >= min_pages)
+    lines = docs.select(_host(host).alias("host_key"), F.explode(marks).alias("mark"))
+    often = lines.groupBy("host_key", "mark").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     return (
-        often.join(pages, "_ld_host")
-        .filter(F.col("_ld_n") > F.col("_ld_pages") * ratio)
-        .groupBy("_ld_host")
-        .agg(F.first("_ld_pages").alias("_ld_pages"), F.collect_list("_ld_mark").alias("_ld_drop"))
+        often.join(pages, "host_key")
+        .filter(F.col("n") > F.col("pages") * ratio)
+        .groupBy("host_key")
+        .agg(F.first("pages").alias("pages"), F.collect_list("mark").alias("drop"))
     )
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The rows with boilerplate lines gone from `text`, plus _ld_lines and _ld_dropped (line counts)."""
-    drop = boilerplate(docs, host, text, ratio, min_pages)
-    host_key = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("-"))
-    n = docs.count()
-    large = F.col("_ld_pages") * LARGE > n
-    hosts = docs.groupBy(host_key.alias("_ld_host")).agg(F.count("*").alias("_ld_pages")).filter(large).select("_ld_host")
-    few = hosts.join(drop.select("_ld_host", F.col("_ld_drop").alias("_ld_large")), "_ld_host", "left").withColumn("_ld_is_large", F.lit(True))
-    many = drop.filter(~large).select(F.col("_ld_host").alias("_ld_key"), F.col("_ld_drop").alias("_ld_small"))
-    joined = docs.withColumn("_ld_host", host_key).join(F.broadcast(few), "_ld_host", "left")  # fewer than LARGE rows
-    own = F.concat(F.lit("own "), F.xxhash64(F.col(text), F.monotonically_increasing_id()).cast("string"))
-    joined = joined.withColumn("_ld_key", F.when(F.col("_ld_is_large").isNull(), F.col("_ld_host")).otherwise(own)).join(many, "_ld_key", "left")
-    joined = joined.withColumn("_ld_drop", F.coalesce("_ld_large", "_ld_small")).drop("_ld_key", "_ld_large", "_ld_small", "_ld_is_large")
+def drop_boilerplate(
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, lines_out: str = "n_lines", dropped_out: str = "n_dropped"
+) -> DataFrame:
+    """The rows with boilerplate lines gone from `text`, plus how many lines they had and lost."""
+    for name in (lines_out, dropped_out):
+        if name in docs.columns:
+            raise ValueError(f"documents have a column {name} already")
+    key, drop, kept = free_names([*docs.columns, lines_out, dropped_out], "_key", "_drop", "_kept")
+    found = boilerplate(docs, host, text, ratio, min_pages).select(F.col("host_key").alias(key), "pages", F.col("drop").alias(drop))
+    large = F.col("pages") * LARGE > docs.count()
+    hosts = docs.groupBy(_host(host).alias(key)).agg(F.count("*").alias("pages")).filter(large).select(key)
+    few = hosts.join(found.select(key, drop), key, "left")
+    keyed = docs.withColumn(key, _host(host))
+    # Fewer than LARGE rows are broadcast; only pages of the other hosts are shuffled.
+    in_large = keyed.join(F.broadcast(few), key)
+    in_small = keyed.join(F.broadcast(hosts), key, "left_anti").join(found.filter(~large).select(key, drop), key, "left")
+    joined = in_large.unionByName(in_small)
     lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_ld_drop"), _mark(x)), F.lit(False)) | (F.trim(x) == ""))
-    new = joined.withColumn("_ld_kept", F.when(F.col("_ld_drop").isNull(), lines).otherwise(kept)).withColumn("_ld_lines", F.coalesce(F.size(lines), F.lit(0)))
-    return (
-        new.withColumn("_ld_dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("_ld_lines") - F.size("_ld_kept")))
-        .withColumn("_ld_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("_ld_lines")))
-        .withColumn(text, F.when(F.col("_ld_drop").isNull(), F.col(text)).otherwise(F.array_join("_ld_kept", "\n")))
-        .drop("_ld_host", "_ld_drop", "_ld_kept")
+    stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(drop), _mark(x)), F.lit(False)) | (F.trim(x) == ""))
+    new = joined.withColumn(kept, F.when(F.col(drop).isNull(), lines).otherwise(stay))
+    null, before = F.col(text).isNull(), F.size(lines)
+    return new.select(
+        *(F.col(c) if c != text else F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) for c in docs.columns),
+        F.when(null, 0).otherwise(before).alias(lines_out),
+        F.when(null, 0).otherwise(before - F.size(kept)).alias(dropped_out),
     )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text rid of the lines that are boilerplate on its source."""
     docs = drop_boilerplate(table(spark, sf_dir, "documents"))
-    return docs.select("doc_id", "source", F.col("_ld_lines").cast("long").alias("n_lines"), F.col("_ld_dropped").cast("long").alias("n_dropped"), "text")
+    return docs.select("doc_id", "source", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), "text")
 
 
 OP8_SQL = f"""
