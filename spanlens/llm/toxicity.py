@@ -1,23 +1,27 @@
 """Toxicity of texts behind obfuscation: a noisy channel is undone first, then words are scored.
 
-Restoring.  A token of letters only, give or take punctuation at its ends, stays as it is.  Any
-other token with letters, and any run of three or more single characters, becomes a lattice: a
+Restoring.  A token of letters only, give or take punctuation at its ends, stays as it is, and a
+number says nothing.  Any other token with letters or with symbols that stand for letters, and
+any run of three or more single characters, becomes a lattice: a
 digit or symbol may stand for letters (leetspeak), a separator or blank may be dropped or split
 words (spacing), a character said three times or more is one or two (repetition).  Viterbi
 decoding under an interpolated character trigram model, with a cost for each change, picks the
 restored words.
 
 Scoring.  A document is the set of its restored words and their beginnings of 4, 5 and 6
-letters.  The features whose presence differs most between toxic and other labelled documents
-(likelihood ratio) go into a logistic regression fitted in numpy.
+letters.  The features whose presence differs between toxic and other labelled documents (by
+likelihood ratio) go into a logistic regression fitted in numpy; how large the ratio must be and
+how strong the ridge is, is chosen by cross-validation within the documents learned from.
 
-Bounds.  Everything is learned from at most `max_docs` labelled documents (those least by a
-hash of their key), `max_features` features and `max_trigrams` trigrams; that many numbers
-reach the driver and the workers.  Texts are read once, whole, and are never shuffled.
+Bounds.  The classifier is fitted on at most `max_docs` labelled documents (those least by a
+hash of their key), and what they hold bounds its features.  The character model counts the
+trigrams of all documents; those of less than one in a million (`rare`) are left to smoothing, so
+at most a million reach the driver and the workers.  Texts are never shuffled.
 
 Defined results: null and empty texts get the score of no features; without labels of both
 kinds the score is the smoothed share of toxic labels (0.1 if there are none); repeated labels
-of a document count as their maximum; null labels and labels without a document are left out.
+of a document count as their maximum; null labels and labels without a document are left out;
+of several texts under one key the least is learned from.
 Other columns pass through `annotate`, whose score column has a name of the caller's choice.
 """
 
@@ -35,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm.common import freed, materialise, spread, table, text_blocks
+from spanlens.llm.common import discard, freed, materialise, spread, table, text_blocks
 
-MAX_DOCS, MAX_FEATURES, MAX_TRIGRAMS = 20_000, 4_000, 50_000
+MAX_DOCS, RARE = 20_000, 1e-6
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
 
@@ -46,8 +50,13 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SEPARATORS = frozenset(".-_*~'`^,:;/\\=#%&·•")
 EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…¿¡-–—_*~`"
 
+# Least likelihood ratios of a feature and ridges that cross-validation chooses from.
+EVIDENCE, RIDGES = (4.0, 8.0), (0.1, 0.5)
+
 LEET_COST, DROP_COST, SPLIT_COST, TWICE_COST, LITERAL_COST = 0.7, 0.4, 1.5, 0.5, 1.0
-_SINGLES = re.compile(r"(?:^|(?<=\s))\S(?:\s\S){2,}(?=\s|$)")
+_SINGLES = re.compile(r"(?:^|(?<=\s))\S(?:\s+\S){2,}(?=\s|$)")
+_SYMBOLS = frozenset(c for c in LEET if not c.isdigit())
+_AMOUNT = re.compile(r"[$€£+]?[\d.,:/%+-]*[$€£+]?")
 _THRICE = re.compile(r"(.)\1\1")
 _TAIL = re.compile(r"(?:([^\w\s])\1\1+[" + re.escape(EDGE) + r"]*)+$")
 
@@ -119,9 +128,10 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 def restore(token: str, model: CharModel) -> list[str]:
     """The likeliest words behind a token, by Viterbi over the last two characters."""
-    states: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
-    for reads in lattice(token[:400]) if len(token) <= 400 else [r for at in range(0, len(token), 400) for r in lattice(token[at : at + 400])]:
-        following: dict[str, tuple[float, str]] = {}
+    # Of each state: the cost, and what was read last with what led there.
+    states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
+    for reads in lattice(token):
+        following: dict[str, tuple[float, tuple | None]] = {}
         for last, (cost, said) in states.items():
             for word, extra in reads:
                 total, two = cost + extra, last
@@ -131,20 +141,26 @@ def restore(token: str, model: CharModel) -> list[str]:
                     total -= model.log(two + c)
                     two = two[1] + c
                 if two not in following or total < following[two][0]:
-                    following[two] = (total, said + word)
+                    following[two] = (total, (said, word) if word else said)
         states = following
-    end = min(((cost - (model.log(two + " ") if two[1] != " " else 0.0), said) for two, (cost, said) in states.items()))
-    return end[1].split()
+    _, two = min((cost - (model.log(two + " ") if two[1] != " " else 0.0), two) for two, (cost, _) in states.items())
+    parts, said = [], states[two][1]
+    while said is not None:
+        said, word = said
+        parts.append(word)
+    return "".join(reversed(parts)).split()
 
 
 def plain(token: str) -> str | None:
-    """The token without its edges if nothing is hidden in it; None if it needs decoding; empty if it has no letters."""
+    """The token without its edges if nothing is hidden in it; None if it needs decoding; empty if it says nothing."""
     core = token.strip(EDGE)
     if not core.isalpha():
         core = _TAIL.sub("", core).strip(EDGE)
     if core.isalpha():
         return None if _THRICE.search(core) else core
-    return None if any(c.isalpha() for c in core) else ""
+    if any(c.isalpha() for c in core):
+        return None
+    return "" if _SYMBOLS.isdisjoint(core) or _AMOUNT.fullmatch(core) else None
 
 
 class Restorer(dict):
@@ -229,42 +245,67 @@ def logistic(rows: list[list[int]], y: np.ndarray, n: int, ridge: float = 0.1, s
     return w, b
 
 
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    usable: Column | None = None,
-    key: str = "doc_id",
-    text: str = "text",
-    label: str = "toxic",
-    max_docs: int = MAX_DOCS,
-    max_features: int = MAX_FEATURES,
-    max_trigrams: int = MAX_TRIGRAMS,
-) -> Model:
+def chosen(rows: list[list[int]], y: np.ndarray, ratios: np.ndarray) -> tuple[float, float]:
+    """Evidence and ridge of the least loss on documents held back in turn, by halves of those learned from."""
+    fold = np.arange(len(y)) % 2
+    best = (math.inf, EVIDENCE[0], RIDGES[0])
+    for evidence in EVIDENCE:
+        left = np.cumsum(ratios > evidence) - 1
+        kept = [[int(left[f]) for f in r if ratios[f] > evidence] for r in rows]
+        for ridge in RIDGES:
+            loss = 0.0
+            for part in (0, 1):
+                w, b = logistic([r for r, f in zip(kept, fold, strict=True) if f != part], y[fold != part], int(left[-1]) + 1, ridge, 100)
+                z = np.array([w[r].sum() + b for r, f in zip(kept, fold, strict=True) if f == part])
+                loss += float(np.logaddexp(0, np.where(y[fold == part] > 0, -z, z)).sum())
+            if loss < best[0] - 1e-9:
+                best = (loss, evidence, ridge)
+    return best[1], best[2]
+
+
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n) of the plain words of texts, summed while there is room."""
+    seen: Counter = Counter()
+
+    def said() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
+
+    for batch in text_blocks(batches, "_t"):
+        words: Counter = Counter()
+        for body in batch.column(0).to_pylist():
+            if body:
+                words.update(body.lower().split())
+        for token, n in words.items():
+            word = plain(token)
+            if word:
+                padded = f"  {word} "
+                for i in range(len(padded) - 2):
+                    seen[padded[i : i + 3]] += n
+        if len(seen) > 500_000:
+            yield said()
+            seen.clear()
+    yield said()
+
+
+def characters(texts: DataFrame, rare: float = RARE) -> CharModel:
+    """The character model of all texts (a table with the column `_t`)."""
+    counted = materialise(texts.mapInArrow(freed(_trigrams), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "trigrams")
+    least = rare * (counted.agg(F.sum("n")).first()[0] or 0)
+    model = CharModel({r.gram: r.n for r in counted.filter(F.col("n") >= least).collect()})
+    discard(counted)
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS, rare: float = RARE) -> Model:
     """Learns from the labelled documents whose `usable` (an expression on the key) is true."""
     known = labels.select(F.col(key).cast("long").alias("_k"), F.col(label).cast("double").alias("_y")).dropna()
     if usable is not None:
         known = known.filter(usable)
-    chosen = known.groupBy("_k").agg((F.max("_y") > 0).cast("long").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(max_docs)
+    asked = known.groupBy("_k").agg((F.max("_y") > 0).cast("long").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(max_docs)
     texts = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t"))
-    sample = materialise(texts.join(F.broadcast(chosen), "_k"), "labelled")
-    sample = sample.repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism), "_k")
-
-    def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in text_blocks(batches, "_t"):
-            words: Counter = Counter()
-            for body in batch.column(1).to_pylist():
-                words.update((body or "").lower().split())
-            for token, n in words.items():
-                word = plain(token)
-                if word:
-                    padded = f"  {word} "
-                    for i in range(len(padded) - 2):
-                        seen[padded[i : i + 3]] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
-
-    counted = sample.mapInArrow(freed(trigrams), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    chars = CharModel({r.gram: r.n for r in counted.orderBy(F.desc("n"), "gram").limit(max_trigrams).collect()})
+    stored = materialise(texts.join(F.broadcast(asked), "_k").groupBy("_k", "_y").agg(F.min("_t").alias("_t")).select("_k", "_t", "_y"), "labelled")
+    sample = stored.repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism), "_k")
+    chars = characters(texts.select("_t"), rare)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(chars)
@@ -287,7 +328,7 @@ def fit(
     # Likelihood ratio of "the feature comes with toxic documents at a rate of its own" against the common rate.
     n = F.col("no") + F.col("yes")
     gain = F.when(F.col("yes") > 0, F.col("yes") * F.log(F.col("yes") / (n * p))).otherwise(0.0) + F.when(F.col("no") > 0, F.col("no") * F.log(F.col("no") / (n * (1 - p)))).otherwise(0.0)
-    best = seen.select("f", gain.alias("g")).filter("g > 5").orderBy(F.desc("g"), "f").limit(max_features).collect()
+    best = seen.select("f", gain.alias("g")).filter(F.col("g") > min(EVIDENCE)).orderBy(F.desc("g"), "f").collect()
     numbers = {r.f: i for i, r in enumerate(best)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,8 +338,14 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], names=["_k", "x", "_y"])
 
     rows = sorted(sample.mapInArrow(freed(vectors), "_k long, x array<int>, _y long").collect())
-    weights, bias = logistic([r.x for r in rows], np.array([r._y for r in rows], float), len(numbers))
-    return Model(chars, numbers, weights, bias)
+    discard(stored)
+    xs, y = [r.x for r in rows], np.array([r._y for r in rows], float)
+    if not numbers:
+        return Model(chars, {}, *logistic(xs, y, 0))
+    least, ridge = chosen(xs, y, np.array([r.g for r in best]))
+    kept = sum(r.g > least for r in best)  # numbers go by falling ratio
+    weights, bias = logistic([[f for f in x if f < kept] for x in xs], y, kept, ridge)
+    return Model(chars, {f: i for f, i in numbers.items() if i < kept}, weights, bias)
 
 
 def annotate(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
