@@ -1,17 +1,16 @@
 """URL filter: rules, and gradient-boosted trees on lexical features for the rest.
 
 A rule `host/path` fits a host and all its subdomains if the URL's path starts with the rule's
-path; the longest rule wins.  URLs that a rule fits are the labelled ones; as rules pick whole
-suffixes and paths, what they leave out counts as weakly allowed, else a suffix with rules of
-one kind would condemn all its hosts.  The trees learn from at most `max_rows` distinct URLs of
-each sort (least by hash), the others' weights adding up to half the labelled ones', and judge
-every URL without a rule.  Every feature and every tree is a SQL expression; only that bounded
-sample of numbers reaches the driver, where the trees are grown in numpy.  Suffix statistics
-(pages and labelled verdicts for each last host label) count all rows.
+path; the longest rule wins.  URLs that a rule fits are the labelled ones.  The trees learn from
+them alone, at most `max_rows` distinct ones (least by hash), and judge every URL without a
+rule.  Every feature and every tree is a SQL expression; only that bounded sample of numbers
+reaches the driver, where the trees are grown in numpy.  Suffix statistics (pages of each last
+host label, and their mean length) count all rows; labels are no part of them, as rules pick
+whole suffixes.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits no rule and
 is judged by its features (zeros for null); repeated rows are judged alike; without labels of
-both kinds the verdict is the weighted majority, `allow` if there are none; an empty table gives
+both kinds the verdict is the only one, `allow` if there are none; an empty table gives
 no rows.  Other columns are not read.
 """
 
@@ -27,7 +26,7 @@ from spanlens.llm.common import ascii_lower, table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MAX_ROWS = 20_000
-FEATURES = ("length", "host_length", "path_length", "depth", "dots", "hyphens", "digit_ratio", "entropy", "parameters", "secure", "fragment", "host_digits", "suffix_pages", "suffix_block_rate")
+FEATURES = ("length", "host_length", "path_length", "depth", "dots", "hyphens", "digit_ratio", "entropy", "parameters", "secure", "fragment", "host_digits", "suffix_pages", "suffix_length")
 
 
 def host_of(url: Column) -> Column:
@@ -146,24 +145,17 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
     known = parts.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_suffix", F.substring_index("host", ".", -1))
     suffixes = known.groupBy("_suffix").agg(
         F.log1p(F.count("*").cast("double")).alias("suffix_pages"),
-        ((F.count(F.when(F.col("_rule.verdict") == "block", 1)) + 1.0) / (F.count("_rule.rule") + 2.0)).alias("suffix_block_rate"),
+        F.coalesce(F.avg(F.length("_url")), F.lit(0.0)).alias("suffix_length"),
     )
     lex = lexical(F.col("_url"), F.col("host"), F.col("path"))
     names = ("_url", "host", "path", "_suffix")
-    labelled = F.col("_rule").isNotNull()
-
-    def sample(rows: DataFrame, y: Column) -> np.ndarray:
-        distinct = rows.filter(F.col("_url").isNotNull()).select(*names, y.alias("_y")).groupBy(*names, "_y").agg(F.lit(1))
-        chosen = distinct.orderBy(F.xxhash64("_url"), "_url").limit(max_rows).join(suffixes, "_suffix", "left")
-        found = chosen.select("_y", *(lex[f].alias(f) if f in lex else F.col(f) for f in FEATURES)).collect()
-        data = np.array([tuple(r) for r in found], dtype=float).reshape(len(found), 1 + len(FEATURES))
-        return data[np.lexsort(data.T[::-1])]  # the order rows arrive in doesn't matter
-
-    sure = sample(known.filter(labelled), (F.col("_rule.verdict") == "block").cast("double"))
-    weak = sample(known.filter(~labelled), F.lit(0.0))
-    data = np.concatenate([sure, weak])
-    share = 0.5 * len(sure) / max(1, len(weak))
-    trees = grow(data[:, 1:], data[:, 0], np.concatenate([np.ones(len(sure)), np.full(len(weak), min(1.0, share))]))
+    # A URL's labels agree: the rule follows from the URL.
+    distinct = known.filter(F.col("_rule").isNotNull()).select(*names, (F.col("_rule.verdict") == "block").cast("double").alias("_y")).groupBy(*names, "_y").agg(F.lit(1))
+    chosen = distinct.orderBy(F.xxhash64("_url"), "_url").limit(max_rows).join(suffixes, "_suffix", "left")
+    found = chosen.select("_y", *(lex[f].alias(f) if f in lex else F.col(f) for f in FEATURES)).collect()
+    data = np.array([tuple(r) for r in found], dtype=float).reshape(len(found), 1 + len(FEATURES))
+    data = data[np.lexsort(data.T[::-1])]  # the order rows arrive in doesn't matter
+    trees = grow(data[:, 1:], data[:, 0], np.ones(len(data)))
     scored = known.join(suffixes, "_suffix", "left")
     named = scored.select(key, "host", "path", "_rule", *(lex[f].alias(f"_{f}") if f in lex else F.col(f).alias(f"_{f}") for f in FEATURES))
     score = trees.column({f: F.col(f"_{f}") for f in FEATURES})
