@@ -10,20 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlens.llm import decontam, linededup, minhash, packing, toxicity
-from spanlens.llm.common import materialise, table
+from spanlens.llm.common import discard, free_names, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from `labels` and drops documents whose score is at the threshold or above."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.annotate(docs, model, out="_toxicity")
-    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
+    (name,) = free_names(docs.columns, "_toxicity")
+    return toxicity.annotate(docs, model, out=name).filter(F.col(name) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes boilerplate lines of each source out of the texts; n_chars follows."""
-    cut = linededup.drop_boilerplate(docs)
-    changed = F.col("_ld_dropped") > 0
+    lines, dropped = free_names(docs.columns, "_lines", "_dropped")
+    cut = linededup.drop_boilerplate(docs, lines_out=lines, dropped_out=dropped)
+    changed = F.col(dropped) > 0
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
@@ -64,5 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
