@@ -318,7 +318,12 @@ def test_attention_windows_score_each_id_once_and_sum_to_one():
     starts[:20] = starts[end] = True
     counts = rng.integers(1, 50, v).astype(float)
     runs = [np.concatenate([[end], rng.integers(0, 39, 200), [end]]) for _ in range(20)]
-    model = lm.train(counts, runs, starts, head=6, tail=3, own_rows=12, span=4, epochs=1)
+    beside = (rng.integers(0, v, 300), rng.integers(0, 14, 300), rng.integers(1, 9, 300).astype(float))
+    sh = lm.shape(counts, beside, 6, 3, 12)
+    pairs, seen = lm.bigrams(runs, sh)
+    bigram = lm.odds(pairs)
+    fitted = lm.train(lm.initial(sh.v, sh.c, 4), lm.windows_of(runs, 4), sh.row, sh.klass, bigram, 4, epochs=2)
+    model = lm.assemble(counts, starts, sh, bigram, seen, fitted, 4)
     ids = rng.integers(0, 39, 33)
     # Chances of all next ids after a prefix add up to one.
     rows = model.row[np.concatenate([[end], ids])]
@@ -335,6 +340,62 @@ def test_attention_windows_score_each_id_once_and_sum_to_one():
     assert abs(total - 1) < 1e-4
     # Scoring texts together or alone is the same.
     each, words = np.ones(33, np.int64), np.array([10, 0, 23])
-    both = model.score(ids, each, words, np.zeros(33), 0.3, end, 0.1)
-    alone = [model.score(ids[a:b], each[a:b], np.array([b - a]), np.zeros(b - a), 0.3, end, 0.1)[0] for a, b in ((0, 10), (10, 10), (10, 33))]
-    assert np.allclose(both, alone)
+    both, logs = model.score(ids, each, words, np.zeros(33), 0.3, end, 0.1)
+    alone = [model.score(ids[a:b], each[a:b], np.array([b - a]), np.zeros(b - a), 0.3, end, 0.1)[0][0] for a, b in ((0, 10), (10, 10), (10, 33))]
+    assert np.allclose(both, alone) and len(logs) == 33
+
+
+def test_attention_stays_finite_with_large_weights():
+    rng = np.random.default_rng(8)
+    counts, starts = np.ones(20), np.ones(20, bool)
+    sh = lm.shape(counts, (np.zeros(0, int),) * 3, 4, 2, 8)
+    weights = {k: x * 200 for k, x in lm.initial(sh.v, sh.c, 4).items()}
+    weights["o"] = rng.normal(0, 300, weights["o"].shape).astype(np.float32)
+    model = lm.assemble(counts, starts, sh, lm.odds(np.ones((sh.v, sh.c))), np.ones((sh.c, sh.v)), weights, 4)
+    scores, _ = model.score(rng.integers(0, 19, 50), np.ones(50, np.int64), np.array([50]), np.zeros(50), 0.3, 19, 0.1)
+    assert np.isfinite(scores).all()
+
+
+def brute_memory(rows, every, trust):
+    """What each document's score owes to remembered contexts, given ln P of its words without them."""
+    import xxhash
+
+    from spanlens.llm.words import grams
+
+    def chosen(text):
+        w = [x.encode() for x in BLANK_WORD.findall(lower(text))]
+        h = np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64)
+        for i in range(4, len(w)):
+            c = int(grams(h[i - 4 : i], 4)[0])
+            if c % every == 0:
+                yield i, tuple(w[i - 4 : i]), w[i]
+
+    seen = defaultdict(Counter)
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2:
+            for _, before, after in chosen(r["text"]):
+                seen[before][after] += 1
+    best = {}
+    for before, nexts in seen.items():
+        n = max(nexts.values())
+        if n >= 2:
+            best[before] = ({w for w, k in nexts.items() if k == n}, trust * (n - 1) / sum(nexts.values()))
+    return {r["doc_id"]: [(i, best[b][1], a in best[b][0] if len(best[b][0]) == 1 else None) for i, b, a in chosen(r["text"]) if b in best] for r in rows}
+
+
+def test_lm_remembers_what_training_texts_repeat(spark, sf, rows):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    fitted, known = lm.fit(docs.filter(~toxicity.held_out("doc_id", 7, 2)), contexts=2)
+    with_memory = {r.doc_id: r.score for r in lm.score(docs, fitted, known).collect()}
+    without = {r.doc_id: r.score for r in lm.score(docs, fitted, known.filter("trust is null")).collect()}
+    met = brute_memory(rows, 2, lm.TRUST)
+    assert sum(map(len, met.values())) > 200
+    for i, hits in met.items():
+        if not hits:
+            assert abs(with_memory[i] - without[i]) < 1e-9
+        elif any(right is None for _, _, right in hits):
+            continue  # words that follow equally often: either may be remembered
+        elif all(not right for _, _, right in hits):
+            assert abs(with_memory[i] - without[i] - sum(math.log10(1 - t) for _, t, _ in hits)) < 1e-6
+        elif all(right for _, _, right in hits):
+            assert with_memory[i] > without[i]
