@@ -9,11 +9,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanlens.config import RetrieverConfig
+from spanlens.functions import paths
 from spanlens.functions import text as T
 from spanlens.operators import ast_chunk, expand, index, lookup, retrieve, shape
 from spanlens.operators.score import LexicalScorer, Scorer
+from spanlens.sources.store import stored
+
+PER_TERM = 200
 
 
 @dataclass(frozen=True)
@@ -32,19 +37,34 @@ class Engine:
         refs = chunks.select("chunk_id", F.posexplode("refs").alias("pos", "ident"))
         return cls(chunks, index.build(chunks, "chunk_id", body, config.max_tf), index.inverted(chunks, "defines"), refs, config)
 
+    def written(self) -> Engine:
+        """The engine with chunks and postings written to the shared folder once; every later answer reads those."""
+        chunks = stored(self.chunks, "chunks")
+        refs = chunks.select("chunk_id", F.posexplode("refs").alias("pos", "ident"))
+        return Engine(chunks, index.written(self.index), index.inverted(chunks, "defines"), refs, self.config)
+
     def candidates(self, prompts: DataFrame, query: str = "query_id", prompt: str = "prompt") -> DataFrame:
         """(query, chunk_id, path, fused, rank): three ranked lists of each prompt, fused and capped per file."""
         c = self.config
         asked = prompts.select(query, T.content_terms(T.task_focus(F.col(prompt))).alias("terms"))
         chosen = retrieve.select_terms(retrieve.prepare_terms(asked, query, "terms"), self.index.term_df, query, c.max_terms, c.df_budget)
-        lexical = retrieve.bm25(chosen, self.index, query, "chunk_id", 2 * c.k_candidates)
+        limit = 2 * c.k_candidates
+        lexical = retrieve.bm25(chosen, self.index, query, "chunk_id", limit, per_term=max(limit, PER_TERM))
         named = prompts.select(query, F.posexplode(T.explicit_identifiers(F.col(prompt))).alias("pos", "ident"))
         defined = retrieve.by_names(self.defs, named, query, "chunk_id", limit=2 * c.k_candidates)
-        fused = retrieve.rrf([lexical, defined], query, "chunk_id", c.rrf_k).join(self.chunks.select("chunk_id", "path", "kind"), "chunk_id")
+        fused = retrieve.rrf([lexical, defined, self.mentioned(prompts, query, prompt, limit)], query, "chunk_id", c.rrf_k).join(self.chunks.select("chunk_id", "path", "kind"), "chunk_id")
         capped = retrieve.cap_per_file(fused, query, "path", c.per_file, c.k_candidates).drop("rank").withColumnRenamed("place", "rank")
         moved = retrieve.demote_prose(capped.withColumn("is_prose", F.col("kind") == "window"), query)
         return moved.drop("rank", "is_prose", "kind").withColumnRenamed("place", "rank")
 
+    def mentioned(self, prompts: DataFrame, query: str, prompt: str, limit: int) -> DataFrame:
+        """(query, chunk_id, rank): chunks of files whose paths a prompt mentions, by mention, path and line."""
+        said = prompts.select(query, F.posexplode(T.path_mentions(F.col(prompt))).alias("pos", "mention")).withColumn("base", F.element_at(F.split("mention", "/"), -1))
+        files = self.chunks.select("chunk_id", "path", "start_line").withColumn("base", F.element_at(F.split("path", "/"), -1))
+        met = files.join(said, "base").filter(paths.mentions(F.col("path"), F.col("mention"))).groupBy(query, "chunk_id", "path", "start_line").agg(F.min("pos").alias("pos"))
+        order = Window.partitionBy(query).orderBy("pos", "path", "start_line")
+        return met.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit).select(query, "chunk_id", "rank")
+
     def search(self, prompts: DataFrame, query: str = "query_id", prompt: str = "prompt", scorer: Scorer | None = None) -> DataFrame:
         """(query, path, start, end, score): merged spans within the budgets, re-ranked by a scorer if there is one."""
         c = self.config.clamped()

@@ -39,25 +39,23 @@ def braces(glob: str) -> list[str]:
     return texts
 
 
-def glob_regex(glob: str) -> str:
-    """A regular expression (both engines' dialects) that paths of a glob match as a whole.
+def glob_body(plain: str) -> str:
+    """The regular expression of a glob without braces: `**/` is any folders, `*` and `?` stay within a folder."""
+    text, i = "", 0
+    while i < len(plain):
+        if plain.startswith("**/", i):
+            text, i = text + "(.*/)?", i + 3
+        elif plain.startswith("**", i):
+            text, i = text + ".*", i + 2
+        else:
+            text += {"*": "[^/]*", "?": "[^/]"}.get(plain[i], re.escape(plain[i]))
+            i += 1
+    return text
 
-    `**/` is any folders, `*` and `?` stay within a folder; a glob without a slash fits at any depth.
-    """
-    out = []
-    for plain in braces(glob):
-        text, i = "", 0
-        plain = plain if "/" in plain else "**/" + plain
-        while i < len(plain):
-            if plain.startswith("**/", i):
-                text, i = text + "(.*/)?", i + 3
-            elif plain.startswith("**", i):
-                text, i = text + ".*", i + 2
-            else:
-                text += {"*": "[^/]*", "?": "[^/]"}.get(plain[i], re.escape(plain[i]))
-                i += 1
-        out.append(text)
-    return f"^({'|'.join(out)})$"
+
+def glob_regex(glob: str) -> str:
+    """A regular expression (both engines' dialects) that paths of a glob match as a whole; a glob without a slash fits at any depth."""
+    return f"^({'|'.join(glob_body(plain if '/' in plain else '**/' + plain) for plain in braces(glob))})$"
 
 
 def in_globs(path: Column, globs: list[str]) -> Column:

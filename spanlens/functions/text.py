@@ -14,7 +14,12 @@ def _any_of(words) -> Column:
 
 def words(text: Column) -> Column:
     """Identifier-like words in order: runs of ASCII letters, digits and underscores that don't start with a digit."""
-    return F.filter(F.split(text, "[^A-Za-z0-9_]+"), lambda w: (w != "") & ~w.rlike("^[0-9]"))
+    return F.filter(F.split(text, "[^A-Za-z0-9_]+"), is_word)
+
+
+def is_word(run: Column) -> Column:
+    """Whether a run of letters, digits and underscores is a word: not empty, and no digit first."""
+    return (run != "") & ~((run >= "0") & (run < ":"))  # the colon follows the nine
 
 
 def word_parts(word: Column) -> Column:
@@ -28,12 +33,16 @@ def word_parts(word: Column) -> Column:
 def terms(text: Column) -> Column:
     """Search terms in order: the parts of each word that have two letters or more, and a word of several parts as a whole."""
 
-    def of_word(w: Column) -> Column:
-        parts = word_parts(w)
-        whole = F.when(F.size(parts) > 1, F.array(F.lower(w))).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.filter(parts, lambda p: F.length(p) > 1), whole)
+    return F.flatten(F.transform(words(text), word_terms))
 
-    return F.flatten(F.transform(words(text), of_word))
+
+def word_terms(w: Column) -> Column:
+    """The terms of one word; a word of small letters, or one capital and small letters, is its own."""
+    none = F.array().cast("array<string>")
+    parts = word_parts(w)
+    whole = F.when(F.size(parts) > 1, F.array(F.lower(w))).otherwise(none)
+    cut = F.concat(F.filter(parts, lambda p: F.length(p) > 1), whole)
+    return F.when(w.rlike(r"^[A-Za-z][a-z]*\z"), F.when(F.length(w) > 1, F.array(F.lower(w))).otherwise(none)).otherwise(cut)
 
 
 def content_terms(text: Column) -> Column:
@@ -187,6 +196,52 @@ def clean_subject(subject: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r" *\(#[0-9]+\)$", ""))
 
 
+# What marks a commit as a fix, a body as closing an issue, and lines that end or skip a body's first paragraph.
+_FIX = r"(?i)\b(fix(e[sd]|ing)?|bug(s|fix)?|hotfix|crash(es|ed|ing)?|regression|broken|issue)\b"
+_CLOSES = r"(?i)\b(fix(e[sd])?|close[sd]?|resolve[sd]?)\s*:?\s+(#\d+|https://github\.com/\S+/issues/\d+)"
+_TRAILER = r"(?i)^[A-Za-z-]+-by:|^Co-authored|^Change-Id:|^\(cherry picked|^Signed-off"
+_NO_PROSE = r"(?i)^(#|```|[-*>|]|\d+\.\s|https?://|\[x\]|\[ \])"
+_TYPED = r"^(\w+)(?:\(([^)]*)\))?!?:\s*"
+MAX_TASK_CHARS = 400
+
+
+def is_fix(subject: Column, body: Column) -> Column:
+    """Whether a commit fixes something: its subject says so, or its body closes an issue."""
+    return subject.rlike(_FIX) | F.coalesce(body, F.lit("")).rlike(_CLOSES)
+
+
+def first_paragraph(body: Column) -> Column:
+    """The first lines of prose of a commit's body, joined by blanks."""
+    start = F.struct(F.array().cast("array<string>").alias("said"), F.lit(False).alias("over"))
+
+    def step(acc: Column, raw: Column) -> Column:
+        line = F.trim(raw)
+        prose = (line != "") & ~line.rlike(_TRAILER) & ~line.rlike(_NO_PROSE)
+        ends = acc["over"] | (~prose & (F.size(acc["said"]) > 0))
+        return F.struct(F.when(prose & ~ends, F.concat(acc["said"], F.array(line))).otherwise(acc["said"]).alias("said"), ends.alias("over"))
+
+    return F.aggregate(F.split(F.coalesce(body, F.lit("")), r"\r?\n"), start, step, lambda acc: F.array_join(acc["said"], " "))
+
+
+def commit_task(subject: Column, body: Column | None = None, most: int = MAX_TASK_CHARS) -> Column:
+    """A task in a commit's words: the subject with its scope in front and without type and issue number, then, if there is a body, its first paragraph."""
+    bare = F.trim(F.regexp_replace(F.trim(subject), r" *\(#[0-9]+\)$", ""))
+    scope = F.regexp_extract(bare, _TYPED, 2)
+    named = F.when((scope != "") & ~scope.rlike(r"^[\d.\-\s]+\z"), F.concat(scope, F.lit(": "))).otherwise("")
+    said = F.trim(F.concat(named, F.regexp_replace(bare, _TYPED, "")))
+    if body is None:
+        return F.substring(said, 1, most)
+    more = first_paragraph(body)
+    bare_said = F.regexp_replace(said, r"\.+$", "")
+    whole = F.when(more != "", F.concat(bare_said, F.lit(". "), more)).otherwise(bare_said)
+    return F.when(F.length(whole) > most, F.regexp_replace(F.substring(whole, 1, most), r" [^ ]*\z", "")).otherwise(whole)
+
+
+def names_code(prompt: Column) -> Column:
+    """Whether a prompt names code: an identifier or a path."""
+    return (F.size(explicit_identifiers(prompt)) > 0) | (F.size(path_mentions(prompt)) > 0)
+
+
 def normalise_task(text: Column) -> Column:
     """Lower case, single blanks, no characters beyond words, quotes, @ and blanks."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9_'`@\s]", ""), r"\s+", " "))

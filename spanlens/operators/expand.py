@@ -21,7 +21,8 @@ def callees(seeds: DataFrame, refs: DataFrame, defs: DataFrame, query: str, max_
     named = seeds.join(refs, "chunk_id").join(own, [query, "ident"], "left_anti")
     first = Window.partitionBy(query, "chunk_id").orderBy("pos")
     used = named.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= max_refs).select(query, "ident").distinct()
-    clear = defs.withColumn("_d", F.count("*").over(Window.partitionBy("ident"))).filter(F.col("_d") <= ambiguous).drop("_d")
+    # Only names that are asked for are counted.
+    clear = defs.join(used.select("ident").distinct(), "ident", "left_semi").withColumn("_d", F.count("*").over(Window.partitionBy("ident"))).filter(F.col("_d") <= ambiguous).drop("_d")
     return used.join(clear, "ident").join(seeds.select(query, "chunk_id"), [query, "chunk_id"], "left_anti").select(query, "ident", "chunk_id")
 
 
@@ -29,7 +30,8 @@ def callers(seeds: DataFrame, refs: DataFrame, defs: DataFrame, query: str, max_
     """(query, ident, chunk_id): the first chunks by id that refer to what the seeds define."""
     first = Window.partitionBy(query, "chunk_id").orderBy("ident")
     own = seeds.join(defs, "chunk_id").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= max_defs).select(query, "ident").distinct()
-    few = refs.select("ident", "chunk_id").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("ident").orderBy("chunk_id"))).filter(F.col("_n") <= limit).drop("_n")
+    asked = refs.join(own.select("ident").distinct(), "ident", "left_semi")
+    few = asked.select("ident", "chunk_id").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("ident").orderBy("chunk_id"))).filter(F.col("_n") <= limit).drop("_n")
     return own.join(few, "ident").join(seeds.select(query, "chunk_id"), [query, "chunk_id"], "left_anti").select(query, "ident", "chunk_id")
 
 

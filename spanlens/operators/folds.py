@@ -135,3 +135,38 @@ def misses(needed: Column, offered: Column, known: Column, sizes: Column, budget
     """Why needed names were not covered: array<struct<name, why>> with why unknown, too_big, not_picked; covered names are left out."""
     why = lambda n: F.when(~F.array_contains(known, n), "unknown").when(F.coalesce(F.try_element_at(sizes, n), F.lit(0)) > budget, "too_big").otherwise("not_picked")
     return F.transform(F.filter(needed, lambda n: ~F.array_contains(offered, n)), lambda n: F.struct(n.alias("name"), why(n).alias("why")))
+
+
+def breaker_calls(items: Column, limit: int, pause: int) -> Column:
+    """struct<opened, refused, state> of a circuit breaker over struct<kind, t>: asks for a call, and their outcomes ok and fail.
+
+    After `limit` failures in a row it opens for `pause`; then one ask is let through as a probe, whose success
+    closes it and whose failure opens it again.  A probe without an outcome is replaced after another `pause`.
+    """
+    start = F.struct(
+        F.lit("closed").alias("state"), F.lit(0).alias("fails"), F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("opened"), F.lit(0).alias("refused")
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        ask, ok, fail = x["kind"] == "ask", x["kind"] == "ok", x["kind"] == "fail"
+        over = ((acc["state"] == "open") & (x["t"] >= acc["at"])) | ((acc["state"] == "half-open") & (x["t"] - acc["at"] >= pause))
+        trips = fail & ~((acc["state"] == "closed") & (acc["fails"] + 1 < limit))
+        refused = ask & (acc["state"] != "closed") & ~over
+        state = F.when(ask & over, "half-open").when(ok, "closed").when(trips, "open").otherwise(acc["state"])
+        at = F.when(ask & over, x["t"]).when(trips, x["t"] + pause).otherwise(acc["at"])
+        fails = F.when(ok | trips, 0).when(fail, acc["fails"] + 1).otherwise(acc["fails"])
+        return F.struct(state.alias("state"), fails.alias("fails"), at.cast("bigint").alias("at"), (acc["opened"] + trips.cast("int")).alias("opened"), (acc["refused"] + refused.cast("int")).alias("refused"))
+
+    return F.aggregate(items, start, step, lambda acc: F.struct(acc["opened"].alias("opened"), acc["refused"].alias("refused"), acc["state"].alias("state")))
+
+
+def fill_grid(units: DataFrame, group: str, sizes: str, caps: list[int], budgets: list[int]) -> DataFrame:
+    """(group, cap, budget, used, taken): a greedy fill of each group's sizes, at most cap units, for every cap and budget."""
+    grid = units.select(group, sizes, F.explode(F.array(*map(F.lit, caps))).alias("cap")).withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("taken"))
+
+    def step(acc: Column, n: Column) -> Column:
+        fits = (acc["used"] + n <= F.col("budget")) & (acc["taken"] < F.col("cap"))
+        return F.struct((acc["used"] + F.when(fits, n).otherwise(0)).cast("bigint").alias("used"), (acc["taken"] + fits.cast("int")).alias("taken"))
+
+    return grid.select(group, "cap", "budget", F.aggregate(sizes, start, step).alias("f")).select(group, "cap", "budget", "f.used", "f.taken")

@@ -72,7 +72,7 @@ def stale_gold(added: DataFrame, current: DataFrame, path: str = "path", line: s
     """
     said = added.select(path, F.trim(line).alias("_l")).filter(F.length("_l") >= least).distinct()
     counted = added.select(path).distinct().join(said.groupBy(path).agg(F.count("*").alias("lines")), path, "left")
-    there = current.select(path, F.explode(F.array_distinct(F.transform(F.split(text, "\n"), F.trim))).alias("_l"))
+    there = current.select(path, F.explode(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.trim(x)))).alias("_l"))
     still = said.join(there, [path, "_l"], "left_semi").groupBy(path).agg(F.count("*").alias("_still"))
     share = F.coalesce("_still", F.lit(0)) / F.col("lines")
     state = F.when(F.col("_live").isNull(), "gone").when(F.col("lines").isNull(), "removal-only").when(share >= kept, "present").otherwise("drifted")

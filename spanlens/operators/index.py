@@ -9,17 +9,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanlens.functions import text as T
+from spanlens.sources.store import stored
 
 MAX_TF = 2
 
 
 @dataclass(frozen=True)
 class Index:
-    """(id, term, tf), (id, dl), (term, df) and (n, avgdl)."""
+    """(id, term, tf, dl), (id, dl), (term, df) and (n, avgdl)."""
 
     postings: DataFrame
     doc_len: DataFrame
@@ -30,13 +32,35 @@ class Index:
 def postings(chunks: DataFrame, id: str = "chunk_id", text: Column | str = "text", max_tf: int = MAX_TF) -> DataFrame:
     """(id, term, tf): how often a term occurs in a chunk, at most max_tf times (0: no cap)."""
     body = F.col(text) if isinstance(text, str) else text
-    counted = chunks.select(F.col(id), F.explode(T.terms(body)).alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"))
+    runs = chunks.select(F.col(id), F.explode(F.split(body, "[^A-Za-z0-9_]+")).alias("_w")).filter(T.is_word(F.col("_w")))
+    # A word's terms are derived once for each chunk that holds it, however often.
+    words = runs.groupBy(id, "_w").agg(F.count("*").alias("_n"))
+    counted = words.select(id, F.explode(T.word_terms(F.col("_w"))).alias("term"), "_n").groupBy(id, "term").agg(F.sum("_n").alias("tf"))
     return counted.withColumn("tf", F.least("tf", F.lit(max_tf)).cast("long")) if max_tf else counted
 
 
 def build(chunks: DataFrame, id: str = "chunk_id", text: Column | str = "text", max_tf: int = MAX_TF) -> Index:
-    posted = postings(chunks, id, text, max_tf)
-    lengths = posted.groupBy(id).agg(F.sum("tf").alias("dl"))
+    """The index of chunks as lazy plans; `written` keeps it."""
+    return of_postings(postings(chunks, id, text, max_tf).withColumn("dl", F.sum("tf").over(Window.partitionBy(id))), id)
+
+
+def written(index: Index, id: str = "chunk_id", label: str = "index") -> Index:
+    """The index with its postings written once: texts are read and cut into terms a single time, whatever is asked."""
+    return of_postings(stored(index.postings, label), id)
+
+
+def save(index: Index, path: str, files: int | None = None) -> None:
+    """Writes the postings, sorted by term within files that each hold a range of terms, so that a lookup reads few of them."""
+    ranged = index.postings.repartitionByRange(files, "term") if files else index.postings.repartitionByRange("term")
+    ranged.sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str, id: str = "chunk_id") -> Index:
+    return of_postings(spark.read.parquet(path), id)
+
+
+def of_postings(posted: DataFrame, id: str) -> Index:
+    lengths = posted.groupBy(id).agg(F.first("dl").alias("dl"))
     return Index(posted, lengths, posted.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanlens.functions import paths
 from spanlens.functions import text as T
 from spanlens.operators.chunk import lines
 
@@ -32,3 +33,32 @@ def name_lines(files: DataFrame, id: str, name: str, text: str = "text") -> Data
     """(id, line, body, in_file): lines that hold a name; files without it are left out before lines are cut."""
     rows = lines(files.filter(F.contains(text, F.lit(name))), id, text).filter(T.has_name(F.col("body"), name))
     return rows.select(id, "line", "body", F.count("*").over(Window.partitionBy(id)).alias("in_file"))
+
+
+def report(chunks: DataFrame, name: str, per_file: int = 40, chars: int = 6_000) -> DataFrame:
+    """(path, symbol, line, body, is_definition, in_file, listed) of the lines of chunks that hold a name.
+
+    chunks: (chunk_id, path, start_line, symbol, defines, text).  A line belongs to its chunk's symbol; the first
+    line of a chunk that defines the name is its definition.  Of each file the first `per_file` lines within `chars`
+    characters are listed, definitions first; lines of documentation are only counted.
+    """
+    found = name_lines(chunks.select("chunk_id", "text"), "chunk_id", name).drop("in_file")
+    rows = found.join(chunks.select("chunk_id", "path", "start_line", "symbol", "defines"), "chunk_id")
+    first = F.min("line").over(Window.partitionBy("chunk_id"))
+    rows = rows.withColumn("is_definition", F.array_contains("defines", name) & (F.col("line") == first)).withColumn("line", F.col("start_line") + F.col("line") - 1)
+    order = Window.partitionBy("path").orderBy(F.desc("is_definition"), "line")
+    before = F.coalesce(F.sum(F.length("body")).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    listed = (F.row_number().over(order) <= per_file) & (before <= chars) & ~paths.is_prose(F.col("path"))
+    return rows.select("path", "symbol", "line", "body", "is_definition", F.count("*").over(Window.partitionBy("path")).alias("in_file"), listed.alias("listed"))
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """One row: files and lines that hold the name, those in documentation, and whether every line of code is listed."""
+    prose = paths.is_prose(F.col("path"))
+    return found.agg(
+        F.countDistinct("path").alias("files"),
+        F.count("*").alias("lines"),
+        F.count_if(prose).alias("documentation"),
+        F.count_if("is_definition").alias("definitions"),
+        F.coalesce(F.bool_and(F.col("listed") | prose), F.lit(True)).alias("complete"),
+    )

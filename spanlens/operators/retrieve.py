@@ -33,11 +33,17 @@ def select_terms(prepared: DataFrame, term_df: DataFrame, query: str, max_terms:
     return ranked.filter((F.col("running") <= budget) & (F.col("nth") <= max_terms)).select(query, "term", "pos", "df")
 
 
-def bm25(selected: DataFrame, index: Index, query: str, id: str, limit: int = 48) -> DataFrame:
-    """(query, id, score, rank): the sum of the terms' Okapi scores; the best `limit` of each query."""
-    hits = selected.join(index.postings, "term").join(index.doc_len, id).crossJoin(F.broadcast(index.corpus))  # one row
+def bm25(selected: DataFrame, index: Index, query: str, id: str, limit: int = 48, per_term: int | None = None) -> DataFrame:
+    """(query, id, score, rank): the sum of the terms' Okapi scores; the best `limit` of each query.
+
+    per_term: only each term's best so many chunks count, as where a store returns its top for each term; none by default.
+    """
+    hits = selected.join(index.postings, "term").crossJoin(F.broadcast(index.corpus))  # one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    if per_term:
+        best_of = Window.partitionBy(query, "term").orderBy(F.desc(gain), id)
+        hits = hits.withColumn("_t", F.row_number().over(best_of)).filter(F.col("_t") <= per_term)
     scored = hits.groupBy(query, id).agg(F.round(F.sum(idf * gain), 6).alias("score"))
     best = Window.partitionBy(query).orderBy(F.desc("score"), id)
     return scored.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < limit)
@@ -90,3 +96,8 @@ def gate(blended: DataFrame, query: str, p: str = "p", threshold: float = 0.5, m
     placed = blended.withColumn("place", F.row_number().over(order) - 1).withColumn("_pass", passing)
     kept = F.when(F.col("_pass") >= min_keep, F.coalesce(p, F.lit(0.0)) >= threshold).otherwise(F.col("place") < min_keep)
     return placed.filter(kept).drop("_pass")
+
+
+def with_scores(candidates: DataFrame, scores: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
+    """Candidates with the model's chance where there is one; null: not scored."""
+    return candidates.join(scores.select(*keys, p), keys, "left")

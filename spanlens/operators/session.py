@@ -65,3 +65,15 @@ def last_entries(log: DataFrame, session: str, order: list[str], n: int, prefix:
     """The last n entries of each session whose id begins with the prefix, numbered from the newest."""
     kept = log.filter(F.startswith(F.col(session).cast("string"), F.lit(prefix))) if prefix else log
     return kept.withColumn("k", F.row_number().over(Window.partitionBy(session).orderBy(*map(F.desc, order)))).filter(F.col("k") <= n)
+
+
+def capture(prompts: DataFrame, candidates: DataFrame, query: str, text: str = "text", id: str = "chunk_id", most: int = 4_000) -> DataFrame:
+    """A record for each prompt: its text up to a bound, its length, and its candidates in order with their chances, without their code."""
+    item = F.struct("rank", F.col(id), "p")
+    listed = candidates.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x[id].alias(id), x["rank"].alias("rank"), x["p"].alias("p"))).alias("candidates"))
+    return prompts.select(query, F.substring(text, 1, most).alias("prompt"), F.length(text).cast("long").alias("chars")).join(listed, query, "left")
+
+
+def write_records(records: DataFrame, path: str, mode: str = "append") -> None:
+    """Records as JSON lines; every append adds files, so that what was written stays."""
+    records.write.mode(mode).json(path)

@@ -15,15 +15,34 @@ GAP, MAX_LINES, LINE_BUDGET, TOP_N = 3, 50, 400, 10
 def merge_spans(spans: DataFrame, query: str, path: str = "path", gap: int = GAP, max_lines: int = MAX_LINES) -> DataFrame:
     """Spans (start, end, score) of one file that touch or nearly do become one while it stays within max_lines.
 
-    The best score stays.  Each file's few candidates are one sorted array.
+    The best score stays.  Columns `p` (null: not scored), `symbol` and `text`, where there are any, merge too: the
+    best p, the first symbol that is not empty, the texts with lines that both have said once.  Each file's few
+    candidates are one sorted array.
     """
-    span = "struct<s:int,e:int,score:double>"
-    items = F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"), F.col("score").cast("double").alias("score"))))
+    kinds = {"score": "double", "p": "double", "symbol": "string", "text": "string"}
+    more = [c for c in kinds if c == "score" or c in spans.columns]
+    span = f"struct<s:int,e:int,{','.join(f'{c}:{kinds[c]}' for c in more)}>"
+    item = F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"), *(F.col(c).cast(kinds[c]).alias(c) for c in more))
+    items = F.array_sort(F.collect_list(item))
+
+    def added(last: Column, x: Column) -> Column:
+        """The text of x from the first line that the last span doesn't have."""
+        new = F.split(x["text"], "\n")
+        known = F.greatest(last["e"] - x["s"] + 1, F.lit(0))
+        rest = F.slice(new, known + 1, F.greatest(F.size(new) - known, F.lit(0)))
+        return F.when(F.size(rest) > 0, F.concat(last["text"], F.lit("\n"), F.array_join(rest, "\n"))).otherwise(last["text"])
 
     def step(acc: Column, x: Column) -> Column:
         last = F.element_at(F.when(F.size(acc) > 0, acc).otherwise(F.array(x)), -1)
         joins = (F.size(acc) > 0) & (x["s"] - last["e"] - 1 <= gap) & (F.greatest(last["e"], x["e"]) - last["s"] + 1 <= max_lines)
-        one = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), F.greatest(last["score"], x["score"]).alias("score"))
+        best = {"score": F.greatest(last["score"], x["score"])}
+        if "p" in more:
+            best["p"] = F.greatest(last["p"], x["p"])  # a null loses
+        if "symbol" in more:
+            best["symbol"] = F.when(F.coalesce(last["symbol"], F.lit("")) == "", x["symbol"]).otherwise(last["symbol"])
+        if "text" in more:
+            best["text"] = added(last, x)
+        one = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), *(best[c].alias(c) for c in more))
         return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(one))).otherwise(F.concat(acc, F.array(x)))
 
     folded = spans.groupBy(query, path).agg(F.aggregate(items, F.array().cast(f"array<{span}>"), step).alias("_m"))
@@ -64,17 +83,50 @@ def overlaps(a: DataFrame, b: DataFrame, on: list[str], how: str = "left_semi")
     return x.join(y, cond, how)
 
 
-def size_context(ranked: DataFrame, sent: DataFrame, query: str, path: str = "path", full: int = 2, listed: int = 10) -> DataFrame:
-    """Adds `bucket`: already (sent before), full (the first files), map (listed), and leaves the rest out."""
+def caps(full: int = 2, listed: int = 10, related: int = 8) -> Column:
+    """How many spans of a query are shown whole, how many with those that are only listed, and how many neighbours."""
+    return F.struct(F.lit(full).alias("full"), F.lit(listed).alias("listed"), F.lit(related).alias("related"))
+
+
+def follow_up_caps(tests_or_callers: Column) -> Column:
+    """Caps of a follow-up: one block, none where it asks for tests or callers, as those are answered in other ways."""
+    return F.struct(F.when(tests_or_callers, 0).otherwise(1).alias("full"), F.lit(6).alias("listed"), F.lit(8).alias("related"))
+
+
+def smaller_caps(a: Column, b: Column) -> Column:
+    return F.struct(*(F.least(a[c], b[c]).alias(c) for c in ("full", "listed", "related")))
+
+
+def size_context(
+    ranked: DataFrame, sent: DataFrame, query: str, path: str = "path", limits: DataFrame | None = None, inlinable: Column | None = None, related: DataFrame | None = None
+) -> DataFrame:
+    """Adds `bucket`: already (sent before), full (the first files), map (listed), related and usage; leaves the rest out.
+
+    limits: (query, caps) where they are not the usual ones.  inlinable: which spans may be shown whole; others are
+    listed, and the next file takes their place.  Full and listed spans share one cap.
+    related: (query, path, start, end, pos, is_usage): usages stay as they are; neighbours that overlap no span shown
+    count once for each range, the first by pos up to their cap.  Related rows have no rank.
+    """
+    own = ranked.select(query).distinct() if related is None else ranked.select(query).unionByName(related.select(query)).distinct()
+    limit = own.withColumn("_caps", caps()) if limits is None else own.join(limits.select(query, F.col("caps").alias("_given")), query, "left").select(query, F.coalesce("_given", caps()).alias("_caps"))
     already = overlaps(ranked, sent, [query, path]).select(query, "rank").withColumn("_sent", F.lit(True))
-    marked = ranked.join(already.distinct(), [query, "rank"], "left").withColumn("_sent", F.coalesce("_sent", F.lit(False)))
-    fresh = marked.filter("not _sent")
-    tops = distinct_files(fresh, query, path, full).select(query, "rank", F.lit(True).alias("_full"))
+    marked = ranked.join(already.distinct(), [query, "rank"], "left").withColumn("_sent", F.coalesce("_sent", F.lit(False))).join(limit, query)
+    may = marked.filter("not _sent") if inlinable is None else marked.filter("not _sent").filter(inlinable)
+    first = Window.partitionBy(query, path).orderBy("rank")
+    tops = may.withColumn("_n", F.row_number().over(first)).filter("_n = 1").withColumn("_f", F.row_number().over(Window.partitionBy(query).orderBy("rank")))
+    tops = tops.filter(F.col("_f") <= F.col("_caps.full")).select(query, "rank", F.lit(True).alias("_full"))
     rest = marked.join(tops, [query, "rank"], "left")
-    bucket = F.when(F.col("_sent"), "already").when(F.col("_full"), "full").otherwise("map")
-    placed = rest.withColumn("bucket", bucket)
+    placed = rest.withColumn("bucket", F.when(F.col("_sent"), "already").when(F.col("_full"), "full").otherwise("map"))
     nth = F.row_number().over(Window.partitionBy(query, "bucket").orderBy("rank"))
-    return placed.withColumn("_nth", nth).filter((F.col("bucket") != "map") | (F.col("_nth") <= listed)).drop("_nth", "_sent", "_full")
+    room = F.col("_caps.listed") - F.count_if(F.col("bucket") == "full").over(Window.partitionBy(query))
+    shown = placed.withColumn("_nth", nth).withColumn("_room", room).filter((F.col("bucket") != "map") | (F.col("_nth") <= F.col("_room"))).drop("_nth", "_room", "_sent", "_full", "_caps")
+    if related is None:
+        return shown
+    free = overlaps(related.filter("not is_usage"), shown, [query, path], "left_anti")
+    once = free.groupBy(query, path, "start", "end").agg(F.min("pos").alias("pos")).join(limit, query)
+    kept = once.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy("pos", path, "start", "end"))).filter(F.col("_r") <= F.col("_caps.related"))
+    more = kept.select(query, path, "start", "end", F.lit("related").alias("bucket")).unionByName(related.filter("is_usage").select(query, path, "start", "end", F.lit("usage").alias("bucket")))
+    return shown.unionByName(more, allowMissingColumns=True)
 
 
 def budget_append(blocks: Column, budget: int) -> Column:

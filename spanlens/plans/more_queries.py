@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from spanlens.functions import patterns
 from spanlens.functions import text as T
-from spanlens.operators import ast_chunk, chunk, folds, transcript
+from spanlens.operators import ast_chunk, chunk, folds, retrieve, session, transcript
 from spanlens.operators.score import LexicalScorer
 from spanlens.plans.base import query, read
 from spanlens.plans.retrieval_queries import _GOLD, _RETRIEVAL, _bm25, _gold
@@ -139,3 +139,52 @@ def transcript_turns(spark: SparkSession, sf: str) -> DataFrame:
     parsed = lines.select(F.from_json("line", "session bigint, turn bigint, message struct<role:string,content:array<struct<type:string,text:string>>>").alias("e"))
     text = parsed.select(F.col("e.session").alias("conv_id"), F.col("e.turn").alias("turn"), F.explode("e.message.content").alias("c"))
     return text.select("conv_id", "turn", F.when(F.length("c.text") > 300, F.concat(F.substring("c.text", 1, 297), F.lit("..."))).otherwise(F.col("c.text")).alias("shown"))
+
+
+@query("SELECT item_id, item_id % 4 < 2 AS names_code FROM benchmark")
+def names_code(spark: SparkSession, sf: str) -> DataFrame:
+    prompt = F.expr("CASE item_id % 4 WHEN 0 THEN 'look at parse_config please' WHEN 1 THEN 'what is wrong in src/walk.rs' WHEN 2 THEN 'what is wrong here' ELSE '' END")
+    return read(spark, sf, "benchmark").select("item_id", T.names_code(prompt).alias("names_code"))
+
+
+_COMMIT = "CASE item_id % 4 WHEN 0 THEN 'fix(core): stop the walk (#12)' WHEN 1 THEN 'feat!: add a walk' WHEN 2 THEN 'chore(1.2): bump.' ELSE 'Walk faster' END"
+_BODY = "CASE item_id % 3 WHEN 0 THEN concat('# head', chr(10), chr(10), ' The walk ', chr(10), 'stopped.', chr(10), chr(10), 'Closes #3') WHEN 1 THEN concat('- list', chr(10), 'It was slow.', chr(10), 'Signed-off-by: x') ELSE NULL END"
+
+
+@query(f"""WITH c AS (SELECT item_id, {_COMMIT} AS s, {_BODY} AS b FROM benchmark)
+SELECT item_id, item_id % 4 = 0 OR item_id % 3 = 0 AS is_fix, concat(CASE item_id % 4 WHEN 0 THEN 'core: stop the walk' WHEN 1 THEN 'add a walk' WHEN 2 THEN 'bump' ELSE 'Walk faster' END, CASE item_id % 3 WHEN 0 THEN '. The walk stopped.' WHEN 1 THEN '. It was slow.' ELSE '' END) AS task FROM c""")
+def commit_task(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "benchmark").select("item_id", F.expr(_COMMIT).alias("s"), F.expr(_BODY).alias("b"))
+    return rows.select("item_id", T.is_fix(F.col("s"), F.col("b")).alias("is_fix"), T.commit_task(F.col("s"), F.col("b")).alias("task"))
+
+
+@query("""WITH RECURSIVE u AS (SELECT o_custkey AS task, list(floor(o_totalprice / 1000)::BIGINT ORDER BY o_orderkey) AS ns FROM orders GROUP BY 1),
+w(task, cap, budget, k, used, taken, ns) AS (SELECT task, cap, budget, 0, 0::BIGINT, 0, ns FROM u, (SELECT unnest([2, 4, 8]) AS cap), (SELECT unnest([300, 900]) AS budget) UNION ALL
+ SELECT task, cap, budget, k + 1, CASE WHEN used + ns[k + 1] <= budget AND taken < cap THEN used + ns[k + 1] ELSE used END, taken + CASE WHEN used + ns[k + 1] <= budget AND taken < cap THEN 1 ELSE 0 END, ns FROM w WHERE k < len(ns))
+SELECT task, cap, budget, used, taken FROM w WHERE k = len(ns)""")
+def completeness_grid(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = F.transform(F.array_sort(F.collect_list(F.struct("at", "size"))), lambda x: x["size"])
+    return folds.fill_grid(_units(spark, sf).groupBy("task").agg(sizes.alias("ns")), "task", "ns", [2, 4, 8], [300, 900])
+
+
+@query("""WITH RECURSIVE seq AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'ok' WHEN 'error' THEN 'fail' ELSE 'ask' END AS kind, epoch_us(ts) // 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w(user_id, k, state, fails, at_t, opened, refused) AS (SELECT DISTINCT user_id, 0::BIGINT, 'closed', 0, 0::BIGINT, 0, 0 FROM seq UNION ALL
+ SELECT user_id, k, CASE WHEN kind = 'ask' AND o THEN 'half-open' WHEN kind = 'ok' THEN 'closed' WHEN trips THEN 'open' ELSE state END, CASE WHEN kind = 'ok' OR trips THEN 0 WHEN kind = 'fail' THEN fails + 1 ELSE fails END,
+  CASE WHEN kind = 'ask' AND o THEN t WHEN trips THEN t + 100000 ELSE at_t END, opened + trips::INTEGER, refused + (kind = 'ask' AND state <> 'closed' AND NOT o)::INTEGER
+ FROM (SELECT w.user_id, s.k, s.kind, s.t, w.state, w.fails, w.at_t, w.opened, w.refused, (w.state = 'open' AND s.t >= w.at_t) OR (w.state = 'half-open' AND s.t - w.at_t >= 100000) AS o, s.kind = 'fail' AND NOT (w.state = 'closed' AND w.fails + 1 < 2) AS trips
+  FROM w JOIN seq s ON s.user_id = w.user_id AND s.k = w.k + 1)),
+l AS (SELECT user_id, max(k) AS k FROM seq GROUP BY 1) SELECT user_id, opened, refused, state FROM w JOIN l USING (user_id, k)""")
+def breaker_calls(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "ok").when(F.col("event_type") == "error", "fail").otherwise("ask")
+    item = F.struct("ts", "event_id", kind.alias("kind"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    ordered = read(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    return ordered.select("user_id", folds.breaker_calls(F.col("xs"), 2, 100_000).alias("b")).select("user_id", "b.*")
+
+
+@query(f"""{_RETRIEVAL}, c AS (SELECT item_id, list({{'doc_id': doc_id, 'rank': rank, 'p': CASE WHEN rank < 3 THEN round(score / (score + 10), 6) END}} ORDER BY rank) AS cs FROM ranked WHERE rank < 5 GROUP BY 1)
+SELECT item_id, substr(text, 1, 4000) AS prompt, length(text) AS chars, list_transform(cs, lambda x: x.doc_id) AS ids, list_transform(cs, lambda x: x.p) AS ps FROM benchmark LEFT JOIN c USING (item_id)""")
+def capture_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    found = _bm25(spark, sf, 5).select("item_id", "doc_id", "rank", "score")
+    scores = found.filter("rank < 3").select("item_id", "doc_id", F.round(F.col("score") / (F.col("score") + 10), 6).alias("p"))
+    records = session.capture(read(spark, sf, "benchmark"), retrieve.with_scores(found.drop("score"), scores, ["item_id", "doc_id"]), "item_id", id="doc_id")
+    return records.select("item_id", "prompt", "chars", F.transform("candidates", lambda x: x["doc_id"]).alias("ids"), F.transform("candidates", lambda x: x["p"]).alias("ps"))

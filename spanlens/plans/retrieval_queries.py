@@ -16,10 +16,11 @@ from spanlens.plans import duck as D
 from spanlens.plans.base import query, read
 from spanlens.plans.text_queries import CHUNKS_SQL, SMALL
 from spanlens.sources import tables as S
+from spanlens.sources.store import stored
 
 
 def _index(spark: SparkSession, sf: str) -> I.Index:
-    return I.build(read(spark, sf, "documents"), "doc_id")
+    return I.written(I.build(read(spark, sf, "documents"), "doc_id"), "doc_id")
 
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +60,7 @@ rrf AS (SELECT item_id, doc_id, fused, row_number() OVER (PARTITION BY item_id O
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    lexical = _bm25(spark, sf)
+    lexical = stored(_bm25(spark, sf), "lexical")
     order = Window.partitionBy("item_id").orderBy(F.desc("quality"), "toxic", "doc_id")
     labelled = lexical.join(read(spark, sf, "labels"), "doc_id").withColumn("rank", F.row_number().over(order) - 1)
     return R.rrf([lexical, labelled], "item_id", "doc_id")
@@ -185,16 +186,32 @@ def already_sent_anti(spark: SparkSession, sf: str) -> DataFrame:
     return H.overlaps(_ranked_spans(spark, sf), _sent(spark, sf), ["query_id", "path"], "left_anti").select("query_id", "path", "start", "end")
 
 
-@query(f"""WITH RECURSIVE {_MERGED}, {_RANKED_SPANS}, {_SENT}, m AS (SELECT *, {_OVERLAP} AS sent FROM ranked x),
+_SIZED = f"""{_RANKED_SPANS}, {_SENT}, m AS (SELECT *, {_OVERLAP} AS sent FROM ranked x),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, sent, path ORDER BY rank) AS n FROM m),
 g AS (SELECT *, CASE WHEN NOT sent AND n = 1 THEN row_number() OVER (PARTITION BY query_id, sent, n ORDER BY rank) END AS nth FROM f),
-b AS (SELECT *, CASE WHEN sent THEN 'already' WHEN nth <= 2 THEN 'full' ELSE 'map' END AS bucket FROM g),
-c AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY rank) AS k FROM b)
-SELECT query_id, path, "start", "end", bucket FROM c WHERE bucket <> 'map' OR k <= 10""")
+b AS (SELECT *, CASE WHEN sent THEN 'already' WHEN nth <= @full THEN 'full' ELSE 'map' END AS bucket FROM g),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY rank) AS k, count(*) FILTER (WHERE bucket = 'full') OVER (PARTITION BY query_id) AS full_n FROM b),
+sized AS (SELECT query_id, path, "start", "end", bucket FROM c WHERE bucket <> 'map' OR k <= @listed - full_n)"""
+
+
+@query(f"""WITH RECURSIVE {_MERGED}, {_SIZED.replace('@full', '2').replace('@listed', '10')} SELECT * FROM sized""")
 def size_context(spark: SparkSession, sf: str) -> DataFrame:
     return H.size_context(_ranked_spans(spark, sf), _sent(spark, sf), "query_id").select("query_id", "path", "start", "end", "bucket")
 
 
+@query(f"""WITH RECURSIVE {_MERGED}, {_SIZED.replace('@full', "(query_id % 2)").replace('@listed', '6')},
+rel AS (SELECT l_suppkey // 5 AS query_id, concat('f', l_suppkey % 7) AS path, (l_partkey % 200)::INTEGER AS "start", (l_partkey % 200 + 5)::INTEGER AS "end", l_orderkey * 10 + l_linenumber AS pos, l_returnflag = 'R' AS is_usage FROM lineitem),
+free AS (SELECT * FROM rel x WHERE NOT is_usage AND NOT EXISTS (SELECT 1 FROM sized y WHERE y.query_id = x.query_id AND y.path = x.path AND x."start" <= y."end" AND y."start" <= x."end")),
+once AS (SELECT query_id, path, "start", "end", min(pos) AS pos FROM free GROUP BY 1, 2, 3, 4), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, path, "start", "end") AS k FROM once)
+SELECT * FROM sized UNION ALL SELECT query_id, path, "start", "end", 'related' FROM r WHERE k <= 8 UNION ALL SELECT query_id, path, "start", "end", 'usage' FROM rel WHERE is_usage""")
+def size_follow_up(spark: SparkSession, sf: str) -> DataFrame:
+    """Follow-ups: smaller caps, none whole where they ask for tests, neighbours and usages beside the spans."""
+    ranked = _ranked_spans(spark, sf)
+    limits = ranked.select("query_id").distinct().withColumn("caps", H.smaller_caps(H.caps(), H.follow_up_caps(F.col("query_id") % 2 == 0)))
+    related = read(spark, sf, "lineitem").selectExpr("l_suppkey div 5 as query_id", "concat('f', l_suppkey % 7) as path", "cast(l_partkey % 200 as int) as start", "cast(l_partkey % 200 + 5 as int) as end", "l_orderkey * 10 + l_linenumber as pos", "l_returnflag = 'R' as is_usage")
+    return H.size_context(ranked, _sent(spark, sf), "query_id", limits=limits, related=related).select("query_id", "path", "start", "end", "bucket")
+
+
 @query(f"""WITH RECURSIVE {_MERGED}, {_RANKED_SPANS} SELECT query_id, path, string_agg(concat("start", '-', "end"), '; ' ORDER BY rank) AS line, min(rank)::BIGINT AS first FROM ranked GROUP BY 1, 2""")
 def ranked_locations(spark: SparkSession, sf: str) -> DataFrame:
     return H.ranked_locations(_ranked_spans(spark, sf), "query_id")
@@ -239,7 +256,7 @@ refs AS (SELECT ident, doc_id AS chunk_id, pos - 3 AS pos FROM ordered WHERE pos
 def _names(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     found = F.array_distinct(F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 6))
     rows = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.posexplode(found).alias("pos", "ident"))
-    rows = rows.withColumn("pos", F.col("pos").cast("long"))
+    rows = stored(rows.withColumn("pos", F.col("pos").cast("long")).filter("pos < 51"), "names")
     return rows.filter("pos < 3").select("ident", "chunk_id", "pos"), rows.filter("pos >= 3 and pos < 51").select("ident", "chunk_id", (F.col("pos") - 3).alias("pos"))
 
 
@@ -322,7 +339,7 @@ w AS (SELECT item_id, 0 AS k, f[1:0] AS acc, f FROM items UNION ALL
 SELECT item_id, list_transform(acc, lambda y: y.chunk_id) AS related FROM w WHERE k = len(f)""")
 def related_merge(spark: SparkSession, sf: str) -> DataFrame:
     defs, refs = _names(spark, sf)
-    seeds, plain = _seeds(spark, sf), defs.drop("pos")
+    seeds, plain = stored(_seeds(spark, sf), "seeds"), defs.drop("pos")
     nth = F.row_number().over(Window.partitionBy("item_id").orderBy("ident", "chunk_id"))
     sides = X.callees(seeds, refs, plain, "item_id").select("item_id", "chunk_id", F.lit(0).alias("side"), nth.alias("i"))
     sides = sides.unionByName(X.callers(seeds, refs, plain, "item_id").select("item_id", "chunk_id", F.lit(1).alias("side"), nth.alias("i")))
@@ -346,10 +363,10 @@ def path_signal(spark: SparkSession, sf: str) -> DataFrame:
 _GOLD = "gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def _gold(spark: SparkSession, sf: str) -> DataFrame:
+def _gold(spark: SparkSession, sf: str, index: I.Index | None = None) -> DataFrame:
     """(item_id, doc_id) of documents that contain an item: pairs that share the item's rarest term, then the whole text."""
     items, docs = read(spark, sf, "benchmark"), read(spark, sf, "documents")
-    index = _index(spark, sf)
+    index = index or _index(spark, sf)
     # The first and last words of an item may be cut off inside a longer word of the document.
     inner = F.expr("slice(_w, 2, greatest(size(_w) - 2, 0))")
     asked = items.withColumn("_w", T.words(F.col("text"))).select("item_id", F.explode(F.array_distinct(F.flatten(F.transform(inner, lambda w: T.terms(w))))).alias("term"))
@@ -375,7 +392,8 @@ SELECT count(*) AS items, round(avg(found / 10.0), 6) AS p_at_10, round(avg(CASE
 def mrr_hit_recall(spark: SparkSession, sf: str) -> DataFrame:
     from spanlens.operators.evalx import ranking_metrics
 
-    return ranking_metrics(_bm25(spark, sf, 10), _gold(spark, sf), "item_id", "doc_id")
+    index = _index(spark, sf)
+    return ranking_metrics(_bm25(spark, sf, 10, index), _gold(spark, sf, index), "item_id", "doc_id")
 
 
 _NORMAL = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9_''`@\\s]', '', 'g'), '\\s+', ' ', 'g'), ' ')"
@@ -400,8 +418,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Prompts to shaped spans: chunks, BM25 over them, a second list by names, fusion, caps, merged spans within budgets."""
     files = S.files(spark, sf)
     chunks = C.chunk_text(files, "doc_id", cfg=SMALL).join(files.select("doc_id", "path"), "doc_id")
-    chunks = chunks.withColumn("chunk_id", F.concat_ws(":", "doc_id", "start_line"))
-    index = I.build(chunks, "chunk_id", "chunk")
+    chunks = stored(chunks.withColumn("chunk_id", F.concat_ws(":", "doc_id", "start_line")), "chunks")
+    index = I.written(I.build(chunks, "chunk_id", "chunk"), "chunk_id")
     lexical = R.bm25(R.select_terms(_prepared(spark, sf), index.term_df, "item_id"), index, "item_id", "chunk_id")
     names = chunks.select("chunk_id", F.array_distinct(F.filter(T.words(F.col("chunk")), lambda w: F.length(w) >= 6)).alias("n"))
     named = R.by_names(I.inverted(names, "n"), _asked(spark, sf), "item_id", "chunk_id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.functions import paths
+from spanlens.functions import paths, patterns
 
 MAX_BYTES = 1 << 20
 
@@ -24,16 +26,70 @@ def guard(content: Column, max_bytes: int = MAX_BYTES, marker: str = "\0", longe
     )
 
 
-def walk(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
+def ignored(path: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whether ignore rules leave a path out: (folder of the ignore file, line), in the order in which they apply.
+
+    The last rule that fits decides; `!` takes a path back in, unless a folder above it is left out.  A rule with a
+    slash before its end is tied to its folder, others fit at any depth below it; a rule that ends in a slash fits folders.
+    """
+    out = F.lit(False)
+    for folder, line in rules:
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        back = rule.startswith("!")
+        rule = rule[back:].removeprefix("\\")
+        only_folder = rule.endswith("/")
+        bare = rule.strip("/")
+        tied = "/" in rule.rstrip("/")
+        inner = patterns.glob_body(bare if tied else "**/" + bare)
+        base = re.escape(folder.strip("/") + "/") if folder.strip("/") else ""
+        fits = path.rlike(f"^{base}{inner}{'/.*' if only_folder else '(/.*)?'}$")
+        below_folder = path.rlike(f"^{base}{inner}/.*$")
+        out = F.when(fits & ~below_folder, F.lit(False)).otherwise(out) if back else F.when(fits, F.lit(True)).otherwise(out)
+    return out
+
+
+def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """The lines of all ignore files in folders that hold files below a root, from the outermost in.
+
+    File sources hide names that begin with a dot, so the folders are listed by Spark and asked one by one.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    base = root.rstrip("/").split("://")[-1] + "/"
+    inner = F.regexp_replace(F.substring_index("path", base, -1), "^/+|[^/]*$", "")
+    folders = {""}
+    for r in raw.select(inner.alias("f")).distinct().collect():
+        parts = r.f.strip("/").split("/")
+        folders.update("/".join(parts[:n]) for n in range(1, len(parts) + 1) if parts[0])
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for folder in sorted(folders, key=lambda f: (f.count("/") + bool(f), f)):
+        for name in IGNORE_FILES:
+            place = jvm.org.apache.hadoop.fs.Path("/".join(x for x in (root.rstrip("/"), folder, name) if x))
+            store = place.getFileSystem(conf)
+            if store.exists(place):
+                stream = store.open(place)
+                found += [(folder, line) for line in jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()]
+                stream.close()
+    return found
+
+
+def walk(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """(path, lang, hash, text, error) of the files below a folder that any Spark store holds.
 
-    Hidden files and folders, unknown and generated paths are left out; content guards give errors.
+    Hidden files and folders, unknown and generated paths, and what ignore files (or `rules`) name are left out;
+    content guards give errors.
     """
+    rules = ignore_rules(spark, root) if rules is None else rules
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/")
     # The store may add a scheme in front; the path below the root is what counts.
     below = F.regexp_replace(F.substring_index("path", base.split("://")[-1] + "/", -1), "^/+", "")
     named = raw.select(below.alias("path"), "length", "content").filter(~F.col("path").rlike(r"(^|/)\.[^/]"))
+    named = named.filter(~ignored(F.col("path"), rules)) if rules else named
     typed = named.withColumn("lang", paths.language(F.col("path"))).filter(F.col("lang").isNotNull() & (F.col("length") <= max_bytes))
     error = guard(F.col("content"), max_bytes)
     return typed.select(

@@ -1,17 +1,10 @@
-"""Folders and sources of the streaming wrappers."""
+"""Sources of the streaming wrappers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def work_folder(spark: SparkSession, label: str) -> str:
-    """A folder that all executors see: below spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanlens-")
-    return f"{base}/spanlens-{label}-{uuid.uuid4().hex}"
+from spanlens.sources.store import work_folder  # noqa: F401  (the wrappers take it from here)
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
