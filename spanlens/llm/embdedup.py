@@ -74,6 +74,12 @@ def buckets(x: np.ndarray, tables: int = TABLES, rotations: int = ROTATIONS, see
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: directions stay as they are, to the last bit, and no square over- or underflows."""
+    top = np.abs(x).max(axis=-1, keepdims=True)
+    return np.ldexp(x, -np.frexp(top)[1])
+
+
 def _floats(kind: str) -> str:
     return "<f4" if "float" in kind else "<f8"
 
@@ -90,12 +96,11 @@ def _sketch(key: str, kind: str, tables: int, rotations: int, seed: int):
                 for i, v in enumerate(rows):
                     if v and None not in v:
                         a = np.array(v, "<f8")
-                        norm = float(np.sqrt((a * a).sum()))
-                        if 0 < norm < np.inf:
+                        if np.isfinite(a).all() and a.any():
                             vectors[i] = np.array(v, _floats(kind)).tobytes()
                             by_dim.setdefault(len(v), []).append(i)
                 for _, index in by_dim.items():
-                    found = buckets(np.array([rows[i] for i in index], "<f8"), tables, rotations, seed).reshape(len(index), -1).view(np.int64)
+                    found = buckets(scaled(np.array([rows[i] for i in index], "<f8")), tables, rotations, seed).reshape(len(index), -1).view(np.int64)
                     for i, c in zip(index, found, strict=True):
                         codes[i] = c
                 digests = [xxhash.xxh3_128_intdigest(v) if v is not None else None for v in vectors]
@@ -123,7 +128,7 @@ class _Groups:
         self.stars: list[tuple[np.ndarray, np.ndarray]] = []
 
     def compare(self, ids, weights, homes, blocks, vectors, bucket: int, lo: int, hi: int) -> None:
-        x = np.stack([np.frombuffer(v, _floats(self.kind)) for v in vectors]).astype("<f8")
+        x = scaled(np.stack([np.frombuffer(v, _floats(self.kind)) for v in vectors]).astype("<f8"))
         unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         near = unit @ unit.T >= self.threshold
         near &= homes[:, None] | homes[None, :]
