@@ -27,9 +27,9 @@ def terms(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", T.terms(F.col("text")).alias("terms"))
 
 
-@query(f"WITH {D.POSTINGS} SELECT term, df FROM term_df ORDER BY df DESC, term LIMIT 100")
+@query(f"WITH {D.POSTINGS} SELECT term, df FROM term_df")
 def term_df(spark: SparkSession, sf: str) -> DataFrame:
-    return I.build(read(spark, sf, "documents"), "doc_id").term_df.orderBy(F.desc("df"), "term").limit(100)
+    return I.build(read(spark, sf, "documents"), "doc_id").term_df
 
 
 @query(f"WITH {D.POSTINGS} SELECT doc_id, term, tf FROM postings")
