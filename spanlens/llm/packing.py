@@ -1,8 +1,9 @@
 """Packing token ids into windows by dynamic programming, in document order.
 
 The ids of the documents of a partition, in the order of the rows, form one stream.  Cuts may
-fall after a document (free), after a sentence (`sentence_penalty` tokens) or, inside sentences
-longer than `stride` tokens, at multiples of it (`hard_penalty`).  A window from cut i to cut j
+fall after a document (free) or after a sentence (`sentence_penalty` tokens).  Sentences longer
+than `long` tokens, which could leave a window half empty, may be truncated at multiples of
+`stride` tokens (`hard_penalty`).  A window from cut i to cut j
 holds at most `size` ids and costs its padding plus the penalty of cut j:
 
     best(j) = size - c(j) + penalty(j) + min over c(j) - size <= c(i) < c(j) of best(i) + c(i)
@@ -32,7 +33,7 @@ from spanlens.llm.bpe import encoder
 from spanlens.llm.common import freed, row_key, spread, table, text_blocks
 
 SIZE, END_ID = 2048, 1
-SENTENCE_PENALTY, HARD_PENALTY, STRIDE = 2.0, 8.0, 24
+SENTENCE_PENALTY, HARD_PENALTY, STRIDE, LONG = 2.0, 8.0, 24, 256
 
 
 def sentence_ends(tokenizer) -> np.ndarray:
@@ -44,13 +45,12 @@ def sentence_ends(tokenizer) -> np.ndarray:
     return ends
 
 
-def cuts(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, sentence_penalty: float, hard_penalty: float, stride: int) -> tuple[np.ndarray, np.ndarray]:
+def cuts(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, sentence_penalty: float, hard_penalty: float, stride: int, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a window may end, and the penalty of each; the last is the end of the stream."""
     at = np.flatnonzero(ends[ids]) + 1
     inside = np.union1d(at, doc_ends)
     gap = np.diff(np.concatenate([[0], inside]))
-    long = np.flatnonzero(gap > stride)
-    hard = [np.arange(inside[i] - gap[i] + stride, inside[i], stride) for i in long]
+    hard = [np.arange(inside[i] - gap[i] + stride, inside[i], stride) for i in np.flatnonzero(gap > long)]
     every = np.union1d(inside, np.concatenate(hard)) if hard else inside
     cost = np.full(len(every), hard_penalty)
     cost[np.searchsorted(every, inside)] = sentence_penalty
@@ -87,8 +87,8 @@ def tail_cuts(length: int, size: int, hard_penalty: float) -> list[int]:
 class Packer:
     """Takes documents one after another and gives back the pieces of finished windows."""
 
-    def __init__(self, ends: np.ndarray, size: int, sentence_penalty: float, hard_penalty: float, stride: int):
-        self.ends, self.size, self.penalties = ends, size, (sentence_penalty, hard_penalty, min(stride, size))
+    def __init__(self, ends: np.ndarray, size: int, sentence_penalty: float, hard_penalty: float, stride: int, long: int = LONG):
+        self.ends, self.size, self.penalties = ends, size, (sentence_penalty, hard_penalty, min(stride, size), min(long, size))
         self.hard_penalty = hard_penalty
         self.docs: list[tuple[object, np.ndarray, int]] = []  # (key, ids still to pack, ids before these)
         self.held = 0
@@ -139,7 +139,8 @@ def pack(
     sentence_penalty: float = SENTENCE_PENALTY,
     hard_penalty: float = HARD_PENALTY,
     stride: int = STRIDE,
-    run_ids: int = 1_000_000,
+    long: int = LONG,
+    run_ids: int = 500_000,
     with_ids: bool = True,
     known_units: int = 500_000,
     block_chars: int = 8_000_000,
@@ -156,7 +157,7 @@ def pack(
         from pyspark import TaskContext
 
         enc, pid = encoder(tokenizer, known_units), TaskContext.get().partitionId()
-        packer = Packer(sentence_ends(enc.tokenizer), size, sentence_penalty, hard_penalty, stride)
+        packer = Packer(sentence_ends(enc.tokenizer), size, sentence_penalty, hard_penalty, stride, long)
         n = 0
         arrow_key = None
 

@@ -45,7 +45,8 @@ def write_tokens(
     codec: str = "zstd",
 ) -> None:
     """Writes (key, shard, local_start, n_tokens, tokens), in ascending order of the key over the files."""
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # As many ranges as the input has splits, so that files stay of one size as it grows.
+    n = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.select(key, text).rdd.getNumPartitions())
     source = docs.select(F.col(key).cast("long").alias(key), text).repartitionByRange(n, key).sortWithinPartitions(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
