@@ -46,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers that the stages before have left their marks on get less to keep.
     """
-    return packing.pack(docs, run_ids=500_000, known_units=150_000, block_chars=3_000_000)
+    return packing.pack(docs, known_units=150_000, block_chars=3_000_000)
 
 
 STAGES = [
