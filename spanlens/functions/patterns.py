@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -93,11 +94,37 @@ def identifier_of(pattern: str) -> str | None:
     return bare if re.fullmatch(r"[A-Za-z_$][\w$]*", bare) else None
 
 
-def pattern_names(pattern: Column) -> Column:
-    """Names that a column of regular expressions looks for, one for each alternative that is a name."""
+_DEFINING = re.compile(r"\b(fn|func|def|class|struct|enum|trait|impl|type|const|let|function|interface)\b")
 
-    @F.pandas_udf("array<string>")
-    def names(values: pd.Series) -> pd.Series:
-        return values.map(lambda p: None if p is None else [n for a in alternatives(p) if (n := identifier_of(a))])
 
-    return names(pattern)
+def literals_of(pattern: str) -> list[str]:
+    """Literal pieces of a pattern that look like paths or dashed names: three characters or more with a letter and a dash or slash."""
+    pieces = re.split(r"\\[A-Za-z]|[\\^$|()\[\]{}*+?\s\"'`,;:=<>!&#%~]+", pattern)
+    return [p for p in pieces if re.fullmatch(r"[\w$.@/-]{3,}", p) and re.search("[-/]", p) and re.search("[A-Za-z]", p)]
+
+
+def analyse(rows: DataFrame, pattern: str) -> DataFrame:
+    """Adds names, defining, named and literals of a column of regular expressions.
+
+    defining: it asks for a definition; named: every alternative is one name.  Each distinct pattern is analysed
+    once, in Arrow batches, and joined back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            found = [[identifier_of(a) for a in alternatives(t)] for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([[n for n in f if n] for f in found], pa.list_(pa.string())),
+                    pa.array([bool(_DEFINING.search(t)) for t in texts], pa.bool_()),
+                    pa.array([all(f) for f in found], pa.bool_()),
+                    pa.array([literals_of(t) for t in texts], pa.list_(pa.string())),
+                ],
+                names=["_p", "names", "defining", "named", "literals"],
+            )
+
+    distinct = rows.select(F.col(pattern).alias("_p")).dropna().distinct()
+    known = distinct.mapInArrow(run, "_p string, names array<string>, defining boolean, named boolean, literals array<string>")
+    return rows.join(known, F.col(pattern) == F.col("_p"), "left").drop("_p")

@@ -20,6 +20,11 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, query: str, id: str, k:
     )
 
 
+def findable(gold: DataFrame, files: DataFrame, id: str, within: Column) -> DataFrame:
+    """The gold that can be found at all: files that are indexed and pass `within`."""
+    return gold.join(files.filter(within).select(id).distinct(), id, "left_semi")
+
+
 def file_order(ranked: DataFrame, query: str, path: str, rank: str = "rank") -> DataFrame:
     """(query, path, first, place): files by their first entry in a list, from 0."""
     seen = ranked.groupBy(query, path).agg(F.min(rank).alias("first"))

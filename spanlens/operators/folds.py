@@ -170,3 +170,16 @@ def fill_grid(units: DataFrame, group: str, sizes: str, caps: list[int], budgets
         return F.struct((acc["used"] + F.when(fits, n).otherwise(0)).cast("bigint").alias("used"), (acc["taken"] + fits.cast("int")).alias("taken"))
 
     return grid.select(group, "cap", "budget", F.aggregate(sizes, start, step).alias("f")).select(group, "cap", "budget", "f.used", "f.taken")
+
+
+def padded_batches(sizes: Column, most: int, budget: float) -> Column:
+    """struct<batches, padded> of sizes taken from the longest on: a batch holds at most `most` items, and its items times its longest stay within the budget; padded is what shorter items are filled up with."""
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0.0).alias("longest"), F.lit(0.0).alias("padded"))
+    falling = F.reverse(F.array_sort(sizes))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (acc["batch"] == 0) | (acc["n"] >= most) | ((acc["n"] + 1) * acc["longest"] > budget)
+        longest = F.when(new, x).otherwise(acc["longest"])
+        return F.struct((acc["batch"] + new.cast("int")).alias("batch"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), longest.alias("longest"), (acc["padded"] + longest - x).alias("padded"))
+
+    return F.aggregate(falling, start, step, lambda acc: F.struct(acc["batch"].alias("batches"), acc["padded"].alias("padded")))

@@ -190,3 +190,13 @@ def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def top_of(rows: DataFrame, group: str, order: list[Column | str], k: int) -> DataFrame:
     """The first k rows of each group with their place from 1."""
     return rows.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("k") <= k)
+
+
+def append_blocks(blocks: Column, cap: int = 9_500) -> Column:
+    """Whole blocks in order, a line break after each, as far as they fit into `cap` bytes; one that doesn't fit is skipped, later ones may fit."""
+
+    def step(acc: Column, b: Column) -> Column:
+        longer = F.concat(acc, b, F.lit("\n"))
+        return F.when(F.octet_length(longer) <= cap, longer).otherwise(acc)
+
+    return F.aggregate(blocks, F.lit(""), step)

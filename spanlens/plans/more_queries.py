@@ -10,10 +10,10 @@ from pyspark.sql.window import Window
 
 from spanlens.functions import patterns
 from spanlens.functions import text as T
-from spanlens.operators import ast_chunk, chunk, folds, retrieve, session, transcript
+from spanlens.operators import ast_chunk, chunk, evalx, folds, leakage, retrieve, session, shape, transcript
 from spanlens.operators.score import LexicalScorer
 from spanlens.plans.base import query, read
-from spanlens.plans.retrieval_queries import _GOLD, _RETRIEVAL, _bm25, _gold
+from spanlens.plans.retrieval_queries import _GOLD, _RETRIEVAL, _bm25, _gold, _index
 from spanlens.plans.text_queries import CHUNKS_SQL, SMALL
 from spanlens.sources import tables as S
 
@@ -46,7 +46,17 @@ _PATTERN = "CASE item_id % 4 WHEN 0 THEN concat('fn\\\\s+load_', item_id, '|stru
 
 @query("""SELECT item_id, CASE item_id % 4 WHEN 0 THEN [concat('load_', item_id), 'Walker'] WHEN 1 THEN [concat('name', item_id)] WHEN 2 THEN []::VARCHAR[] ELSE ['Foo'] END AS names FROM benchmark""")
 def pattern_idents(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "benchmark").select("item_id", patterns.pattern_names(F.expr(_PATTERN)).alias("names"))
+    rows = read(spark, sf, "benchmark").select("item_id", F.expr(_PATTERN).alias("pattern"))
+    return patterns.analyse(rows, "pattern").select("item_id", "names")
+
+
+_SHAPED = "CASE item_id % 5 WHEN 0 THEN 'fn\\\\s+walk|struct Tree' WHEN 1 THEN 'walk' WHEN 2 THEN 'src/walk.rs: .*' WHEN 3 THEN 'a|b.*c' ELSE '--dry-run\\\\b' END"
+
+
+@query("""SELECT item_id, item_id % 5 = 0 AS defining, item_id % 5 IN (0, 1) AS named, CASE item_id % 5 WHEN 2 THEN ['src/walk.rs'] WHEN 4 THEN ['--dry-run'] ELSE []::VARCHAR[] END AS literals FROM benchmark""")
+def pattern_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "benchmark").select("item_id", F.expr(_SHAPED).alias("pattern"))
+    return patterns.analyse(rows, "pattern").select("item_id", "defining", "named", "literals")
 
 
 @query("""WITH l AS (SELECT l_orderkey AS f, l_linenumber AS n, min(l_suppkey % 5) AS indent FROM lineitem GROUP BY 1, 2), t AS (SELECT f, max(n) AS n FROM l GROUP BY 1)
@@ -188,3 +198,54 @@ def capture_candidates(spark: SparkSession, sf: str) -> DataFrame:
     scores = found.filter("rank < 3").select("item_id", "doc_id", F.round(F.col("score") / (F.col("score") + 10), 6).alias("p"))
     records = session.capture(read(spark, sf, "benchmark"), retrieve.with_scores(found.drop("score"), scores, ["item_id", "doc_id"]), "item_id", id="doc_id")
     return records.select("item_id", "prompt", "chars", F.transform("candidates", lambda x: x["doc_id"]).alias("ids"), F.transform("candidates", lambda x: x["p"]).alias("ps"))
+
+
+@query("""WITH t AS (SELECT *, md5(text) AS h FROM documents WHERE doc_id % 2 = 0), d AS (SELECT *, md5(text) AS h FROM documents WHERE doc_id % 2 = 1),
+n AS (SELECT doc_id, doc_id % 2 AS side, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_''`@\\s]', '', 'g'), '\\s+', ' ', 'g'), ' ') AS t FROM documents)
+SELECT 'commit' AS kind, count(*) AS n FROM (SELECT source FROM t INTERSECT SELECT source FROM d) UNION ALL
+SELECT 'blob', count(*) FROM (SELECT h FROM t WHERE n_chars >= 512 INTERSECT SELECT h FROM d WHERE n_chars >= 512) UNION ALL
+SELECT 'task', count(*) FROM n a JOIN n b ON a.t = b.t AND a.side = 0 AND b.side = 1 WHERE a.t <> '' UNION ALL
+SELECT 'sha', count(*) FROM (SELECT substr(h, 1, 10) AS s FROM t INTERSECT SELECT substr(h, 1, 10) FROM d)""")
+def leakage_joins(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").withColumn("h", F.md5("text")).withColumn("s", F.substring("h", 1, 10)).withColumns({"a": F.col("doc_id"), "b": F.col("doc_id")})
+    train, held = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+    kinds = {"commit": leakage.shared(train, held, "source"), "blob": leakage.shared_blobs(train, held, "h", "n_chars"), "task": leakage.equal_tasks(train, held, F.col("text"), ("a", "b")), "sha": leakage.shared(train, held, "s")}
+    return functools.reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, df in kinds.items()])
+
+
+@query("""WITH RECURSIVE seq AS (SELECT user_id, event_type = 'error' AS skipped, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w(user_id, k, mean, warm) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::DOUBLE, false FROM seq UNION ALL
+ SELECT w.user_id, s.k, CASE WHEN s.skipped THEN w.mean * 0.75 WHEN w.warm THEN coalesce(w.mean * 0.75 + s.v * 0.25, s.v) ELSE w.mean END, w.warm OR NOT s.skipped FROM w JOIN seq s ON s.user_id = w.user_id AND s.k = w.k + 1),
+l AS (SELECT user_id, max(k) AS k FROM seq GROUP BY 1) SELECT user_id, round(mean, 6) AS speed FROM w JOIN l USING (user_id, k)""")
+def ema_speed(spark: SparkSession, sf: str) -> DataFrame:
+    item = F.struct("ts", "event_id", F.col("value").alias("v"), (F.col("event_type") == "error").alias("skipped"))
+    ordered = read(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    return ordered.select("user_id", F.round(folds.speed(F.col("xs")), 6).alias("speed"))
+
+
+@query("""WITH RECURSIVE seq AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY value DESC) AS k FROM events),
+w(user_id, k, batch, n, longest, padded) AS (SELECT user_id, 1::BIGINT, 1, 1, v, 0.0::DOUBLE FROM seq WHERE k = 1 UNION ALL
+ SELECT user_id, k, batch + new::INTEGER, CASE WHEN new THEN 1 ELSE n + 1 END, CASE WHEN new THEN v ELSE longest END, padded + CASE WHEN new THEN 0 ELSE longest - v END
+ FROM (SELECT w.user_id, s.k, s.v, w.batch, w.n, w.longest, w.padded, w.n >= 8 OR (w.n + 1) * w.longest > 90 AS new FROM w JOIN seq s ON s.user_id = w.user_id AND s.k = w.k + 1)),
+l AS (SELECT user_id, max(k) AS k FROM seq GROUP BY 1) SELECT user_id, batch AS batches, round(padded, 4) AS padded FROM w JOIN l USING (user_id, k)""")
+def plan_padded(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = read(spark, sf, "events").groupBy("user_id").agg(F.collect_list("value").alias("vs"))
+    found = sizes.select("user_id", folds.padded_batches(F.col("vs"), 8, 90.0).alias("b"))
+    return found.select("user_id", "b.batches", F.round("b.padded", 4).alias("padded"))
+
+
+@query("""WITH RECURSIVE b AS (SELECT conv_id, list(text ORDER BY turn) AS ts FROM conversations GROUP BY 1),
+w(conv_id, k, said, ts) AS (SELECT conv_id, 0, '', ts FROM b UNION ALL SELECT conv_id, k + 1, CASE WHEN strlen(concat(said, ts[k + 1], chr(10))) <= 2000 THEN concat(said, ts[k + 1], chr(10)) ELSE said END, ts FROM w WHERE k < len(ts))
+SELECT conv_id, md5(said) AS digest, strlen(said) AS bytes FROM w WHERE k = len(ts)""")
+def append_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    said = read(spark, sf, "conversations").groupBy("conv_id").agg(blocks.alias("ts")).select("conv_id", shape.append_blocks(F.col("ts"), 2_000).alias("said"))
+    return said.select("conv_id", F.md5("said").alias("digest"), F.octet_length("said").cast("long").alias("bytes"))
+
+
+@query(f"""{_RETRIEVAL}, {_GOLD}, kept AS (SELECT g.* FROM gold g JOIN documents d USING (doc_id) WHERE n_chars <= 5000), hits AS (SELECT g.item_id, r.rank FROM kept g LEFT JOIN (SELECT * FROM ranked WHERE rank < 10) r ON r.item_id = g.item_id AND r.doc_id = g.doc_id),
+per AS (SELECT item_id, count(rank) AS found, count(*) AS golds FROM hits GROUP BY 1) SELECT count(*) AS items, round(avg(found * 1.0 / golds), 6) AS r_at_10 FROM per""")
+def findable_recall(spark: SparkSession, sf: str) -> DataFrame:
+    index = _index(spark, sf)
+    gold = evalx.findable(_gold(spark, sf, index), read(spark, sf, "documents"), "doc_id", F.col("n_chars") <= 5000)
+    return evalx.ranking_metrics(_bm25(spark, sf, 10, index), gold, "item_id", "doc_id").select("items", "r_at_10")
