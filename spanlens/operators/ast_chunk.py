@@ -2,8 +2,9 @@
 
 Parsing is the one thing column functions cannot do, so it runs as an Arrow batch function over
 whole files, one file a row.  Python is parsed by its own grammar; languages with braces by a
-scanner of strings, comments and brackets (approximate: no grammars for them are at hand); all
-else by the text chunker's rule.  A file that doesn't parse falls back to text; nothing fails.
+scanner of strings, comments and brackets with rules for each language (approximate: no grammars
+for them are at hand); all else by the text chunker's rule.  A file that doesn't parse falls back
+to text, and its rows say why in `error`; nothing fails.
 
 A tree node is (first row, last row, kind, children).  Neighbours are packed into chunks of at
 most `max_lines`; what is larger is opened, its first rows staying with its first piece; a leaf
@@ -13,8 +14,10 @@ that is too large is cut.  Pieces below `min_lines` join the neighbour that stay
 from __future__ import annotations
 
 import ast
+import bisect
 import builtins
 import hashlib
+import itertools
 import keyword
 import re
 from collections.abc import Iterator
@@ -23,6 +26,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanlens.operators import languages
 from spanlens.operators.chunk import ChunkConfig
 
 MAX_REFS, MAX_DEPTH = 48, 64
@@ -100,12 +104,9 @@ def parse_python(source: str) -> Tree:
 
 
 _QUIET = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])\'|`(?:\\.|[^`\\])*`', re.S)
-_DEFINES = re.compile(r"\b(fn|func|function|class|struct|enum|trait|interface|impl|module|namespace|type|object|protocol)\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)")
-_METHOD = re.compile(r"(?:^|[;{}])[ \t]*(?:[\w<>\[\],?*&: ]+[ \t*&])?([A-Za-z_$][\w$]*)\s*\([^;{}()]*\)[^;{}()]*\{", re.M)
-_CALLS = re.compile(r"\b([A-Za-z_$][\w$]*)\s*(?=\()|\b([A-Z][a-z][\w$]*)\b")
 
 
-def parse_braces(source: str) -> Tree:
+def parse_braces(source: str, lang: str = "java") -> Tree:
     """Blocks between brackets and the rows that lead up to them; strings and comments are blanked first."""
     quiet = _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
     rows = quiet.split("\n")
@@ -129,27 +130,31 @@ def parse_braces(source: str) -> Tree:
         return out
 
     source_rows = source.split("\n")
-    symbols, at = [], 0
-    starts = [0]
-    for line in rows:
-        starts.append(starts[-1] + len(line) + 1)
-    row_of = lambda i: next(r for r in range(len(rows)) if starts[r + 1] > i)
-    found = {m.start(2): (m[2], f"{m[1]} {m[2]}") for m in _DEFINES.finditer(quiet)}
-    found |= {m.start(1): (m[1], m[1]) for m in _METHOD.finditer(quiet) if m[1] not in COMMON and m[1] not in ("if", "for", "catch") and m.start(1) not in found}
-    for i, (name, label) in sorted(found.items()):
-        row, open_at = row_of(i), quiet.find("{", i)
-        stop, end = quiet.find(";", i), row
+    starts = list(itertools.accumulate((len(line) + 1 for line in rows), initial=0))
+    row_of = lambda i: bisect.bisect_right(starts, i, 0, len(rows)) - 1
+    # Where brackets open and close: the depth of a place, and the end of the block that opens there.
+    marks, levels, closes, stack = [], [0], {}, []
+    for m in re.finditer(r"[{}]", quiet):
+        marks.append(m.start())
+        if m[0] == "{":
+            stack.append(m.start())
+        elif stack:
+            closes[stack.pop()] = m.start()
+        levels.append(len(stack))
+    depth_at = lambda i: levels[bisect.bisect_left(marks, i)]
+    symbols: list[Symbol] = []
+    open_ends: list[int] = []  # rows where the symbols around end
+    for i, name, label, defines in languages.definitions(quiet, lang, depth_at):
+        row = end = row_of(i)
+        open_at, stop = quiet.find("{", i), quiet.find(";", i)
         if open_at >= 0 and not 0 <= stop < open_at:
-            level = 0
-            for at in range(open_at, len(quiet)):
-                level += (quiet[at] == "{") - (quiet[at] == "}")
-                if not level:
-                    break
-            end = row_of(at)
-        depth = sum(1 for s in symbols if s.start <= row and end <= s.end)
-        symbols.append(Symbol(name, label, row, end, row, depth))
-    refs = [(row_of(m.start()), m[1] or m[2]) for m in _CALLS.finditer(quiet)]
-    return Tree(blocks(0, len(rows) - 1, 0), symbols, refs)
+            end = row_of(closes.get(open_at, len(quiet) - 1))
+        while open_ends and open_ends[-1] < row:
+            open_ends.pop()
+        symbols.append(Symbol(name if defines else "", label, row, end, row, len(open_ends)))
+        if end > row:
+            open_ends.append(end)
+    return Tree(blocks(0, len(rows) - 1, 0), symbols, [(row_of(i), name) for i, name in languages.references(quiet)])
 
 
 def segments(nodes: list[Node], lo: int, hi: int, cfg: ChunkConfig, depth: int = 0) -> list[tuple[int, int, str]]:
@@ -233,12 +238,13 @@ def chunk_source(path: str, lang: str, text: str, cfg: ChunkConfig = ChunkConfig
     if not rows:
         return []
     blank = [not r.strip() for r in rows]
-    tree = None
+    tree = error = None
     try:
-        tree = parse_python(text) if lang == "python" else parse_braces(text) if lang in BRACED else None
-    except (SyntaxError, ValueError, RecursionError):
-        tree = None
+        tree = parse_python(text) if lang == "python" else parse_braces(text, lang) if lang in BRACED else None
+    except (SyntaxError, ValueError, RecursionError) as e:
+        error = f"{type(e).__name__}: {e}"
     spans = merge_small(segments(tree.nodes, 0, len(rows) - 1, cfg), cfg) if tree else merge_small(text_spans(blank, cfg), cfg)
+    common = COMMON if lang == "python" else languages.CONTROL | {"self", "this", "base"}
     out = []
     for s, e, kind in spans:
         while s <= e and blank[s]:
@@ -248,12 +254,12 @@ def chunk_source(path: str, lang: str, text: str, cfg: ChunkConfig = ChunkConfig
         if s > e:
             continue
         symbols = tree.symbols if tree else []
-        defines = list(dict.fromkeys(x.name for x in symbols if s <= x.row <= e))
+        defines = list(dict.fromkeys(x.name for x in symbols if x.name and s <= x.row <= e))
         named = [x for x in symbols if x.depth >= 0]
         around = [x for x in named if x.start <= s and e <= x.end]
         best = [x for x in named if s <= x.start and x.end <= e and 2 * sum(not b for b in blank[x.start : x.end + 1]) > sum(not b for b in blank[s : e + 1])]
         chain = sorted(around, key=lambda x: (x.start, -x.end)) + ([min(best, key=lambda x: (x.start, -x.end))] if best else [])
-        refs = [n for r, n in (tree.refs if tree else []) if s <= r <= e and len(n) >= 3 and n not in COMMON and n not in defines]
+        refs = [n for r, n in (tree.refs if tree else []) if s <= r <= e and len(n) >= 3 and n not in common and n not in defines]
         body = "\n".join(rows[s : e + 1])
         out.append(
             {
@@ -267,15 +273,16 @@ def chunk_source(path: str, lang: str, text: str, cfg: ChunkConfig = ChunkConfig
                 "defines": defines,
                 "refs": list(dict.fromkeys(refs))[:MAX_REFS],
                 "text": body,
+                "error": error,
             }
         )
     return out
 
 
-SCHEMA = "chunk_id string, path string, start_line int, end_line int, lang string, symbol string, kind string, defines array<string>, refs array<string>, text string"
+SCHEMA = "chunk_id string, path string, start_line int, end_line int, lang string, symbol string, kind string, defines array<string>, refs array<string>, text string, error string"
 _ARROW = pa.schema(
     [("chunk_id", pa.string()), ("path", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("lang", pa.string()), ("symbol", pa.string()), ("kind", pa.string())]
-    + [("defines", pa.list_(pa.string())), ("refs", pa.list_(pa.string())), ("text", pa.string())]
+    + [("defines", pa.list_(pa.string())), ("refs", pa.list_(pa.string())), ("text", pa.string()), ("error", pa.string())]
 )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -133,13 +133,34 @@ def score_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return LexicalScorer().score(found, "prompt", "text").select("item_id", "doc_id", F.round("p", 6).alias("p"))
 
 
+# Whole documents as source files: each line of the text a comment in the body of a function or method.
+_CODE = {
+    "python": ("py", "# ", "import os\n\n\ndef f@(x):\n", "    return load(x)\n\n\nclass C@(Base):\n    def run(self):\n        return f@(self)\n"),
+    "rust": ("rs", "// ", "use std::fmt;\n\nfn f@(x: Load) {\n", "    load(x);\n}\n\nimpl C@ {\n    fn run(&self) {\n        f@(self)\n    }\n}\n"),
+    "typescript": ("ts", "// ", "import { load } from './load';\n\nfunction f@(x) {\n", "    return load(x);\n}\n\nclass C@ extends Base {\n  run() {\n    return f@(this);\n  }\n}\n"),
+    "go": ("go", "// ", "package a\n\nfunc f@(x int) int {\n", "\treturn load(x)\n}\n\ntype C@ struct {\n\tn int\n}\n"),
+}
+
+
+def _commented(mark: str, line: Column) -> Column:
+    return F.concat(F.lit("    " + mark), line)
+
+
+def source_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, lang, text): documents made into source files of four languages."""
+    number, lang = F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, _CODE)), (F.col("doc_id") % len(_CODE) + 1).cast("int"))
+    text = path = F.lit(None).cast("string")
+    for name, (ext, mark, head, tail) in _CODE.items():
+        said = F.array_join(F.transform(F.split("text", "\n"), functools.partial(_commented, mark)), "\n")
+        whole = F.concat(F.replace(F.lit(head), F.lit("@"), number), said, F.lit("\n"), F.replace(F.lit(tail), F.lit("@"), number))
+        text, path = F.when(lang == name, whole).otherwise(text), F.when(lang == name, F.concat(F.lit("f"), number, F.lit("." + ext))).otherwise(path)
+    return read(spark, sf, "documents").select(path.alias("path"), lang.alias("lang"), text.alias("text"))
+
+
 @query()
 def ast_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents made into small Python files and chunked by their syntax."""
-    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
-    body = F.concat(F.lit("import os\n\n\ndef "), name, F.lit("(x):\n    return load(x)\n\n\nclass C"), name, F.lit(":\n    def run(self):\n        return "), name, F.lit("(self)\n"))
-    files = read(spark, sf, "documents").select(F.concat(name, F.lit(".py")).alias("path"), F.lit("python").alias("lang"), body.alias("text"))
-    return ast_chunk.chunk_files(files, chunk.ChunkConfig(2, 6, 6))
+    """Whole documents as source files, chunked by their syntax."""
+    return ast_chunk.chunk_files(source_files(spark, sf), chunk.ChunkConfig(4, 20, 20))
 
 
 @query(f"SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN concat(substr(text, 1, 297), '...') ELSE text END AS shown FROM conversations")

@@ -318,3 +318,67 @@ def test_commit_words(spark):
     got = [tuple(r) for r in df.select(T.is_fix(F.col("s"), F.col("b")), T.commit_task(F.col("s"), F.col("b"))).collect()]
     assert got[0] == (True, "api: stop it. First line second.") and got[1] == (False, "x") and got[3] == (True, "Tidy. Fixes #12")
     assert len(got[2][1]) <= 400 and got[2][1].endswith("word")
+
+
+SOURCES = {
+    "rust": ("use std::fmt::Display;\npub struct Walker<T> { root: T }\nimpl<T: Display> Walker<T> {\n    pub async fn walk(&self) -> Vec<Entry> {\n        let s = \"fn fake() {\"; // fn no()\n        open_dir(s)\n    }\n}\nconst LIMIT: usize = 3;\nmacro_rules! twice { () => {} }\n", {"Walker", "walk", "LIMIT", "twice"}, {"Display", "Entry", "open_dir"}),
+    "typescript": ("import { Reader } from './reader';\nexport interface Options { deep: boolean }\nexport const limit = 3;\nexport class Walker extends Base {\n  walk(from: Options) {\n    const inner = 3;\n    return new Reader(from);\n  }\n}\nconst go = async (x) => { run(x); };\ntype Pair = [string, string];\n", {"Options", "limit", "Walker", "walk", "go", "Pair"}, {"Reader", "Base", "run"}),
+    "go": ("package a\nimport \"fmt\"\ntype Walker struct { n int }\nfunc (w *Walker) Walk(path string) error {\n\treturn openDir(path)\n}\nvar Limit = 3\n", {"Walker", "Walk", "Limit"}, {"openDir"}),
+    "java": ("import a.b.Reader;\npublic class Walker extends Base implements Closer {\n  private int n;\n  public List<Entry> walk(String from) throws IOException {\n    if (n > 0) { return list(from); }\n    return null;\n  }\n}\nenum Kind { A }\n", {"Walker", "walk", "Kind"}, {"Reader", "Base", "Closer", "Entry", "list"}),
+    "cpp": ("#include <a>\n#define LIMIT 3\nnamespace tree {\nclass Walker : public Base {\n public:\n  int walk(int n) { return open_dir(n); }\n};\nint Walker::size() const {\n  return 3;\n}\n}\nstruct Pair { int a; };\n", {"LIMIT", "tree", "Walker", "walk", "size", "Pair"}, {"Base", "open_dir"}),
+    "csharp": ("using System.Text;\nnamespace Tree.Walk {\n  public record Pair(int A);\n  public class Walker : Base {\n    public int Walk(int n) { return OpenDir(n); }\n  }\n}\n", {"Walk", "Pair", "Walker"}, {"Base", "OpenDir"}),
+    "kotlin": ("package a\nval limit = 3\nobject Tree { fun walk(n: Int): Entry = openDir(n) }\ndata class Pair(val a: Int)\nfun String.twice() { println(this) }\n", {"limit", "Tree", "walk", "Pair", "twice"}, {"Entry", "openDir"}),
+    "swift": ("let limit = 3\nprotocol Walks { func walk() }\nextension Tree { func size() -> Int { return count(3) } }\nstruct Pair { let a: Int }\n", {"limit", "Walks", "walk", "size", "Pair"}, {"count"}),
+    "php": ("<?php\nclass Walker extends Base {\n  const LIMIT = 3;\n  public function walk($n) { return open_dir($n); }\n}\n", {"Walker", "LIMIT", "walk"}, {"Base", "open_dir"}),
+    "c": ("#define LIMIT 3\ntypedef unsigned int size;\nstruct pair { int a; };\nstatic int walk(struct pair *p) {\n  return open_dir(p);\n}\n", {"LIMIT", "size", "pair", "walk"}, {"open_dir"}),
+}
+
+
+@pytest.mark.parametrize("lang", SOURCES)
+def test_definitions_and_references_of_languages(lang):
+    from spanlens.operators import ast_chunk
+
+    text, defines, refs = SOURCES[lang]
+    chunks = ast_chunk.chunk_source(f"a.{lang}", lang, text)
+    found = {n for c in chunks for n in c["defines"]}
+    assert defines <= found and not found & {"fake", "no", "inner", "if", "return"}
+    assert refs <= {n for c in chunks for n in c["refs"]}
+    small = ast_chunk.chunk_source(f"a.{lang}", lang, text, ast_chunk.ChunkConfig(1, 3, 3))
+    lines = text.rstrip("\n").split("\n")
+    covered = [r for c in small for r in range(c["start_line"], c["end_line"] + 1)]
+    assert len(covered) == len(set(covered)) and {r for r, l in enumerate(lines, 1) if l.strip()} <= set(covered)
+
+
+def test_syntax_errors_are_data(spark):
+    from spanlens.operators import ast_chunk
+
+    files = rows_of(spark, "path string, lang string, text string", [("a.py", "python", "def f(:\n    pass\n"), ("b.py", "python", "def f():\n    pass\n"), ("c.rs", "rust", "fn f() { {{ \n"), ("d.py", "python", None)])
+    got = {r.path: r.error for r in ast_chunk.chunk_files(files).collect()}
+    assert got["a.py"].startswith("SyntaxError") and got["b.py"] is None and got["c.rs"] is None and "d.py" not in got
+    long = "\n".join(f"fn f{i}() {{ g{i}(); }}" for i in range(20_000))
+    import time
+
+    began = time.time()
+    assert len(ast_chunk.chunk_source("a.rs", "rust", long)) > 100 and time.time() - began < 20
+
+
+def test_chunked_documents(spark):
+    """Every line of every source file is in exactly one chunk, as it was; names and references are those of the code around the text."""
+    from spanlens.plans import more_queries
+
+    sf = "/root/testdata/sf0.001"
+    files = {r.path: r for r in more_queries.source_files(spark, sf).collect()}
+    by_path = defaultdict(list)
+    for r in more_queries.ast_chunks(spark, sf).collect():
+        by_path[r.path].append(r)
+    assert set(by_path) == set(files) and {f.lang for f in files.values()} == {"python", "rust", "typescript", "go"}
+    for path, chunks in by_path.items():
+        lines, seen, n = files[path].text.rstrip("\n").split("\n"), set(), path[1:].split(".")[0]
+        for c in sorted(chunks, key=lambda c: c.start_line):
+            rows = range(c.start_line, c.end_line + 1)
+            assert len(rows) <= 20 and not seen & set(rows) and c.text == "\n".join(lines[c.start_line - 1 : c.end_line]) and c.error is None
+            seen |= set(rows)
+        assert {i for i, l in enumerate(lines, 1) if l.strip()} <= seen
+        defines = {d for c in chunks for d in c.defines}
+        assert f"f{n}" in defines and (files[path].lang == "rust" or f"C{n}" in defines)
+        assert "load" in {x for c in chunks for x in c.refs}
