@@ -15,6 +15,7 @@ from spanlens.operators.score import LexicalScorer
 from spanlens.plans.base import query, read
 from spanlens.plans.retrieval_queries import _GOLD, _RETRIEVAL, _bm25, _gold, _index
 from spanlens.plans.text_queries import CHUNKS_SQL, SMALL
+from spanlens.sources import commits
 from spanlens.sources import tables as S
 
 
@@ -270,3 +271,14 @@ def findable_recall(spark: SparkSession, sf: str) -> DataFrame:
     index = _index(spark, sf)
     gold = evalx.findable(_gold(spark, sf, index), read(spark, sf, "documents"), "doc_id", F.col("n_chars") <= 5000)
     return evalx.ranking_metrics(_bm25(spark, sf, 10, index), gold, "item_id", "doc_id").select("items", "r_at_10")
+
+
+_BLOCK = "concat('@@', md5(concat('c', item_id)), chr(9), CASE item_id % 5 WHEN 0 THEN 'chore: ' WHEN 1 THEN 'fix(walk): ' WHEN 2 THEN 'short' ELSE '' END, CASE WHEN item_id % 5 = 2 THEN '' ELSE concat('keep the tree of walk ', item_id, ' in its order') END, ' (#', item_id, ')', chr(10), chr(10), 'src/a', item_id, '.rs', chr(10), CASE WHEN item_id % 3 = 0 THEN concat('src/b', item_id, '.rs', chr(10), 'tests/t.rs', chr(10), 'README.md', chr(10)) ELSE '' END, CASE WHEN item_id % 7 = 0 THEN concat('c1.go', chr(10), 'c2.go', chr(10), 'c3.go', chr(10), 'c4.go', chr(10)) ELSE '' END)"
+
+
+@query("""SELECT substr(md5(concat('c', item_id)), 1, 10) AS id, concat('keep the tree of walk ', item_id, ' in its order') AS task,
+ CASE WHEN item_id % 3 = 0 THEN [concat('src/a', item_id, '.rs'), concat('src/b', item_id, '.rs')] ELSE [concat('src/a', item_id, '.rs')] END AS gold FROM benchmark WHERE item_id % 5 NOT IN (0, 2) AND item_id % 7 <> 0""")
+def log_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items as commits of a few logs, parsed and made into tasks."""
+    logs = read(spark, sf, "benchmark").groupBy(F.col("item_id") % 4).agg(F.array_join(F.collect_list(F.expr(_BLOCK)), "\n").alias("log"))
+    return commits.tasks(commits.parse_log(logs))

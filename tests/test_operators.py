@@ -382,3 +382,14 @@ def test_chunked_documents(spark):
         defines = {d for c in chunks for d in c.defines}
         assert f"f{n}" in defines and (files[path].lang == "rust" or f"C{n}" in defines)
         assert "load" in {x for c in chunks for x in c.refs}
+
+
+def test_tasks_of_a_log(spark):
+    from spanlens.sources import commits
+
+    log = "@@aaa\tfix(x): keep the order of all the entries (#3)\n\nsrc/a.rs\nsrc/a.rs\ngone.rs\ntests/b.rs\n@@bbb\tchore: keep the order of all the entries\n\nsrc/a.rs\n@@ccc\tfix typo in the middle of the documentation\nsrc/a.rs\n@@ddd\tkeep the order of all the entries\nsrc/c.rs\n@@eee\tnothing but documentation in this one\nREADME.md\n@@"
+    found = commits.parse_log(rows_of(spark, "log string", [(log,), (None,), ("",)]))
+    assert found.count() == 5
+    tracked = rows_of(spark, "path string", [("src/a.rs",), ("src/c.rs",)])
+    assert [tuple(r) for r in commits.tasks(found, tracked).collect()] == [("aaa", "keep the order of all the entries", ["src/a.rs"])]
+    assert [r.id for r in commits.tasks(found, skip=["aaa"]).collect()] == ["ddd"]
