@@ -66,7 +66,8 @@ def bootstrap(pairs: DataFrame, stratum: str, metrics: dict[str, tuple[str, str]
     numbers = [F.col(c).alias(f"_{side}{i}") for i, m in enumerate(names) for side, c in zip("xy", metrics[m], strict=True)]
     placed = pairs.select(F.col(stratum).alias("_s"), (F.row_number().over(Window.partitionBy(stratum).orderBy(task)) - 1).cast("long").alias("_i"), *numbers)
     sizes = placed.groupBy("_s").agg(F.count("*").alias("_n"))
-    slots = placed.select("_s", F.col("_i").alias("_slot")).join(sizes, "_s").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    # Few rows become many here: they are dealt to all cores first.
+    slots = placed.select("_s", F.col("_i").alias("_slot")).join(sizes, "_s").repartition(pairs.sparkSession.sparkContext.defaultParallelism, "_s", "_slot").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     picks = slots.select("_s", "_b", drawn(F.col("_b"), F.col("_slot"), F.col("_n")).alias("_i"))
     sums = [F.sum(f"_{side}{i}").alias(f"_{side}{i}") for i in range(len(names)) for side in "xy"]
     # The pairs go to every task while they are few; beyond that both sides are shuffled, with the same result.
