@@ -399,3 +399,33 @@ def test_lm_remembers_what_training_texts_repeat(spark, sf, rows):
             assert abs(with_memory[i] - without[i] - sum(math.log10(1 - t) for _, t, _ in hits)) < 1e-6
         elif all(right for _, _, right in hits):
             assert with_memory[i] > without[i]
+
+
+def test_lm_is_fitted_on_all_ids_of_all_training_texts(spark, sf, rows):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = lm.fit(docs)[0].model
+    enc = lm.subwords()
+    runs = []
+    for r in rows:
+        ids = [i for w in BLANK_WORD.findall(lower(r["text"])) for i in enc.encoding.encode_ordinary(" " + w)]
+        runs.append(np.array([enc.end, *ids, enc.end]))
+    sh = lm.Shape(model.row, model.klass, lm.ROWS + lm.HEAD + lm.TAIL, lm.HEAD + lm.TAIL)
+    pairs, seen = lm.bigrams(runs, sh)
+    assert np.allclose(model.bigram, lm.odds(pairs))
+    counts = np.bincount(np.concatenate([r[1:] for r in runs]), minlength=enc.size).astype(float)
+    assert np.allclose(model.share, lm.shares(counts, seen, sh.klass, sh.row)[0])
+
+
+def test_attention_windows_take_every_id_as_a_goal_once():
+    span = 4
+    runs = [np.arange(n) + 100 * n for n in (2, 3, 5, 6, 9, 10, 30)]
+    data = lm.windows_of(runs, span)
+    goals = data[:, span + 1 :]
+    assert sorted(goals[goals >= 0].tolist()) == sorted(i for r in runs for i in r[1:].tolist())
+    at = {int(i): r[:k] for r in runs for k, i in enumerate(r.tolist())}
+    for w in data.tolist():
+        for j in range(span + 1, 2 * span + 1):
+            if w[j] >= 0:
+                before = [i for i in w[:j] if i >= 0]
+                assert before == at[w[j]][-len(before) :].tolist() and len(before) >= min(span, len(at[w[j]]))
+    assert lm.windows_of([], span).shape == (0, 2 * span + 1)
