@@ -33,6 +33,7 @@ from spanlens.llm.bpe import encoder
 from spanlens.llm.common import freed, row_key, spread, table, text_blocks
 
 SIZE, END_ID = 2048, 1
+_ENDS: dict[str, np.ndarray] = {}  # of this worker process, by tokenizer
 SENTENCE_PENALTY, HARD_PENALTY, STRIDE, LONG = 2.0, 8.0, 24, 256
 
 
@@ -157,7 +158,9 @@ def pack(
         from pyspark import TaskContext
 
         enc, pid = encoder(tokenizer, known_units), TaskContext.get().partitionId()
-        packer = Packer(sentence_ends(enc.tokenizer), size, sentence_penalty, hard_penalty, stride, long)
+        if tokenizer not in _ENDS:
+            _ENDS[tokenizer] = sentence_ends(enc.tokenizer)
+        packer = Packer(_ENDS[tokenizer], size, sentence_penalty, hard_penalty, stride, long)
         n = 0
         arrow_key = None
 

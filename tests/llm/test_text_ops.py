@@ -429,3 +429,17 @@ def test_attention_windows_take_every_id_as_a_goal_once():
                 before = [i for i in w[:j] if i >= 0]
                 assert before == at[w[j]][-len(before) :].tolist() and len(before) >= min(span, len(at[w[j]]))
     assert lm.windows_of([], span).shape == (0, 2 * span + 1)
+
+
+def test_marked_words_and_numbers_need_no_whole_encoding():
+    from spanlens.llm.bpe import UnitEncoder, public_file
+
+    enc = UnitEncoder(public_file())
+    odd = ["it's 12, 34! (ab) a,b c'd. x'; <|endoftext|>. don't? 5's ...'ll été*** ٤٢, ²! -- _a_ q'", "12 words: 7; a'", "a\tb  c"]
+    for text in odd:
+        assert enc.encode_block([text])[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    whole = enc.tokenizer.encode("so été*** 2024 word! 7;", add_special_tokens=False).ids
+    for marks in ("***", "!", ";"):
+        enc.bare[marks]
+    enc.after_space.tokenizer = None  # any whole encoding fails
+    assert enc.encode_block(["so été*** 2024 word! 7;"])[0].tolist() == whole
