@@ -416,6 +416,30 @@ def test_lm_is_fitted_on_all_ids_of_all_training_texts(spark, sf, rows):
     assert np.allclose(model.share, lm.shares(counts, seen, sh.klass, sh.row)[0])
 
 
+def test_lm_splits_and_encodes_each_text_once(spark, sf, rows):
+    import pyarrow as pa
+    import xxhash
+
+    # Neither fitting nor scoring goes back to the texts.
+    read = lm.op10_lm_score(spark, sf).inputFiles()
+    assert read and not any("documents" in f for f in read)
+    enc = lm.subwords()
+    odd = ["a\u00a0 b", "\u00a0\u00a0 x\u2003", "x \u3000 y\u0085", "it's 'S ''s", "\x1c \x1f", "\t\nA  b\x0b", "Ab" * 40 + " ab", "", None]
+    texts = odd + [r["text"] for r in rows]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r for r in lm.code(docs, "doc_id", "text", lm.VOCABULARY, 2).collect()}
+    for i, text in enumerate(texts):
+        words = BLANK_WORD.findall(lower(text))
+        ids = [enc.encoding.encode_ordinary(" " + w) for w in words]
+        assert np.frombuffer(got[i].ids, enc.kind).tolist() == [x for w in ids for x in w]
+        said = [xxhash.xxh64_intdigest(w) for w in words]
+        place, after = np.frombuffer(got[i].place, "<u8"), np.frombuffer(got[i].after, "<u8")
+        assert [said[k] for k in place.tolist()] == after.tolist() and len(place) * 8 == len(got[i].before)
+        coded = lm.Coded.of(pa.array([got[i].ids], pa.binary()), enc)
+        distinct, codes = coded.words()
+        assert [distinct[c] for c in codes.tolist()] == [np.array(w, enc.kind).tobytes() for w in ids] and coded.sizes().tolist() == [len(words)]
+
+
 def test_attention_windows_take_every_id_as_a_goal_once():
     span = 4
     runs = [np.arange(n) + 100 * n for n in (2, 3, 5, 6, 9, 10, 30)]
