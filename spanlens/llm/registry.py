@@ -9,10 +9,11 @@ from spanlens.llm.lm import op10_lm_score
 from spanlens.llm.minhash import op4_minhash
 from spanlens.llm.oracles import OP3_SQL, OP4_SQL, OP5_SQL
 from spanlens.llm.packing import op2_packing
+from spanlens.llm.pii import op13_pii
 from spanlens.llm.sharding import op6_sharding
 from spanlens.llm.tokenfile import op7_token_file
 from spanlens.llm.toxicity import op9_toxicity
 from spanlens.llm.urlfilter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_embedding_dedup, op4_minhash, op5_decontam, op6_sharding, op7_token_file, op8_line_dedup, op9_toxicity, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_embedding_dedup, op4_minhash, op5_decontam, op6_sharding, op7_token_file, op8_line_dedup, op9_toxicity, op10_lm_score, op13_pii)}
 ORACLES = {"op3_embedding_dedup": OP3_SQL, "op4_minhash": OP4_SQL, "op5_decontam": OP5_SQL, "op8_line_dedup": OP8_SQL}
