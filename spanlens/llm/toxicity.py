@@ -58,7 +58,6 @@ _SINGLES = re.compile(r"(?:^|(?<=\s))\S(?:\s+\S){2,}(?=\s|$)")
 _SYMBOLS = frozenset(c for c in LEET if not c.isdigit())
 _AMOUNT = re.compile(r"[$€£+]?[\d.,:/%+-]*[$€£+]?")
 _THRICE = re.compile(r"(.)\1\1")
-_TAIL = re.compile(r"(?:([^\w\s])\1\1+[" + re.escape(EDGE) + r"]*)+$")
 
 
 @dataclass
@@ -151,11 +150,29 @@ def restore(token: str, model: CharModel) -> list[str]:
     return "".join(reversed(parts)).split()
 
 
+def untailed(core: str) -> str:
+    """Without the marks at its end, each said three times or more, with marks of edges behind them.
+
+    Runs of equal characters are met from the end, each once.
+    """
+    end = cut = len(core)
+    while end:
+        c, start = core[end - 1], end
+        while start and core[start - 1] == c:
+            start -= 1
+        if end - start >= 3 and not (c.isalnum() or c == "_" or c.isspace()):
+            cut = start
+        elif c not in EDGE:
+            break
+        end = start
+    return core[:cut]
+
+
 def plain(token: str) -> str | None:
     """The token without its edges if nothing is hidden in it; None if it needs decoding; empty if it says nothing."""
     core = token.strip(EDGE)
     if not core.isalpha():
-        core = _TAIL.sub("", core).strip(EDGE)
+        core = untailed(core).strip(EDGE)
     if core.isalpha():
         return None if _THRICE.search(core) else core
     if any(c.isalpha() for c in core):

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 import shutil
 import time
 import zlib
@@ -318,3 +319,21 @@ def test_pipeline_awkward(spark, sf, empty, awkward, rows, tmp_path):
 def test_vectors_helper():
     n, groups = brute_vectors([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 0.0])])
     assert n == {1: 1, 2: 1, 3: 0} and groups == {1: 1, 2: 1, 3: 3}
+
+
+def test_runs_of_marks_take_no_time():
+    """Long runs of every kind of mark inside, before and behind letters; the scan says what the pattern says."""
+    chars = toxicity.CharModel({"  s": 3, " st": 3, "stu": 3, "tup": 3, "upi": 3, "pid": 3, "id ": 3})
+    restorer = toxicity.Restorer(chars)
+    for mark in sorted({*toxicity.EDGE, *toxicity.SEPARATORS, *toxicity.LEET, "$", "%", "_", "é", "1"}):
+        for token in ("a" + mark * 100_000 + "b", "a" + mark * 100_000, mark * 100_000 + "b", "a" + (mark * 3 + "x") * 20_000 + "b", "a" + (mark * 3 + "-") * 20_000 + "$b"):
+            began = time.time()
+            toxicity.plain(token)
+            assert time.time() - began < 0.1, (mark, token[:5])
+    began = time.time()
+    assert len(restorer.words("Title" + "-" * 100_000 + "text")) >= 1 and time.time() - began < 5
+    pattern = re.compile(r"(?:([^\w\s])\1\1+[" + re.escape(toxicity.EDGE) + r"]*)+$")
+    rng = np.random.default_rng(6)
+    for _ in range(20_000):
+        token = "".join(rng.choice(list("ab$$--%%%_1.")) * int(rng.choice([1, 1, 2, 3, 4])) for _ in range(rng.integers(1, 6)))
+        assert toxicity.untailed(token) == pattern.sub("", token), token
