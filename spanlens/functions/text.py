@@ -164,6 +164,14 @@ def has_name(line: Column, name: str) -> Column:
     return F.contains(line, F.lit(name)) & line.rlike(before + name.replace("$", r"\$") + after)
 
 
+def name_pattern(name: Column) -> Column:
+    """The pattern of `has_name` for names in a column; null where a name is looked for as it is."""
+    first = F.when(F.startswith(name, F.lit("_")), "").when(name.rlike(r"^\p{Lu}"), "(^|[^$])").otherwise("(^|[^A-Za-z0-9$])")
+    last = F.when(F.endswith(name, F.lit("_")), "").when(name.rlike(r"\p{Lu}\z"), "([^A-Za-z0-9$]|$)").otherwise("([^a-z0-9$]|$)")
+    plain = F.contains(name, F.lit("-")) | F.contains(name, F.lit("/"))
+    return F.when(~plain, F.concat(first, F.regexp_replace(name, r"([^\w])", r"\\$1"), last))
+
+
 def match_excerpt(line: Column, name: Column, width: int = 100, lead: int = 40) -> Column:
     """At most `width` characters around the first occurrence of a name, with marks where the line was cut."""
     n = F.length(line)

@@ -35,6 +35,73 @@ def name_lines(files: DataFrame, id: str, name: str, text: str = "text") -> Data
     return rows.select(id, "line", "body", F.count("*").over(Window.partitionBy(id)).alias("in_file"))
 
 
+# Tables of at most so many names are broadcast.
+BROADCAST_NAMES = 100_000
+
+
+def _suffixes(found: Column, mark: str, tail: int = 0) -> Column:
+    """Marked ends of each string, of three characters at most before `tail` more."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.length(x) - tail), lambda n: F.concat(F.lit(mark), F.right(x, n + tail)))
+    return F.flatten(F.transform(found, cut))
+
+
+def line_keys(body: Column) -> Column:
+    """What a line offers to names: runs of small letters and digits, ends of runs of capitals, ends before - and /, and rarer characters.
+
+    A name whose `name_key` is not among them is not in the line: within a name's boundaries its runs of small letters
+    and digits are whole runs of the line.
+    """
+    small = F.transform(F.regexp_extract_all(body, F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.concat(F.lit("l"), x))
+    capitals = F.regexp_extract_all(body, F.lit("[A-Z]{1,3}(?![A-Za-z0-9])"), F.lit(0))
+    dashed = F.regexp_extract_all(body, F.lit("[A-Za-z0-9]{0,3}[-/]"), F.lit(0))
+    rare = F.transform(F.regexp_extract_all(body, F.lit(r"[_$]|[^\x00-\x7F]"), F.lit(0)), lambda x: F.concat(F.lit("c"), x))
+    return F.array_distinct(F.concat(small, _suffixes(capitals, "u"), _suffixes(dashed, "s", 1), rare))
+
+
+def name_key(name: Column) -> Column:
+    """The one key by which a name meets lines; null for what has no letter, digit, underscore, dollar sign, dash or slash."""
+    all_ = lambda pattern: F.regexp_extract_all(name, F.lit(pattern), F.lit(0))
+    longest = lambda xs: F.array_max(F.transform(xs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    plain = F.contains(name, F.lit("-")) | F.contains(name, F.lit("/"))
+    return F.coalesce(
+        F.when(plain, F.concat(F.lit("s"), longest(all_("[A-Za-z0-9]{0,3}[-/]")))),
+        F.concat(F.lit("l"), longest(all_("[a-z0-9]+"))),
+        F.concat(F.lit("u"), F.right(F.try_element_at(all_("[A-Z]+"), F.lit(-1)), F.lit(3))),
+        F.concat(F.lit("c"), F.try_element_at(all_(r"[_$]|[^\x00-\x7F]"), F.lit(1))),
+    )
+
+
+def lines_of_names(texts: DataFrame, names: DataFrame, id: str, query: str = "query", name: str = "name", text: str = "text") -> DataFrame:
+    """(query, id, line, body, names): lines of all texts that hold a name of a query, in one pass for a whole table of names.
+
+    names: (query, name).  Lines meet names by key (`line_keys`, `name_key`), boundaries are checked after.  Few names
+    are broadcast, so that no line is shuffled; of many, lines and names meet in a join that can be split.
+    """
+    asked = names.select(F.col(name).alias("_name")).filter("_name <> ''").distinct()
+    asked = asked.select("_name", T.name_pattern(F.col("_name")).alias("_pattern"), name_key(F.col("_name")).alias("_key")).filter("_key is not null")
+    few = asked.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    each = lines(texts, id, text).select(id, "line", "body").withColumn("_key", F.explode(line_keys(F.col("body"))))
+    met = each.join(F.broadcast(asked) if few else asked, "_key").filter(F.contains("body", F.col("_name")))
+    held = met.filter(F.coalesce(F.rlike("body", F.col("_pattern")), F.lit(True))).select(id, "line", "body", "_name")
+    owners = names.select(query, F.col(name).alias("_name")).distinct()
+    return held.join(owners, "_name").groupBy(query, id, "line").agg(F.first("body").alias("body"), F.array_sort(F.collect_set("_name")).alias("names"))
+
+
+def reports(chunks: DataFrame, names: DataFrame, query: str = "query", name: str = "name") -> DataFrame:
+    """(query, path, symbol, line, body, names, is_definition) of all lines of chunks that hold a name of a query.
+
+    chunks: (chunk_id, path, start_line, symbol, defines, text), which share no lines: a line belongs to the symbol of
+    its chunk, the innermost one.  The first line of a chunk that holds a name which the chunk defines is its definition.
+    """
+    found = lines_of_names(chunks.select("chunk_id", "text"), names, "chunk_id", query, name)
+    rows = found.join(chunks.select("chunk_id", "path", "start_line", "symbol", "defines"), "chunk_id")
+    said = rows.select(query, "chunk_id", "line", F.explode("names").alias("_n"), F.array_contains("defines", F.col("_n")).alias("_own"))
+    first = said.groupBy(query, "chunk_id", "_n").agg(F.min("line").alias("line"), F.bool_or("_own").alias("_own")).filter("_own")
+    marked = first.select(query, "chunk_id", "line").distinct().withColumn("_def", F.lit(True))
+    rows = rows.join(marked, [query, "chunk_id", "line"], "left")
+    return rows.select(query, "path", "symbol", (F.col("start_line") + F.col("line") - 1).alias("line"), "body", "names", F.coalesce("_def", F.lit(False)).alias("is_definition"))
+
+
 def report(chunks: DataFrame, name: str, per_file: int = 40, chars: int = 6_000) -> DataFrame:
     """(path, symbol, line, body, is_definition, in_file, listed) of the lines of chunks that hold a name.
 
