@@ -99,6 +99,11 @@ def explicit_identifiers(prompt: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(tokens(prompt), lambda t: ~_is_path(t)), of_token))))
 
 
+def named(prompt: Column) -> Column:
+    """The names and then the paths that a prompt names, blank-separated."""
+    return F.array_join(F.concat(explicit_identifiers(prompt), path_mentions(prompt)), " ")
+
+
 def is_follow_up(prompt: Column) -> Column:
     """Whether a prompt leans on what came before: hardly any content, or a word that points back and no names."""
     points_back = F.arrays_overlap(F.transform(words(prompt), F.lower), _any_of(vocab.BACK_REFERENCES))

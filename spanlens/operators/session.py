@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-WORKING_SET, SENT, SESSIONS = 40, 200, 256
+from spanlens.operators.shape import budget_append
+
+WORKING_SET, SENT, SESSIONS, AGAIN = 40, 200, 256, 8
+WHOLE = 2**31 - 1  # the last line of a file that was read whole
 
 
 def topics(prompts: DataFrame, session: str, turn: str, text: str, follow_up: Column) -> DataFrame:
@@ -19,6 +22,38 @@ def topics(prompts: DataFrame, session: str, turn: str, text: str, follow_up: Co
     return prompts.withColumn("topic", F.last(F.when(first | ~follow_up, F.col(text)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def effective_queries(prompts: DataFrame, session: str, turn: str, text: str, follow_up: Column, names: Column) -> DataFrame:
+    """Adds `query`: what is searched for a prompt: itself, or, if it leans on the topic, the topic and the names that the prompt adds."""
+    first = F.row_number().over(Window.partitionBy(session).orderBy(turn)) == 1
+    marked = topics(prompts, session, turn, text, follow_up).withColumn("_own", first | ~follow_up)
+    with_names = F.when(names == "", F.col("topic")).otherwise(F.concat("topic", F.lit("\n"), names))
+    return marked.withColumn("query", F.when(F.col("_own"), F.col(text)).otherwise(with_names)).drop("_own")
+
+
+def sent_now(events: DataFrame, session: str, order: str, reset: Column, sent: Column, key: list[str], most: int = SENT) -> DataFrame:
+    """What was sent since a session's last reset: each key once, by its first time; the newest `most`."""
+    now = epochs(events, session, [order], reset).filter("current").filter(sent)
+    once = now.groupBy(session, *key).agg(F.min(order).alias(order))
+    nth = F.row_number().over(Window.partitionBy(session).orderBy(F.desc(order), *key))
+    return once.withColumn("age", nth - 1).filter(F.col("age") < most)
+
+
+def shown_again(events: DataFrame, session: str, order: str, compacted: Column, shown: Column, span: list[str], score: str, tokens: str, budget: int, most: int = AGAIN) -> DataFrame:
+    """(session, order, place, span, score): the best spans so far after each compaction, as far as they fit two thirds of the budget.
+
+    A span counts with its best score before the compaction; one that doesn't fit is passed over, later ones may fit.
+    """
+    at = events.filter(compacted).select(session, F.col(order).alias("_at"))
+    before = events.filter(shown).join(at, session).filter(F.col(order) < F.col("_at"))
+    best = before.groupBy(session, "_at", *span).agg(F.max(score).alias(score), F.max(tokens).alias("_tokens"))
+    place = F.row_number().over(Window.partitionBy(session, "_at").orderBy(F.desc(score), *span)) - 1
+    top = best.withColumn("place", place).filter(F.col("place") < most)
+    lists = top.groupBy(session, F.col("_at").alias(order)).agg(F.array_sort(F.collect_list(F.struct("place", *span, score, "_tokens"))).alias("_xs"))
+    fits = budget_append(F.transform("_xs", lambda x: x["_tokens"].cast("int")), budget * 2 // 3)
+    kept = lists.withColumn("_xs", F.filter(F.arrays_zip("_xs", fits.alias("_fits")), lambda x: x["_fits"]))
+    return kept.select(session, order, F.explode(F.transform("_xs", lambda x: x["_xs"])).alias("x")).select(session, order, "x.place", *(f"x.{c}" for c in span), f"x.{score}")
+
+
 def working_set(results: DataFrame, session: str, span: list[str], score: str, most: int = WORKING_SET) -> DataFrame:
     """The best score of each span a session was shown; the best `most` spans."""
     best = results.groupBy(session, *span).agg(F.max(score).alias(score))
