@@ -10,6 +10,7 @@ from spanlens.functions import vocab
 from spanlens.operators import session as S
 from spanlens.plans import duck as D
 from spanlens.plans.base import query, read
+from spanlens.plans.text_queries import FOLLOWING, FOLLOWS
 
 
 @query(f"""WITH f AS (SELECT conv_id, turn, text, len(list_distinct({D.content_terms('text')})) < 4 OR list_has_any(list_transform({D.words('text')}, lambda w: lower(w)), {D.in_list(vocab.BACK_REFERENCES)}) AS fu,
@@ -57,15 +58,15 @@ def already_set(spark: SparkSession, sf: str) -> DataFrame:
     return marked.filter("current and event_type in ('view', 'purchase')").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("span")).distinct()
 
 
-@query("WITH l AS (SELECT user_id, max(event_id) AS last FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY last DESC) - 1 AS age FROM l) SELECT user_id, last FROM r WHERE age < 64")
+@query("WITH l AS (SELECT user_id, max(event_id) AS last FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY last DESC) - 1 AS age FROM l) SELECT user_id, last FROM r WHERE age < 256")
 def lru_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("last")).orderBy(F.desc("last")).limit(64)
+    return read(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("last")).orderBy(F.desc("last")).limit(S.SESSIONS)
 
 
-@query("WITH r AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS span, max(event_id) AS event_id FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, span) - 1 AS age FROM r) SELECT user_id, span, age FROM k WHERE age < 20")
+@query("WITH r AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS span, max(event_id) AS event_id FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, span) - 1 AS age FROM r) SELECT user_id, span, age FROM k WHERE age < 200")
 def sent_newest(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "events").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("span"), "event_id")
-    return S.newest(rows, "user_id", ["span"], "event_id", 20).select("user_id", "span", F.col("age").cast("long").alias("age"))
+    return S.newest(rows, "user_id", ["span"], "event_id").select("user_id", "span", F.col("age").cast("long").alias("age"))
 
 
 @query("WITH m AS (SELECT event_id, epoch_us(ts) // 1000000 AS stored, event_id % 3 * 40000 AS ttl FROM events) SELECT event_id, ttl FROM m WHERE ttl = 0 OR stored + ttl > (SELECT max(stored) - 1000000 FROM m)")
@@ -118,3 +119,57 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     from spanlens.streaming import sessions
 
     return sessions.session_counts(spark, f"{sf}/events.parquet")
+
+
+@query(f"""WITH f AS (SELECT conv_id, turn, {FOLLOWING} AS text, {FOLLOWS} AS fu, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, CASE WHEN (conv_id + turn) % 3 = 1 THEN concat(chr(10), 'parse_config src/walk.rs') ELSE '' END AS names FROM conversations WHERE role = 'user'),
+t AS (SELECT *, last_value(CASE WHEN k = 1 OR NOT fu THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS topic FROM f)
+SELECT conv_id, turn, md5(CASE WHEN k = 1 OR NOT fu THEN text ELSE concat(topic, names) END) AS query FROM t""")
+def effective_query(spark: SparkSession, sf: str) -> DataFrame:
+    """What is searched for each prompt: follow-ups are their topic and the names they add."""
+    prompts = read(spark, sf, "conversations").filter("role = 'user'").withColumn("text", F.expr(FOLLOWING))
+    found = S.effective_queries(prompts, "conv_id", "turn", "text", T.is_follow_up(F.col("text")), T.named(F.col("text")))
+    return found.select("conv_id", "turn", F.md5("query").alias("query"))
+
+
+# Events as a session's: views are results, purchases spans that were sent, clicks reads (whole or in part), signups resets.
+_EVENT = """e AS (SELECT user_id, epoch_us(ts) * 1000 + event_id % 1000 AS seq, CASE event_type WHEN 'view' THEN 'result' WHEN 'purchase' THEN 'sent' WHEN 'click' THEN 'read' WHEN 'signup' THEN CASE WHEN k % 3 = 0 THEN 'compact' ELSE 'clear' END END AS kind,
+ concat('f', k % 7) AS path, k::INTEGER AS "start", (k + 5)::INTEGER AS "end", value AS score, k % 2 = 0 AS whole, k * 10 AS tokens FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type <> 'error')"""
+
+
+def _session_events(events: DataFrame) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.when(F.col("event_type") == "view", "result").when(F.col("event_type") == "purchase", "sent").when(F.col("event_type") == "click", "read").otherwise(F.when(k % 3 == 0, "compact").otherwise("clear"))
+    seq = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000
+    none = lambda c: F.lit(None).cast(c)
+    return events.filter("event_type <> 'error'").select(
+        "user_id", seq.alias("seq"), kind.alias("kind"), none("string").alias("text"), none("boolean").alias("follow_up"), none("string").alias("names"), F.concat(F.lit("f"), k % 7).alias("path"),
+        k.cast("int").alias("start"), (k + 5).cast("int").alias("end"), F.col("value").alias("score"), (k % 2 == 0).alias("full"), (k * 10).alias("tokens"),
+    )
+
+
+@query(f"""WITH {_EVENT}, w AS (SELECT user_id, path, "start", "end", max(score) AS score FROM e WHERE kind = 'result' GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, path, "start", "end") - 1 AS place FROM w),
+r AS (SELECT user_id, max(seq) AS since FROM e WHERE kind IN ('clear', 'compact') GROUP BY 1), n AS (SELECT e.* FROM e LEFT JOIN r USING (user_id) WHERE seq > coalesce(since, 0)),
+s AS (SELECT user_id, path, "start", "end", min(seq) AS seq FROM n WHERE kind = 'sent' GROUP BY ALL), f AS (SELECT DISTINCT user_id, path FROM n WHERE kind = 'read' AND whole),
+a AS (SELECT user_id, path, "start", "end", 0 AS late, seq FROM s UNION ALL SELECT user_id, path, 1, 2147483647, 1, 0 FROM f)
+SELECT user_id, 'working' AS kind, place::INTEGER AS place, path, "start", "end", score FROM p WHERE place < 40
+UNION ALL SELECT user_id, 'already', (row_number() OVER (PARTITION BY user_id ORDER BY late, seq, path) - 1)::INTEGER, path, "start", "end", NULL FROM a""")
+def stream_session_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Working sets, and all that is in each session's context, as the stream of events leaves them."""
+    from spanlens.streaming import common, state
+
+    out = state.session_states(_session_events(common.table_stream(spark, f"{sf}/events.parquet")).drop("tokens"), "user_id")
+    one = lambda kind: state.answers(spark, out, "user_id", kind).select("user_id", F.lit(kind).alias("kind"), F.posexplode("spans").alias("place", "s"))
+    return one("working").unionByName(one("already")).select("user_id", "kind", "place", "s.*")
+
+
+@query(f"""WITH RECURSIVE {_EVENT}, c AS (SELECT user_id, seq AS since FROM e WHERE kind = 'compact'),
+b AS (SELECT user_id, since, path, "start", "end", max(score) AS score, max(tokens) AS tokens FROM c JOIN e USING (user_id) WHERE kind = 'result' AND seq < since GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id, since ORDER BY score DESC, path, "start", "end") - 1 AS place FROM b QUALIFY place < 8),
+l AS (SELECT user_id, since, list({{'place': place, 'path': path, 's': "start", 'e': "end", 'score': score, 'tokens': tokens}} ORDER BY place) AS xs FROM p GROUP BY 1, 2),
+w(user_id, since, k, used, kept, xs) AS (SELECT user_id, since, 0, 0::BIGINT, xs[1:0], xs FROM l UNION ALL SELECT user_id, since, k + 1, CASE WHEN used + xs[k + 1].tokens <= 800 THEN used + xs[k + 1].tokens ELSE used END,
+ CASE WHEN used + xs[k + 1].tokens <= 800 THEN list_append(kept, xs[k + 1]) ELSE kept END, xs FROM w WHERE k < len(xs)), o AS (SELECT user_id, since, unnest(kept) AS x FROM w WHERE k = len(xs))
+SELECT user_id, since AS seq, x.place::INTEGER AS place, x.path AS path, x.s AS "start", x.e AS "end", x.score AS score FROM o""")
+def shown_again(spark: SparkSession, sf: str) -> DataFrame:
+    """The best spans so far after each compaction, within two thirds of 1,200 tokens."""
+    events = _session_events(read(spark, sf, "events"))
+    return S.shown_again(events, "user_id", "seq", F.col("kind") == "compact", F.col("kind") == "result", ["path", "start", "end"], "score", "tokens", 1_200)

@@ -63,13 +63,14 @@ def prompt_signals(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "benchmark").select("item_id", T.explicit_identifiers(prompt).alias("identifiers"), T.path_mentions(prompt).alias("paths"))
 
 
-@query(f"""
-SELECT conv_id, turn, len(list_distinct({D.content_terms('text')})) < 4
-       OR list_has_any(list_transform({D.words('text')}, lambda w: lower(w)), {D.in_list(vocab.BACK_REFERENCES)}) AS follow_up
-FROM conversations WHERE role = 'user'""")
+# Prompts that lean on what came before, some of which name code: every third one names the same function and path.
+FOLLOWING = """concat(CASE WHEN conv_id % 5 = 0 AND turn > 0 THEN 'and now' ELSE text END, CASE (conv_id + turn) % 3 WHEN 1 THEN ' it in parse_config of src/walk.rs' WHEN 2 THEN ' it' ELSE '' END)"""
+FOLLOWS = f"""(len(list_distinct({D.content_terms(FOLLOWING)})) < 4 OR ((conv_id + turn) % 3 <> 1 AND list_has_any(list_transform({D.words(FOLLOWING)}, lambda w: lower(w)), {D.in_list(vocab.BACK_REFERENCES)})))"""
+
+
+@query(f"SELECT conv_id, turn, {FOLLOWS} AS follow_up FROM conversations WHERE role = 'user'")
 def follow_up(spark: SparkSession, sf: str) -> DataFrame:
-    # The tables' prompts hold no names of code, so the oracle leaves that test out.
-    return read(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", T.is_follow_up(F.col("text")).alias("follow_up"))
+    return read(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", T.is_follow_up(F.expr(FOLLOWING)).alias("follow_up"))
 
 
 _ASK = "concat(CASE turn % 4 WHEN 0 THEN 'Where is it used? ' WHEN 1 THEN 'Which tests? ' WHEN 2 THEN 'Find the call sites. ' ELSE '' END, text)"
