@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlens.operators import index as I
+from spanlens.sources.versions import ChunkStore
 from spanlens.streaming.common import table_stream, work_folder
 
 
@@ -39,3 +40,17 @@ def index_stream(spark: SparkSession, path: str, id: str, text: str = "text", de
     stream = table_stream(spark, path).writeStream.foreachBatch(lambda batch, n: put_batch(batch, n, out, id, text, deleted))
     stream.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return term_df(spark.read.parquet(out), id)
+
+
+def store_stream(spark: SparkSession, chunks: DataFrame, store: ChunkStore, checkpoint: str, deleted: str | None = None, max_files: int = 1) -> None:
+    """Puts each micro-batch of a stream of chunks into a store: one segment a batch, compacted now and then; a batch that runs again is known by its tag.
+
+    deleted: a column that is true where a row only says that its file is gone.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        there = batch.filter(~gone)
+        store.put(there.drop(deleted) if deleted else there, batch.filter(gone).select("path").distinct(), tag=f"{checkpoint}#{n}")
+
+    chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
