@@ -58,12 +58,9 @@ class Engine:
         return moved.drop("rank", "is_prose", "kind").withColumnRenamed("place", "rank")
 
     def mentioned(self, prompts: DataFrame, query: str, prompt: str, limit: int) -> DataFrame:
-        """(query, chunk_id, rank): chunks of files whose paths a prompt mentions, by mention, path and line."""
-        said = prompts.select(query, F.posexplode(T.path_mentions(F.col(prompt))).alias("pos", "mention")).withColumn("base", F.element_at(F.split("mention", "/"), -1))
-        files = self.chunks.select("chunk_id", "path", "start_line").withColumn("base", F.element_at(F.split("path", "/"), -1))
-        met = files.join(said, "base").filter(paths.mentions(F.col("path"), F.col("mention"))).groupBy(query, "chunk_id", "path", "start_line").agg(F.min("pos").alias("pos"))
-        order = Window.partitionBy(query).orderBy("pos", "path", "start_line")
-        return met.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit).select(query, "chunk_id", "rank")
+        """(query, chunk_id, rank): what a search for the terms of the paths that a prompt mentions finds."""
+        said = prompts.select(query, F.explode(T.path_mentions(F.col(prompt))).alias("mention"))
+        return retrieve.path_signal(self.chunks, said, self.index, query, "chunk_id", limit, max(limit, PER_TERM)).select(query, "chunk_id", "rank")
 
     def search(self, prompts: DataFrame, query: str = "query_id", prompt: str = "prompt", scorer: Scorer | None = None) -> DataFrame:
         """(query, path, start, end, score): merged spans within the budgets, re-ranked by a scorer if there is one."""

@@ -183,3 +183,37 @@ def padded_batches(sizes: Column, most: int, budget: float) -> Column:
         return F.struct((acc["batch"] + new.cast("int")).alias("batch"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), longest.alias("longest"), (acc["padded"] + longest - x).alias("padded"))
 
     return F.aggregate(falling, start, step, lambda acc: F.struct(acc["batch"].alias("batches"), acc["padded"].alias("padded")))
+
+
+def greedy_picks(calls: Column, costs: Column, budget: int) -> Column:
+    """struct<items, used, covered>: what a greedy picker shows of the items that calls need, within a budget of characters.
+
+    calls: array<array<string>>, the items of each call, all of which must be shown to answer it; costs: map of items.
+    Each step shows what the call lacks that is answered at the least cost for each call that this answers, which need
+    not be that call alone; equal ones by cost, then by items.  Calls without items, or with an item of unknown cost,
+    are never answered.  The fold takes as many steps as there are calls.
+    """
+    usable = F.array_distinct(F.transform(F.filter(calls, lambda c: (F.size(c) > 0) & F.forall(c, lambda i: F.map_contains_key(costs, i))), lambda c: F.array_sort(F.array_distinct(c))))
+    cost = lambda items: F.aggregate(items, F.lit(0).cast("bigint"), lambda n, i: n + costs[i])
+    start = F.struct(F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("used"))
+
+    def step(acc: Column, _: Column) -> Column:
+        lack = F.array_distinct(F.filter(F.transform(usable, lambda c: F.array_except(c, acc["items"])), lambda x: F.size(x) > 0))
+        fits = F.filter(F.transform(lack, lambda x: F.struct(cost(x).alias("cost"), x.alias("items"))), lambda x: acc["used"] + x["cost"] <= budget)
+        answered = lambda x: F.size(F.filter(calls, lambda c: (F.size(F.array_except(c, F.concat(acc["items"], x["items"]))) == 0) & (F.size(F.array_except(c, acc["items"])) > 0)))
+        ranked = F.transform(fits, lambda x: F.struct((x["cost"] / answered(x)).alias("each"), x["cost"].alias("cost"), x["items"].alias("items")))
+        best = F.array_min(ranked)
+        return F.when(best.isNull(), acc).otherwise(F.struct(F.concat(acc["items"], best["items"]).alias("items"), (acc["used"] + best["cost"]).alias("used")))
+
+    covered = lambda acc: F.size(F.filter(calls, lambda c: (F.size(c) > 0) & (F.size(F.array_except(c, acc["items"])) == 0)))
+    return F.aggregate(usable, start, step, lambda acc: F.struct(acc["items"].alias("items"), acc["used"].alias("used"), covered(acc).alias("covered")))
+
+
+def injection_price(chars: Column, later_reads: Column, write_price: float = 3.75, read_price: float = 0.3, tokens_per_char: float = 1 / 3.5) -> Column:
+    """What so many characters cost: written to the cache once, then read by each later call of the turn; prices for a million tokens."""
+    return chars * tokens_per_char * (write_price + read_price * F.greatest(later_reads, F.lit(0))) / 1e6
+
+
+def break_even_chars(saving: Column, later_reads: Column, write_price: float = 3.75, read_price: float = 0.3, tokens_per_char: float = 1 / 3.5) -> Column:
+    """How many characters may be shown for each call saved before they cost what the call did."""
+    return saving / (tokens_per_char * (write_price + read_price * later_reads) / 1e6)

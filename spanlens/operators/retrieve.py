@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanlens.functions import paths
+from spanlens.functions import text as T
 from spanlens.operators.index import Index
 
 K1, B = 1.2, 0.75
@@ -42,7 +44,7 @@ def bm25(selected: DataFrame, index: Index, query: str, id: str, limit: int = 48
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     if per_term:
-        best_of = Window.partitionBy(query, "term").orderBy(F.desc(gain), id)
+        best_of = Window.partitionBy(query, "term").orderBy(F.desc(F.round(gain, 12)), id)
         hits = hits.withColumn("_t", F.row_number().over(best_of)).filter(F.col("_t") <= per_term)
     scored = hits.groupBy(query, id).agg(F.round(F.sum(idf * gain), 6).alias("score"))
     best = Window.partitionBy(query).orderBy(F.desc("score"), id)
@@ -59,6 +61,23 @@ def by_names(inverted: DataFrame, asked: DataFrame, query: str, id: str, first_n
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order)) - 1).filter(F.col("rank") < limit)
 
 
+def resolve_paths(files: DataFrame, mentions: DataFrame, query: str, path: str = "path", mention: str = "mention") -> DataFrame:
+    """(query, path): the files that a query's mentions mean, met by base name."""
+    said = mentions.select(query, F.col(mention).alias("_m")).distinct().withColumn("_base", F.element_at(F.split("_m", "/"), -1))
+    named = files.select(path).distinct().withColumn("_base", F.element_at(F.split(path, "/"), -1))
+    return named.join(said, "_base").filter(paths.mentions(F.col(path), F.col("_m"))).select(query, path).distinct()
+
+
+def path_signal(files: DataFrame, mentions: DataFrame, index: Index, query: str, id: str, limit: int = 48, per_term: int | None = None) -> DataFrame:
+    """(query, id, score, rank): a second search whose terms are those of the paths that a query mentions.
+
+    The index holds each chunk's path in its text, so that chunks of the files meant, and of their neighbours, come first.
+    """
+    resolved = resolve_paths(files, mentions, query)
+    asked = resolved.select(query, F.explode(T.terms(F.col("path"))).alias("term")).distinct()
+    return bm25(asked.join(index.term_df, "term"), index, query, id, limit, per_term)
+
+
 def rrf(lists: list[DataFrame], query: str, id: str, k: int = RRF_K) -> DataFrame:
     """(query, id, fused, rank) of ranked lists (query, id, rank from 0): the sum of 1 / (k + rank)."""
     tagged = [x.select(query, id, F.col("rank").cast("long").alias("rank"), F.lit(n).alias("list_no")) for n, x in enumerate(lists)]

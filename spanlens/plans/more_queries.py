@@ -11,11 +11,14 @@ from pyspark.sql.window import Window
 from spanlens.functions import patterns
 from spanlens.functions import text as T
 from spanlens.operators import ast_chunk, chunk, evalx, folds, leakage, retrieve, session, shape, transcript
+from spanlens.operators import index as I
 from spanlens.operators.score import LexicalScorer
+from spanlens.plans import duck as D
 from spanlens.plans.base import query, read
 from spanlens.plans.retrieval_queries import _GOLD, _RETRIEVAL, _bm25, _gold, _index
 from spanlens.plans.text_queries import CHUNKS_SQL, SMALL
 from spanlens.sources import commits
+from spanlens.sources import files as source_files_of
 from spanlens.sources import tables as S
 
 
@@ -282,3 +285,70 @@ def log_tasks(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items as commits of a few logs, parsed and made into tasks."""
     logs = read(spark, sf, "benchmark").groupBy(F.col("item_id") % 4).agg(F.array_join(F.collect_list(F.expr(_BLOCK)), "\n").alias("log"))
     return commits.tasks(commits.parse_log(logs))
+
+
+_PATHS = "b AS (SELECT doc_id, concat_ws('/', source, lang, concat(doc_id, '.md')) AS path, concat(source, '/', lang, '/', doc_id, '.md ', text) AS text FROM documents)"
+
+
+@query(f"""WITH {_PATHS}, {D.POSTINGS.replace("FROM documents", "FROM b")}, m AS (SELECT item_id, CASE item_id % 2 WHEN 0 THEN concat(item_id, '.md') ELSE concat('en/', item_id, '.md') END AS mention FROM benchmark),
+r AS (SELECT item_id, path FROM m JOIN b ON path = mention OR ends_with(path, concat('/', mention))), t AS (SELECT DISTINCT item_id, unnest({D.terms('path')}) AS term FROM r), selected AS (SELECT item_id, term, df FROM t JOIN term_df USING (term)), {D.BM25}
+SELECT item_id, doc_id, score FROM ranked WHERE rank < 10""")
+def path_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """A second search: documents by the terms of the paths that a prompt mentions."""
+    files = S.files(spark, sf)
+    index = I.written(I.build(files, "doc_id", F.concat_ws(" ", "path", "text")), "doc_id")
+    mention = F.expr("CASE item_id % 2 WHEN 0 THEN concat(item_id, '.md') ELSE concat('en/', item_id, '.md') END")
+    said = read(spark, sf, "benchmark").select("item_id", mention.alias("mention"))
+    return retrieve.path_signal(files, said, index, "item_id", "doc_id", 10).select("item_id", "doc_id", "score")
+
+
+_RULE = """CASE item_id % 4 WHEN 0 THEN concat('*', item_id, '.md') WHEN 1 THEN concat('!*', item_id - 1, '.md') WHEN 2 THEN concat('src', item_id % 20, '/de/') ELSE concat('/', item_id, '*') END"""
+
+
+@query("""WITH f AS (SELECT doc_id, source, lang, concat(doc_id, '.md') AS base FROM documents), d AS (SELECT DISTINCT concat('src', item_id % 20) AS source FROM benchmark WHERE item_id % 4 = 2),
+m AS (SELECT doc_id, item_id % 4 = 1 AS back, CASE item_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END * 1000000 + item_id AS place FROM f JOIN benchmark ON CASE item_id % 4 WHEN 0 THEN ends_with(base, concat(item_id, '.md'))
+ WHEN 1 THEN source = concat('src', item_id % 20) AND ends_with(base, concat(item_id - 1, '.md')) WHEN 3 THEN source = concat('src', item_id % 20) AND lang = 'en' AND starts_with(base, item_id::VARCHAR) ELSE false END)
+SELECT DISTINCT doc_id FROM (SELECT doc_id FROM m GROUP BY 1 HAVING NOT arg_max(back, place) UNION ALL SELECT doc_id FROM f JOIN d USING (source) WHERE lang = 'de')""")
+def ignored_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files that ignore rules of several folders (one for each benchmark item) leave out."""
+    folder = F.expr("CASE item_id % 4 WHEN 1 THEN concat('src', item_id % 20) WHEN 3 THEN concat('src', item_id % 20, '/en') ELSE '' END")
+    rules = read(spark, sf, "benchmark").select(folder.alias("folder"), F.lit(1).alias("rank"), F.col("item_id").alias("n"), F.expr(_RULE).alias("line"))
+    files = S.files(spark, sf).select("doc_id", "path")
+    return files.join(source_files_of.ignored_paths(files, rules), "path").select("doc_id")
+
+
+_COSTS = "{" + ", ".join(f"'n{i}': {40 + 37 * i % 90}" for i in range(20)) + "}"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT o_custkey AS task, l_orderkey, list_sort(list(DISTINCT concat('n', l_suppkey % 20))) AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2), g AS (SELECT task, list(c) AS calls FROM o GROUP BY 1),
+w(task, k, items, used, calls) AS (SELECT task, 0, []::VARCHAR[], 0::BIGINT, calls FROM g UNION ALL
+ SELECT task, k + 1, CASE WHEN best IS NULL THEN items ELSE list_concat(items, best.items) END, CASE WHEN best IS NULL THEN used ELSE used + best.cost END, calls
+ FROM (SELECT *, list_sort(list_transform(list_filter(cand, lambda x: used + x.cost <= 500), lambda x: {{'each': x.cost / len(list_filter(calls, lambda c: len(list_filter(c, lambda i: NOT list_contains(items, i) AND NOT list_contains(x.items, i))) = 0 AND len(list_filter(c, lambda i: NOT list_contains(items, i))) > 0))::DOUBLE, 'cost': x.cost, 'items': x.items}}))[1] AS best
+  FROM (SELECT *, list_transform(list_filter(list_transform(calls, lambda c: list_filter(c, lambda i: NOT list_contains(items, i))), lambda x: len(x) > 0), lambda x: {{'cost': list_sum(list_transform(x, lambda i: MAP {_COSTS}[i]))::BIGINT, 'items': x}}) AS cand FROM w WHERE k < len(calls))))
+SELECT task, list_sort(items) AS items, used, len(list_filter(calls, lambda c: len(list_filter(c, lambda i: NOT list_contains(items, i))) = 0))::INTEGER AS covered FROM w WHERE k = len(calls)""")
+def greedy_picks(spark: SparkSession, sf: str) -> DataFrame:
+    """What a greedy picker shows each customer, whose orders are calls that need the names of their suppliers."""
+    orders = read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("task"))
+    name = F.concat(F.lit("n"), (F.col("l_suppkey") % 20).cast("string"))
+    calls = read(spark, sf, "lineitem").join(orders, "l_orderkey").groupBy("task", "l_orderkey").agg(F.array_sort(F.collect_set(name)).alias("c"))
+    costs = F.create_map(*(F.lit(x) for i in range(20) for x in (f"n{i}", 40 + 37 * i % 90)))
+    found = calls.groupBy("task").agg(F.collect_list("c").alias("calls")).select("task", folds.greedy_picks(F.col("calls"), costs, 500).alias("g"))
+    return found.select("task", F.array_sort("g.items").alias("items"), "g.used", "g.covered")
+
+
+@query("""SELECT o_orderkey AS call, (o_totalprice / 1e6 / ((1 / 3.5::DOUBLE) * (3.75::DOUBLE + 0.3::DOUBLE * (o_orderkey % 4)) / 1e6)) AS chars, (o_totalprice * (1 / 3.5::DOUBLE) * (3.75::DOUBLE + 0.3::DOUBLE * (o_orderkey % 4)) / 1e6) AS price FROM orders""")
+def break_even(spark: SparkSession, sf: str) -> DataFrame:
+    """How much may be shown for each call saved, and what showing costs."""
+    later = F.col("o_orderkey") % 4
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("call"), folds.break_even_chars(F.col("o_totalprice") / 1e6, later).alias("chars"), folds.injection_price(F.col("o_totalprice"), later).alias("price"))
+
+
+@query(f"""WITH {D.POSTINGS}, {D.QUERY_TERMS}, hits AS (SELECT item_id, term, doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS gain FROM selected JOIN postings USING (term) JOIN doc_len USING (doc_id) CROSS JOIN corpus),
+top AS (SELECT *, row_number() OVER (PARTITION BY item_id, term ORDER BY round(gain, 12) DESC, doc_id) AS nth FROM hits), scored AS (SELECT item_id, doc_id, round(sum(idf * gain), 6) AS score FROM top WHERE nth <= 20 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM scored) SELECT item_id, doc_id, score, rank FROM ranked WHERE rank < 10""")
+def bm25_per_term(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 where only the best twenty documents of each term count, as a store returns them."""
+    index = _index(spark, sf)
+    asked = read(spark, sf, "benchmark").select("item_id", T.content_terms(F.col("text")).alias("terms"))
+    chosen = retrieve.select_terms(retrieve.prepare_terms(asked, "item_id", "terms"), index.term_df, "item_id")
+    return retrieve.bm25(chosen, index, "item_id", "doc_id", 10, per_term=20).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
