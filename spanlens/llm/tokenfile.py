@@ -1,7 +1,8 @@
 """Token ids in Parquet files: list columns, chosen encodings, row groups and page indexes.
 
 Documents are dealt into ranges of their id, sorted inside each, encoded whole and written by
-Spark's own Parquet writer (any store that Spark can write, with its commit protocol).  Ids are
+Spark's own Parquet writer (any store that Spark can write, with its commit protocol).  Input files
+whose parts hold ascending ids in ranges of their own are read as they are, without a shuffle.  Ids are
 a dictionary-coded list column; id, length and start columns are delta-coded without a
 dictionary, so metadata reads touch a few kilobytes and page indexes find a document's page.
 `shard` is the number of the range, so (shard, local_start) orders all ids; the offsets of the
@@ -31,6 +32,38 @@ END_ID = 0
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 128 << 10, 512
 
 
+def ordered_parts(docs: DataFrame, key: str) -> dict[int, int] | None:
+    """The place of each part of a plain file scan, if its ids ascend within and over the parts; else None.
+
+    Only ids are read, and a row for each part comes back.  What a scan's parts are follows from its files alone.
+    """
+    plan = docs.select(key)._jdf.queryExecution().executedPlan().toString()
+    if plan.count("FileScan") != 1 or "Exchange" in plan:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = last = None
+        ascending = True
+        for batch in batches:
+            ids = batch.column(0)
+            if batch.num_rows:
+                found = ids.to_numpy(zero_copy_only=False)
+                ascending = ascending and not ids.null_count and bool((np.diff(found) > 0).all()) and (last is None or found[0] > last)
+                if not ascending:
+                    break
+                first, last = int(found[0]) if first is None else first, int(found[-1])
+        named = {"pid": [TaskContext.get().partitionId()], "first": [first], "last": [last], "ascending": [ascending]}
+        yield pa.RecordBatch.from_pydict(named, pa.schema([("pid", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("ascending", pa.bool_())]))
+
+    parts = docs.select(F.col(key).cast("long").alias(key)).mapInArrow(run, "pid int, first long, last long, ascending boolean").collect()
+    full = sorted((p for p in parts if p.first is not None), key=lambda p: p.first)
+    if not all(p.ascending for p in parts) or any(a.last >= b.first for a, b in zip(full, full[1:], strict=False)):
+        return None
+    return {p.pid: n for n, p in enumerate(full)}
+
+
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -47,12 +80,15 @@ def write_tokens(
     """Writes (key, shard, local_start, n_tokens, tokens), in ascending order of the key over the files."""
     # As many ranges as the input has splits, so that files stay of one size as it grows.
     n = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.select(key, text).rdd.getNumPartitions())
-    source = docs.select(F.col(key).cast("long").alias(key), text).repartitionByRange(n, key).sortWithinPartitions(key, text)
+    source, places = docs.select(F.col(key).cast("long").alias(key), text), None if shards else ordered_parts(docs, key)
+    if places is None:
+        source = source.repartitionByRange(n, key).sortWithinPartitions(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, pid, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        pid = pid if places is None else places.get(pid, pid)
         for batch in text_blocks(batches, text):
             for first, ids, bounds in enc.blocks(batch.column(1).to_pylist()):
                 m = len(bounds) - 1

@@ -337,3 +337,25 @@ def test_runs_of_marks_take_no_time():
     for _ in range(20_000):
         token = "".join(rng.choice(list("ab$$--%%%_1.")) * int(rng.choice([1, 1, 2, 3, 4])) for _ in range(rng.integers(1, 6)))
         assert toxicity.untailed(token) == pattern.sub("", token), token
+
+
+def test_token_files_of_ordered_input(spark, tmp_path):
+    """Files of ascending ids in ranges of their own are read as they are; any other order is sorted; the result is the same."""
+    rows = [(i * 3, f"text {i} of it" * (i % 5)) for i in range(200)]
+    for n, part in enumerate((rows[150:], rows[:60], rows[60:150])):
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/ordered")
+    docs = spark.read.parquet(f"{tmp_path}/ordered")
+    spark.createDataFrame(rows[::-1], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/falling")
+    falling = spark.read.parquet(f"{tmp_path}/falling")
+    assert tokenfile.ordered_parts(docs, "doc_id") is not None
+    assert tokenfile.ordered_parts(falling, "doc_id") is None and tokenfile.ordered_parts(docs.repartition(2), "doc_id") is None
+    assert tokenfile.ordered_parts(docs.unionByName(docs), "doc_id") is None
+    twice = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "doc_id long, text string").coalesce(1)
+    twice.write.parquet(f"{tmp_path}/twice")
+    assert tokenfile.ordered_parts(spark.read.parquet(f"{tmp_path}/twice"), "doc_id") is None
+    found = []
+    for name, df in (("a", docs), ("b", falling)):
+        tokenfile.write_tokens(df, f"{tmp_path}/{name}")
+        found.append(sorted((r.doc_id, r.start, r.n_tokens, tuple(r.tokens)) for r in tokenfile.read_tokens(spark, f"{tmp_path}/{name}").collect()))
+    assert found[0] == found[1] and [r[0] for r in found[0]] == [r[0] for r in rows]
+    assert all(a[1] + a[2] == b[1] for a, b in zip(found[0], found[0][1:]))
