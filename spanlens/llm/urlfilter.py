@@ -5,8 +5,10 @@ path; the longest rule wins.  URLs that a rule fits are the labelled ones.  The
 them alone, at most `max_rows` distinct ones (least by hash), and judge every URL without a
 rule.  Every feature and every tree is a SQL expression; only that bounded sample of numbers
 reaches the driver, where the trees are grown in numpy.  Suffix statistics (pages of each last
-host label, and their mean length) count all rows; labels are no part of them, as rules pick
-whole suffixes.
+host label, and their mean length) count all rows; labels are no part of them, and they are said
+in powers of ten and steps of eight characters, so that they don't name a suffix, which rules
+pick whole.  Suffixes are broadcast to the pages if they are few, by a count; else pages and
+suffixes meet in a join that can be split.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits no rule and
 is judged by its features (zeros for null); repeated rows are judged alike; without labels of
@@ -22,10 +24,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlens.llm.common import ascii_lower, table
+from spanlens.llm.common import ascii_lower, materialise, table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MAX_ROWS = 20_000
+MAX_SUFFIXES, MAX_SUFFIX_BYTES = 200_000, 8 << 20  # of what is broadcast
 FEATURES = ("length", "host_length", "path_length", "depth", "dots", "hyphens", "digit_ratio", "entropy", "parameters", "secure", "fragment", "host_digits", "suffix_pages", "suffix_length")
 
 
@@ -144,9 +147,12 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
     parts = pages.select(F.col(key), F.col(url).alias("_url")).select("*", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     known = parts.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_suffix", F.substring_index("host", ".", -1))
     suffixes = known.groupBy("_suffix").agg(
-        F.log1p(F.count("*").cast("double")).alias("suffix_pages"),
-        F.coalesce(F.avg(F.length("_url")), F.lit(0.0)).alias("suffix_length"),
+        F.floor(F.log10(F.count("*").cast("double"))).cast("double").alias("suffix_pages"),
+        F.coalesce(F.floor(F.avg(F.length("_url")) / 8).cast("double"), F.lit(0.0)).alias("suffix_length"),
     )
+    suffixes = materialise(suffixes, "suffixes")
+    size = suffixes.agg(F.count("*").alias("n"), F.sum(F.octet_length("_suffix")).alias("bytes")).first()
+    suffixes = F.broadcast(suffixes) if size.n <= MAX_SUFFIXES and (size.bytes or 0) <= MAX_SUFFIX_BYTES else suffixes
     lex = lexical(F.col("_url"), F.col("host"), F.col("path"))
     names = ("_url", "host", "path", "_suffix")
     # A URL's labels agree: the rule follows from the URL.
