@@ -29,6 +29,7 @@ from spanlens.llm.bpe import encoder
 from spanlens.llm.common import freed, shared_dir, table, text_blocks
 
 END_ID = 0
+KNOWN_UNITS, BLOCK_CHARS = 300_000, 3_000_000  # of a worker: parts of texts whose ids it remembers, characters at a time
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 128 << 10, 512
 
 
@@ -87,9 +88,9 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, pid, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, pid, before = encoder(tokenizer, KNOWN_UNITS), TaskContext.get().partitionId(), 0
         pid = pid if places is None else places.get(pid, pid)
-        for batch in text_blocks(batches, text):
+        for batch in text_blocks(batches, text, BLOCK_CHARS):
             for first, ids, bounds in enc.blocks(batch.column(1).to_pylist()):
                 m = len(bounds) - 1
                 ends = bounds[1:] + np.arange(1, m + 1)
