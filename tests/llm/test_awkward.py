@@ -268,7 +268,7 @@ def test_attention_window_by_window():
     v, end, span = 30, 29, 4
     counts, starts = rng.integers(1, 50, v).astype(float), np.arange(v) % 2 == 1
     sh = lm.shape(counts, (np.arange(20), np.arange(20) % 12, np.ones(20)), 5, 3, 10)
-    pairs, seen = rng.integers(0, 9, (sh.v, sh.c)), rng.integers(0, 9, (sh.c, sh.v))
+    pairs, seen = rng.integers(0, 9, (sh.v, sh.c)), rng.integers(0, 9, (sh.c, sh.v)) * (np.bincount(sh.row, minlength=sh.v) > 0)
     p = {k: x + rng.normal(0, 0.1, x.shape).astype(np.float32) for k, x in lm.initial(sh.v, sh.c, span).items()}
     model = lm.assemble(counts, starts, sh, lm.odds(pairs), seen, p, span)
     ids = rng.integers(0, 29, 21)
@@ -285,9 +285,14 @@ def test_attention_window_by_window():
         q = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         goal = ids[t] if t < 21 else end
         said.append(math.log(q[model.klass[goal]]) + model.share[model.klass[keys[-1]], model.row[goal]] + model.alone[goal])
-        begins.append(math.log(q @ model.sums[:, 1]))
+        # The chances of all ids add up to one, and those of ids that begin a word to what `logs` gives: so chances of words do, too.
+        every = np.exp(np.log(q[model.klass]) + model.share[model.klass[keys[-1]], model.row] + model.alone)
+        assert abs(every.sum() - q[np.unique(model.klass)].sum()) < 1e-5
+        begins.append(math.log(every[starts].sum()))
     words = [math.log(0.3 * 0.01 + 0.7 * math.exp(said[t] - begins[t] + begins[t + 1])) for t in range(21)]
-    assert np.allclose(logs, words, atol=1e-3)
+    assert np.allclose(logs, words, atol=1e-3) and len({round(b, 3) for b in begins}) > 5
+    half = model.logs(model.row[np.array([context[:span]])], model.klass[np.array([context[1 : span + 1]])], np.array([False]))[1]
+    assert np.allclose(half[0], begins[:span], atol=1e-4)
     assert abs(whole[0] - (sum(words) + math.log(0.3 * 0.2 + 0.7 * math.exp(said[21] - begins[21]))) / math.log(10)) < 1e-2
 
 

@@ -414,6 +414,11 @@ def test_lm_is_fitted_on_all_ids_of_all_training_texts(spark, sf, rows):
     assert np.allclose(model.bigram, lm.odds(pairs))
     counts = np.bincount(np.concatenate([r[1:] for r in runs]), minlength=enc.size).astype(float)
     assert np.allclose(model.share, lm.shares(counts, seen, sh.klass, sh.row)[0])
+    # After any id the chances of all ids of a class add up to one, and those of ids that begin a word to the model's mass.
+    for last in (0, 3, sh.c - 1):
+        each = np.exp(model.share[last, model.row] + model.alone)
+        assert np.allclose(np.bincount(model.klass, each, sh.c)[np.unique(model.klass)], 1, atol=1e-4)
+        assert np.allclose(np.bincount(model.klass, each * enc.starts, sh.c).clip(1e-9), model.begins[last], atol=1e-5)
 
 
 def test_lm_splits_and_encodes_each_text_once(spark, sf, rows):
