@@ -1,9 +1,10 @@
 """Chunks of source code along its syntax, with symbols, definitions and references.
 
 Parsing is the one thing column functions cannot do, so it runs as an Arrow batch function over
-whole files, one file a row.  Python is parsed by its own grammar; languages with braces by a
-scanner of strings, comments and brackets with rules for each language (approximate: no grammars
-for them are at hand); all else by the text chunker's rule.  A file that doesn't parse falls back
+whole files, one file a row.  Python is parsed by its own grammar; Ruby by its opening words and
+`end`, languages with braces by their brackets, both after a lexer that knows each language's strings
+and comments, with rules for each language (approximate: no grammars for them are at hand); all else
+by the text chunker's rule.  A file that doesn't parse falls back
 to text, and its rows say why in `error`; nothing fails.
 
 A tree node is (first row, last row, kind, children).  Neighbours are packed into chunks of at
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 
 from spanlens.operators import languages
 from spanlens.operators.chunk import ChunkConfig
+from spanlens.operators.lexer import quieted
 
 MAX_REFS, MAX_DEPTH = 48, 64
 BRACED = ("rust", "typescript", "tsx", "javascript", "go", "java", "c", "cpp", "csharp", "php", "kotlin", "swift")
@@ -68,8 +70,14 @@ def parse_python(source: str) -> Tree:
     symbols: list[Symbol] = []
     refs: list[tuple[int, int, str]] = []
 
+    lines = source.split("\n")
+
     def first(n: ast.AST) -> int:
-        return min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) - 1
+        """The first row of a statement with its decorators and the comments right above it."""
+        row = min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) - 1
+        while row and lines[row - 1].strip().startswith("#"):
+            row -= 1
+        return row
 
     def nodes(body: list[ast.stmt], depth: int) -> list[Node]:
         out = []
@@ -81,7 +89,7 @@ def parse_python(source: str) -> Tree:
                 symbols.append(Symbol(n.name, f"{'class' if kind == 'class' else 'def'} {n.name}", first(n), n.end_lineno - 1, n.lineno - 1, depth))
             elif depth == 0 and isinstance(n, (ast.Assign, ast.AnnAssign)):
                 for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
-                    if isinstance(t, ast.Name):
+                    if isinstance(t, ast.Name) and t.id.isupper():
                         symbols.append(Symbol(t.id, "", first(n), n.end_lineno - 1, n.lineno - 1, -1))
         return out
 
@@ -103,12 +111,9 @@ def parse_python(source: str) -> Tree:
     return Tree(nodes(tree.body, 0), sorted(symbols, key=lambda s: (s.start, -s.end)), [(r, n) for r, _, n in sorted(refs)])
 
 
-_QUIET = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])\'|`(?:\\.|[^`\\])*`', re.S)
-
-
 def parse_braces(source: str, lang: str = "java") -> Tree:
     """Blocks between brackets and the rows that lead up to them; strings and comments are blanked first."""
-    quiet = _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    quiet = quieted(source, lang)
     rows = quiet.split("\n")
 
     def blocks(lo: int, hi: int, depth: int) -> list[Node]:
@@ -118,7 +123,8 @@ def parse_braces(source: str, lang: str = "java") -> Tree:
             if start is None and source_rows[r].strip():
                 start = r
             level += text.count("{") - text.count("}")
-            whole = level <= 0 and (text.rstrip().endswith(("}", ";", "};", "})", "});")) or not text.strip())
+            # Comments stay with what comes after them, unless an empty row lies between.
+            whole = level <= 0 and (text.rstrip().endswith(("}", ";", "};", "})", "});")) or not source_rows[r].strip())
             if start is not None and whole:
                 end = r if source_rows[r].strip() else r - 1
                 body = end - start > 1 and depth < MAX_DEPTH and any("{" in rows[x] for x in range(start, end))
@@ -157,16 +163,78 @@ def parse_braces(source: str, lang: str = "java") -> Tree:
     return Tree(blocks(0, len(rows) - 1, 0), symbols, [(row_of(i), name) for i, name in languages.references(quiet)])
 
 
-def segments(nodes: list[Node], lo: int, hi: int, cfg: ChunkConfig, depth: int = 0) -> list[tuple[int, int, str]]:
-    """Row spans of at most max_lines that cover lo .. hi; nodes that are too large are opened."""
-    out: list[tuple[int, int, str]] = []
+EITHER, BACK, FORWARD = "", "back", "forward"
+
+
+_RUBY_OPENS = re.compile(r"^[ \t]*(?:(?:private|protected|public|module_function|private_class_method)[ \t]+)?(def|class|module|if|unless|case|while|until|for|begin)\b|\bdo\b[ \t]*(?:\|[^|\n]*\|)?[ \t]*$|=[ \t]*(?:if|unless|case|begin|while)\b", re.M)
+_RUBY_NAMED = re.compile(r"^[ \t]*(?:\w+[ \t]+)?(def|class|module)[ \t]+(?:self\.|[A-Z]\w*\.)?(?:[A-Z]\w*::)*([A-Za-z_]\w*[?!=]?)", re.M)
+_RUBY_CONST = re.compile(r"^[ \t]*([A-Z]\w*)[ \t]*=(?![=~>])", re.M)
+_RUBY_ENDLESS = re.compile(r"^[ \t]*(?:\w+[ \t]+)?def[ \t]+[^\n=]*?\)?[ \t]=(?![=~>])[ \t]*\S")
+
+
+def parse_ruby(source: str) -> Tree:
+    """Blocks between opening words and `end`; a word that only qualifies a statement opens nothing."""
+    quiet = quieted(source, "ruby")
+    rows, source_rows = quiet.split("\n"), source.split("\n")
+    symbols: list[Symbol] = []
+    tops: list[Node] = []
+    stack: list[tuple[Node | None, Symbol | None]] = []
+    comment: int | None = None
+    for r, text in enumerate(rows):
+        bare = text.strip()
+        if not bare:
+            comment = (r if comment is None else comment) if source_rows[r].strip() else None
+            continue
+        first = r if comment is None else comment
+        comment = None
+        named = _RUBY_NAMED.match(text)
+        symbol = None
+        if named:
+            label = f"{named[1]} {named[2]}"
+            symbol = Symbol(named[2], label, first, r, r, sum(s is not None for _, s in stack))
+            symbols.append(symbol)
+        elif not stack or all(n is not None and n.kind in ("class", "module") for n, _ in stack):
+            if const := _RUBY_CONST.match(text):
+                symbols.append(Symbol(const[1], "", first, r, r, -1))
+        closes = len(re.findall(r"(?<![\w.:])end\b(?![?!:])", text))
+        opens = 0 if _RUBY_ENDLESS.match(text) else len(_RUBY_OPENS.findall(text))
+        if opens:
+            for k in range(opens):
+                node = Node(first, r, {"def": "function"}.get(named[1], named[1]) if named and k == 0 else "block")
+                (stack[-1][0].children if stack else tops).append(node)
+                stack.append((node, symbol if k == 0 else None))
+        else:
+            where = stack[-1][0].children if stack else tops
+            if not (bare == "end" or re.match(r"(?:else|elsif|when|in|rescue|ensure)\b", bare)):
+                where.append(Node(first, r, "statement"))
+        for _ in range(min(closes, len(stack))):
+            node, held = stack.pop()
+            node.end = r
+            if held:
+                held.end = r
+    for node, held in stack:  # never closed
+        node.end = len(rows) - 1
+        if held:
+            held.end = len(rows) - 1
+    starts = list(itertools.accumulate((len(line) + 1 for line in rows), initial=0))
+    found = [(bisect.bisect_right(starts, i, 0, len(rows)) - 1, name) for i, name in languages.ruby_references(quiet)]
+    return Tree(tops, sorted(symbols, key=lambda s: (s.start, -s.end)), found)
+
+
+def segments(nodes: list[Node], lo: int, hi: int, cfg: ChunkConfig, depth: int = 0) -> list[tuple[int, int, str, str]]:
+    """Row spans (first, last, kind, side) of at most max_lines that cover lo .. hi; nodes that are too large are opened.
+
+    side: which neighbour a small span joins.  What lies before a node that is opened belongs to what follows; what is
+    left at the end of an opened node, its closing bracket, to what is before.
+    """
+    out: list[tuple[int, int, str, str]] = []
     start, kind = lo, ""
 
-    def flush(end: int) -> None:
+    def flush(end: int, side: str = EITHER) -> None:
         nonlocal start
         while start <= end:
             cut = min(end, start + cfg.max_lines - 1)
-            out.append((start, cut, kind or "text"))
+            out.append((start, cut, kind or "text", side))
             start = cut + 1
 
     reached = lo - 1
@@ -176,7 +244,8 @@ def segments(nodes: list[Node], lo: int, hi: int, cfg: ChunkConfig, depth: int =
             continue
         begin = max(n.start, reached + 1)
         if end - start + 1 > cfg.max_lines and begin > start:
-            flush(begin - 1)
+            opened = end - begin + 1 > cfg.max_lines and n.children and depth < MAX_DEPTH
+            flush(begin - 1, FORWARD if opened else EITHER)
             kind = ""
         if end - start + 1 > cfg.max_lines and n.children and depth < MAX_DEPTH:
             out += segments(n.children, start, end, cfg, depth + 1)
@@ -188,29 +257,31 @@ def segments(nodes: list[Node], lo: int, hi: int, cfg: ChunkConfig, depth: int =
         elif not kind or n.kind != "statement":
             kind = kind if kind in ("class", "function", "block") else n.kind
         reached = end
-    flush(hi)
+    flush(hi, BACK if depth else EITHER)
     return out
 
 
-def merge_small(spans: list[tuple[int, int, str]], cfg: ChunkConfig) -> list[tuple[int, int, str]]:
-    """Pieces below min_lines join the neighbour that stays smaller, if it stays within max_lines."""
-    spans = list(spans)
+def merge_small(spans: list[tuple], cfg: ChunkConfig) -> list[tuple[int, int, str]]:
+    """Pieces (first, last, kind[, side]) below min_lines join a neighbour if both stay within max_lines: that of their side, else the one that stays smaller."""
+    spans = [(*s, EITHER)[:4] for s in spans]
     i = 0
     while i < len(spans):
-        s, e, kind = spans[i]
+        s, e, kind, side = spans[i]
         if e - s + 1 >= cfg.min_lines:
             i += 1
             continue
-        choices = [(spans[j][1] - spans[j][0], j) for j in (i - 1, i + 1) if 0 <= j < len(spans) and max(e, spans[j][1]) - min(s, spans[j][0]) + 1 <= cfg.max_lines]
+        near = {BACK: (i - 1,), FORWARD: (i + 1,)}.get(side, (i - 1, i + 1))
+        fits = lambda j: 0 <= j < len(spans) and max(e, spans[j][1]) - min(s, spans[j][0]) + 1 <= cfg.max_lines  # noqa: E731, B023
+        choices = [(spans[j][1] - spans[j][0], j) for j in near if fits(j)] or [(spans[j][1] - spans[j][0], j) for j in (i - 1, i + 1) if fits(j)]
         if not choices:
             i += 1
             continue
         j = min(choices)[1]
         a, b = sorted((i, j))
         big = spans[j][2] if spans[j][1] - spans[j][0] >= e - s else kind
-        spans[a : b + 1] = [(spans[a][0], spans[b][1], big)]
+        spans[a : b + 1] = [(spans[a][0], spans[b][1], big, spans[j][3])]
         i = a
-    return spans
+    return [s[:3] for s in spans]
 
 
 def text_spans(blank: list[bool], cfg: ChunkConfig) -> list[tuple[int, int, str]]:
@@ -240,11 +311,11 @@ def chunk_source(path: str, lang: str, text: str, cfg: ChunkConfig = ChunkConfig
     blank = [not r.strip() for r in rows]
     tree = error = None
     try:
-        tree = parse_python(text) if lang == "python" else parse_braces(text, lang) if lang in BRACED else None
+        tree = parse_python(text) if lang == "python" else parse_ruby(text) if lang == "ruby" else parse_braces(text, lang) if lang in BRACED else None
     except (SyntaxError, ValueError, RecursionError) as e:
         error = f"{type(e).__name__}: {e}"
     spans = merge_small(segments(tree.nodes, 0, len(rows) - 1, cfg), cfg) if tree else merge_small(text_spans(blank, cfg), cfg)
-    common = COMMON if lang == "python" else languages.CONTROL | {"self", "this", "base"}
+    common = COMMON if lang == "python" else languages.RUBY_COMMON if lang == "ruby" else languages.CONTROL | {"self", "this", "base"}
     out = []
     for s, e, kind in spans:
         while s <= e and blank[s]:

@@ -98,3 +98,18 @@ def definitions(quiet: str, lang: str, depth_at) -> list[tuple[int, str, str, bo
             if m[1] not in CONTROL:
                 found.setdefault(m.start(1), (m[1], m[1], True))
     return [(i, *found[i]) for i in sorted(found)]
+
+
+RUBY_COMMON = frozenset("alias and begin break case class def defined do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield puts require require_relative include extend attr_reader attr_writer attr_accessor raise private public protected new lambda proc loop".split())
+_RUBY_CALL = re.compile(r"(?<![\w@$:])([a-z_]\w*[?!]?)(?=\()|(?<=\.)([a-z_]\w*[?!]?)|\b([A-Z]\w*)\b")
+_RUBY_DEFINED = re.compile(r"\b(?:def|class|module)[ \t]+$")
+
+
+def ruby_references(quiet: str) -> list[tuple[int, str]]:
+    """(place, name) of calls with parentheses or a receiver, and of constants."""
+    found = []
+    for m in _RUBY_CALL.finditer(quiet):
+        name = m[1] or m[2] or m[3]
+        if name not in RUBY_COMMON and not _RUBY_DEFINED.search(quiet, max(0, m.start() - 12), m.start()):
+            found.append((m.start(), name))
+    return found
