@@ -6,12 +6,17 @@ Sums are taken before anything is shuffled; windows hold one group's rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DRAWS, LOW, HIGH = 10_000, 0.025, 0.975
 BROADCAST_PAIRS = 200_000
+BLOCK = 2_000_000  # numbers that a task draws at a time
 _MODULUS = 2_147_483_647
 
 
@@ -46,7 +51,7 @@ def complete_tasks(runs: DataFrame, arms: int, task: str = "task", arm: str = "a
     return runs.groupBy(task).agg(F.countDistinct(arm).alias("_arms")).filter(F.col("_arms") == arms).select(task)
 
 
-def drawn(draw: Column, place: Column, n: Column) -> Column:
+def drawn(draw, place, n):
     """A whole number below n for each draw and place: two squarings modulo a prime, the same in every engine."""
     u = (draw * 1_000_003 + place * 7_919 + 17) % _MODULUS
     u = (u * u) % _MODULUS
@@ -54,25 +59,51 @@ def drawn(draw: Column, place: Column, n: Column) -> Column:
     return ((u * u) % _MODULUS) % n
 
 
+def _drawn_sums(placed: DataFrame, columns: list[str], draws: int) -> DataFrame | None:
+    """(_b, columns): sums of each draw and stratum, drawn in arrays by tasks that hold all (few) pairs; None if a number is missing."""
+    spark = placed.sparkSession
+    found = placed.toPandas()
+    if found[columns].isna().any(axis=None):
+        return None
+    strata = [part.sort_values("_i")[columns].to_numpy(float) for _, part in found.groupby("_s", dropna=False)]
+    shared = spark.sparkContext.broadcast(strata)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for numbers in shared.value:
+                n, block = len(numbers), max(1, BLOCK // len(numbers))
+                for at in range(0, batch.num_rows, block):
+                    draw = batch.column(0).slice(at, block).to_numpy()
+                    picks = drawn(draw[:, None], np.arange(n)[None, :], n)
+                    sums = [pa.array(numbers[:, j][picks].sum(axis=1)) for j in range(numbers.shape[1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(draw), *sums], names=["_b", *columns])
+
+    every = spark.range(draws).repartition(spark.sparkContext.defaultParallelism, "id")
+    return every.mapInArrow(run, ", ".join(["_b long", *(f"{c} double" for c in columns)]))
+
+
 def bootstrap(pairs: DataFrame, stratum: str, metrics: dict[str, tuple[str, str]], task: str = "task", draws: int = DRAWS, low: float = LOW, high: float = HIGH) -> DataFrame:
     """(metric, pooled, lo, hi, balanced, balanced_lo, balanced_hi): changes with bootstrap intervals.
 
     Each draw resamples the pairs of every stratum with replacement, as many as it has; one set of places
     serves all metrics.  An interval ends at the sorted draws' places floor(low * n) and floor(high * n) - 1.
-    The draws' sums are taken on the map side: what is shuffled is at most a row for each draw and stratum
-    in each task.
+    Few pairs go to every task, which draws in arrays for its part of the draws; many, or pairs with missing
+    numbers, meet their draws in a join, whose sums are taken on the map side.  Either way at most a row
+    for each draw and stratum in each task is shuffled, and the picks are the same.
     """
     names = list(metrics)
     numbers = [F.col(c).alias(f"_{side}{i}") for i, m in enumerate(names) for side, c in zip("xy", metrics[m], strict=True)]
     placed = pairs.select(F.col(stratum).alias("_s"), (F.row_number().over(Window.partitionBy(stratum).orderBy(task)) - 1).cast("long").alias("_i"), *numbers)
     sizes = placed.groupBy("_s").agg(F.count("*").alias("_n"))
-    # Few rows become many here: they are dealt to all cores first.
-    slots = placed.select("_s", F.col("_i").alias("_slot")).join(sizes, "_s").repartition(pairs.sparkSession.sparkContext.defaultParallelism, "_s", "_slot").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    picks = slots.select("_s", "_b", drawn(F.col("_b"), F.col("_slot"), F.col("_n")).alias("_i"))
-    sums = [F.sum(f"_{side}{i}").alias(f"_{side}{i}") for i in range(len(names)) for side in "xy"]
-    # The pairs go to every task while they are few; beyond that both sides are shuffled, with the same result.
+    columns = [f"_{side}{i}" for i in range(len(names)) for side in "xy"]
+    sums = [F.sum(c).alias(c) for c in columns]
     few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-    by_stratum = picks.join(F.broadcast(placed) if few else placed, ["_s", "_i"]).groupBy("_b", "_s").agg(*sums)
+    by_stratum = _drawn_sums(placed, columns, draws) if few else None
+    if by_stratum is None:
+        # Few rows become many here: they are dealt to all cores first.
+        slots = placed.select("_s", F.col("_i").alias("_slot")).join(sizes, "_s").repartition(pairs.sparkSession.sparkContext.defaultParallelism, "_s", "_slot").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+        picks = slots.select("_s", "_b", drawn(F.col("_b"), F.col("_slot"), F.col("_n")).alias("_i"))
+        by_stratum = picks.join(F.broadcast(placed) if few else placed, ["_s", "_i"]).groupBy("_b", "_s").agg(*sums)
     ratio = lambda i: F.col(f"_x{i}") / F.nullif(F.col(f"_y{i}"), F.lit(0)) - 1
     per_draw = by_stratum.groupBy("_b").agg(*(change(f"_x{i}", f"_y{i}").alias(f"_p{i}") for i in range(len(names))), *(F.avg(ratio(i)).alias(f"_q{i}") for i in range(len(names))))
     # `draws` numbers a metric, however many pairs there are.

@@ -173,3 +173,28 @@ def shown_again(spark: SparkSession, sf: str) -> DataFrame:
     """The best spans so far after each compaction, within two thirds of 1,200 tokens."""
     events = _session_events(read(spark, sf, "events"))
     return S.shown_again(events, "user_id", "seq", F.col("kind") == "compact", F.col("kind") == "result", ["path", "start", "end"], "score", "tokens", 1_200)
+
+
+@query("SELECT user_id, event_id, event_type, round(value, 6) AS value FROM events")
+def rotated_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events written to a rotating log in four parts, and followed by a stream that began after the first."""
+    from spanlens.sources import records
+    from spanlens.sources.store import work_folder
+
+    log, out, state = records.RotatingLog(spark, work_folder(spark, "log"), max_bytes=100_000, keep=1_000), work_folder(spark, "followed"), work_folder(spark, "followed-state")
+    events = read(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    for part in range(4):
+        log.append(events.filter(F.col("event_id") % 4 == part), tag=str(part))
+        if part in (0, 3):
+            put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+            log.follow(events.schema).writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query("""SELECT event_type AS event, count(*) AS calls, count(DISTINCT user_id) AS sessions, count(*) FILTER (WHERE value < 5) AS failures, round(sum(value), 4) AS total, round(max(value), 6) AS longest FROM events GROUP BY 1""")
+def trace_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What a log holds of each kind of event."""
+    from spanlens.sources import records
+
+    found = records.summary(read(spark, sf, "events"), "event_type", "user_id", "value", F.col("value") < 5)
+    return found.select(F.col("event_type").alias("event"), "calls", "sessions", "failures", F.round("total", 4).alias("total"), F.round("longest", 6).alias("longest"))
