@@ -48,9 +48,13 @@ def is_test_task(path: Column) -> Column:
     return path.rlike("(^|/)(tests?|__tests__)/") | F.startswith(base, F.lit("test_")) | base.rlike(r"(_test|\.test|\.spec)\.[a-z]+\z")
 
 
+# Fixed value: what a lookup's path or glob looks like if it is about tests.
+TEST_LOOKUP = r"(^|/)(tests?|__tests__|spec)(/|\z)|(^|/)test_[^/]*\z|_test\.\w+\z|\.(test|spec)\.\w+\z|(^|/)tests?\.rs\z"
+
+
 def is_test_lookup(path: Column) -> Column:
     """Whether a lookup's path or glob is about tests; a folder counts too, and case doesn't matter."""
-    return F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec)(/|\z)|(^|/)test_[^/]*\z|_test\.\w+\z|\.(test|spec)\.\w+\z|(^|/)tests?\.rs\z")
+    return F.lower(path).rlike(TEST_LOOKUP)
 
 
 def is_prose(path: Column) -> Column:

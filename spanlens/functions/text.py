@@ -154,6 +154,12 @@ def task_focus(prompt: Column) -> Column:
     return F.when(F.size(quoted) > 0, F.array_join(quoted, "\n")).when(F.size(content_terms(kept)) == 0, prompt).otherwise(kept)
 
 
+def admissible_refs(names: Column, defined: Column, common: frozenset[str], most: int = 48) -> Column:
+    """The first `most` distinct names of three letters or more that are neither common nor defined here."""
+    kept = F.filter(names, lambda x: (F.length(x) >= 3) & ~x.isin(*sorted(common)))
+    return F.slice(F.array_except(kept, defined), 1, most)
+
+
 def contains_word(text: Column, word: str) -> Column:
     """Whether an identifier occurs as a whole word."""
     return text.rlike(f"(^|[^A-Za-z0-9_]){word}([^A-Za-z0-9_]|$)")

@@ -26,6 +26,11 @@ def means(name: Column, gold: Column) -> Column:
     return (name == gold) | F.endswith(gold, F.concat(F.lit("/"), name)) | F.endswith(name, gold)
 
 
+def gold_matches(named: DataFrame, gold: DataFrame, key: str, name: str = "name", path: str = "gold") -> DataFrame:
+    """(key, name, gold): the named paths of a key with the gold paths that they mean."""
+    return named.select(key, name).join(gold.select(key, path), key).filter(means(F.col(name), F.col(path))).distinct()
+
+
 def grade(rows: DataFrame, answer: str, gold: str) -> DataFrame:
     """Adds named, recall, precision and hit_any of an answer against an array of gold paths."""
     marked = rows.withColumn("named", named_files(F.col(answer)))

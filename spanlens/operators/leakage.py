@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.functions import text as T
+from spanlens.sources.store import stored
 
 LEAST_BYTES = 512
 
@@ -26,3 +27,23 @@ def equal_tasks(train: DataFrame, held_out: DataFrame, task: Column, ids: tuple[
     a = train.select(F.col(ids[0]), T.normalise_task(task).alias("_t")).filter("_t <> ''")
     b = held_out.select(F.col(ids[1]), T.normalise_task(task).alias("_t"))
     return a.join(b, "_t").select(*ids)
+
+
+BROADCAST_WORDS = 200_000
+
+
+def sharing_rarest(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, item_text: str) -> DataFrame:
+    """(doc, item): pairs in which the document holds the inner word of the item that the fewest documents hold.
+
+    A document that contains an item's text holds its inner words whole (the first and last may be cut off inside longer
+    ones), so no pair is lost.  Only words that items ask for are counted and joined, and common ones meet nobody.
+    """
+    inner = F.expr(f"slice(split({item_text}, ' '), 2, greatest(size(split({item_text}, ' ')) - 2, 1))")
+    asked = items.select(item, F.explode(F.array_distinct(inner)).alias("_w"))
+    known = asked.select("_w").distinct()
+    few = known.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    words = docs.select(doc, F.explode(F.array_distinct(F.split(text, " "))).alias("_w")).join(F.broadcast(known) if few else known, "_w", "left_semi")
+    words = stored(words, "words")
+    counts = words.groupBy("_w").agg(F.count("*").alias("_df"))
+    rarest = asked.join(counts, "_w", "left").groupBy(item).agg(F.min_by("_w", F.struct(F.coalesce("_df", F.lit(0)), "_w")).alias("_w"))
+    return words.join(rarest, "_w").select(doc, item)

@@ -200,3 +200,14 @@ def append_blocks(blocks: Column, cap: int = 9_500) -> Column:
         return F.when(F.octet_length(longer) <= cap, longer).otherwise(acc)
 
     return F.aggregate(blocks, F.lit(""), step)
+
+
+def indent_ancestors(lines: DataFrame, file: str, line: str = "line", indent: str = "indent", most: int = 400) -> DataFrame:
+    """(file, line, indent): the lines above each file's last line that open a block around it, at most `most` lines up.
+
+    Going up, each line that is indented less than all below it is such a line.
+    """
+    up = Window.partitionBy(file).orderBy(F.desc(line))
+    below = F.min(indent).over(up.rowsBetween(Window.unboundedPreceding, -1))
+    rows = lines.select(file, line, indent).withColumn("_n", F.row_number().over(up)).withColumn("_below", below)
+    return rows.filter((F.col("_n") <= most + 1) & (F.col(indent) < F.col("_below"))).select(file, line, indent)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanlens.operators.ast_chunk import COMMON
 from spanlens.operators import calibrate, evalx, folds, grade, runs, shape, stats, training
 from spanlens.operators import index as I
 from spanlens.operators import transcript as Tr
@@ -551,10 +552,11 @@ def reindex_merge(spark: SparkSession, sf: str) -> DataFrame:
     return I.replace_files(old, put, docs.filter("path % 11 = 0").select("path"))
 
 
-@query("WITH a AS (SELECT item_id, (item_id * 37 + k) % 1500 AS doc_id, k FROM (SELECT item_id, unnest(range(5)) AS k FROM benchmark) x) SELECT item_id, k::INTEGER AS k, d.doc_id, d.lang FROM a JOIN documents d ON d.doc_id = a.doc_id")
+@query("WITH a AS (SELECT item_id, (item_id * 37 + k * 101) % (SELECT count(*) FROM documents) AS doc_id, k FROM (SELECT item_id, unnest(range(5)) AS k FROM benchmark) x) SELECT item_id, k::INTEGER AS k, d.doc_id, d.lang FROM a JOIN documents d ON d.doc_id = a.doc_id")
 def get_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    asked = read(spark, sf, "benchmark").select("item_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).withColumn("doc_id", (F.col("item_id") * 37 + F.col("k")) % 1500)
-    return I.get_chunks(asked, read(spark, sf, "documents").select("doc_id", "lang"), "doc_id").select("item_id", "k", "doc_id", "lang")
+    docs = read(spark, sf, "documents").select("doc_id", "lang")
+    asked = read(spark, sf, "benchmark").select("item_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).withColumn("doc_id", (F.col("item_id") * 37 + F.col("k") * 101) % docs.count())
+    return I.get_chunks(asked, docs, "doc_id").select("item_id", "k", "doc_id", "lang")
 
 
 @query("""WITH t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id % 3 > 0) SELECT source, doc_id, k::INTEGER AS k FROM t WHERE k <= 2""")
@@ -660,14 +662,13 @@ def df_delta(spark: SparkSession, sf: str) -> DataFrame:
     return I.df_delta(I.postings(docs, "doc_id"), I.postings(docs, "doc_id", live))
 
 
-@query(f"""WITH w AS (SELECT doc_id, {D.words('text')} AS w FROM documents), d AS (SELECT doc_id, w[1:3] AS defines, list_filter(w, lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'with', 'que', 'der')) AS r FROM w)
+@query(f"""WITH w AS (SELECT doc_id, {D.words('text')} AS w FROM documents), d AS (SELECT doc_id, w[1:3] AS defines, list_filter(w, lambda x: length(x) >= 3 AND NOT list_contains({D.in_list(sorted(COMMON))}, x)) AS r FROM w)
 SELECT doc_id, list_filter(r, lambda x, i: list_position(r, x) = i AND NOT list_contains(defines, x))[1:48] AS refs FROM d""")
 def refs_admissible(spark: SparkSession, sf: str) -> DataFrame:
     from spanlens.functions import text as T
 
     w = T.words(F.col("text"))
-    kept = F.filter(w, lambda x: (F.length(x) >= 3) & ~x.isin("the", "and", "with", "que", "der"))
-    return read(spark, sf, "documents").select("doc_id", F.slice(F.array_except(kept, F.slice(w, 1, 3)), 1, 48).alias("refs"))
+    return read(spark, sf, "documents").select("doc_id", T.admissible_refs(w, F.slice(w, 1, 3), COMMON).alias("refs"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
@@ -702,3 +703,13 @@ def identifier_query(spark: SparkSession, sf: str) -> DataFrame:
 
     q = F.expr("CASE item_id % 5 WHEN 0 THEN 'parse_config' WHEN 1 THEN 'where is HashMap used' WHEN 2 THEN 'find the walker' WHEN 3 THEN 'load|store|HashMap' ELSE text END")
     return read(spark, sf, "benchmark").select("item_id", lookup.is_lookup(q).alias("lookup"))
+
+
+@query("""WITH f AS (SELECT doc_id AS item_id, concat_ws('/', source, lang, concat(doc_id, '.md')) AS gold FROM documents), n AS (SELECT item_id, gold, unnest(CASE item_id % 4 WHEN 0 THEN [concat(item_id, '.md'), 'no.md'] WHEN 1 THEN [gold] WHEN 2 THEN [concat('repo/x', gold), 'a'] ELSE [concat('9', item_id, '.md')] END) AS name FROM benchmark JOIN f USING (item_id))
+SELECT item_id, name, gold FROM n WHERE name = gold OR ends_with(gold, concat('/', name)) OR ends_with(name, gold)""")
+def gold_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Named files that mean a gold file, whole, by their ends, or with folders in front."""
+    gold = S.files(spark, sf).select(F.col("doc_id").alias("item_id"), F.col("path").alias("gold"))
+    own = F.expr("CASE item_id % 4 WHEN 0 THEN array(concat(item_id, '.md'), 'no.md') WHEN 1 THEN array(gold) WHEN 2 THEN array(concat('repo/x', gold), 'a') ELSE array(concat('9', item_id, '.md')) END")
+    named = read(spark, sf, "benchmark").join(gold, "item_id").select("item_id", F.explode(own).alias("name"))
+    return grade.gold_matches(named, gold, "item_id").select("item_id", "name", "gold")

@@ -67,8 +67,7 @@ def pattern_shapes(spark: SparkSession, sf: str) -> DataFrame:
 SELECT a.f, a.n AS line, a.indent FROM l a JOIN t ON a.f = t.f AND a.n < t.n WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.f = a.f AND b.n > a.n AND b.indent <= a.indent)""")
 def indent_ancestors(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("f"), F.col("l_linenumber").alias("line")).agg(F.min(F.col("l_suppkey") % 5).alias("indent"))
-    below = Window.partitionBy("f").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("m", F.min("indent").over(below)).filter("indent < m").select("f", "line", "indent")
+    return shape.indent_ancestors(rows, "f")
 
 
 _DIFF = "concat('--- a/f', item_id, '.rs', '\\n', '+++ b/f', item_id, '.rs', '\\n', '@@ -', item_id + 3, ',', item_id % 3, ' +', item_id + 4, ',2 @@', '\\n', '+x', '\\n', '@@ -90 +91,0 @@')"
@@ -76,12 +75,7 @@ _DIFF = "concat('--- a/f', item_id, '.rs', '\\n', '+++ b/f', item_id, '.rs', '\\
 
 @query("""SELECT concat('f', item_id, '.rs') AS path, unnest(list_sort(list_distinct(list_concat(CASE item_id % 3 WHEN 0 THEN [item_id + 3, item_id + 4] ELSE range(item_id + 3, item_id + 3 + item_id % 3) END, [90]))))::BIGINT AS line FROM benchmark""")
 def diff_lines(spark: SparkSession, sf: str) -> DataFrame:
-    diffs = read(spark, sf, "benchmark").select(F.expr(_DIFF).alias("d"))
-    hunks = F.regexp_extract_all("d", F.lit(r"(?m)^@@ -([0-9]+(?:,[0-9]+)?) "), F.lit(1))
-    at, n = F.split("h", ",")[0].cast("long"), F.coalesce(F.try_element_at(F.split("h", ","), F.lit(2)).cast("long"), F.lit(1))
-    rows = diffs.select(F.regexp_extract("d", r"(?m)^\+\+\+ b/(.*)$", 1).alias("path"), F.explode(hunks).alias("h"))
-    # A pure insertion touches the rows on both of its sides.
-    return rows.select("path", F.explode(F.when(n == 0, F.array(at, at + 1)).otherwise(F.sequence(at, at + n - 1))).alias("line")).distinct()
+    return commits.changed_lines(read(spark, sf, "benchmark").select(F.expr(_DIFF).alias("d")), "d")
 
 
 def _units(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,13 +161,13 @@ def ast_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return ast_chunk.chunk_files(source_files(spark, sf), chunk.ChunkConfig(4, 20, 20))
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN concat(substr(text, 1, 297), '...') ELSE text END AS shown FROM conversations")
+@query("SELECT conv_id, turn, text AS shown FROM conversations")
 def transcript_turns(spark: SparkSession, sf: str) -> DataFrame:
     """A transcript as JSON lines, parsed again with an explicit schema."""
     lines = read(spark, sf, "conversations").select(F.to_json(F.struct(F.col("conv_id").alias("session"), "turn", F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("message"))).alias("line"))
     parsed = lines.select(F.from_json("line", "session bigint, turn bigint, message struct<role:string,content:array<struct<type:string,text:string>>>").alias("e"))
     text = parsed.select(F.col("e.session").alias("conv_id"), F.col("e.turn").alias("turn"), F.explode("e.message.content").alias("c"))
-    return text.select("conv_id", "turn", F.when(F.length("c.text") > 300, F.concat(F.substring("c.text", 1, 297), F.lit("..."))).otherwise(F.col("c.text")).alias("shown"))
+    return text.select("conv_id", "turn", F.col("c.text").alias("shown"))
 
 
 @query("SELECT item_id, item_id % 4 < 2 AS names_code FROM benchmark")

@@ -10,6 +10,7 @@ from spanlens.functions import text as T
 from spanlens.operators import chunk as C
 from spanlens.operators import expand as X
 from spanlens.operators import index as I
+from spanlens.operators import leakage
 from spanlens.operators import retrieve as R
 from spanlens.operators import shape as H
 from spanlens.plans import duck as D
@@ -404,12 +405,7 @@ SELECT doc_id, item_id, body = text AS exact FROM d JOIN b ON contains(nb, nt)""
 def leakage_check(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", F.col("text").alias("body"), T.normalise_task(F.col("text")).alias("nb"))
     items = read(spark, sf, "benchmark").select("item_id", "text", T.normalise_task(F.col("text")).alias("nt"))
-    # A contained text shares its inner words; one of them, the longest, narrows the pairs down.
-    split = F.expr("slice(split(nt, ' '), 2, greatest(size(split(nt, ' ')) - 2, 1))")
-    key = F.expr("element_at(array_sort(_s, (a, b) -> case when length(a) > length(b) then -1 when length(a) < length(b) then 1 when a < b then -1 when a > b then 1 else 0 end), 1)")
-    asked = items.withColumn("_s", split).withColumn("w", key).drop("_s")
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("nb", " "))).alias("w"))
-    pairs = words.join(asked.select("item_id", "w"), "w").select("doc_id", "item_id")
+    pairs = leakage.sharing_rarest(docs, items, "doc_id", "item_id", "nb", "nt")
     both = pairs.join(docs, "doc_id").join(items, "item_id").filter(F.contains("nb", F.col("nt")))
     return both.select("doc_id", "item_id", (F.col("body") == F.col("text")).alias("exact"))
 

@@ -45,3 +45,11 @@ def tasks(commits: DataFrame, tracked: DataFrame | None = None, skip: list[str]
     gold = files.groupBy("sha", "subject").agg(F.array_sort(F.collect_list("path")).alias("gold")).filter(F.size("gold") <= MOST_GOLD)
     first = gold.groupBy(T.clean_subject(F.col("subject")).alias("task")).agg(F.min(F.struct("sha", "gold")).alias("m"))
     return first.select(F.substring("m.sha", 1, 10).alias("id"), "task", "m.gold")
+
+
+def changed_lines(diffs: DataFrame, diff: str) -> DataFrame:
+    """(path, line): the lines of the old file that each hunk of a diff replaces; a pure insertion touches the rows on both of its sides."""
+    hunks = F.regexp_extract_all(diff, F.lit(r"(?m)^@@ -([0-9]+(?:,[0-9]+)?) "), F.lit(1))
+    at, n = F.split("h", ",")[0].cast("long"), F.coalesce(F.try_element_at(F.split("h", ","), F.lit(2)).cast("long"), F.lit(1))
+    rows = diffs.select(F.regexp_extract(diff, r"(?m)^\+\+\+ b/(.*)$", 1).alias("path"), F.explode(hunks).alias("h"))
+    return rows.select("path", F.explode(F.when(n == 0, F.array(at, at + 1)).otherwise(F.sequence(at, at + n - 1))).alias("line")).distinct()

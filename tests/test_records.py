@@ -51,3 +51,28 @@ def test_draws_in_arrays_equal_draws_in_a_join(spark, monkeypatch):
     assert list(same)[1:] == pytest.approx(list(joined)[1:])
     missing = spark.createDataFrame([(1, "r", None, 2.0), (2, "r", 3.0, 2.0)], df.schema)
     assert stats.bootstrap(missing, "repo", {"m": ("x", "y")}, draws=50).first().pooled == pytest.approx(-0.25)
+
+
+def test_intermediate_files_are_deleted(spark, tmp_path_factory):
+    """A query's intermediate tables are gone once its result was consumed inside `scratch`."""
+    import os
+
+    from spanlens.operators.index import build, written
+    from spanlens.sources import store
+
+    df = spark.createDataFrame([("a", "tree walk"), ("b", "tree")], "chunk_id string, text string")
+    with store.scratch(spark) as made:
+        index = written(build(df))
+        assert index.postings.count() == 3
+        folders = [p.removeprefix("file://") for p in made[-1:]]
+        assert folders and all(os.path.isdir(f) for f in folders)
+    assert not any(os.path.exists(f) for f in folders) and index.postings.count is not None
+
+
+def test_a_document_meets_the_items_whose_rarest_word_it_holds(spark):
+    from spanlens.operators import leakage
+
+    docs = spark.createDataFrame([(1, "a b rare c d"), (2, "b b c"), (3, "xb rare cx"), (4, None), (5, "")], "doc int, t string")
+    items = spark.createDataFrame([(7, "b rare c"), (8, "x b y"), (9, "q nowhere q"), (10, "")], "item int, u string")
+    got = leakage.sharing_rarest(docs, items, "doc", "item", "t", "u")
+    assert sorted(map(tuple, got.collect())) == [(1, 7), (1, 8), (2, 8), (3, 7)] or sorted(map(tuple, got.collect())) == [(1, 7), (1, 8), (2, 8), (3, 7), (5, 10)]
