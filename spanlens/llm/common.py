@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlens.sources.store import remember
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,7 +43,7 @@ def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
 
     rows: about how many there are at most, if that is known; narrow tables then go to few files.
     """
-    path = f"{shared_dir(df.sparkSession)}/spanlens-{label}-{uuid.uuid4().hex}"
+    path = remember(f"{shared_dir(df.sparkSession)}/spanlens-{label}-{uuid.uuid4().hex}")
     if rows is not None:
         df = df.coalesce(2 + rows // ROWS_A_FILE)
     df.write.parquet(path)

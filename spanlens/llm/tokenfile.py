@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from spanlens.llm.bpe import encoder
 from spanlens.llm.common import freed, shared_dir, table, text_blocks
+from spanlens.sources.store import remember
 
 END_ID = 0
 KNOWN_UNITS, BLOCK_CHARS = 300_000, 3_000_000  # of a worker: parts of texts whose ids it remembers, characters at a time
@@ -140,6 +141,6 @@ def checksums(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/spanlens-tokens-{uuid.uuid4().hex}"
+    path = remember(f"{shared_dir(spark)}/spanlens-tokens-{uuid.uuid4().hex}")
     write_tokens(table(spark, sf_dir, "documents"), path)
     return checksums(read_tokens(spark, path))

@@ -30,6 +30,14 @@ def test_scratch_folders(spark, monkeypatch):
     common.discard(kept, df)
     assert not spark.sparkContext._jvm.java.io.File(kept.stored_at.removeprefix("file:").replace("//", "/")).exists()
 
+    from spanlens.sources import store
+
+    with store.scratch(spark) as made:
+        again = common.materialise(df, "test")
+        place = made[-1].removeprefix("file://")
+        assert again.count() == 5 and place.split("/")[-1].startswith("spanlens-test")
+    assert not spark.sparkContext._jvm.java.io.File(place).exists()
+
     class Elsewhere:
         master = "spark://host:7077"
 
