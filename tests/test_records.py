@@ -76,3 +76,19 @@ def test_a_document_meets_the_items_whose_rarest_word_it_holds(spark):
     items = spark.createDataFrame([(7, "b rare c"), (8, "x b y"), (9, "q nowhere q"), (10, "")], "item int, u string")
     got = leakage.sharing_rarest(docs, items, "doc", "item", "t", "u")
     assert sorted(map(tuple, got.collect())) == [(1, 7), (1, 8), (2, 8), (3, 7)] or sorted(map(tuple, got.collect())) == [(1, 7), (1, 8), (2, 8), (3, 7), (5, 10)]
+
+
+def test_an_index_of_asked_terms(spark, monkeypatch):
+    """Postings of the asked terms; lengths, counts and means of everything."""
+    from spanlens.operators import index
+
+    df = spark.createDataFrame([("a", "tree walk tree tree"), ("b", "tree"), ("c", "leaf"), ("d", "")], "chunk_id string, text string")
+    terms = spark.createDataFrame([("tree",), ("tree",), ("none",)], "term string")
+    whole = index.build(df)
+    for bound in (500_000, 0):
+        monkeypatch.setattr(index, "BROADCAST_TERMS", bound)
+        got = index.written_for(df, terms)
+        same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+        assert same(got.postings.select("chunk_id", "term", "tf", "dl"), whole.postings.filter("term = 'tree'").select("chunk_id", "term", "tf", "dl"))
+        assert same(got.doc_len.select("chunk_id", "dl"), whole.doc_len.select("chunk_id", "dl")) and same(got.corpus, whole.corpus)
+        assert same(got.term_df.select("term", "df"), whole.term_df.filter("term = 'tree'").select("term", "df"))
