@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanlens.operators.stats import ranges, running
+from spanlens.sources.store import stored
 
 EPSILON = 1e-9
 T_MIN, T_MAX, GRID = math.exp(-2), math.exp(2), 121
@@ -80,11 +81,13 @@ def tempered(p: Column, log_t: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def _losses(rows: DataFrame, log_ts: list[float], p: str, y: str) -> DataFrame:
-    """(i, log_t, nll) of each of a few logarithms of the temperature; sums are taken in each task."""
+def _losses(rows: DataFrame, log_ts: list[float], p: str, y: str, n: str | None = None) -> DataFrame:
+    """(i, log_t, nll) of each of a few logarithms of the temperature; sums are taken in each task.  n: how often each row counts."""
     spots = F.posexplode(F.array(*(F.lit(float(t)) for t in log_ts))).alias("i", "log_t")
-    every = rows.select(F.col(p).alias("_p"), F.col(y).alias("_y"), spots)
-    return every.groupBy("i", "log_t").agg(F.avg(log_loss(tempered(F.col("_p"), F.col("log_t")), F.col("_y"))).alias("nll"))
+    every = rows.select(F.col(p).alias("_p"), F.col(y).alias("_y"), (F.col(n) if n else F.lit(1)).alias("_n"), spots)
+    loss = log_loss(tempered(F.col("_p"), F.col("log_t")), F.col("_y"))
+    mean = F.sum(loss * F.col("_n")) / F.sum(F.when(loss.isNotNull(), F.col("_n"))) if n else F.avg(loss)
+    return every.groupBy("i", "log_t").agg(mean.alias("nll"))
 
 
 def temperature_grid(rows: DataFrame, p: str = "p", y: str = "y", low: float = -2.0, high: float = 2.0, steps: int = GRID) -> DataFrame:
@@ -95,12 +98,14 @@ def temperature_grid(rows: DataFrame, p: str = "p", y: str = "y", low: float = -
 def fit_temperature(rows: DataFrame, p: str = "p", y: str = "y", refine: int = 60) -> float:
     """The temperature of the least loss: the best of a grid, then golden-section steps around it.
 
-    Each step is one aggregate over the rows at a few temperatures; one number a temperature reaches the driver.
+    Equal chances and outcomes are counted once, into the shared folder; each step is one aggregate over these counts at
+    a few temperatures, of which one number each reaches the driver.
     """
+    counted = stored(rows.groupBy(F.col(p).alias("p"), F.col(y).alias("y")).agg(F.count("*").alias("n")), "chances")
     low, high = math.log(T_MIN), math.log(T_MAX)
 
     def losses(spots: list[float]) -> list[float]:
-        return [r.nll for r in sorted(_losses(rows, spots, p, y).collect(), key=lambda r: r.i)]
+        return [r.nll for r in sorted(_losses(counted, spots, "p", "y", "n").collect(), key=lambda r: r.i)]
 
     grid = [low + (high - low) * i / (GRID - 1) for i in range(GRID)]
     found = losses(grid)

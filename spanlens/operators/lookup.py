@@ -39,23 +39,31 @@ def name_lines(files: DataFrame, id: str, name: str, text: str = "text") -> Data
 BROADCAST_NAMES = 100_000
 
 
-def _suffixes(found: Column, mark: str, tail: int = 0) -> Column:
-    """Marked ends of each string, of three characters at most before `tail` more."""
-    cut = lambda x: F.transform(F.sequence(F.lit(0), F.length(x) - tail), lambda n: F.concat(F.lit(mark), F.right(x, n + tail)))
+# Kinds of keys, by what they look like; no key of one kind looks like one of another.
+KEY_KINDS = {"small": "^[a-z0-9]+$", "capitals": "^[A-Z]+$", "dashed": "[-/]$", "rare": r"^([_$]|[^\x00-\x7F])$"}
+
+
+def _suffixes(found: Column, tail: int = 0) -> Column:
+    """The ends of each string: at most three characters before `tail` more."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0 if tail else 1), F.length(x) - tail), lambda n: F.right(x, n + tail))
     return F.flatten(F.transform(found, cut))
 
 
-def line_keys(body: Column) -> Column:
+def line_keys(body: Column, kinds: frozenset[str] = frozenset(KEY_KINDS)) -> Column:
     """What a line offers to names: runs of small letters and digits, ends of runs of capitals, ends before - and /, and rarer characters.
 
     A name whose `name_key` is not among them is not in the line: within a name's boundaries its runs of small letters
     and digits are whole runs of the line.
     """
-    small = F.transform(F.regexp_extract_all(body, F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.concat(F.lit("l"), x))
-    capitals = F.regexp_extract_all(body, F.lit("[A-Z]{1,3}(?![A-Za-z0-9])"), F.lit(0))
-    dashed = F.regexp_extract_all(body, F.lit("[A-Za-z0-9]{0,3}[-/]"), F.lit(0))
-    rare = F.transform(F.regexp_extract_all(body, F.lit(r"[_$]|[^\x00-\x7F]"), F.lit(0)), lambda x: F.concat(F.lit("c"), x))
-    return F.array_distinct(F.concat(small, _suffixes(capitals, "u"), _suffixes(dashed, "s", 1), rare))
+    all_ = lambda pattern: F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+    found = {
+        "small": all_("[a-z0-9]+"),
+        "capitals": _suffixes(all_("[A-Z]{1,3}(?![A-Za-z0-9])")),
+        "dashed": _suffixes(all_("[A-Za-z0-9]{0,3}[-/]"), 1),
+        "rare": all_(r"[_$]|[^\x00-\x7F]"),
+    }
+    asked = [keys for kind, keys in found.items() if kind in kinds]
+    return F.array().cast("array<string>") if not asked else asked[0] if len(asked) == 1 else F.concat(*asked)
 
 
 def name_key(name: Column) -> Column:
@@ -64,23 +72,25 @@ def name_key(name: Column) -> Column:
     longest = lambda xs: F.array_max(F.transform(xs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     plain = F.contains(name, F.lit("-")) | F.contains(name, F.lit("/"))
     return F.coalesce(
-        F.when(plain, F.concat(F.lit("s"), longest(all_("[A-Za-z0-9]{0,3}[-/]")))),
-        F.concat(F.lit("l"), longest(all_("[a-z0-9]+"))),
-        F.concat(F.lit("u"), F.right(F.try_element_at(all_("[A-Z]+"), F.lit(-1)), F.lit(3))),
-        F.concat(F.lit("c"), F.try_element_at(all_(r"[_$]|[^\x00-\x7F]"), F.lit(1))),
+        F.when(plain, longest(all_("[A-Za-z0-9]{0,3}[-/]"))),
+        longest(all_("[a-z0-9]+")),
+        F.right(F.try_element_at(all_("[A-Z]+"), F.lit(-1)), F.lit(3)),
+        F.try_element_at(all_(r"[_$]|[^\x00-\x7F]"), F.lit(1)),
     )
 
 
 def lines_of_names(texts: DataFrame, names: DataFrame, id: str, query: str = "query", name: str = "name", text: str = "text") -> DataFrame:
     """(query, id, line, body, names): lines of all texts that hold a name of a query, in one pass for a whole table of names.
 
-    names: (query, name).  Lines meet names by key (`line_keys`, `name_key`), boundaries are checked after.  Few names
+    names: (query, name).  Lines meet names by key (`line_keys`, `name_key`; only kinds of keys that names have), boundaries are checked after.  Few names
     are broadcast, so that no line is shuffled; of many, lines and names meet in a join that can be split.
     """
     asked = names.select(F.col(name).alias("_name")).filter("_name <> ''").distinct()
     asked = asked.select("_name", T.name_pattern(F.col("_name")).alias("_pattern"), name_key(F.col("_name")).alias("_key")).filter("_key is not null")
-    few = asked.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
-    each = lines(texts, id, text).select(id, "line", "body").withColumn("_key", F.explode(line_keys(F.col("body"))))
+    kinds = asked.agg(F.count("*").alias("all"), *(F.count_if(F.col("_key").rlike(pattern)).alias(kind) for kind, pattern in KEY_KINDS.items())).first()
+    few = kinds["all"] <= BROADCAST_NAMES
+    offered = line_keys(F.col("body"), frozenset(kind for kind in KEY_KINDS if kinds[kind]))
+    each = lines(texts, id, text).select(id, "line", "body").withColumn("_key", F.explode(offered))
     met = each.join(F.broadcast(asked) if few else asked, "_key").filter(F.contains("body", F.col("_name")))
     held = met.filter(F.coalesce(F.rlike("body", F.col("_pattern")), F.lit(True))).select(id, "line", "body", "_name")
     owners = names.select(query, F.col(name).alias("_name")).distinct()
