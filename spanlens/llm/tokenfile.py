@@ -30,7 +30,7 @@ from spanlens.llm.common import freed, shared_dir, table, text_blocks
 from spanlens.sources.store import remember
 
 END_ID = 0
-KNOWN_UNITS, BLOCK_CHARS = 300_000, 3_000_000  # of a worker: parts of texts whose ids it remembers, characters at a time
+KNOWN_UNITS, BLOCK_CHARS = 300_000, 8_000_000  # of a worker: parts of texts whose ids it remembers, characters at a time
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 128 << 10, 512
 
 
