@@ -119,3 +119,33 @@ def test_registered(spark):
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+
+
+def test_url_features_in_plain_python(spark, sf):
+    """Every lexical feature of every URL of the fixture, and some awkward ones, computed one URL at a time."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from spanlens.llm import urlfilter
+
+    urls = [r.url for r in spark.read.parquet(f"{sf}/pages.parquet").select("url").collect()]
+    urls += ["HTTPS://A.b-c.example.org:80//x/y//z.html?a=1&&b=2#f?g=3", "http://é.net/ü?ö", "x://", "http://h?q", "http://1.2.3.4/5-6", "a" * 500]
+    df = spark.createDataFrame([(u,) for u in urls], "url string").select("url", urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path"))
+    got = df.select("url", *(c.alias(k) for k, c in urlfilter.lexical(F.col("url"), F.col("host"), F.col("path")).items())).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        u = r.url or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in re.split("[/?#]", rest)[0])
+        path = re.split("[?#]", rest[len(host) :])[0]
+        query = u.split("?", 1)[1].split("#")[0] if "?" in u else ""
+        n, digits = len(u), lambda s: sum(c in "0123456789" for c in s)
+        want = {
+            "length": n, "host_length": len(host), "path_length": len(path), "depth": sum(p != "" for p in path.split("/")), "dots": host.count("."), "hyphens": u.count("-"),
+            "digit_ratio": digits(u) / n if n else 0, "entropy": -sum(c / n * math.log2(c / n) for c in Counter(u).values()), "parameters": sum(p != "" for p in query.split("&")),
+            "secure": u[:6].lower() == "https:", "fragment": "#" in u, "host_digits": digits(host),
+        }
+        for name, value in want.items():
+            assert abs(r[name] - value) < 1e-9, (u, name, r[name], value)
