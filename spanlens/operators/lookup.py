@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from spanlens.functions import paths
 from spanlens.functions import text as T
 from spanlens.operators.chunk import lines
+from spanlens.sources.store import stored
 
 # Words that frame a lookup without naming anything.
 FRAMING = ("where", "is", "find", "the", "used", "defined", "show", "of", "in")
@@ -103,7 +104,8 @@ def reports(chunks: DataFrame, names: DataFrame, query: str = "query", name: str
     chunks: (chunk_id, path, start_line, symbol, defines, text), which share no lines: a line belongs to the symbol of
     its chunk, the innermost one.  The first line of a chunk that holds a name which the chunk defines is its definition.
     """
-    found = lines_of_names(chunks.select("chunk_id", "text"), names, "chunk_id", query, name)
+    # Read twice below.
+    found = stored(lines_of_names(chunks.select("chunk_id", "text"), names, "chunk_id", query, name), "held")
     rows = found.join(chunks.select("chunk_id", "path", "start_line", "symbol", "defines"), "chunk_id")
     said = rows.select(query, "chunk_id", "line", F.explode("names").alias("_n"), F.array_contains("defines", F.col("_n")).alias("_own"))
     first = said.groupBy(query, "chunk_id", "_n").agg(F.min("line").alias("line"), F.bool_or("_own").alias("_own")).filter("_own")
