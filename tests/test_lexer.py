@@ -128,3 +128,21 @@ def test_small_pieces_join_their_side():
     java = "class A {\n" + "".join(f"  int f{i}() {{\n    return {i};\n  }}\n" for i in range(6)) + "}\n"
     chunks = ast_chunk.chunk_source("A.java", "java", java, ChunkConfig(2, 7, 7))
     assert chunks[0]["text"].startswith("class A {\n  int f0") and chunks[-1]["text"].endswith("}\n}")
+
+
+def test_long_blanks_take_linear_time():
+    """Comments are blanks to the rules: what they find, and where, doesn't change with the length of the blanks, and neither does the time grow with its square."""
+    import time
+
+    from spanlens.operators import ast_chunk
+
+    code = ["import { load } from './load';", "function f1(x) {", "return load(x);", "}", "class C1 extends Base {", "run() {", "return f1(this);", "}", "}"]
+    gap = "\n" + "    // " + "word " * 600
+    long = "".join(gap * 40 + "\n" + line for line in code)
+    short = "".join("\n // word\n" + line for line in code)
+    began = time.time()
+    found, wanted = ast_chunk.parse_braces(long, "typescript"), ast_chunk.parse_braces(short, "typescript")
+    assert time.time() - began < 5
+    assert [(s.name, s.label, long.split("\n")[s.row]) for s in found.symbols] == [(s.name, s.label, short.split("\n")[s.row]) for s in wanted.symbols]
+    assert [(n, long.split("\n")[r]) for r, n in found.refs] == [(n, short.split("\n")[r]) for r, n in wanted.refs]
+    assert [s.name for s in found.symbols] == ["f1", "C1", "run"]
