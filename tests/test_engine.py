@@ -1,5 +1,10 @@
 """The engine end to end on a few small files, and what is registered."""
 
+import random
+
+from pyspark.sql import functions as F
+from spanlens.functions import text as T
+from spanlens.operators import index as I
 from spanlens.engine import DEFAULT_SCORER, Engine
 from spanlens.registry import ORACLES, QUERIES
 
@@ -24,3 +29,15 @@ def test_engine(spark):
 def test_registry():
     assert len(QUERIES) > 150 and set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"retrieve_spans", "ast_chunks"}
+
+
+def test_postings_are_never_broadcast(spark, monkeypatch):
+    """Their files may be small where what they hold is not."""
+    df = spark.range(500).select(F.col("id").alias("chunk_id"), F.concat(F.lit("walk tree item"), "id").alias("text"))
+    asked = spark.createDataFrame([(1, "walk", 0, 500), (2, "item", 0, 500)], "q int, term string, pos long, df long")
+    index = I.written_for(df, asked)
+    for few in (500_000, 0):
+        monkeypatch.setattr(I, "BROADCAST_TERMS", few)
+        met = I.met(asked, index)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert met.count() == 1_000 and "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == bool(few)
