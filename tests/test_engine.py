@@ -31,6 +31,25 @@ def test_registry():
     assert set(QUERIES) - set(ORACLES) == {"retrieve_spans", "ast_chunks"}
 
 
+def test_terms_of_words_as_in_expressions(spark):
+    """Terms counted in Arrow are those of the expressions; rows with one id are one chunk, whatever they hold."""
+    from collections import Counter
+
+    rng = random.Random(4)
+    bodies = ["".join(rng.choice(["a", "b", "Z", "Q", "7", "_", "é", " ", "-", "xy", "HTTPServer", "load_all", "\n", "ſ", "İ"]) for _ in range(rng.randrange(60))) for _ in range(200)] + [None, "", "9", "_", "__", "a"]
+    df = spark.createDataFrame([(i % 150 if i < 200 else None if i == 200 else i, b) for i, b in enumerate(bodies)], "chunk_id long, text string")
+    wanted = Counter((r.chunk_id, t) for r in df.select("chunk_id", T.terms(F.col("text")).alias("ts")).collect() for t in r.ts or [])
+    found = {(r.chunk_id, r.term): r.tf for r in I.postings(df, max_tf=0).collect()}
+    assert found == dict(wanted) and any("_" in t for _, t in found)
+    lengths = Counter()
+    for (i, _), n in wanted.items():
+        lengths[i] += min(n, 2)
+    asked = spark.createDataFrame([("xy",), ("load",), ("nowhere",), ("xy",)], "term string")
+    for built in (I.build(df), I.written_for(df, asked)):
+        assert {r.chunk_id: r.dl for r in built.doc_len.collect()} == dict(lengths)
+    assert {(r.chunk_id, r.term): r.tf for r in built.postings.collect()} == {k: min(n, 2) for k, n in wanted.items() if k[1] in ("xy", "load")}
+
+
 def test_postings_are_never_broadcast(spark, monkeypatch):
     """Their files may be small where what they hold is not."""
     df = spark.range(500).select(F.col("id").alias("chunk_id"), F.concat(F.lit("walk tree item"), "id").alias("text"))
