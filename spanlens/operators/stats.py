@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 DRAWS, LOW, HIGH = 10_000, 0.025, 0.975
 BROADCAST_PAIRS = 200_000
 BLOCK = 2_000_000  # numbers that a task draws at a time
+PIECE, MAX_PARTS = 500_000, 32  # pairs of a stratum that a task holds, tasks that share the draws of a piece
 _MODULUS = 2_147_483_647
 
 
@@ -82,28 +83,64 @@ def _drawn_sums(placed: DataFrame, columns: list[str], draws: int) -> DataFrame
     return every.mapInArrow(run, ", ".join(["_b long", *(f"{c} double" for c in columns)]))
 
 
+def _drawn_by_piece(placed: DataFrame, columns: list[str], draws: int) -> DataFrame:
+    """(_b, _s, columns): sums of each draw over pieces of strata; a task draws for all places of a stratum and adds up what falls into its piece.
+
+    placed: (_s, _i, _n, columns), places and sizes within strata.  Pairs are copied once for each task that shares the
+    draws, never for each draw; what a task holds is bounded by PIECE and BLOCK.  Missing numbers count as in SQL.
+    """
+    pieces = placed.withColumn("_piece", F.floor(F.col("_i") / PIECE))
+    n_pieces = pieces.select("_s", "_piece").distinct().count()
+    parts = max(1, min(MAX_PARTS, draws, -(-8 * placed.sparkSession.sparkContext.defaultParallelism // max(1, n_pieces))))
+    held, block = PIECE, BLOCK
+
+    def run(table: pa.Table) -> pa.Table:
+        n, low, part = table["_n"][0].as_py(), table["_piece"][0].as_py() * held, table["_part"][0].as_py()
+        at, m = table["_i"].to_numpy() - low, len(table)
+        numbers = []  # by column: its values, nothing in place of the missing ones and, last, of what lies in other pieces
+        for c in columns:
+            there = ~table[c].is_null().to_numpy()
+            values, known = np.zeros(m + 1), np.zeros(m + 1)
+            values[at], known[at] = np.where(there, table[c].cast(pa.float64()).to_numpy(), 0.0), there
+            numbers.append((values, None if there.all() else known))
+        every = np.arange(part, draws, parts)
+        sums, counts = np.zeros((len(columns), len(every))), np.zeros((len(columns), len(every)))
+        step = max(1, block // n)
+        for a in range(0, len(every), step):
+            draw = every[a : a + step, None]
+            for lo in range(0, n, block):
+                picks = drawn(draw, np.arange(lo, min(n, lo + block))[None, :], n) - low
+                if m < n:
+                    picks[(picks < 0) | (picks >= m)] = m
+                for j, (values, known) in enumerate(numbers):
+                    sums[j, a : a + step] += values[picks].sum(axis=1)
+                    counts[j, a : a + step] += 1 if known is None else known[picks].sum(axis=1)
+        key = table["_s"].combine_chunks().take(pa.array(np.zeros(len(every), int)))
+        return pa.Table.from_arrays([pa.array(every), key, *(pa.array(x, mask=n == 0) for x, n in zip(sums, counts, strict=True))], names=["_b", "_s", *columns])
+
+    shared = pieces.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kind = placed.schema["_s"].dataType.simpleString()
+    return shared.groupBy("_s", "_piece", "_part").applyInArrow(run, ", ".join(["_b long", f"_s {kind}", *(f"{c} double" for c in columns)]))
+
+
 def bootstrap(pairs: DataFrame, stratum: str, metrics: dict[str, tuple[str, str]], task: str = "task", draws: int = DRAWS, low: float = LOW, high: float = HIGH) -> DataFrame:
     """(metric, pooled, lo, hi, balanced, balanced_lo, balanced_hi): changes with bootstrap intervals.
 
     Each draw resamples the pairs of every stratum with replacement, as many as it has; one set of places
     serves all metrics.  An interval ends at the sorted draws' places floor(low * n) and floor(high * n) - 1.
     Few pairs go to every task, which draws in arrays for its part of the draws; many, or pairs with missing
-    numbers, meet their draws in a join, whose sums are taken on the map side.  Either way at most a row
-    for each draw and stratum in each task is shuffled, and the picks are the same.
+    numbers, are held piece by piece.  Either way at most a row for each draw and stratum in each task is
+    shuffled, and the picks are the same.
     """
     names = list(metrics)
     numbers = [F.col(c).alias(f"_{side}{i}") for i, m in enumerate(names) for side, c in zip("xy", metrics[m], strict=True)]
-    placed = pairs.select(F.col(stratum).alias("_s"), (F.row_number().over(Window.partitionBy(stratum).orderBy(task)) - 1).cast("long").alias("_i"), *numbers)
-    sizes = placed.groupBy("_s").agg(F.count("*").alias("_n"))
+    placed = pairs.select(F.col(stratum).alias("_s"), (F.row_number().over(Window.partitionBy(stratum).orderBy(task)) - 1).cast("long").alias("_i"), F.count("*").over(Window.partitionBy(stratum)).alias("_n"), *numbers)
     columns = [f"_{side}{i}" for i in range(len(names)) for side in "xy"]
     sums = [F.sum(c).alias(c) for c in columns]
     few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
     by_stratum = _drawn_sums(placed, columns, draws) if few else None
     if by_stratum is None:
-        # Few rows become many here: they are dealt to all cores first.
-        slots = placed.select("_s", F.col("_i").alias("_slot")).join(sizes, "_s").repartition(pairs.sparkSession.sparkContext.defaultParallelism, "_s", "_slot").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-        picks = slots.select("_s", "_b", drawn(F.col("_b"), F.col("_slot"), F.col("_n")).alias("_i"))
-        by_stratum = picks.join(F.broadcast(placed) if few else placed, ["_s", "_i"]).groupBy("_b", "_s").agg(*sums)
+        by_stratum = _drawn_by_piece(placed, columns, draws).groupBy("_b", "_s").agg(*sums)
     ratio = lambda i: F.col(f"_x{i}") / F.nullif(F.col(f"_y{i}"), F.lit(0)) - 1
     per_draw = by_stratum.groupBy("_b").agg(*(change(f"_x{i}", f"_y{i}").alias(f"_p{i}") for i in range(len(names))), *(F.avg(ratio(i)).alias(f"_q{i}") for i in range(len(names))))
     # `draws` numbers a metric, however many pairs there are.

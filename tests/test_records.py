@@ -53,6 +53,27 @@ def test_draws_in_arrays_equal_draws_in_a_join(spark, monkeypatch):
     assert stats.bootstrap(missing, "repo", {"m": ("x", "y")}, draws=50).first().pooled == pytest.approx(-0.25)
 
 
+def test_many_pairs_are_drawn_in_pieces(spark, monkeypatch):
+    """Whatever the pieces, the picks are those of plain Python; no row is made for a draw of a pair."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["r", "s", None]), rng.choice([None, rng.uniform(1, 9)]), rng.uniform(1, 9)) for i in range(80)] + [(99, "alone", None, 2.0)]
+    df = spark.createDataFrame(rows, "task int, repo string, x double, y double")
+    strata = [[(x, y) for _, s, x, y in rows if s == k] for k in ("r", "s", None, "alone")]
+    wanted = []
+    for b in range(200):
+        picked = [xy[stats.drawn(b, i, len(xy))] for xy in strata for i in range(len(xy))]
+        wanted.append(sum(x for x, _ in picked if x is not None) / sum(y for _, y in picked) - 1)
+    wanted.sort()
+    monkeypatch.setattr(stats, "BROADCAST_PAIRS", 10)
+    for piece, block in ((500_000, 2_000_000), (7, 50), (7, 5)):
+        monkeypatch.setattr(stats, "PIECE", piece)
+        monkeypatch.setattr(stats, "BLOCK", block)
+        r = stats.bootstrap(df, "repo", {"m": ("x", "y")}, draws=200)
+        assert "_slot" not in r._jdf.queryExecution().analyzed().toString()
+        r = r.first()
+        assert (r.lo, r.hi) == pytest.approx((wanted[5], wanted[194]))
+
+
 def test_intermediate_files_are_deleted(spark, tmp_path_factory):
     """A query's intermediate tables are gone once its result was consumed inside `scratch`."""
     import os
