@@ -401,6 +401,19 @@ def test_lm_remembers_what_training_texts_repeat(spark, sf, rows):
             assert with_memory[i] > without[i]
 
 
+def test_lm_remembers_every_context(spark, sf, rows):
+    """The query's memory leaves out no context that repeats."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    coded = lm.code(docs.filter(~toxicity.held_out("doc_id", 7, 2)), "doc_id", "text", lm.VOCABULARY, lm.CONTEXTS)
+    seen = defaultdict(Counter)
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2:
+            w = BLANK_WORD.findall(lower(r["text"]))
+            for i in range(4, len(w)):
+                seen[tuple(w[i - 4 : i])][w[i]] += 1
+    assert lm.remembered(lm.key_counts(coded, lm.VOCABULARY), lm.TRUST).count() == sum(max(nexts.values()) >= 2 for nexts in seen.values())
+
+
 def test_lm_is_fitted_on_all_ids_of_all_training_texts(spark, sf, rows):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     model = lm.fit(docs)[0].model
