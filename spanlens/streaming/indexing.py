@@ -26,9 +26,8 @@ def put_batch(batch: DataFrame, n: int, out: str, id: str, text: str, deleted: s
     Of a file that comes more than once in a batch the greatest text counts; a file without terms, or a
     deleted one, leaves a row with no term.
     """
-    spark = batch.sparkSession
     gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
-    files = batch.select(id, F.when(~gone, F.col(text)).alias("_text")).repartition(spark.sparkContext.defaultParallelism, id).groupBy(id).agg(F.max("_text").alias("_text"))
+    files = batch.select(id, F.when(~gone, F.col(text)).alias("_text")).groupBy(id).agg(F.max("_text").alias("_text"))
     posted = I.postings(files, id, "_text")
     rows = files.select(id).join(posted, id, "left").select(id, "term", "tf")
     rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
