@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from spanlens.functions import paths
 from spanlens.functions import text as T
-from spanlens.operators.chunk import lines
+from spanlens.operators.chunk import line_array, lines
 from spanlens.sources.store import stored
 
 # Words that frame a lookup without naming anything.
@@ -84,18 +91,89 @@ def lines_of_names(texts: DataFrame, names: DataFrame, id: str, query: str = "qu
     """(query, id, line, body, names): lines of all texts that hold a name of a query, in one pass for a whole table of names.
 
     names: (query, name).  Lines meet names by key (`line_keys`, `name_key`; only kinds of keys that names have), boundaries are checked after.  Few names
-    are broadcast, so that no line is shuffled; of many, lines and names meet in a join that can be split.
+    go to the lines, so that nothing is shuffled (each id is one row of texts); of many, lines and names meet in a join that can be split.
     """
-    asked = names.select(F.col(name).alias("_name")).filter("_name <> ''").distinct()
-    asked = asked.select("_name", T.name_pattern(F.col("_name")).alias("_pattern"), name_key(F.col("_name")).alias("_key")).filter("_key is not null")
-    kinds = asked.agg(F.count("*").alias("all"), *(F.count_if(F.col("_key").rlike(pattern)).alias(kind) for kind, pattern in KEY_KINDS.items())).first()
-    few = kinds["all"] <= BROADCAST_NAMES
+    asked = _asked(names, query, name)
+    if asked.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        return _held(texts.select(id, text), asked, query, text).select(query, id, "line", "body", "names")
+    wanted = asked.select("_name", "_pattern", "_key").distinct()
+    kinds = wanted.agg(*(F.count_if(F.col("_key").rlike(pattern)).alias(kind) for kind, pattern in KEY_KINDS.items())).first()
     offered = line_keys(F.col("body"), frozenset(kind for kind in KEY_KINDS if kinds[kind]))
-    each = lines(texts, id, text).select(id, "line", "body").withColumn("_key", F.explode(offered))
-    met = each.join(F.broadcast(asked) if few else asked, "_key").filter(F.contains("body", F.col("_name")))
+    each = lines(texts, id, text).select(id, "line", "body").withColumn("_key", F.explode(F.array_distinct(offered)))
+    met = each.join(wanted, "_key").filter(F.contains("body", F.col("_name")))
     held = met.filter(F.coalesce(F.rlike("body", F.col("_pattern")), F.lit(True))).select(id, "line", "body", "_name")
-    owners = names.select(query, F.col(name).alias("_name")).distinct()
-    return held.join(owners, "_name").groupBy(query, id, "line").agg(F.first("body").alias("body"), F.array_sort(F.collect_set("_name")).alias("names"))
+    return held.join(asked.select(query, "_name"), "_name").groupBy(query, id, "line").agg(F.first("body").alias("body"), F.array_sort(F.collect_set("_name")).alias("names"))
+
+
+def _asked(names: DataFrame, query: str, name: str) -> DataFrame:
+    """(query, _name, _pattern, _key): each name of each query that can be looked for."""
+    pairs = names.select(query, F.col(name).alias("_name")).filter("_name <> ''").distinct()
+    return pairs.select(query, "_name", T.name_pattern(F.col("_name")).alias("_pattern"), name_key(F.col("_name")).alias("_key")).filter("_key is not null")
+
+
+# `line_keys` as plain patterns: what is found, and how long the ends are of which each is a key (0: all of it).
+_OFFERS = {"small": ("[a-z0-9]+", 0), "capitals": ("[A-Z]{1,3}(?![A-Za-z0-9])", 1), "dashed": ("[A-Za-z0-9]{0,3}[-/]", 1), "rare": (r"[_$]|[^\x00-\x7F]", 0)}
+ROWS = 20_000  # rows in an Arrow batch
+
+
+def _held(texts: DataFrame, asked: DataFrame, query: str, text: str) -> DataFrame:
+    """Rows of texts, without the text, with (query, line, body, names, first) of each line that holds a name of a query; first: the names that no line of the text before holds."""
+    by_key, owners = defaultdict(dict), defaultdict(list)
+    for q, n, pattern, key in asked.collect():
+        by_key[key][n] = pattern
+        owners[n].append(q)
+    offers = [_OFFERS[kind] for kind, pattern in KEY_KINDS.items() if any(re.search(pattern, key) for key in by_key)]
+    shared = texts.sparkSession.sparkContext.broadcast((dict(by_key), dict(owners), offers))
+    kept = [c for c in texts.columns if c != text]
+    said = [asked.schema[query], StructField("line", IntegerType()), StructField("body", StringType()), *(StructField(c, ArrayType(StringType())) for c in ("names", "first"))]
+    schema = StructType([*texts.select(kept).schema, *said])
+    kinds = [to_arrow_type(f.dataType) for f in said]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_key, owners, offers = shared.value
+        offers = [(re.compile(pattern), ends) for pattern, ends in offers]
+        patterns = {n: pattern and re.compile(pattern) for found in by_key.values() for n, pattern in found.items()}
+
+        def holds(body: str) -> Iterator[str]:
+            keys = set()
+            for pattern, ends in offers:
+                found = set(pattern.findall(body))
+                keys |= {x[i:] for x in found for i in range(len(x))} if ends else found
+            for key in keys & by_key.keys():
+                for n in by_key[key]:
+                    if n in body and (patterns[n] is None or patterns[n].search(body)):
+                        yield n
+
+        for batch in batches:
+            rows, columns = [], ([], [], [], [], [])
+
+            def piece(batch=batch, rows=rows, columns=columns) -> pa.RecordBatch:
+                taken = batch.select(range(len(kept))).take(pa.array(rows, pa.int64()))
+                made = pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True))], names=schema.names)
+                for x in (rows, *columns):
+                    x.clear()
+                return made
+
+            for row, bodies in enumerate(batch.column(len(kept)).to_pylist()):
+                before: set[str] = set()
+                for line, body in enumerate(bodies or (), 1):
+                    by_query = defaultdict(list)
+                    found = sorted(holds(body))
+                    for n in found:
+                        for q in owners[n]:
+                            by_query[q].append(n)
+                    for q, ns in by_query.items():
+                        rows.append(row)
+                        for x, value in zip(columns, (q, line, body, ns, [n for n in ns if n not in before]), strict=True):
+                            x.append(value)
+                    before.update(found)
+                    if len(rows) >= ROWS:
+                        yield piece()
+            if rows:
+                yield piece()
+
+    bodies = F.transform(line_array(F.col(text)), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    return texts.select(*kept, bodies.alias("_lines")).mapInArrow(run, schema)
 
 
 def reports(chunks: DataFrame, names: DataFrame, query: str = "query", name: str = "name") -> DataFrame:
@@ -104,6 +182,11 @@ def reports(chunks: DataFrame, names: DataFrame, query: str = "query", name: str
     chunks: (chunk_id, path, start_line, symbol, defines, text), which share no lines: a line belongs to the symbol of
     its chunk, the innermost one.  The first line of a chunk that holds a name which the chunk defines is its definition.
     """
+    asked = _asked(names, query, name)
+    if asked.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        held = _held(chunks.select("path", "start_line", "symbol", "defines", "text"), asked, query, "text")
+        own = F.coalesce(F.arrays_overlap("first", "defines"), F.lit(False))
+        return held.select(query, "path", "symbol", (F.col("start_line") + F.col("line") - 1).alias("line"), "body", "names", own.alias("is_definition"))
     # Read twice below.
     found = stored(lines_of_names(chunks.select("chunk_id", "text"), names, "chunk_id", query, name), "held")
     rows = found.join(chunks.select("chunk_id", "path", "start_line", "symbol", "defines"), "chunk_id")

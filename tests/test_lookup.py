@@ -51,6 +51,21 @@ def test_reports(spark):
     ]
 
 
+def test_reports_shuffle_nothing_for_few_names(spark, monkeypatch):
+    """Lines that hold names of many queries are neither shuffled nor written on their way, and are those that the join of many names gives."""
+    rng = random.Random(5)
+    text = lambda: "\n".join(" ".join(rng.choice(["Tree", "grow", "leaf", "É_x", "AB", "x"]) for _ in range(4)) + rng.choice(["", "\r"]) for _ in range(6))
+    chunks = [(f"c{i}", f"p{i % 3}", 1 + 6 * (i // 3), None if i % 4 else "fn a", rng.choice([None, [], ["leaf", None], ["Tree", "AB"]]), None if i == 7 else text()) for i in range(30)]
+    chunks = spark.createDataFrame(chunks, "chunk_id string, path string, start_line int, symbol string, defines array<string>, text string")
+    names = spark.createDataFrame([(q, n) for q in range(6) for n in ("Tree", "leaf", "É_x", "AB")[: 1 + q % 4]], "query int, name string")
+    found = lookup.reports(chunks, names)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    columns = ["query", "path", "line", "symbol", "body", "names", "is_definition"]
+    few = sorted(map(str, found.select(columns).collect()))
+    monkeypatch.setattr(lookup, "BROADCAST_NAMES", 1)
+    assert few == sorted(map(str, lookup.reports(chunks, names).select(columns).collect())) and len(few) > 100
+
+
 def rendered(names, found, files_read, most, summary, tail, file_lines, code=None):
     """One answer, file after file."""
     prose = lambda p: p.endswith(".md")
