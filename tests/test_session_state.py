@@ -126,6 +126,42 @@ def test_idle_sessions_are_forgotten(spark, tmp_path):
     assert ("s", "idle") in kinds and kinds.count(("s", "query")) == 1
 
 
+def test_calls_to_the_state_store_do_not_grow_with_events():
+    """Each state of a session is read once and written once, however many events come."""
+    calls = []
+
+    class Held:
+        def __init__(self, *schema):
+            self.rows = []
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                if name in ("put", "update"):
+                    self.rows = given[0]
+                return iter(self.rows) if name in ("get", "iterator", "keys") else False
+
+            return call
+
+    class Handle:
+        getListState = getMapState = staticmethod(Held)
+        getValueState = staticmethod(lambda *schema: type("Value", (Held,), {"get": lambda self: calls.append("get")})())
+        registerTimer = staticmethod(lambda at: calls.append("timer"))
+        listTimers = staticmethod(lambda: calls.append("timers") or [])
+
+    used = []
+    for n in (4, 400):
+        session = state.Session("s")
+        session.init(Handle())
+        calls.clear()
+        rows = [(k, ("result", "sent", "read", "prompt")[k % 4], f"t{k}", False, "", f"f{k}", k, k + 5, float(k), k % 8 == 2) for k in range(n)]
+        columns = ["seq", "kind", "text", "follow_up", "names", "path", "start", "end", "score", "full"]
+        (out,) = session.handleInputRows(("u",), iter([pd.DataFrame(rows, columns=columns)]), type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: 0})())
+        assert (out.kind == "read").sum() == n // 4
+        used.append(len(calls))
+    assert used[0] == used[1] <= 12
+
+
 def test_best():
     assert state.best({("b", 1, 2): 0.5, ("a", 1, 2): 0.5, ("c", 1, 2): 0.9}, 2) == [(("c", 1, 2), 0.9), (("a", 1, 2), 0.5)]
     assert isinstance(state.Session("s")._frame([]), pd.DataFrame)
