@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+PICKS = StructType([StructField("items", ArrayType(StringType())), StructField("used", LongType()), StructField("covered", IntegerType())])
 
 
 def ema(values: Column, keep: float) -> Column:
@@ -191,22 +198,41 @@ def greedy_picks(calls: Column, costs: Column, budget: int) -> Column:
     calls: array<array<string>>, the items of each call, all of which must be shown to answer it; costs: map of items.
     Each step shows what the call lacks that is answered at the least cost for each call that this answers, which need
     not be that call alone; equal ones by cost, then by items.  Calls without items, or with an item of unknown cost,
-    are never answered.  The fold takes as many steps as there are calls.
+    are never answered.  Rows are worked off in Arrow batches; each pick looks at the distinct sets of items that are still lacked.
     """
-    usable = F.array_distinct(F.transform(F.filter(calls, lambda c: (F.size(c) > 0) & F.forall(c, lambda i: F.map_contains_key(costs, i))), lambda c: F.array_sort(F.array_distinct(c))))
-    cost = lambda items: F.aggregate(items, F.lit(0).cast("bigint"), lambda n, i: n + costs[i])
-    start = F.struct(F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("used"))
-
-    def step(acc: Column, _: Column) -> Column:
-        lack = F.array_distinct(F.filter(F.transform(usable, lambda c: F.array_except(c, acc["items"])), lambda x: F.size(x) > 0))
-        fits = F.filter(F.transform(lack, lambda x: F.struct(cost(x).alias("cost"), x.alias("items"))), lambda x: acc["used"] + x["cost"] <= budget)
-        answered = lambda x: F.size(F.filter(calls, lambda c: (F.size(F.array_except(c, F.concat(acc["items"], x["items"]))) == 0) & (F.size(F.array_except(c, acc["items"])) > 0)))
-        ranked = F.transform(fits, lambda x: F.struct((x["cost"] / answered(x)).alias("each"), x["cost"].alias("cost"), x["items"].alias("items")))
-        best = F.array_min(ranked)
-        return F.when(best.isNull(), acc).otherwise(F.struct(F.concat(acc["items"], best["items"]).alias("items"), (acc["used"] + best["cost"]).alias("used")))
-
-    covered = lambda acc: F.size(F.filter(calls, lambda c: (F.size(c) > 0) & (F.size(F.array_except(c, acc["items"])) == 0)))
-    return F.aggregate(usable, start, step, lambda acc: F.struct(acc["items"].alias("items"), acc["used"].alias("used"), covered(acc).alias("covered")))
+
+    def picks(calls: pa.Array, costs: pa.Array) -> pa.Array:
+        found = [None if c is None else greedily(c, dict(k or ()), budget) for c, k in zip(calls.to_pylist(), costs.to_pylist(), strict=True)]
+        return pa.array([f and dict(zip(PICKS.names, f, strict=True)) for f in found], to_arrow_type(PICKS))
+
+    return F.arrow_udf(picks, PICKS)(calls, costs)
+
+
+def greedily(calls: list[list[str]], costs: dict[str, int], budget: int) -> tuple[list[str], int, int]:
+    """`greedy_picks` of one row; sets of items are the bits of a number."""
+    usable = [set(c) for c in calls if c and all(i in costs for i in c)]
+    names = sorted(set().union(*usable))
+    bit = {name: 1 << k for k, name in enumerate(names)}
+    lack = Counter(sum(bit[i] for i in c) for c in usable)  # how many calls lack the same items
+    items: list[str] = []
+    used = 0
+    of = lambda x: [name for name in names if x & bit[name]]
+    while lack:
+        best = None
+        for x in lack:
+            each = [costs[i] for i in of(x)]
+            if None not in each and used + (cost := sum(each)) <= budget:
+                one = (cost / sum(n for y, n in lack.items() if not y & ~x), cost, of(x), x)
+                best = one if best is None or one < best else best
+        if best is None:
+            break
+        items, used, left = items + best[2], used + best[1], Counter()
+        for x, n in lack.items():
+            if x & ~best[3]:
+                left[x & ~best[3]] += n
+        lack = left
+    shown = set(items)
+    return items, used, sum(bool(c) and shown.issuperset(c) for c in calls)
 
 
 def injection_price(chars: Column, later_reads: Column, write_price: float = 3.75, read_price: float = 0.3, tokens_per_char: float = 1 / 3.5) -> Column:

@@ -3,6 +3,7 @@
 import fnmatch
 import itertools
 import random
+import time
 import re
 
 import pytest
@@ -104,6 +105,17 @@ def test_greedy_picks(spark):
     assert all(used <= 90 for _, used, _ in want.values()) and any(covered > 2 for *_, covered in want.values())
 
 
+def test_greedy_picks_of_many_calls(spark):
+    """The work follows the picks, not the cube of the calls: 3,000 calls, of which few sets of items are left after each pick."""
+    calls = [[f"n{(7 * i + j) % 12}" for j in range(1 + i % 4)] for i in range(3_000)] + [[], ["n0", "unknown"], ["n1", None], None]
+    costs = {f"n{i}": 5 + 3 * i for i in range(12)}
+    began = time.time()
+    got = spark.createDataFrame([(calls, costs), (None, costs), ([], costs)], "calls array<array<string>>, costs map<string,int>").select(folds.greedy_picks(F.col("calls"), F.col("costs"), 90).alias("g")).collect()
+    assert set(got[0].g["items"]) <= {*costs} and got[0].g["used"] == sum(costs[i] for i in got[0].g["items"]) <= 90
+    assert got[0].g["covered"] == sum(set(c) <= set(got[0].g["items"]) for c in calls if c) > 500
+    assert got[1].g is None and tuple(got[2].g) == ([], 0, 0) and time.time() - began < 60
+
+
 def test_break_even(spark):
     r = spark.range(1).select(folds.injection_price(F.lit(3500.0), F.lit(2)).alias("p"), folds.break_even_chars(folds.injection_price(F.lit(3500.0), F.lit(2)), F.lit(2)).alias("c"), folds.injection_price(F.lit(3500.0), F.lit(-1)).alias("z")).first()
     assert r.p == pytest.approx(1000 * (3.75 + 0.6) / 1e6) and r.c == pytest.approx(3500) and r.z == pytest.approx(0.00375)
