@@ -173,7 +173,7 @@ def test_text_delta(spark, monkeypatch):
     same = index.text_delta(chunks, "a", "a", "id")
     assert same.count() == 0
     # Nothing is cut into terms where nothing changed.
-    from spanlens.plans.base import QUERIES
+    from spanlens.registry import QUERIES
 
     monkeypatch.setattr(index, "postings", None)
     assert QUERIES["df_delta"](spark, "/root/testdata/sf0.001").filter("term = 'freshly'").count() == 1
@@ -291,3 +291,16 @@ def test_brace_chunks_and_files(spark, tmp_path):
     assert {"Walker", "next", "main"} <= {d for r in rust for d in r.defines}
     assert {"advance", "read_config", "start"} <= {x for r in rust for x in r.refs}
     assert any(r.path == "src/broken.py" and r.kind == "window" for r in rows)
+
+
+def test_terms_of_awkward_runs():
+    """Parts are cut as by the four rules of `text.word_parts`, one after another."""
+    rng = random.Random(3)
+    for _ in range(20_000):
+        run = "".join(rng.choice("aAbBcC19_zZ") for _ in range(rng.randrange(1, 12)))
+        cut = run.replace("_", " ")
+        for pattern in ("([A-Z])([A-Z][a-z])", "([a-z])([A-Z])", "([0-9])([A-Za-z])", "([A-Za-z])([0-9])"):
+            cut = re.sub(pattern, r"\1 \2", cut)
+        parts = cut.lower().split()
+        want = () if run[0].isdigit() else (*(p for p in parts if len(p) > 1), *([run.lower()] if len(parts) > 1 else []))
+        assert index.terms_of(run.encode()) == want
