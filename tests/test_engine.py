@@ -60,3 +60,24 @@ def test_postings_are_never_broadcast(spark, monkeypatch):
         met = I.met(asked, index)
         plan = met._jdf.queryExecution().executedPlan().toString()
         assert met.count() == 1_000 and "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == bool(few)
+
+
+def test_texts_are_not_shuffled_for_what_few_ask(spark, monkeypatch):
+    """Texts are counted where they are read, and candidates go to the texts; only texts whose id comes again are brought together."""
+    plans, kept = [], I.stored
+    monkeypatch.setattr(I, "stored", lambda df, label: (plans.append((label, df._jdf.queryExecution().executedPlan().toString())), kept(df, label))[1])
+    rows = [(1, "walk Tree walk"), (2, None), (3, ""), (4, "7 _ - a"), (5, "treeWalk walk")]
+    asked = spark.createDataFrame([("walk",), ("tree",)], "term string")
+    index = I.written_for(spark.createDataFrame(rows, "chunk_id int, text string"), asked, label="once")
+    assert ["Exchange" in plan for label, plan in plans if label == "once"] == [False]
+    assert sorted(map(tuple, index.postings.collect())) == [(1, "tree", 1, 3), (1, "walk", 2, 3), (5, "tree", 1, 4), (5, "walk", 2, 4)]
+    twice = I.written_for(spark.createDataFrame([*rows, (1, "walk tree"), (None, "walk"), (None, "leaf")], "chunk_id int, text string"), asked)
+    assert {tuple(r) for r in twice.postings.collect()} == {(1, "tree", 2, 4), (1, "walk", 2, 4), (5, "tree", 1, 4), (5, "walk", 2, 4), (None, "walk", 1, 2)}
+    monkeypatch.setattr(I, "BROADCAST_TERMS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n, name in ((2, "BroadcastHashJoin"), (3, "SortMergeJoin")):
+            chosen = I.get_chunks(spark.createDataFrame([(i % 2, i) for i in range(n)], "q int, chunk_id long"), spark.range(9).selectExpr("id as chunk_id", "'x' as text"))
+            assert name in chosen._jdf.queryExecution().executedPlan().toString() and sorted(r.chunk_id for r in chosen.collect()) == list(range(n))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
