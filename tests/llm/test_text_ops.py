@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -485,3 +486,23 @@ def test_marked_words_and_numbers_need_no_whole_encoding():
         enc.bare[marks]
     enc.after_space.tokenizer = None  # any whole encoding fails
     assert enc.encode_block(["so été*** 2024 word! 7;"])[0].tolist() == whole
+
+
+def test_lm_contexts_are_sent_packed_and_settled_by_ranges(spark):
+    """What tasks send of contexts is a row for each range, and what comes of it is what counting row by row gives."""
+    rng = random.Random(5)
+    pairs = [(rng.choice([0, 1, 2**63, 2**64 - 1, rng.randrange(2**64)]), rng.choice([0, 3, 2**31, 2**32 - 1]) << 32) for _ in range(900)]
+    blob = lambda xs: np.array(xs, "<u8").tobytes()
+    rows = [(blob([a for a, _ in part]), blob([b for _, b in part])) for part in (pairs[:400], [], pairs[400:])]
+    seen = defaultdict(Counter)
+    for a, b in pairs:
+        seen[a][b >> 32] += 1
+    want = {a: (max(s.values()), sum(s.values()), max((n, b) for b, n in s.items())[1]) for a, s in seen.items() if max(s.values()) > 1}
+    coded = spark.createDataFrame(rows, "before binary, after binary")
+    for ranges in (1, 5):
+        got = {int.from_bytes(r.key[1:], "little"): (r.c, r.n, int.from_bytes(r.after, "little")) for r in lm.context_counts(coded, ranges).collect()}
+        assert got == want and len(got) >= 4
+    assert lm.context_counts(coded.limit(0), 3).count() == 0
+    columns = [np.array(x, np.uint64) for x in ([1, 2**64 - 1], [2**32 - 1, 0], [7, 300])]
+    assert all((a == b).all() for a, b in zip(lm.unpacked(lm.packed(columns)), columns, strict=True))
+    assert lm.encoded(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), "doc_id", "text", lm.VOCABULARY).columns == ["id", "ids"]
