@@ -491,7 +491,7 @@ def test_marked_words_and_numbers_need_no_whole_encoding():
 def test_lm_contexts_are_sent_packed_and_settled_by_ranges(spark):
     """What tasks send of contexts is a row for each range, and what comes of it is what counting row by row gives."""
     rng = random.Random(5)
-    pairs = [(rng.choice([0, 1, 2**63, 2**64 - 1, rng.randrange(2**64)]), rng.choice([0, 3, 2**31, 2**32 - 1]) << 32) for _ in range(900)]
+    pairs = [(rng.choice([0, 1, 2**55, 2**56 - 1, rng.randrange(2**56)]) << 8, rng.choice([0, 3, 2**31, 2**32 - 1]) << 32) for _ in range(900)]
     blob = lambda xs: np.array(xs, "<u8").tobytes()
     rows = [(blob([a for a, _ in part]), blob([b for _, b in part])) for part in (pairs[:400], [], pairs[400:])]
     seen = defaultdict(Counter)
@@ -503,6 +503,19 @@ def test_lm_contexts_are_sent_packed_and_settled_by_ranges(spark):
         got = {int.from_bytes(r.key[1:], "little"): (r.c, r.n, int.from_bytes(r.after, "little")) for r in lm.context_counts(coded, ranges).collect()}
         assert got == want and len(got) >= 4
     assert lm.context_counts(coded.limit(0), 3).count() == 0
-    columns = [np.array(x, np.uint64) for x in ([1, 2**64 - 1], [2**32 - 1, 0], [7, 300])]
+    columns = [np.array(x, np.uint64) for x in ([1, 2**56 - 1], [2**32 - 1, 0], [7, 300])]
     assert all((a == b).all() for a, b in zip(lm.unpacked(lm.packed(columns)), columns, strict=True))
     assert lm.encoded(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), "doc_id", "text", lm.VOCABULARY).columns == ["id", "ids"]
+
+
+def test_lm_scores_meet_memory_by_range(spark, sf, rows, monkeypatch):
+    """What memory adds is the same however many ranges contexts are sent in."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    fitted, known = lm.fit(docs)
+    got = []
+    for bound in (10**9, 100):
+        monkeypatch.setattr(lm, "RANGE", bound)
+        got.append({r.doc_id: (r.n_tokens, r.score) for r in lm.score(docs, fitted, known).collect()})
+    without = {r.doc_id: r.score for r in lm.score(docs, fitted, known.filter("trust is null")).collect()}
+    assert all(a[0] == got[1][i][0] and abs(a[1] - got[1][i][1]) < 1e-9 for i, a in got[0].items()) and len(got[0]) == len(rows)
+    assert any(abs(a[1] - without[i]) > 0.1 for i, a in got[0].items())
