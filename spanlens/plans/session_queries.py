@@ -151,13 +151,13 @@ def _session_events(events: DataFrame) -> DataFrame:
 r AS (SELECT user_id, max(seq) AS since FROM e WHERE kind IN ('clear', 'compact') GROUP BY 1), n AS (SELECT e.* FROM e LEFT JOIN r USING (user_id) WHERE seq > coalesce(since, 0)),
 s AS (SELECT user_id, path, "start", "end", min(seq) AS seq FROM n WHERE kind = 'sent' GROUP BY ALL), f AS (SELECT DISTINCT user_id, path FROM n WHERE kind = 'read' AND whole),
 a AS (SELECT user_id, path, "start", "end", 0 AS late, seq FROM s UNION ALL SELECT user_id, path, 1, 2147483647, 1, 0 FROM f)
-SELECT user_id, 'working' AS kind, place::INTEGER AS place, path, "start", "end", score FROM p WHERE place < 40
+SELECT user_id, 'working' AS kind, place::INTEGER AS place, path, "start", "end", score FROM p
 UNION ALL SELECT user_id, 'already', (row_number() OVER (PARTITION BY user_id ORDER BY late, seq, path) - 1)::INTEGER, path, "start", "end", NULL FROM a""")
 def stream_session_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Working sets, and all that is in each session's context, as the stream of events leaves them."""
+    """Working sets, whole, and all that is in each session's context, as the stream of events leaves them."""
     from spanlens.streaming import common, state
 
-    out = state.session_states(_session_events(common.table_stream(spark, f"{sf}/events.parquet")).drop("tokens"), "user_id")
+    out = state.session_states(_session_events(common.table_stream(spark, f"{sf}/events.parquet")).drop("tokens"), "user_id", working=None, sent=None)
     one = lambda kind: state.answers(spark, out, "user_id", kind).select("user_id", F.lit(kind).alias("kind"), F.posexplode("spans").alias("place", "s"))
     return one("working").unionByName(one("already")).select("user_id", "kind", "place", "s.*")
 

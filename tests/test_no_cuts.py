@@ -1,5 +1,7 @@
 """Queries that once left out a part of their candidates, against plain Python over all of them."""
 
+from datetime import datetime, timedelta
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 
@@ -20,3 +22,16 @@ def test_gold_of_short_and_repeated_items(spark, tmp_path):
     wanted = [(i, d) for i, t in items for d, body in docs.items() if t is not None and body is not None and t in body]
     got = [(r.item_id, r.doc_id) for r in QUERIES["gold_match"](spark, sf).collect()]
     assert sorted(got, key=str) == sorted(wanted, key=str)
+
+
+def test_states_of_long_sessions(spark, tmp_path):
+    """More results and sent spans than a bounded session keeps."""
+    kinds = ["view"] * 90 + ["purchase"] * 450
+    rows = [(7, i, datetime(2024, 1, 1) + timedelta(seconds=i), kind, i * 37 % 101 / 7, f'{{"k": {i}}}') for i, kind in enumerate(kinds)]
+    columns = ["user_id", "event_id", "ts", "event_type", "value", "props"]
+    sf = put(tmp_path, events=dict(zip(columns, zip(*rows), strict=True)))
+    got = {(r.kind, r.place): (r.path, r.start, r.end, r.score) for r in QUERIES["stream_session_states"](spark, sf).collect()}
+    span = lambda i: (f"f{i % 7}", i, i + 5)
+    working = sorted((-(i * 37 % 101 / 7), *span(i)) for i in range(90))
+    wanted = {("working", n): (*s, -x) for n, (x, *s) in enumerate(working)} | {("already", i - 90): (*span(i), None) for i in range(90, 540)}
+    assert got == wanted
