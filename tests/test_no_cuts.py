@@ -1,9 +1,13 @@
 """Queries that once left out a part of their candidates, against plain Python over all of them."""
 
+import hashlib
+import math
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from spanlens.registry import QUERIES
 
@@ -35,3 +39,33 @@ def test_states_of_long_sessions(spark, tmp_path):
     working = sorted((-(i * 37 % 101 / 7), *span(i)) for i in range(90))
     wanted = {("working", n): (*s, -x) for n, (x, *s) in enumerate(working)} | {("already", i - 90): (*span(i), None) for i in range(90, 540)}
     assert got == wanted
+
+
+RARE = [a + b + "q" for a in "bcdf" for b in "klmnpr"]  # as many terms as a bounded search takes; too short for names
+ITEMS = {1: " ".join([*RARE, "zulu"]), 2: "yank xray"}
+DOCS = {0: " ".join(RARE)} | {i: "zulu " + "pad " * i for i in range(1, 61)} | {i: "xray yank" for i in range(70, 85)} | {90: "yank xray " + "fill " * 400, 91: None}
+
+
+@pytest.fixture(scope="module")
+def crowd(tmp_path_factory):
+    documents = {"doc_id": list(DOCS), "text": list(DOCS.values()), "lang": ["en"] * len(DOCS), "source": ["s"] * len(DOCS)}
+    labels = {"doc_id": list(DOCS), "quality": [i % 2 for i in DOCS], "toxic": [i % 3 % 2 for i in DOCS]}
+    return put(tmp_path_factory.mktemp("crowd"), documents=documents, labels=labels, benchmark={"item_id": list(ITEMS), "text": list(ITEMS.values())})
+
+
+def ranked(docs):
+    """{item: [(doc, score)]} of all documents that hold a term, best first."""
+    tf = {d: {w: min(n, 2) for w, n in Counter(t.split()).items()} for d, t in docs.items() if t}
+    length = {d: sum(c.values()) for d, c in tf.items()}
+    df, mean = Counter(w for c in tf.values() for w in c), sum(length.values()) / len(tf)
+    gain = lambda w, d: math.log(1 + (len(tf) - df[w] + 0.5) / (df[w] + 0.5)) * tf[d][w] * 2.2 / (tf[d][w] + 1.2 * (0.25 + 0.75 * length[d] / mean))
+    found = {i: {d: round(sum(gain(w, d) for w in text.split() if w in tf[d]), 6) for d in tf if tf[d].keys() & set(text.split())} for i, text in ITEMS.items()}
+    return {i: sorted(x.items(), key=lambda p: (-p[1], p[0])) for i, x in found.items()}
+
+
+def test_reciprocal_rank_of_the_whole_list(spark, crowd):
+    place = {i: [d for d, _ in x] for i, x in ranked(DOCS).items()}
+    gold = {i: [d for d, t in DOCS.items() if t and text in t] for i, text in ITEMS.items()}
+    assert gold == {1: [], 2: [90]} and place[2].index(90) == 15
+    (row,) = QUERIES["mrr_hit_recall"](spark, crowd).collect()
+    assert tuple(row) == (1, 0.0, 0.0, round(1 / 16, 6), 0.0)
