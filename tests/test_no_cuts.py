@@ -69,3 +69,9 @@ def test_reciprocal_rank_of_the_whole_list(spark, crowd):
     assert gold == {1: [], 2: [90]} and place[2].index(90) == 15
     (row,) = QUERIES["mrr_hit_recall"](spark, crowd).collect()
     assert tuple(row) == (1, 0.0, 0.0, round(1 / 16, 6), 0.0)
+
+
+def test_every_candidate_passes_the_gate_or_not(spark, crowd):
+    chance = lambda i, d: int(hashlib.md5(f"{i}-{d}".encode()).hexdigest()[:6], 16) % 1000 / 1000
+    wanted = {(i, d) for i, x in ranked(DOCS).items() for d, _ in x if chance(i, d) >= 0.5}
+    assert {(r.item_id, r.doc_id) for r in QUERIES["rerank_gate"](spark, crowd).collect()} == wanted
