@@ -75,3 +75,9 @@ def test_every_candidate_passes_the_gate_or_not(spark, crowd):
     chance = lambda i, d: int(hashlib.md5(f"{i}-{d}".encode()).hexdigest()[:6], 16) % 1000 / 1000
     wanted = {(i, d) for i, x in ranked(DOCS).items() for d, _ in x if chance(i, d) >= 0.5}
     assert {(r.item_id, r.doc_id) for r in QUERIES["rerank_gate"](spark, crowd).collect()} == wanted
+
+
+def test_spans_of_frequent_terms(spark, crowd):
+    """The item's last term is beyond those that a bounded search takes."""
+    paths = {r.path for r in QUERIES["retrieve_spans"](spark, crowd).filter("item_id = 1").collect()}
+    assert "s/en/0.md" in paths and len(paths) == 10
