@@ -81,3 +81,13 @@ def test_spans_of_frequent_terms(spark, crowd):
     """The item's last term is beyond those that a bounded search takes."""
     paths = {r.path for r in QUERIES["retrieve_spans"](spark, crowd).filter("item_id = 1").collect()}
     assert "s/en/0.md" in paths and len(paths) == 10
+
+
+def test_whole_lists_are_fused(spark, crowd):
+    wanted = {}
+    for i, x in ranked(DOCS).items():
+        lexical = [d for d, _ in x]
+        quality = sorted(lexical, key=lambda d: (-(d % 2), d % 3 % 2, d))
+        wanted |= {(i, d): round(1 / (60 + lexical.index(d)) + 1 / (60 + quality.index(d)), 9) for d in lexical}
+    got = {(r.item_id, r.doc_id): r.fused for r in QUERIES["rrf_fusion"](spark, crowd).collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-8 for k in wanted)
